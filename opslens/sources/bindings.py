@@ -58,6 +58,15 @@ BINDINGS: dict[str, Binding] = {
         ("max_server_memory_mb", "cast(case when n_nationkey % 3 = 0 then 2147483647 else n_nationkey * 9000 end as bigint)"),
         ("memory_model", "cast(1 + n_nationkey % 3 as bigint)"),
         ("sqlserver_start_time", "timestamp '2001-07-01 00:00:00'"),
+        ("is_fulltext_installed", "n_nationkey % 3 <> 2"),
+        ("time_zone", "case when n_nationkey % 2 = 0 then 'UTC' else 'Pacific Standard Time' end"),
+        ("default_data_path", "'D:/data/' || cast(n_nationkey as string)"),
+        ("default_log_path", "'L:/log/' || cast(n_nationkey as string)"),
+        ("is_resource_governor_enabled", "n_nationkey % 6 = 1"),
+    ]),
+    "packages": _b("supplier", [
+        ("name", "'pkg' || cast(s_suppkey as string)"),
+        ("owner_name", "case s_suppkey % 4 when 0 then 'sa' when 1 then 'app' when 2 then null else 'dev' end"),
     ]),
     "schedulers": _b("nation", [
         ("server_name", "'srv' || cast(n_nationkey as string)"),

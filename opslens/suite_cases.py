@@ -238,3 +238,385 @@ select {K}, min(start_time) as first_event, max(start_time) as last_event
 from trace_log where event_class in (select trace_event_id from trace_events) group by all""")
 def _c15(spark, d):
     return C.trace_coverage(*rel(spark, d, "trace_log", "trace_events"))
+
+
+# ---------------------------------------------------------------- family A
+from .operators import instance as A  # noqa: E402
+
+_VNAME = ("case when starts_with(product_version, '8.') then '2000' when starts_with(product_version, '9.') then '2005' "
+          "when starts_with(product_version, '10.0') then '2008' when starts_with(product_version, '10.5') then '2008 R2' "
+          "when starts_with(product_version, '11.') then '2012' when starts_with(product_version, '12.') then '2014' "
+          "when starts_with(product_version, '13.') then '2016' when starts_with(product_version, '14.') then '2017' "
+          "when starts_with(product_version, '15.') then '2019' end")
+
+
+@case("a1_instance_identity", ["instances"], f"""
+select {K}, machine_name, coalesce(instance_name, '<default>') as instance_name, edition, product_version,
+  {_VNAME} as version_name, product_level, "collation", is_clustered, is_hadr_enabled, virtual_machine_type,
+  cpu_count, hyperthread_ratio, cpu_count // hyperthread_ratio as sockets,
+  cast(cast(physical_memory_kb as double) / 1024 / 1024 as decimal(15,2)) as physical_memory_gb
+from instances""")
+def _a1(spark, d):
+    return A.instance_identity(rel(spark, d, "instances"))
+
+
+@case("a2_version_name", ["instances"], f"select {K}, product_version, {_VNAME} as version_name from instances")
+def _a2(spark, d):
+    return A.version_names(rel(spark, d, "instances"))
+
+
+_VIS = (f"vis as (select {K}, count(cpu_id) as visible_cpu_count from schedulers "
+        "where status = 'VISIBLE ONLINE' group by all)")
+
+
+@case("a3_cpu_visibility", ["instances", "schedulers"], f"""{_VIS}
+select a.server_name, a.snapshot_id, a.cpu_count, b.visible_cpu_count from instances a join vis b on {J}""")
+def _a3(spark, d):
+    return A.cpu_visibility(*rel(spark, d, "instances", "schedulers"))
+
+
+@case("a4_identity_checks", ["instances", "schedulers", "config"], f"""{_VIS},
+mm as (select {K}, max(case when name = 'max server memory (MB)' then value_in_use end) as max_mem_mb from config group by all),
+b as (select i.server_name, i.snapshot_id, i.machine_name, i.physical_memory_kb, i.cpu_count, v.visible_cpu_count, m.max_mem_mb
+      from instances i left join vis v on i.server_name = v.server_name and i.snapshot_id = v.snapshot_id
+      left join mm m on i.server_name = m.server_name and i.snapshot_id = m.snapshot_id)
+select {K}, 'A4.server_name' as check_id, 'warn' as severity, machine_name as observed,
+  'server name differs from machine name ' || machine_name as message from b where server_name <> machine_name
+union all
+select {K}, 'A4.cpu', 'warn', cast(visible_cpu_count as varchar),
+  printf('%d OS CPUs but %d visible schedulers', cpu_count, visible_cpu_count) from b where cpu_count <> visible_cpu_count
+union all
+select {K}, 'A4.max_memory', 'warn', cast(max_mem_mb as varchar), 'SQL max memory is above physical memory' from b
+where cast(cast(cast(physical_memory_kb as double) / 1024 / 1024 as decimal(15,2)) as double) < max_mem_mb / 1024.0
+  and max_mem_mb <> 2147483647""")
+def _a4(spark, d):
+    return A.identity_checks(*rel(spark, d, "instances", "schedulers", "config"))
+
+
+def _q(s):
+    return "'" + s.replace("'", "''") + "'"
+
+
+_VPARTS = (f"v as (select {K}, product_version, split_part(product_version, '.', 1) as ma, "
+           "split_part(product_version, '.', 2) as mi, cast(split_part(product_version, '.', 3) as bigint) as b from instances)")
+
+
+def _support_sql():
+    def sp(build):
+        return f"case when b >= {build} then 'latest_sp' else 'not_latest_sp' end"
+    status = (f"case when ma = '8' then {sp(2039)} when ma = '9' then {sp(5000)} "
+              f"when ma = '10' and (mi like '0%' or mi like '4%') then {sp(6000)} when ma = '10' and mi like '5%' then {sp(6000)} "
+              f"when ma = '11' then {sp(7001)} when ma = '12' then {sp(6024)} when ma = '13' then {sp(5026)} "
+              "when ma = '14' then case when b = 1000 then 'rtm' when b > 1000 then 'not_rtm' end "
+              "when ma = '15' then case when b = 2000 then 'rtm' when b > 2000 then 'not_rtm' end end")
+    label = ("case when ma = '8' then '8.0.2039.0' when ma = '9' then '9.00.5000.00' "
+             "when ma = '10' and (mi like '0%' or mi like '4%') then '10.0.6000.29' when ma = '10' and mi like '5%' then '10.50.6000.34' "
+             "when ma = '11' then '11.0.7001.0' when ma = '12' then '12.0.6024.0' when ma = '13' then '13.0.5026.0' end")
+    compat = ("case when ma = '8' then 80 when ma = '9' then 90 when ma = '10' and (mi like '0%' or mi like '4%' or mi like '5%') then 100 "
+              "when ma in ('11','12','13','14','15') then cast(ma as int) * 10 end")
+    obsolete = "coalesce(ma in ('8', '9') or (ma = '10' and (mi like '0%' or mi like '4%' or mi like '5%')), false)"
+    return f"""{_VPARTS},
+s as (select *, {status} as support_status, {label} as label, {compat} as instance_compat_level, {obsolete} as obsolete from v)
+select {K}, product_version, support_status, obsolete, instance_compat_level,
+  case support_status when 'latest_sp' then 'version is or surpasses the latest service pack'
+    when 'not_latest_sp' then 'version is not the latest service pack of ' || label
+    when 'rtm' then 'version is RTM and very likely not the latest CU'
+    when 'not_rtm' then 'version is at least not RTM; verify it is the latest CU' end as message
+from s"""
+
+
+@case("a5_support_level", ["instances"], _support_sql())
+def _a5(spark, d):
+    return A.support_level(spark, rel(spark, d, "instances"))
+
+
+def _risk_sql():
+    L = lambda *m: "[" + ", ".join(_q(x) for x in m) + "]"
+    leak, reb, ag, tde = A.LEAK.format, A.REBUILD.format, A.AG_SYNC.format, A.TDE.format
+    r12 = reb("2012 SP1 CU11 or 2012 SP2 CU1")
+    msgs = (f"case when ma = '10' and mi = '0' then case when b < 5828 then {L(leak('2008 SP3 CU8'))} end "
+            f"when ma = '10' and mi = '50' then case when b >= 4270 then null when b >= 4000 then {L(leak('2008 R2 SP2 CU4'))} "
+            f"  when b >= 2868 then null else {L(leak('2008 R2 SP1 CU10'))} end "
+            f"when ma = '11' then case when b = 5569 or b = 5556 then {L(ag('2012 SP2 CU5'))} when b >= 5532 then null "
+            f"  when b > 3436 then case when b < 5058 then null else {L(reb('2012 SP2 CU1'))} end "
+            f"  when b < 3436 then case when product_version in ('11.0.3000.0', '11.1.3000.0') then {L(A.MSIEXEC, r12)} "
+            f"    when b < 2384 then {L(leak('2012 RTM CU5'), r12)} else {L(r12)} end end "
+            f"when ma = '12' then case when b = 2456 then {L(ag('2014 RTM CU6'))} when b > 2369 then null else {L(reb('2014 RTM CU2'))} end "
+            f"when ma = '13' then case when b >= 5153 then null when b >= 5026 then {L(tde('2016 SP2 CU2'))} "
+            f"  when b >= 4502 then null else {L(tde('2016 SP1 CU9'))} end "
+            f"when ma = '14' then case when b > 3029 then null else {L(tde('2017 RTM CU9'))} end end")
+    return f"""{_VPARTS}
+select {K}, product_version, unnest(coalesce({msgs}, [null::varchar])) as message from v"""
+
+
+@case("a6_risky_build", ["instances"], _risk_sql())
+def _a6(spark, d):
+    return A.risky_build(spark, rel(spark, d, "instances"))
+
+
+def _patch_sql():
+    def need(kb):
+        return _q(f"security update needed: {kb}")
+    ok = "'side-channel patch in place'"
+    ladder = (f"case when ma = '10' and mi like '5%' then case when b >= 6560 then {ok} else {need('2008 R2 SP3 (KB 4057113)')} end "
+              f"when ma = '10' then case when b >= 6556 then {ok} else {need('2008 SP4 (KB 4057114)')} end "
+              f"when ma = '11' then case when b >= 7462 then {ok} when b > 6615 then {need('2012 SP4 (KB 4057116)')} when b = 6615 then {ok} "
+              f"  when b > 6260 then {need('2012 SP3 CU (KB 4057121)')} when b = 6260 then {ok} else {need('2012 SP3 (KB 4057115)')} end "
+              f"when ma = '12' then case when b >= 5571 then {ok} when b > 5214 then {need('2014 SP2 CU10 (KB 4057117)')} when b = 5214 then {ok} "
+              f"  else {need('2014 SP2 GDR (KB 4057120)')} end "
+              f"when ma = '13' then case when b >= 4466 then {ok} when b > 4210 then {need('2016 SP1 CU7 (KB 4057119)')} when b = 4210 then {ok} "
+              f"  when b > 2218 then {need('2016 SP1 GDR (KB 4057118)')} when b = 2218 then {ok} when b > 1745 then {need('2016 RTM CU (KB 4058559)')} "
+              f"  when b = 1745 then {ok} else {need('2016 RTM GDR (KB 4058560)')} end "
+              f"when ma = '14' then case when b >= 3015 then {ok} when b > 2000 then {need('2017 RTM CU3 (KB 4058562)')} when b = 2000 then {ok} "
+              f"  else {need('2017 GDR (KB 4057122)')} end end")
+    return f"""{_VPARTS},
+p as (select *, {ladder} as message from v)
+select {K}, product_version, case when message is null then null when message = {ok} then 'patched' else 'needed' end as patch_status, message from p"""
+
+
+@case("a7_side_channel_patch", ["instances"], _patch_sql())
+def _a7(spark, d):
+    return A.side_channel_patch(spark, rel(spark, d, "instances"))
+
+
+@case("a8_memory_settings", ["config"], f"""
+m as (select {K}, max(case when name = 'max server memory (MB)' then value_in_use end) as max_mem_mb,
+  max(case when name = 'min server memory (MB)' then value_in_use end) as min_mem_mb from config group by all)
+select {K}, max_mem_mb, min_mem_mb, {money('max_mem_mb / 1024.0')} as max_mem_gb_text,
+  {money('min_mem_mb / 1024.0')} as min_mem_gb_text from m""")
+def _a8(spark, d):
+    return A.memory_settings(rel(spark, d, "config"))
+
+
+# ---------------------------------------------------------------- family B
+from .operators import database as B  # noqa: E402
+
+_LIVE = "source_database_id is null"
+
+
+@case("b1_db_count_by_state", ["databases"], f"""
+select {K}, state_desc, count(*) as db_count from databases where {_LIVE} group by all""")
+def _b1(spark, d):
+    return B.db_count_by_state(rel(spark, d, "databases"))
+
+
+@case("b2_config_listing", ["config"], f"""
+select {K}, name, value, value_in_use from config where name in ({", ".join(_q(n) for n in B.CONFIG_NAMES)})""")
+def _b2(spark, d):
+    return B.config_listing(rel(spark, d, "config"))
+
+
+def _has(name, col, v):
+    return f"max(case when name = {_q(name)} and {col} = {v} then 1 else 0 end) > 0"
+
+
+def _inuse(name):
+    return f"max(case when name = {_q(name)} then value_in_use end)"
+
+
+_GB = "format('{:,.2f}', cast({} / 1024.0 as double))"
+
+
+@case("b3_config_checks", ["config", "instances"], f"""
+a0 as (select {K},
+  {_has('max server memory (MB)', 'value', 2147483647)} as max_unset, {_has('min server memory (MB)', 'value', 0)} as min_unset,
+  {_inuse('max server memory (MB)')} as max_mem, {_inuse('min server memory (MB)')} as min_mem,
+  {_has('backup compression default', 'value_in_use', 0)} as bc0, {_has('backup compression default', 'value_in_use', 1)} as bc1,
+  {_has('optimize for ad hoc workloads', 'value_in_use', 0)} as ah0, {_has('optimize for ad hoc workloads', 'value_in_use', 1)} as ah1,
+  {_has('clr enabled', 'value_in_use', 1)} as clr, {_has('remote admin connections', 'value_in_use', 1)} as rac,
+  {_has('priority boost', 'value_in_use', 1)} as pb,
+  {_has('max degree of parallelism', 'value_in_use', 1)} as dop1, {_has('max degree of parallelism', 'value_in_use', 0)} as dop0,
+  {_inuse('max degree of parallelism')} as dop,
+  {_has('cost threshold for parallelism', 'value_in_use', 5)} as ct5, {_inuse('cost threshold for parallelism')} as ct,
+  {_has('max full-text crawl range', 'value_in_use', 4)} as cr4, {_inuse('max full-text crawl range')} as cr
+  from config group by all),
+a as (select a0.*, coalesce(i.is_fulltext_installed, false) as ft from a0 left join instances i
+      on a0.server_name = i.server_name and a0.snapshot_id = i.snapshot_id)
+select {K}, 'B3.max_memory' as check_id, case when max_unset then 'warn' else 'info' end as severity, cast(max_mem as varchar) as observed,
+  case when max_unset then 'max server memory is NOT SET' else 'max server memory is set to ' || {money('max_mem / 1024.0')} || ' GB' end as message from a
+union all select {K}, 'B3.min_memory', case when min_unset then 'warn' else 'info' end, cast(min_mem as varchar),
+  case when min_unset then 'min server memory is NOT SET' else 'min server memory is set to ' || {money('min_mem / 1024.0')} || ' GB' end from a
+union all select {K}, 'B3.backup_compression', case when bc0 then 'warn' else 'info' end, cast(cast(bc1 as int) as varchar),
+  case when bc0 then 'backup compression is NOT ENABLED' when bc1 then 'backup compression is enabled' else 'backup compression is not available' end from a
+union all select {K}, 'B3.adhoc', case when ah0 then 'warn' else 'info' end, cast(cast(ah1 as int) as varchar),
+  case when ah0 then 'optimize for ad hoc workloads is NOT ENABLED' when ah1 then 'optimize for ad hoc workloads is enabled'
+  else 'optimize for ad hoc workloads is not available' end from a
+union all select {K}, 'B3.clr', case when clr then 'warn' else 'ok' end, cast(cast(clr as int) as varchar),
+  case when clr then 'clr IS ENABLED' else 'clr is not enabled' end from a
+union all select {K}, 'B3.remote_admin', case when rac then 'warn' else 'ok' end, cast(cast(rac as int) as varchar),
+  case when rac then 'remote admin connections IS ENABLED' else 'remote admin connections is not enabled' end from a
+union all select {K}, 'B3.priority_boost', case when pb then 'warn' else 'ok' end, cast(cast(pb as int) as varchar),
+  case when pb then 'priority boost IS ENABLED' else 'priority boost is not enabled' end from a
+union all select {K}, 'B3.maxdop', case when dop0 then 'ok' else 'warn' end, cast(dop as varchar),
+  case when dop1 then 'maxdop IS DISABLED' when dop0 then 'maxdop is set to the default of 0'
+  else 'maxdop is set to ' || cast(dop as varchar) || ' - NOT DEFAULT' end from a
+union all select {K}, 'B3.cost_threshold', case when ct5 or ct < 25 then 'warn' else 'info' end, cast(ct as varchar),
+  case when ct5 then 'cost threshold for parallelism is the default of 5 - too low'
+  when ct < 25 then 'cost threshold for parallelism is ' || cast(ct as varchar) || ' - too low?'
+  else 'cost threshold for parallelism is ' || cast(ct as varchar) || ' - sufficient?' end from a
+union all select {K}, 'B3.fulltext_crawl', case when not ft then 'info' when cr4 then 'ok' else 'warn' end, cast(cr as varchar),
+  case when not ft then 'full-text is not installed; crawl range can be ignored' when cr4 then 'max full-text crawl range is the default of 4'
+  else 'max full-text crawl range is ' || cast(cr as varchar) || ' - NOT DEFAULT' end from a""")
+def _b3(spark, d):
+    return B.config_checks(*rel(spark, d, "config", "instances"))
+
+
+_COMPAT = ("case compatibility_level when 80 then '2000' when 90 then '2005' when 100 then '2008' when 110 then '2012' "
+           "when 120 then '2014' when 130 then '2016' when 140 then '2017' when 150 then '2019' "
+           "else cast(compatibility_level as varchar) end")
+
+
+@case("b4_db_settings", ["databases"], f"""
+select {K}, name as database_name, recovery_model_desc, log_reuse_wait_desc, is_encrypted, compatibility_level,
+  {_COMPAT} as compat_release, page_verify_option_desc, is_auto_close_on, is_auto_shrink_on, is_auto_update_stats_on
+from databases where {_LIVE}""")
+def _b4(spark, d):
+    return B.db_settings(rel(spark, d, "databases"))
+
+
+def _b5_sql():
+    rules = [("B5.encryption", "enc", "Encryption is enabled on %d database(s)", "Encryption verified"),
+             ("B5.compat_level", "compat", "Compatibility level below the instance version on %d database(s)",
+              "Compatibility level verified"),
+             ("B5.page_verify", "pv", "Page verify not CHECKSUM on %d database(s)", "Page verify option verified"),
+             ("B5.auto_close", "ac", "Auto Close is enabled on %d database(s)", "Auto Close verified"),
+             ("B5.auto_shrink", "ash", "Auto Shrink is enabled on %d database(s)", "Auto Shrink verified"),
+             ("B5.auto_update_stats", "aus", "Auto Update Stats is NOT ENABLED on %d database(s)",
+              "Auto Update Stats verified")]
+    parts = [f"select {K}, '{cid}' as check_id, case when {c} > 0 then 'warn' else 'ok' end as severity, "
+             f"cast({c} as varchar) as observed, case when {c} > 0 then printf({_q(bad)}, {c}) else {_q(good)} end as message from a"
+             for cid, c, bad, good in rules]
+    return f"""
+d as (select a.*, cast(split_part(b.product_version, '.', 1) as int) * 10 as inst_compat from databases a
+      join instances b on {J} where a.{_LIVE}),
+a as (select {K}, count(case when is_encrypted then 1 end) as enc, count(case when compatibility_level < inst_compat then 1 end) as compat,
+  count(case when page_verify_option_desc <> 'CHECKSUM' then 1 end) as pv, count(case when is_auto_close_on then 1 end) as ac,
+  count(case when is_auto_shrink_on then 1 end) as ash, count(case when not is_auto_update_stats_on then 1 end) as aus
+  from d group by all)
+""" + "\nunion all ".join(parts)
+
+
+@case("b5_db_setting_checks", ["databases", "instances"], _b5_sql())
+def _b5(spark, d):
+    return B.db_setting_checks(*rel(spark, d, "databases", "instances"))
+
+
+_OWN = f"""
+select {K}, 'database' as object_kind, name as object_name, owner_name, cast(null as int) as enabled
+  from databases where {_LIVE} and (owner_name is null or owner_name <> 'sa')
+union all select {K}, 'job', name, owner_name, cast(enabled as int) from jobs where owner_name <> 'sa'
+union all select {K}, 'package', name, owner_name, cast(null as int) from packages where owner_name <> 'sa'"""
+
+
+@case("b6_owner_listing", ["databases", "jobs", "packages"], _OWN)
+def _b6(spark, d):
+    return B.owner_listing(*rel(spark, d, "databases", "jobs", "packages"))
+
+
+def _b7_sql():
+    def one(src, cond, kind, cid):
+        return (f"select {K}, '{cid}' as check_id, case when n > 0 then 'warn' else 'ok' end as severity, "
+                f"cast(n as varchar) as observed, case when n > 0 then printf('Owner not set to sa on %d {kind}(s)', n) "
+                f"else '{kind} owners verified' end as message from "
+                f"(select {K}, count(case when {cond} then 1 end) as n from {src} group by all)")
+    return "\nunion all ".join([
+        one(f"(select * from databases where {_LIVE})", "owner_name is null or owner_name <> 'sa'", "database", "B7.database_owner"),
+        one("jobs", "owner_name <> 'sa'", "job", "B7.job_owner"),
+        one("packages", "owner_name <> 'sa'", "package", "B7.package_owner")])
+
+
+@case("b7_owner_checks", ["databases", "jobs", "packages"], _b7_sql())
+def _b7(spark, d):
+    return B.owner_checks(*rel(spark, d, "databases", "jobs", "packages"))
+
+
+def _flag(tf, extra=""):
+    return (f"case when f{tf} = 1 then 'ok' else 'warn' end", f"cast(f{tf} as varchar)",
+            f"case when f{tf} = 1 then 'Trace flag {tf} is enabled globally{extra}' else 'Trace flag {tf} is NOT ENABLED globally{extra}' end")
+
+
+def _b8_sql():
+    g = ", ".join(f"max(case when trace_flag = '{t}' and is_global then 1 else 0 end) as f{t}" for t in ("1117", "1118", "3226", "2371"))
+    s17, o17, m17 = _flag("1117")
+    s18, o18, m18 = _flag("1118")
+    s32, o32, m32 = _flag("3226")
+    s23, o23, m23 = _flag("2371")
+    newlow = "major >= 13 and low = 0"
+    return f"""
+g as (select {K}, {g} from trace_flags group by all),
+l as (select {K}, count(case when compatibility_level < 130 then 1 end) as low from databases where {_LIVE} group by all),
+a as (select i.server_name, i.snapshot_id, cast(split_part(i.product_version, '.', 1) as int) as major,
+  coalesce(f1117, 0) as f1117, coalesce(f1118, 0) as f1118, coalesce(f3226, 0) as f3226, coalesce(f2371, 0) as f2371,
+  coalesce(low, 0) as low
+  from instances i left join g on i.server_name = g.server_name and i.snapshot_id = g.snapshot_id
+  left join l on i.server_name = l.server_name and i.snapshot_id = l.snapshot_id)
+select {K}, 'B8.1117_1118' as check_id, 'info' as severity, cast(major as varchar) as observed,
+  'Trace flag 1117 & 1118 check not necessary for this version' as message from a where major >= 13
+union all select {K}, 'B8.1117', {s17}, {o17}, {m17} from a where major < 13
+union all select {K}, 'B8.1118', {s18}, {o18}, {m18} from a where major < 13
+union all select {K}, 'B8.3226', {s32}, {o32}, {m32} from a
+union all select {K}, 'B8.2371', case when {newlow} then 'info' else {s23} end,
+  case when {newlow} then cast(low as varchar) else {o23} end,
+  case when {newlow} then 'Trace flag 2371 check not necessary for this version and compatibility levels'
+  when major >= 13 then {m23} || ' - a database is below compatibility level 130' else {m23} end from a"""
+
+
+@case("b8_trace_flag_checks", ["trace_flags", "instances", "databases"], _b8_sql())
+def _b8(spark, d):
+    return B.trace_flag_checks(*rel(spark, d, "trace_flags", "instances", "databases"))
+
+
+@case("b9_service_account_checks", ["services", "instances"], f"""
+f as (select {K}, max(instant_file_initialization_enabled) as ifi from services where servicename like 'SQL Server (%' group by all),
+a as (select i.server_name, i.snapshot_id, cast(split_part(i.product_version, '.', 1) as int) as major,
+  cast(split_part(i.product_version, '.', 3) as bigint) as build, i.memory_model, f.ifi
+  from instances i left join f on i.server_name = f.server_name and i.snapshot_id = f.snapshot_id),
+b as (select *, major > 13 or (major = 13 and build >= 4001) or (major = 11 and build >= 7001) as okv from a)
+select {K}, 'B9.instant_file_init' as check_id, case when not okv then 'info' when ifi = 'Y' then 'ok' else 'warn' end as severity,
+  ifi as observed, case when not okv then 'Instant file initialization not verifiable here - check the OS'
+  when ifi = 'Y' then 'Instant file initialization is enabled for the service account'
+  else 'Instant file initialization is NOT ENABLED for the service account' end as message from b
+union all select {K}, 'B9.lock_pages', case when not okv then 'info' when memory_model = 2 then 'ok' else 'warn' end,
+  cast(memory_model as varchar), case when not okv then 'Lock pages in memory not verifiable here - check the OS'
+  when memory_model = 2 then 'Lock pages in memory is enabled for the service account'
+  else 'Lock pages in memory is NOT ENABLED for the service account' end from b""")
+def _b9(spark, d):
+    return B.service_account_checks(*rel(spark, d, "services", "instances"))
+
+
+@case("b10_msdb_size_check", ["master_files"], f"""
+a as (select {K}, count(case when database_id = 4 and size * 8 // 1024 > 2048 then 1 end) as n from master_files group by all)
+select {K}, 'B10.msdb_size' as check_id, case when n > 0 then 'warn' else 'ok' end as severity, cast(n as varchar) as observed,
+  case when n > 0 then 'msdb has at least one file greater than 2GB' else 'msdb size verified' end as message from a""")
+def _b10(spark, d):
+    return B.msdb_size_check(rel(spark, d, "master_files"))
+
+
+@case("b11_recovery_models", ["databases"], f"""
+select {K}, name as database_name, recovery_model_desc from databases where {_LIVE}""")
+def _b11(spark, d):
+    return B.recovery_models(rel(spark, d, "databases"))
+
+
+@case("b11_recovery_model_count", ["databases"], f"""
+a as (select {K}, count(case when lower(recovery_model_desc) = 'full' then 1 end) as n from databases where {_LIVE} group by all)
+select {K}, 'B11.full_recovery' as check_id, 'info' as severity, cast(n as varchar) as observed,
+  printf('%d database(s) using the FULL recovery model', n) as message from a""")
+def _b11b(spark, d):
+    return B.recovery_model_count(rel(spark, d, "databases"))
+
+
+_MODS = " or ".join(f"lower(name) like {_q(p)}" for p in B.MODULE_PATTERNS)
+
+
+@case("b12_module_listing", ["modules"], f"select {K}, name from modules where {_MODS}")
+def _b12(spark, d):
+    return B.module_listing(rel(spark, d, "modules"))
+
+
+@case("b12_module_check", ["modules"], f"""
+a as (select {K}, count(case when {_MODS} then 1 end) as n from modules group by all)
+select {K}, 'B12.av_modules' as check_id, case when n > 0 then 'warn' else 'ok' end as severity, cast(n as varchar) as observed,
+  case when n > 0 then 'Anti-virus modules are loaded into the server process' else 'Anti-virus modules verified - not loaded' end as message from a""")
+def _b12b(spark, d):
+    return B.module_check(rel(spark, d, "modules"))
