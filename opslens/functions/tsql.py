@@ -29,6 +29,13 @@ def safe_idiv(a, b, zero=0) -> Column:
     return F.when(_c(b) == 0, F.lit(zero)).otherwise(idiv(a, b))
 
 
+def scaled(x, exponent: int, out: str) -> Column:
+    """Exact ``x / 10**exponent`` rounded half-up into decimal type ``out``
+    (no binary floating point on the way, so x.xx5 rounds as written)."""
+    from decimal import Decimal
+    return (_c(x).cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-exponent))).cast(out)
+
+
 def pages_to_mb_trunc(pages) -> Column:
     """``pages*8/1024`` with per-row integer truncation."""
     return idiv(_c(pages) * 8, F.lit(1024))

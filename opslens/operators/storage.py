@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tsql import money, pages_to_mb_trunc, safe_idiv, str10
+from ..functions.tsql import money, pages_to_mb_trunc, safe_idiv, scaled, str10
 from ..plans.shape import finding, kcols, top_n, with_total
 
 # File type codes and their descriptions.
@@ -305,8 +305,7 @@ def autogrow_events(trace: DataFrame, trace_events: DataFrame, variant: str = "d
               F.col("event_class") == F.col("trace_event_id"), "inner")
     if variant == "detail":
         return ev.select(*k, "database_name", F.col("event_name"), "file_name",
-                         (F.col("duration_us") / F.lit(1_000_000.0)).cast("decimal(10,3)")
-                         .alias("time_taken_seconds"), "start_time", "end_time",
+                         scaled("duration_us", 6, "decimal(10,3)").alias("time_taken_seconds"), "start_time", "end_time",
                          (F.col("integer_data").cast("double") * 8.0 / 1024).cast("decimal(20,6)")
                          .alias("change_in_size_mb"),
                          "application_name", "host_name", "login_name")

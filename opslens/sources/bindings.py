@@ -37,6 +37,16 @@ def _b(source, cols, tail=""):
     return Binding(source, tuple(cols), tail)
 
 
+def _wait_type_expr(idx: str) -> str:
+    """Wait type name by index: the 52 reviewed types, then others."""
+    from ..operators.wait import WAIT_CATEGORIES
+    names = [w for w, _ in WAIT_CATEGORIES] + [
+        "SLEEP_TASK", "LAZYWRITER_SLEEP", "BROKER_TASK_STOP", "SQLTRACE_BUFFER_FLUSH",
+        "CHECKPOINT_QUEUE", "XE_TIMER_EVENT", "REQUEST_FOR_DEADLOCK_SEARCH", "WAITFOR"]
+    whens = " ".join(f"when {i} then '{n}'" for i, n in enumerate(names))
+    return f"case {idx} {whens} end"
+
+
 SRV = lambda k: f"'srv' || cast({k} % 10 % 5 as string)"
 
 BINDINGS: dict[str, Binding] = {
@@ -209,6 +219,7 @@ BINDINGS: dict[str, Binding] = {
     "wait_stats": _b("events", [
         ("server_name", SRV("user_id")),
         ("wait_idx", "event_id % 60"),
+        ("wait_type", _wait_type_expr("event_id % 60")),
         ("waiting_tasks_count", "count(*)"),
         ("wait_time_ms", "cast(sum(floor(value * 100)) as bigint)"),
         ("signal_wait_time_ms", "cast(sum(floor(value * 10)) as bigint)"),
@@ -421,6 +432,17 @@ BINDINGS: dict[str, Binding] = {
     ], "where c_custkey % 25 = 0"),
 }
 
+BINDINGS["requests"] = Binding("events", BINDINGS["processes"].cols, "where event_id % 3 <> 0")
+BINDINGS["sessions"] = _b("events", [
+    ("server_name", SRV("user_id")),
+    ("session_id", "event_id + 50"),
+    ("status", "case event_type when 'view' then 'sleeping' when 'signup' then 'dormant' else 'running' end"),
+    ("loginame", "'domain/login_number_' || cast(user_id as string)"),
+    ("login_time", "ts"),
+    ("host_name", "'workstation_' || cast(user_id % 97 as string)"),
+    ("program_name", "case when event_id % 7 = 0 then 'SQLAgent - TSQL JobStep (Job 0x' || lpad(cast(user_id % 2000 + 1 as string), 32, '0') || ' : Step 1)' else 'app' || cast(user_id % 5 as string) end"),
+])
+
 # Raw driver tables each binding reads (for registering DuckDB views).
 SOURCES = sorted({b.source for b in BINDINGS.values()})
 

@@ -215,7 +215,7 @@ def _c13b(spark, d):
 
 @case("c14_autogrow_events", ["trace_log", "trace_events"], f"""
 select {K}, database_name, event_name, file_name,
-  cast(duration_us / 1000000.0 as decimal(10,3)) as time_taken_seconds, start_time, end_time,
+  cast(cast(duration_us as decimal(20,0)) * 0.000001 as decimal(10,3)) as time_taken_seconds, start_time, end_time,
   cast(cast(integer_data as double) * 8.0 / 1024 as decimal(20,6)) as change_in_size_mb,
   application_name, host_name, login_name
 from trace_log join (select trace_event_id, event_name from trace_events) e on event_class = trace_event_id
@@ -620,3 +620,264 @@ select {K}, 'B12.av_modules' as check_id, case when n > 0 then 'warn' else 'ok'
   case when n > 0 then 'Anti-virus modules are loaded into the server process' else 'Anti-virus modules verified - not loaded' end as message from a""")
 def _b12b(spark, d):
     return B.module_check(rel(spark, d, "modules"))
+
+
+# ---------------------------------------------------------------- family D
+from .operators import backup as D  # noqa: E402
+
+AS_OF = "2001-08-02 00:00:00"
+EV_AS_OF = "2024-02-01 00:00:00"
+TS_AS_OF = f"timestamp '{AS_OF}'"
+TS_EV = f"timestamp '{EV_AS_OF}'"
+
+
+@case("d1_backup_history", ["backupset", "backupmediafamily"], f"""
+select b.server_name, b.snapshot_id, b.database_name, b.backup_start_date, b.backup_finish_date, b.type,
+  b.name as backupset_name, m.physical_device_name, m.logical_device_name
+from backupset b join backupmediafamily m on b.server_name = m.server_name and b.snapshot_id = m.snapshot_id
+  and b.media_set_id = m.media_set_id
+where b.type = 'D'""")
+def _d1(spark, d):
+    return D.backup_history(*rel(spark, d, "backupset", "backupmediafamily"))
+
+
+@case("d2_last_backup_location", ["backupset", "backupmediafamily"], f"""
+cand as (select m.server_name, m.snapshot_id, m.media_set_id from backupmediafamily m
+  where lower(m.physical_device_name) like '%db3%.bak'
+  and exists (select 1 from backupset b where b.server_name = m.server_name and b.snapshot_id = m.snapshot_id
+              and b.media_set_id = m.media_set_id)),
+newest as (select {K}, max(media_set_id) as media_set_id from cand group by all)
+select m.server_name, m.snapshot_id, m.media_set_id, m.family_sequence_number, m.physical_device_name
+from backupmediafamily m join newest n on m.server_name = n.server_name and m.snapshot_id = n.snapshot_id
+  and m.media_set_id = n.media_set_id""")
+def _d2(spark, d):
+    return D.last_backup_location(*rel(spark, d, "backupset", "backupmediafamily"), database="db3")
+
+
+def _progress_sql(where):
+    return f"""
+select r.server_name, r.snapshot_id, r.spid, r.command, t.text as query, r.start_time, r.percent_complete,
+  {TS_EV} + to_seconds(r.estimated_completion_time // 1000) as estimated_completion
+from requests r join sql_text t on r.sql_handle = t.sql_handle {where}"""
+
+
+@case("d3_backup_restore_progress", ["requests", "sql_text"],
+      _progress_sql("where lower(r.command) in ('backup database', 'restore database')"))
+def _d3(spark, d):
+    return D.backup_restore_progress(*rel(spark, d, "requests", "sql_text"), as_of=EV_AS_OF)
+
+
+@case("d4_backup_restore_waits", ["requests"], f"""
+select {K}, spid, status, command, wait_type, percent_complete from requests
+where lower(command) like '%restore%' or lower(command) like '%backup%'""")
+def _d4(spark, d):
+    return D.backup_restore_waits(rel(spark, d, "requests"))
+
+
+@case("d5_request_progress", ["requests", "sql_text"], _progress_sql(""))
+def _d5(spark, d):
+    return D.request_progress(*rel(spark, d, "requests", "sql_text"), as_of=EV_AS_OF)
+
+
+_ELIG_LOG = (f"e as (select {K}, name as database_name from databases where {_LIVE} and database_id not in (2, 3) "
+             "and recovery_model in (1, 2))")
+_JL = ("left join (select * from backupset where type = 'L') b on e.server_name = b.server_name "
+       "and e.snapshot_id = b.snapshot_id and e.database_name = b.database_name")
+
+
+@case("d6_no_log_backup", ["databases", "backupset"], f"""{_ELIG_LOG},
+j as (select e.server_name, e.snapshot_id, b.recovery_model as brm, b.backup_finish_date as bf from e {_JL}),
+a as (select {K}, count(case when brm is null or bf is null then 1 end) as n from j group by all)
+select {K}, 'D6.no_log_backup' as check_id, case when n > 0 then 'warn' else 'ok' end as severity, cast(n as varchar) as observed,
+  case when n > 0 then printf('No LOG backup taken on %d database(s)', n) else 'LOG backups verified' end as message from a""")
+def _d6(spark, d):
+    return D.no_log_backup(*rel(spark, d, "databases", "backupset"))
+
+
+@case("d7_stale_log_backup", ["databases", "backupset"], f"""{_ELIG_LOG}
+select e.server_name, e.snapshot_id, e.database_name, max(b.backup_finish_date) as last_log_backup,
+  datediff('day', max(b.backup_finish_date), {TS_AS_OF}) as age_days
+from e {_JL} group by all having datediff('day', max(b.backup_finish_date), {TS_AS_OF}) > 1""")
+def _d7(spark, d):
+    return D.stale_log_backup(*rel(spark, d, "databases", "backupset"), as_of=AS_OF)
+
+
+_ELIG_FULL = f"e as (select {K}, name as database_name from databases where {_LIVE} and database_id not in (2, 3))"
+_JD = _JL.replace("type = 'L'", "type = 'D'")
+
+
+@case("d8_last_full_backup", ["databases", "backupset"], f"""{_ELIG_FULL}
+select e.server_name, e.snapshot_id, e.database_name, max(b.backup_finish_date) as last_full_backup from e {_JD} group by all""")
+def _d8(spark, d):
+    return D.last_full_backup(*rel(spark, d, "databases", "backupset"))
+
+
+@case("d9_no_full_backup", ["databases", "backupset"], f"""{_ELIG_FULL},
+a as (select e.server_name, e.snapshot_id, count(case when b.backup_finish_date is null then 1 end) as n from e {_JD} group by all)
+select {K}, 'D9.no_full_backup' as check_id, case when n > 0 then 'warn' else 'ok' end as severity, cast(n as varchar) as observed,
+  case when n > 0 then printf('No FULL backup taken on %d database(s)', n) else 'FULL backups verified' end as message from a""")
+def _d9(spark, d):
+    return D.no_full_backup(*rel(spark, d, "databases", "backupset"))
+
+
+_GOOD = (f"g as (select distinct {K}, database_name, value as last_clean from dbinfo "
+         "where field = 'dbi_dbccLastKnownGood' and database_name <> 'tempdb')")
+
+
+@case("d10_integrity_checks", ["dbinfo"], f"""{_GOOD}
+select {K}, database_name, last_clean, case when last_clean = timestamp '1900-01-01 00:00:00' then 'Never ran DBCC CHECKDB'
+  else strftime(last_clean, '%Y-%m-%d %H:%M:%S') end as last_clean_text from g""")
+def _d10(spark, d):
+    return D.integrity_checks(rel(spark, d, "dbinfo"))
+
+
+@case("d11_never_checked", ["dbinfo"], f"""{_GOOD},
+a as (select {K}, count(case when last_clean = timestamp '1900-01-01 00:00:00' then 1 end) as n from g group by all)
+select {K}, 'D11.never_checked' as check_id, case when n > 0 then 'warn' else 'ok' end as severity, cast(n as varchar) as observed,
+  case when n > 0 then printf('No integrity check has been run on %d database(s)', n) else 'Integrity checks verified' end as message from a""")
+def _d11(spark, d):
+    return D.never_checked(rel(spark, d, "dbinfo"))
+
+
+_STALE = (f"s as (select {K}, database_name, last_clean, datediff('day', last_clean, {TS_AS_OF}) as age_days from g "
+          f"where last_clean > timestamp '1900-01-01 00:00:00' and datediff('day', last_clean, {TS_AS_OF}) > 7)")
+
+
+@case("d12_stale_integrity", ["dbinfo"], f"{_GOOD}, {_STALE} select * from s")
+def _d12(spark, d):
+    return D.stale_integrity(rel(spark, d, "dbinfo"), as_of=AS_OF)
+
+
+@case("d12_stale_integrity_count", ["dbinfo"], f"""{_GOOD}, {_STALE},
+a as (select {K}, count(*) as n from s group by all)
+select {K}, 'D12.stale_integrity' as check_id, 'warn' as severity, cast(n as varchar) as observed,
+  printf('Most recent integrity check on %d database(s) is older than %d days', n, 7) as message from a""")
+def _d12b(spark, d):
+    return D.stale_integrity_count(rel(spark, d, "dbinfo"), as_of=AS_OF)
+
+
+@case("d13_backup_plan", ["databases"], f"""
+select {K}, name as database_name, 'D:/Backup/' || name || '_' || strftime({TS_AS_OF}, '%Y%m%d') || '.BAK' as backup_file
+from databases where name not in ('master', 'model', 'msdb', 'tempdb')""")
+def _d13(spark, d):
+    return D.backup_plan(rel(spark, d, "databases"), "D:/Backup/", AS_OF)
+
+
+# ---------------------------------------------------------------- family E
+from .operators import session as E  # noqa: E402
+
+
+def _tsub(text, start, length):
+    """T-SQL SUBSTRING in DuckDB: keep positions start .. start+length-1."""
+    first = f"greatest({start}, 1)"
+    n = f"(({start}) + ({length}) - 1 - {first} + 1)"
+    return f"case when {n} <= 0 then '' else substr({text}, {first}, {n}) end"
+
+
+_FULL = "length(rtrim(text, ' ')) * 2"
+
+
+@case("e1_active_sessions", ["sessions", "requests", "sql_text", "databases", "jobs"], f"""
+req as (select {K}, spid as session_id, status as req_status, blocked as blocked_by, command, dbid as database_id,
+  percent_complete, start_time, estimated_completion_time, sql_handle, statement_start_offset as s0,
+  statement_end_offset as e0, waittime, wait_type as last_wait_type, open_tran as open_transaction_count,
+  isolation_level, cpu from requests),
+rt as (select req.*, t.text from req left join sql_text t on req.sql_handle = t.sql_handle),
+ses as (select {K}, session_id, loginame as original_login_name, login_time, host_name, program_name
+  from sessions where status <> 'sleeping'),
+j as (select s.*, r.* exclude (server_name, snapshot_id, session_id) from ses s left join rt r
+  on s.server_name = r.server_name and s.snapshot_id = r.snapshot_id and s.session_id = r.session_id),
+j2 as (select j.*, d.name as database_name, jb.name as job_name,
+  datediff('minute', start_time, {TS_EV}) as mi, datediff('second', start_time, {TS_EV}) as ss,
+  case when e0 < 0 then {_FULL} else e0 end as e1
+  from j left join databases d on j.server_name = d.server_name and j.snapshot_id = d.snapshot_id and j.database_id = d.database_id
+  left join jobs jb on jb.server_name = j.server_name and jb.snapshot_id = j.snapshot_id
+    and upper(jb.job_hex) = case when j.program_name like 'SQLAgent%Job%' then upper(substr(j.program_name, 30, 34)) end)
+select {K}, session_id, original_login_name, req_status as status, blocked_by, command, database_name, percent_complete,
+  case when mi > 60 then cast(mi // 60 as varchar) || ' hr ' else '' end
+    || case when ss > 60 then cast(mi % 60 as varchar) || ' min ' else '' end || cast(ss % 60 as varchar) || ' sec' as duration,
+  estimated_completion_time // 60000 as eta_min, text,
+  {_tsub('text', 's0 // 2 + 1', '(e1 - s0) // 2 + 1')} as running_statement,
+  waittime // 1000 as wait_time_sec, last_wait_type, login_time, host_name,
+  case when program_name like 'SQLAgent%Job%'
+    then '(SQLAgent Job - ' || job_name || ' - ' || right(program_name, length(program_name) - instr(program_name, ':'))
+    else program_name end as program_name,
+  open_transaction_count,
+  case isolation_level when 0 then 'Unspecified' when 1 then 'ReadUncomitted' when 2 then 'ReadCommitted'
+    when 3 then 'Repeatable' when 4 then 'Serializable' when 5 then 'Snapshot' end as transaction_isolation_level, cpu
+from j2""")
+def _e1(spark, d):
+    return E.active_sessions(*rel(spark, d, "sessions", "requests", "sql_text", "databases", "jobs"), as_of=EV_AS_OF)
+
+
+@case("e2_lead_blockers", ["processes", "requests", "sql_text", "databases"], f"""
+bl as (select distinct {K}, blocked as spid from processes),
+lead as (select p.* from processes p where p.blocked = 0 and exists (select 1 from bl where bl.server_name = p.server_name
+  and bl.snapshot_id = p.snapshot_id and bl.spid = p.spid)),
+er as (select r.server_name, r.snapshot_id, r.spid, r.statement_start_offset as s0, r.statement_end_offset as e0, t.text
+  from requests r left join sql_text t on r.sql_handle = t.sql_handle),
+j as (select l.*, er.s0, er.e0, er.text, d.name as dn,
+  case when er.e0 = -1 then {_FULL.replace('text', 'er.text')} else er.e0 end as e1
+  from lead l left join er on l.server_name = er.server_name and l.snapshot_id = er.snapshot_id and l.spid = er.spid
+  left join databases d on l.server_name = d.server_name and l.snapshot_id = d.snapshot_id and l.dbid = d.database_id)
+select {K}, spid, status, substr(loginame, 1, 12) as loginame, substr(hostname, 1, 12) as hostname,
+  rpad(cast(blocked as varchar), 3, ' ') as blk, open_tran, substr(dn, 1, 10) as dbname, command as cmd, waittype, waittime,
+  last_batch, {_tsub('text', 's0 // 2', '(e1 - s0) // 2')} as sql_statement
+from j""")
+def _e2(spark, d):
+    return E.lead_blockers(*rel(spark, d, "processes", "requests", "sql_text", "databases"))
+
+
+@case("e3_rolling_back", ["processes"], f"""
+select {K}, spid, kpid, login_time, last_batch, status, hostname, loginame, cpu, physical_io from processes
+where command = 'KILLED/ROLLBACK'""")
+def _e3(spark, d):
+    return E.rolling_back(rel(spark, d, "processes"))
+
+
+@case("e4_sessions_in_database", ["processes", "databases"], f"""
+a as (select {K}, dbid, min(spid) as min_spid, count(*) as session_count from processes group by all)
+select a.server_name, a.snapshot_id, b.name as database_name, min_spid, session_count
+from a join databases b on {J} and a.dbid = b.database_id""")
+def _e4(spark, d):
+    return E.sessions_in_database(*rel(spark, d, "processes", "databases"))
+
+
+# ---------------------------------------------------------------- family F
+from .operators import wait as W  # noqa: E402
+
+_WDIM = "(values " + ", ".join(f"('{w}', '{c}', {_q(W.CATEGORY_HINT[c])}, {i})"
+                               for i, (w, c) in enumerate(W.WAIT_CATEGORIES)) + \
+        ") as d(wait_type, category, comment, list_order)"
+_WAITS = f"""
+w as (select ws.*, d.category, d.comment, d.list_order from wait_stats ws join {_WDIM} on ws.wait_type = d.wait_type),
+p as (select *, cast(100.0 * wait_time_ms / sum(wait_time_ms) over (partition by {K}) as decimal(5,2)) as percentage,
+  row_number() over (partition by {K} order by wait_time_ms desc, list_order) as rn from w),
+t as (select {K}, wait_type, waiting_tasks_count, cast(cast(wait_time_ms as decimal(20,0)) * 0.001 as decimal(18,2)) as wait_s,
+  cast(cast(wait_time_ms - signal_wait_time_ms as decimal(20,0)) * 0.001 as decimal(18,2)) as resource_s,
+  cast(cast(signal_wait_time_ms as decimal(20,0)) * 0.001 as decimal(18,2)) as signal_s, percentage, rn, category, comment from p where rn <= 10)"""
+
+
+@case("f1_wait_stats", ["wait_stats"], f"{_WAITS} select * from t where waiting_tasks_count <> 0")
+def _f1(spark, d):
+    return W.wait_listing(spark, rel(spark, d, "wait_stats"))
+
+
+@case("f3_top_waits", ["wait_stats"], f"""{_WAITS}
+select {K}, rn, wait_type, percentage, cast(percentage as varchar) || '% for ' || wait_type as line from t where rn <= 3""")
+def _f3(spark, d):
+    return W.top_waits(spark, rel(spark, d, "wait_stats"))
+
+
+# ---------------------------------------------------------------- family I
+from .operators import job as I  # noqa: E402
+
+_JOBPAT = " or ".join(f"lower(name) like '{p}'" for p in I.MAINTENANCE_PATTERNS)
+
+
+@case("i1_maintenance_job_steps", ["jobs", "job_steps"], f"""
+select j.server_name, j.snapshot_id, j.name as job_name, j.enabled, s.step_name, s.step_id, s.retry_attempts, s.retry_interval
+from jobs j join job_steps s on j.server_name = s.server_name and j.snapshot_id = s.snapshot_id and j.job_id = s.job_id
+where {_JOBPAT.replace('lower(name)', 'lower(j.name)')}""")
+def _i1(spark, d):
+    return I.maintenance_job_steps(*rel(spark, d, "jobs", "job_steps"))
