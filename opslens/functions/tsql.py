@@ -95,8 +95,15 @@ def quotename(x) -> Column:
 
 
 def money(x) -> Column:
-    """``CONVERT(varchar, CAST(x AS money), 1)``: comma-grouped, 2 decimals."""
-    return F.format_number(_c(x).cast("decimal(19,4)"), 2)
+    """``CONVERT(varchar, CAST(x AS money), 1)``: comma-grouped, 2 decimals.
+
+    Rounded half-up to cents on the double value (``floor(x*100 + 0.5)``),
+    then formatted exactly, so the text does not depend on how an engine
+    rounds binary fractions.
+    """
+    cents = F.floor(_c(x).cast("double") * 100 + 0.5)
+    from decimal import Decimal
+    return F.format_number(cents.cast("decimal(38,0)") * F.lit(Decimal("0.01")), 2)
 
 
 def version_name(v) -> Column:

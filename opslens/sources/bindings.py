@@ -288,6 +288,7 @@ BINDINGS: dict[str, Binding] = {
     ]),
     "missing_index_details": _b("customer", [
         ("index_handle", "c_custkey"),
+        ("object_name", "'t' || cast(c_custkey as string)"),
         ("statement", "'[d].[s].[t' || cast(c_custkey as string) || ']'"),
         ("equality_columns", "case when c_nationkey % 3 = 0 then null else '[a]' end"),
         ("inequality_columns", "case when c_nationkey % 4 = 0 then null else '[b]' end"),

@@ -9,7 +9,7 @@ from .suite import case, rel
 
 K = "server_name, snapshot_id"
 J = "a.server_name = b.server_name and a.snapshot_id = b.snapshot_id"
-MONEY = "format('{{:,.2f}}', cast({} as double))"
+MONEY = "format('{{:,.2f}}', floor(cast({} as double) * 100 + 0.5) / 100)"
 
 
 def money(x):
@@ -881,3 +881,196 @@ from jobs j join job_steps s on j.server_name = s.server_name and j.snapshot_id
 where {_JOBPAT.replace('lower(name)', 'lower(j.name)')}""")
 def _i1(spark, d):
     return I.maintenance_job_steps(*rel(spark, d, "jobs", "job_steps"))
+
+
+# ---------------------------------------------------------------- family G
+from .operators import index as G  # noqa: E402
+
+_G1 = f"""
+g1a as (select {K}, database_id, sum(num_of_writes) as w from io_file_stats group by all),
+g1j as (select a.server_name, a.snapshot_id, b.name as database_name, cast(w as bigint) as num_of_writes
+  from g1a a join databases b on {J} and a.database_id = b.database_id
+  where b.source_database_id is null and b.database_id > 4 and b.state = 0),
+g1 as (select * from (select *, row_number() over (partition by {K} order by num_of_writes desc, database_name) as rn
+  from g1j) where rn = 1)"""
+
+
+@case("g1_busiest_write_database", ["io_file_stats", "databases"], f"""{_G1}
+select {K}, database_name, num_of_writes, {money('num_of_writes')} as num_of_writes_text from g1""")
+def _g1(spark, d):
+    return G.busiest_write_database(*rel(spark, d, "io_file_stats", "databases"))
+
+
+def _g2_sql(scoped):
+    scope = (" and exists (select 1 from g1 where g1.server_name = p.server_name and g1.snapshot_id = p.snapshot_id "
+             "and g1.database_name = p.database_name)") if scoped else ""
+    pre = _G1 + "," if scoped else ""
+    return f"""{pre}
+p0 as (select * from index_physical p where page_count >= 1000 and lower(index_type_desc) <> 'heap'{scope})
+select p.server_name, p.snapshot_id, p.database_name, p.object_id, i.name as index_name, p.index_type_desc,
+  p.fragmentation_pct, p.page_count
+from p0 p join indexes i on p.server_name = i.server_name and p.snapshot_id = i.snapshot_id
+  and p.database_name = i.database_name and p.object_id = i.object_id and p.index_id = i.index_id"""
+
+
+@case("g2_index_fragmentation", ["index_physical", "indexes"], _g2_sql(False))
+def _g2(spark, d):
+    return G.index_fragmentation(*rel(spark, d, "index_physical", "indexes"))
+
+
+@case("g2_index_fragmentation_busiest_db", ["index_physical", "indexes", "io_file_stats", "databases"], _g2_sql(True))
+def _g2b(spark, d):
+    io, dbs = rel(spark, d, "io_file_stats", "databases")
+    return G.index_fragmentation(*rel(spark, d, "index_physical", "indexes"),
+                                 scope=G.busiest_write_database(io, dbs))
+
+
+@case("g3_statistics_dates", ["statistics"], f"""
+select {K}, database_name, object_id, name as statistic_name, updated as last_updated from statistics
+where database_name not in ('master', 'model', 'msdb', 'tempdb')""")
+def _g3(spark, d):
+    return G.statistics_dates(rel(spark, d, "statistics"))
+
+
+@case("g4_missing_indexes", ["missing_index_groups", "missing_index_details"], f"""
+select g.server_name, g.snapshot_id,
+  {money('avg_total_user_cost * avg_user_impact / 100 * (user_seeks + user_scans)')} as improvement_measure,
+  d.statement as table_path, avg_total_user_cost, avg_user_impact, user_seeks, user_scans, index_group_handle, g.index_handle,
+  'CREATE INDEX IX_MI_' || d.object_name || '_' || cast(index_group_handle as varchar) || '_' || cast(g.index_handle as varchar)
+  || ' ON ' || d.statement || ' (' || coalesce(equality_columns, '')
+  || case when equality_columns is not null and inequality_columns is not null then ',' else '' end
+  || coalesce(inequality_columns, '') || ')' || coalesce(' INCLUDE (' || included_columns || ')', '') as create_index_statement
+from missing_index_groups g join missing_index_details d on g.server_name = d.server_name and g.snapshot_id = d.snapshot_id
+  and g.index_handle = d.index_handle
+where avg_total_user_cost * (avg_user_impact / 100.0) * (user_seeks + user_scans) > 10000""")
+def _g4(spark, d):
+    return G.missing_indexes(*rel(spark, d, "missing_index_groups", "missing_index_details"))
+
+
+def _names(usage):
+    lst = (f"list_sort(list_distinct(flatten(list_transform(regexp_extract_all(frag, "
+           f"'(?s)<ColumnGroup Usage=\"{usage}\">(.*?)</ColumnGroup>', 1), "
+           f"lambda x: regexp_extract_all(x, 'Name=\"([^\"]*)\"', 1)))))")
+    return f"case when len({lst}) > 0 then array_to_string({lst}, ', ') end"
+
+
+def _cl(c, chars):
+    for ch in chars:
+        c = f"replace({c}, '{ch}', '')"
+    return c
+
+
+@case("g5_missing_indexes_from_plans", ["cached_plans"], f"""
+p as (select {K}, usecounts, query_plan from cached_plans where contains(query_plan, '<MissingIndexes>')),
+f as (select {K}, usecounts, unnest(regexp_extract_all(query_plan, '(?s)<StmtSimple[ >].*?</StmtSimple>')) as frag from p),
+x as (select {K}, usecounts,
+  regexp_extract(frag, '<MissingIndex [^>]*Database="([^"]*)"', 1) as database_name,
+  regexp_extract(frag, '<MissingIndex [^>]*Schema="([^"]*)"', 1) as schema_name,
+  regexp_extract(frag, '<MissingIndex [^>]*Table="([^"]*)"', 1) as table_name,
+  cast(regexp_extract(frag, '<MissingIndexGroup [^>]*Impact="([^"]*)"', 1) as double) as impact,
+  {_names('EQUALITY')} as equality_columns, {_names('INEQUALITY')} as inequality_columns,
+  {_names('INCLUDE')} as include_columns,
+  regexp_extract(frag, '<StmtSimple [^>]*StatementText="([^"]*)"', 1) as sql_text,
+  len(string_split_regex(frag, '<StmtSimple[ >]')) > 2 as nested
+  from f where contains(frag, '<MissingIndexes>') and usecounts > 100),
+y as (select *, sum(usecounts) over (partition by {K}, database_name, schema_name, table_name) as table_uses,
+  sum(usecounts) over (partition by {K}, table_name, equality_columns, inequality_columns) as pattern_uses,
+  coalesce(',' || equality_columns, '') || coalesce(',' || inequality_columns, '') as cols from x)
+select {K}, database_name, schema_name, table_name, equality_columns, inequality_columns, include_columns, usecounts,
+  impact, sql_text, nested, cast(table_uses as bigint) as table_uses, cast(pattern_uses as bigint) as pattern_uses,
+  'CREATE NONCLUSTERED INDEX IX_' || {_cl('schema_name', '_[]')} || '_' || {_cl('table_name', '_[]')} || '_'
+  || coalesce({_cl('equality_columns', '_[], ')}, '') || coalesce({_cl("coalesce(inequality_columns, '')", '_[], ')}, '')
+  || ' ON ' || schema_name || '.' || table_name || '(' || case when length(cols) > 0 then substr(cols, 2) end || ')'
+  || coalesce(' INCLUDE (' || include_columns || ')', '') as potential_ddl
+from y""")
+def _g5(spark, d):
+    return G.missing_indexes_from_plans(rel(spark, d, "cached_plans"))
+
+
+_KDO = "and {a}.server_name = {b}.server_name and {a}.snapshot_id = {b}.snapshot_id and {a}.database_name = {b}.database_name"
+
+
+def _kdo(a, b):
+    return _KDO.format(a=a, b=b)[4:]
+
+
+@case("g6_unused_indexes", ["index_usage", "indexes", "objects", "schemas"], f"""
+select u.server_name, u.snapshot_id, u.database_name, o.name as object_name, u.object_id, i.name as index_name, u.index_id,
+  cast(u.user_seeks as bigint) as user_seeks, cast(u.user_scans as bigint) as user_scans,
+  cast(u.user_lookups as bigint) as user_lookups, u.user_updates,
+  'DROP INDEX ' || s.name || '.' || o.name || '.' || i.name || ';' as delete_statement
+from index_usage u
+join indexes i on {_kdo('u', 'i')} and u.object_id = i.object_id and u.index_id = i.index_id
+  and i.name is not null and not i.is_primary_key and not i.is_unique_constraint and i.type_desc <> 'CLUSTERED'
+join objects o on {_kdo('u', 'o')} and u.object_id = o.object_id and o.type = 'U'
+left join schemas s on {_kdo('o', 's')} and s.schema_id = o.schema_id
+where u.user_seeks + u.user_scans + u.user_lookups = 0""")
+def _g6(spark, d):
+    return G.unused_indexes(*rel(spark, d, "index_usage", "indexes", "objects", "schemas"))
+
+
+@case("g7_duplicate_indexes", ["indexes", "index_keys", "objects", "schemas"], f"""
+ik as (select {K}, database_name, object_id, index_id,
+  coalesce(string_agg(cast(colid as varchar), ' ' order by keyno, colid) filter (where keyno <> 0), '') as cols,
+  coalesce(string_agg(cast(colid as varchar), ' ' order by colid) filter (where keyno = 0), '') as inc
+  from index_keys group by all),
+li as (select i.server_name, i.snapshot_id, i.database_name, i.object_id, i.index_id, i.name, i.is_unique, ik.cols, ik.inc
+  from indexes i join ik on {_kdo('i', 'ik')} and i.object_id = ik.object_id and i.index_id = ik.index_id
+  where not i.is_hypothetical and i.database_name not in ('master', 'model', 'msdb', 'tempdb')),
+fi as (select {K}, database_name, object_id, cols, inc, is_unique, arg_min(name, index_id) as index_name,
+  min(index_id) as first_id from li group by all),
+d as (select li.*, fi.index_name from li join fi on {_kdo('li', 'fi')} and li.object_id = fi.object_id
+  and li.cols = fi.cols and li.inc = fi.inc and li.is_unique = fi.is_unique where li.index_id > fi.first_id)
+select d.server_name, d.snapshot_id, d.database_name, d.object_id, s.name || '.' || o.name as table_name, d.index_name,
+  d.name as exact_duplicate
+from d left join objects o on {_kdo('d', 'o')} and d.object_id = o.object_id
+left join schemas s on {_kdo('o', 's')} and s.schema_id = o.schema_id""")
+def _g7(spark, d):
+    return G.duplicate_indexes(*rel(spark, d, "indexes", "index_keys", "objects", "schemas"))
+
+
+@case("g8_hypothetical_indexes", ["indexes", "objects", "schemas"], f"""
+j as (select i.server_name, i.snapshot_id, i.database_name, i.name as index_name,
+  '[' || s.name || '].[' || o.name || ']' as table_name
+  from indexes i join objects o on {_kdo('i', 'o')} and i.object_id = o.object_id
+  left join schemas s on {_kdo('o', 's')} and s.schema_id = o.schema_id where i.is_hypothetical)
+select {K}, database_name, index_name, table_name,
+  'USE [' || database_name || ']; IF EXISTS (SELECT 1 FROM sys.indexes AS i WHERE i.[object_id] = object_id(''' || table_name
+  || ''') AND name = ''' || index_name || ''') DROP INDEX [' || index_name || '] ON ' || table_name || ';' as drop_script
+from j""")
+def _g8(spark, d):
+    return G.hypothetical_indexes(*rel(spark, d, "indexes", "objects", "schemas"))
+
+
+_PJ = ("from cached_plans cp join query_stats qs on cp.server_name = qs.server_name and cp.snapshot_id = qs.snapshot_id "
+       "and cp.plan_handle = qs.plan_handle where cp.db_name is not null and lower(cp.objtype) = 'proc'")
+_PG = "cp.server_name, cp.snapshot_id, db_name, schema_name, proc_name"
+
+
+@case("g9_procedure_cpu", ["cached_plans", "query_stats"], f"""
+a as (select {_PG}, max(usecounts) as execution_count, cast(sum(total_worker_time) as bigint) as total_cpu_time {_PJ} group by all)
+select *, cast(total_cpu_time as double) / execution_count as avg_cpu_time from a""")
+def _g9(spark, d):
+    return G.procedure_cpu(*rel(spark, d, "cached_plans", "query_stats"))
+
+
+@case("g10_procedure_io", ["cached_plans", "query_stats"], f"""
+a as (select {_PG}, max(usecounts) as execution_count, cast(sum(total_physical_reads) as bigint) as total_physical_reads,
+  cast(sum(total_logical_reads) as bigint) as total_logical_reads, cast(sum(total_logical_writes) as bigint) as total_logical_writes
+  {_PJ} group by all)
+select server_name, snapshot_id, db_name, schema_name, proc_name, execution_count,
+  total_physical_reads + total_logical_reads + total_logical_writes as total_io,
+  (total_physical_reads + total_logical_reads + total_logical_writes) // execution_count as avg_total_io,
+  total_physical_reads, cast(total_physical_reads as double) / execution_count as avg_physical_read,
+  total_logical_reads, cast(total_logical_reads as double) / execution_count as avg_logical_read,
+  total_logical_writes, cast(total_logical_writes as double) / execution_count as avg_logical_writes from a""")
+def _g10(spark, d):
+    return G.procedure_io(*rel(spark, d, "cached_plans", "query_stats"))
+
+
+@case("g11_procedure_elapsed", ["cached_plans", "query_stats"], f"""
+a as (select {_PG}, max(usecounts) as execution_count, cast(sum(total_elapsed_time) as bigint) as total_elapsed_time
+  {_PJ} group by all)
+select *, total_elapsed_time // execution_count as avg_elapsed_time from a""")
+def _g11(spark, d):
+    return G.procedure_elapsed(*rel(spark, d, "cached_plans", "query_stats"))
