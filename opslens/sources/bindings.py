@@ -362,6 +362,7 @@ BINDINGS: dict[str, Binding] = {
         ("principal_id", "cast(n_nationkey as bigint)"),
     ], "cross join (values (0),(1),(2),(3),(4),(5),(6),(7),(8),(9)) as t(k) where n_nationkey < 5"),
     "protects": _b("lineitem", [
+        ("database_name", "'db' || cast(l_partkey % 10 as string)"),
         ("id", "l_partkey"),
         ("uid", "l_suppkey"),
         ("action", "case l_linenumber when 1 then 193 when 2 then 195 when 3 then 196 when 4 then 197 when 5 then 224 when 6 then 26 else 999 end"),

@@ -1074,3 +1074,299 @@ a as (select {_PG}, max(usecounts) as execution_count, cast(sum(total_elapsed_ti
 select *, total_elapsed_time // execution_count as avg_elapsed_time from a""")
 def _g11(spark, d):
     return G.procedure_elapsed(*rel(spark, d, "cached_plans", "query_stats"))
+
+
+# ---------------------------------------------------------------- family H
+from .operators import ha as H  # noqa: E402
+
+
+@case("h1_ag_replicas", ["replica_states", "availability_groups", "replicas", "databases"], f"""
+select rs.server_name, rs.snapshot_id, d.name as database_name, g.group_name, r.replica_server_name, rs.is_primary_replica,
+  rs.synchronization_state_desc, rs.synchronization_health_desc, r.availability_mode_desc
+from replica_states rs
+join availability_groups g on rs.server_name = g.server_name and rs.snapshot_id = g.snapshot_id and rs.group_id = g.group_id
+join replicas r on rs.server_name = r.server_name and rs.snapshot_id = r.snapshot_id and rs.replica_id = r.replica_id
+left join databases d on rs.server_name = d.server_name and rs.snapshot_id = d.snapshot_id and rs.database_id = d.database_id""")
+def _h1(spark, d):
+    return H.ag_replicas(*rel(spark, d, "replica_states", "availability_groups", "replicas", "databases"))
+
+
+@case("h2_ag_health", ["availability_groups"], f"""
+a as (select {K}, count(case when lower(synchronization_health_desc) <> 'healthy' then 1 end) as n
+  from availability_groups group by all)
+select {K}, 'H2.ag_health' as check_id, case when n > 0 then 'warn' else 'ok' end as severity, cast(n as varchar) as observed,
+  case when n > 0 then printf('%d availability group(s) not healthy', n) else 'Availability groups healthy' end as message
+from a""")
+def _h2(spark, d):
+    return H.ag_health(rel(spark, d, "availability_groups"))
+
+
+@case("h3_ag_state_changes", ["xe_events"], f"""
+select {K}, object_name,
+  try_cast(regexp_extract(event_data, '<event timestamp="([^"]*)"', 1) as timestamp) + interval (-5) hour as event_timestamp,
+  nullif(regexp_extract(event_data, '<data name="availability_group_name"><value>([^<]*)</value>', 1), '') as ag_name,
+  nullif(regexp_extract(event_data, '<data name="previous_state"><text>([^<]*)</text>', 1), '') as previous_state,
+  nullif(regexp_extract(event_data, '<data name="current_state"><text>([^<]*)</text>', 1), '') as current_state
+from xe_events where object_name = 'availability_replica_state_change'""")
+def _h3(spark, d):
+    return H.ag_state_changes(rel(spark, d, "xe_events"), utc_offset_hours=-5)
+
+
+# ---------------------------------------------------------------- family J
+from .operators import security as S  # noqa: E402
+
+_UNIV = f"univ as (select distinct {K}, database_name from principals)"
+
+
+def _none(section, text, rows="rows"):
+    return (f"select u.server_name, u.snapshot_id, u.database_name, '{section}' as section, 'info' as severity, "
+            f"cast(null as varchar) as principal_name, cast(null as varchar) as object_name, '{text}' as statement "
+            f"from univ u where not exists (select 1 from {rows} r where r.server_name = u.server_name "
+            "and r.snapshot_id = u.snapshot_id and r.database_name = u.database_name)")
+
+
+def _qn(x):
+    return f"'[' || replace({x}, ']', ']]') || ']'"
+
+
+def _cat(*parts):
+    return "concat(" + ", ".join(parts) + ")"
+
+
+_STATE = ("case state when 'G' then 'GRANT' when 'D' then 'DENY' when 'W' then 'GRANT_WITH_GRANT_OPTION' "
+          "when 'R' then 'REVOKE' end")
+
+
+@case("j1_script_certificates", ["certificates", "principals"], f"""{_UNIV},
+rows as (select {K}, database_name, 'certificates' as section, 'info' as severity, cast(null as varchar) as principal_name,
+  name as object_name, 'CREATE CERTIFICATE ' || name || ' ENCRYPTION BY PASSWORD = ''<password>'' WITH SUBJECT = '''
+  || issuer_name || ''', EXPIRY_DATE = ''' || strftime(expiry_date, '%Y-%m-%d %H:%M:%S') || '''' as statement
+  from certificates)
+select * from rows union all {_none('certificates', '/*No certificates found*/')}""")
+def _j1(spark, d):
+    certs, pr = rel(spark, d, "certificates", "principals")
+    return S.script_certificates(certs, universe=S.database_universe(pr))
+
+
+@case("j2_script_users", ["principals", "logins"], f"""{_UNIV},
+j as (select p.*, l.name as login_name from principals p left join logins l on p.server_name = l.server_name
+  and p.snapshot_id = l.snapshot_id and p.sid = l.sid where p.type in ('U', 'G', 'S') and p.principal_id > 4),
+rows as (select {K}, database_name, 'users' as section, 'info' as severity, name as principal_name,
+  cast(null as varchar) as object_name,
+  {_cat("'IF (SELECT name FROM sys.database_principals WHERE name = '''", 'name', "''') IS NULL'", 'chr(10)', "'BEGIN'",
+        'chr(10)', "'CREATE USER '", _qn('name'),
+        "case when login_name is null then ' WITHOUT LOGIN' else ' FOR LOGIN ' || " + _qn('login_name') + " end",
+        "case when default_schema_name is null and type <> 'G' then ' WITH DEFAULT_SCHEMA = [dbo]' "
+        "else concat(' WITH DEFAULT_SCHEMA = [', default_schema_name, ']') end", 'chr(10)', "'END'")} as statement from j)
+select * from rows union all {_none('users', '/*No database users found*/')}""")
+def _j2(spark, d):
+    pr, lg = rel(spark, d, "principals", "logins")
+    return S.script_users(pr, lg, universe=S.database_universe(pr))
+
+
+@case("j3_script_certificate_users", ["principals", "certificates"], f"""{_UNIV},
+rows as (select p.server_name, p.snapshot_id, p.database_name, 'certificate_users' as section, 'info' as severity,
+  p.name as principal_name, c.name as object_name, concat('CREATE USER ', {_qn('p.name')}, ' FOR CERTIFICATE ', c.name) as statement
+  from principals p join certificates c on p.server_name = c.server_name and p.snapshot_id = c.snapshot_id
+  and p.database_name = c.database_name and p.sid = c.sid where p.type = 'C' and p.principal_id > 4)
+select * from rows union all {_none('certificate_users', '/*No certificated users found*/')}""")
+def _j3(spark, d):
+    pr, certs = rel(spark, d, "principals", "certificates")
+    return S.script_certificate_users(pr, certs, universe=S.database_universe(pr))
+
+
+@case("j4_script_schema_permissions", ["permissions", "schemas", "principals"], f"""
+select p.server_name, p.snapshot_id, p.database_name, 'schema_permissions' as section, 'info' as severity,
+  g.name as principal_name, s.name as object_name,
+  concat({_STATE.replace('state', 'p.state').replace("case p.state", "case p.state")}, ' ', p.permission_name, ' ON SCHEMA::', {_qn('s.name')},
+         ' TO ', {_qn('g.name')}, ' AS ', {_qn('o.name')}) as statement
+from permissions p
+join schemas s on p.server_name = s.server_name and p.snapshot_id = s.snapshot_id and p.database_name = s.database_name
+  and p.major_id = s.schema_id
+join principals g on p.server_name = g.server_name and p.snapshot_id = g.snapshot_id and p.database_name = g.database_name
+  and p.grantee_principal_id = g.principal_id
+join principals o on p.server_name = o.server_name and p.snapshot_id = o.snapshot_id and p.database_name = o.database_name
+  and p.grantor_principal_id = o.principal_id
+where p.class = 3""")
+def _j4(spark, d):
+    return S.script_schema_permissions(*rel(spark, d, "permissions", "schemas", "principals"))
+
+
+@case("j5_script_roles", ["principals"], f"""{_UNIV},
+rows as (select r.server_name, r.snapshot_id, r.database_name, 'roles' as section, 'info' as severity, r.name as principal_name,
+  cast(null as varchar) as object_name, concat('CREATE ROLE ', {_qn('r.name')}, ' AUTHORIZATION ', {_qn('o.name')}) as statement
+  from principals r join principals o on r.server_name = o.server_name and r.snapshot_id = o.snapshot_id
+  and r.database_name = o.database_name and r.owning_principal_id = o.principal_id
+  where r.type = 'R' and not r.is_fixed_role and r.principal_id > 4)
+select * from rows union all {_none('roles', '/*No database roles found*/')}""")
+def _j5(spark, d):
+    pr = rel(spark, d, "principals")
+    return S.script_roles(pr, universe=S.database_universe(pr))
+
+
+@case("j6_script_app_roles", ["principals"], f"""{_UNIV},
+rows as (select {K}, database_name, 'application_roles' as section, 'info' as severity, name as principal_name,
+  cast(null as varchar) as object_name,
+  concat('CREATE APPLICATION ROLE ', name, ' WITH DEFAULT_SCHEMA = ', {_qn('default_schema_name')}, ', PASSWORD = N''<password>''') as statement
+  from principals where type = 'A' and not is_fixed_role and principal_id > 4)
+select * from rows union all {_none('application_roles', '/*No application roles found*/')}""")
+def _j6(spark, d):
+    pr = rel(spark, d, "principals")
+    return S.script_app_roles(pr, universe=S.database_universe(pr))
+
+
+_MEM = """
+mem as (select m.server_name, m.snapshot_id, m.database_name, m.member_principal_id, mp.name as member_name, mp.type as member_type,
+  rp.name as role_name from role_members m
+  join principals mp on m.server_name = mp.server_name and m.snapshot_id = mp.snapshot_id and m.database_name = mp.database_name
+    and m.member_principal_id = mp.principal_id
+  join principals rp on m.server_name = rp.server_name and m.snapshot_id = rp.snapshot_id and m.database_name = rp.database_name
+    and m.role_principal_id = rp.principal_id)"""
+
+
+def _mem_case(section, where, text):
+    return f"""{_UNIV}, {_MEM},
+rows as (select {K}, database_name, '{section}' as section, 'info' as severity, member_name as principal_name,
+  role_name as object_name, concat('EXEC sp_addrolemember ''', role_name, ''', ''', member_name, '''') as statement
+  from mem where {where})
+select * from rows union all {_none(section, text)}"""
+
+
+@case("j7_script_nested_roles", ["principals", "role_members"],
+      _mem_case("nested_roles", "member_type = 'R'", "/*No nested roles found*/"))
+def _j7(spark, d):
+    pr, m = rel(spark, d, "principals", "role_members")
+    return S.script_nested_roles(pr, m, universe=S.database_universe(pr))
+
+
+@case("j8_script_database_grants", ["permissions", "principals"], f"""{_UNIV},
+rows as (select p.server_name, p.snapshot_id, p.database_name, 'database_grants' as section, 'info' as severity,
+  g.name as principal_name, cast(null as varchar) as object_name,
+  concat({_STATE.replace('case state', 'case p.state')}, ' ', p.permission_name, ' TO ', {_qn('g.name')}) as statement
+  from permissions p join principals g on p.server_name = g.server_name and p.snapshot_id = g.snapshot_id
+  and p.database_name = g.database_name and p.grantee_principal_id = g.principal_id
+  where p.class = 0 and g.principal_id > 4)
+select * from rows union all {_none('database_grants', '/*No database connection GRANTS found*/')}""")
+def _j8(spark, d):
+    perms, pr = rel(spark, d, "permissions", "principals")
+    return S.script_database_grants(perms, pr, universe=S.database_universe(pr))
+
+
+@case("j9_script_object_grants", ["permissions", "principals", "objects", "schemas"], f"""{_UNIV},
+d0 as (select distinct p.server_name, p.snapshot_id, p.database_name,
+  case when p.state = 'W' then 'GRANT' else {_STATE.replace('case state', 'case p.state')} end as st,
+  p.permission_name, s.name as schema_name, o.name as obj_name, g.name as grantee,
+  case when p.state = 'W' then '] WITH GRANT OPTION' else ']' end as suffix
+  from permissions p
+  join principals g on p.server_name = g.server_name and p.snapshot_id = g.snapshot_id and p.database_name = g.database_name
+    and p.grantee_principal_id = g.principal_id
+  join objects o on p.server_name = o.server_name and p.snapshot_id = o.snapshot_id and p.database_name = o.database_name
+    and p.major_id = o.object_id and o.type not in ('IT', 'S', 'X')
+  join schemas s on o.server_name = s.server_name and o.snapshot_id = s.snapshot_id and o.database_name = s.database_name
+    and o.schema_id = s.schema_id),
+rows as (select {K}, database_name, 'object_grants' as section, 'info' as severity, grantee as principal_name,
+  obj_name as object_name, concat(st, ' ', permission_name, ' ON [', schema_name, '].[', obj_name, '] TO [', grantee, suffix) as statement,
+  row_number() over (partition by {K}, database_name order by grantee, obj_name, permission_name, st, schema_name, suffix) as seq
+  from d0)
+select * from rows union all select *, cast(null as int) as seq from ({_none('object_grants', '/*No database user object GRANTS found*/')})""")
+def _j9(spark, d):
+    perms, pr, ob, sc = rel(spark, d, "permissions", "principals", "objects", "schemas")
+    return S.script_object_grants(perms, pr, ob, sc, universe=S.database_universe(pr))
+
+
+@case("j10_script_role_members", ["principals", "role_members"],
+      _mem_case("role_members", "member_principal_id > 4 and member_type <> 'R'", "/*No database user role GRANTS found*/"))
+def _j10(spark, d):
+    pr, m = rel(spark, d, "principals", "role_members")
+    return S.script_role_members(pr, m, universe=S.database_universe(pr))
+
+
+_LU = "p.type in ('S', 'U', 'G') and p.sid is not null and p.name not in ('dbo', 'guest')"
+
+
+@case("j11_script_user_header", ["principals", "logins"], f"""
+j as (select p.*, l.name as login_name from principals p left join logins l on p.server_name = l.server_name
+  and p.snapshot_id = l.snapshot_id and p.sid = l.sid where {_LU})
+select {K}, database_name, 'user_header' as section, case when login_name is null then 'error' else 'info' end as severity,
+  name as principal_name, cast(null as varchar) as object_name,
+  case when login_name is null then 'User ' || name || ' has no login on this server (database ' || database_name || ')'
+  else '--Security creation script for user ' || login_name || chr(10) || '--Created At: ' || strftime({TS_AS_OF}, '%Y%m%d%H%M%S')
+    || chr(10) || '--Created By: opslens' || chr(10) || '--Add User To Database' || chr(10) || 'USE [' || database_name || ']'
+    || chr(10) || 'EXEC [sp_grantdbaccess]' || chr(10) || chr(9) || '@loginame = ''' || name || ''',' || chr(10) || chr(9)
+    || '@name_in_db = ''' || name || '''' || chr(10) || '--' || chr(10) || '--Add User To Roles' end as statement
+from j""")
+def _j11(spark, d):
+    return S.script_user_header(*rel(spark, d, "principals", "logins"), as_of=AS_OF)
+
+
+_LUSERS = f"""lu as (select p.server_name, p.snapshot_id, p.database_name, p.principal_id, p.name from principals p where {_LU}
+  and exists (select 1 from logins l where l.server_name = p.server_name and l.snapshot_id = p.snapshot_id and l.sid = p.sid))"""
+
+
+@case("j12_script_user_roles", ["principals", "logins", "role_members"], f"""{_LUSERS}
+select m.server_name, m.snapshot_id, m.database_name, 'user_roles' as section, 'info' as severity, u.name as principal_name,
+  r.name as object_name, 'EXEC [sp_addrolemember]' || chr(10) || chr(9) || '@rolename = ''' || r.name || ''',' || chr(10)
+  || chr(9) || '@membername = ''' || u.name || '''' as statement
+from role_members m join lu u on m.server_name = u.server_name and m.snapshot_id = u.snapshot_id
+  and m.database_name = u.database_name and m.member_principal_id = u.principal_id
+join principals r on m.server_name = r.server_name and m.snapshot_id = r.snapshot_id and m.database_name = r.database_name
+  and m.role_principal_id = r.principal_id""")
+def _j12(spark, d):
+    return S.script_user_roles(*rel(spark, d, "principals", "logins", "role_members"))
+
+
+_ACTS = "(values " + ", ".join(f"({a}, '{n}', {o})" for a, n, o in S.ACTIONS) + ") as a(action, action_name, action_order)"
+
+
+@case("j13_script_user_object_permissions", ["protects", "objects", "schemas", "principals", "logins"], f"""{_LUSERS},
+p as (select pr.server_name, pr.snapshot_id, pr.database_name, pr.uid, u.name as user_name, pr.id, pr.protecttype,
+  a.action_name, a.action_order
+  from protects pr join {_ACTS} on pr.action = a.action
+  join lu u on pr.server_name = u.server_name and pr.snapshot_id = u.snapshot_id and pr.database_name = u.database_name
+    and pr.uid = u.principal_id
+  where pr.protecttype in (205, 206)),
+g as (select server_name, snapshot_id, database_name, uid, user_name, id, protecttype,
+  string_agg(action_name, ',' order by action_order) as acts
+  from (select distinct server_name, snapshot_id, database_name, uid, user_name, id, protecttype, action_name, action_order from p)
+  group by all),
+j as (select g.*, '[' || s.name || '].[' || o.name || ']' as obj from g
+  join objects o on g.server_name = o.server_name and g.snapshot_id = o.snapshot_id and g.database_name = o.database_name
+    and g.id = o.object_id
+  left join schemas s on o.server_name = s.server_name and o.snapshot_id = s.snapshot_id and o.database_name = s.database_name
+    and o.schema_id = s.schema_id)
+select {K}, database_name, 'user_object_permissions' as section, 'info' as severity, user_name as principal_name,
+  obj as object_name, case when protecttype = 205 then 'GRANT' else 'DENY' end || chr(10) || chr(9) || acts || chr(10) || chr(9)
+  || 'ON ' || obj || chr(10) || chr(9) || 'TO ' || user_name as statement
+from j""")
+def _j13(spark, d):
+    return S.script_user_object_permissions(spark, *rel(spark, d, "protects", "objects", "schemas", "principals", "logins"))
+
+
+_ELIG = f"""elig as (select d.server_name, d.snapshot_id, d.name as database_name from databases d
+  join instances i on d.server_name = i.server_name and d.snapshot_id = i.snapshot_id
+  where d.collation_name = i."collation" and d.database_id > 4 and d.user_access = 0 and not d.is_read_only
+  and d.state_desc = 'ONLINE')"""
+
+
+@case("j15_eligible_databases", ["databases", "instances"], f"{_ELIG} select * from elig")
+def _j15(spark, d):
+    return S.eligible_databases(*rel(spark, d, "databases", "instances"))
+
+
+@case("j14_orphan_users", ["principals", "server_principals", "databases", "instances"], f"""{_ELIG},
+o as (select p.* from principals p where p.type = 'S' and p.sid is not null and p.sid <> 0
+  and exists (select 1 from elig e where e.server_name = p.server_name and e.snapshot_id = p.snapshot_id
+              and e.database_name = p.database_name)
+  and exists (select 1 from server_principals s where s.server_name = p.server_name and s.snapshot_id = p.snapshot_id
+              and s.name = p.name)
+  and not exists (select 1 from server_principals s where s.server_name = p.server_name and s.snapshot_id = p.snapshot_id
+              and s.sid = p.sid)),
+rows as (select {K}, database_name, 'orphan_users' as section, 'warn' as severity, name as principal_name,
+  cast(null as varchar) as object_name, name || ' is an orphaned user (login exists, SID differs)' as statement from o)
+select * from rows union all
+select {K}, database_name, 'orphan_users', 'info', cast(null as varchar), cast(null as varchar),
+  'No orphan user to be fixed for ' || database_name from elig e
+where not exists (select 1 from rows r where r.server_name = e.server_name and r.snapshot_id = e.snapshot_id
+  and r.database_name = e.database_name)""")
+def _j14(spark, d):
+    return S.orphan_users(*rel(spark, d, "principals", "server_principals", "databases", "instances"))
