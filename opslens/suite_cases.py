@@ -1370,3 +1370,118 @@ where not exists (select 1 from rows r where r.server_name = e.server_name and r
   and r.database_name = e.database_name)""")
 def _j14(spark, d):
     return S.orphan_users(*rel(spark, d, "principals", "server_principals", "databases", "instances"))
+
+
+# ---------------------------------------------------------------- family K
+from .operators import discovery as KD  # noqa: E402
+
+
+def _k3_part(t, prefix):
+    return (f"{prefix}p as (select {K}, database_id, "
+            f"cast(cast(sum(size) as decimal(20,0)) * 0.0078125 as decimal(20,2)) as {prefix}_size_mb, "
+            f"cast(cast(sum(space_used) as decimal(20,0)) * 0.00000762939453125 as decimal(20,2)) as {prefix}_used_gb, "
+            f"cast(cast(sum(size) - sum(space_used) as decimal(20,0)) * 0.0078125 as decimal(20,2)) as {prefix}_free_mb "
+            f"from master_files where type = {t} group by all)")
+
+
+_K3 = f"""{_k3_part(0, 'data')}, {_k3_part(1, 'log')},
+su as (select d.server_name, d.snapshot_id, d.name as database_name, d.state_desc, d.recovery_model_desc,
+  dp.data_size_mb, dp.data_used_gb, dp.data_free_mb, lp.log_size_mb, lp.log_used_gb, lp.log_free_mb
+  from databases d join datap dp on d.server_name = dp.server_name and d.snapshot_id = dp.snapshot_id
+    and d.database_id = dp.database_id
+  left join logp lp on d.server_name = lp.server_name and d.snapshot_id = lp.snapshot_id and d.database_id = lp.database_id)"""
+
+
+@case("k3_space_used", ["master_files", "databases"], f"{_K3} select * from su")
+def _k3(spark, d):
+    return KD.space_used(*rel(spark, d, "master_files", "databases"))
+
+
+@case("k2_edition_features", ["sku_features", "instances"], f"""
+fe as (select {K}, string_agg(feature_name, ', ' order by feature_name) as edition_features
+  from (select distinct {K}, feature_name from sku_features) group by all)
+select i.server_name, i.snapshot_id, coalesce(fe.edition_features, '0') as edition_features
+from (select distinct {K} from instances) i left join fe on i.server_name = fe.server_name and i.snapshot_id = fe.snapshot_id""")
+def _k2(spark, d):
+    f, i = rel(spark, d, "sku_features", "instances")
+    return KD.edition_features(f, i)
+
+
+_KRELS = ["instances", "databases", "master_files", "jobs", "trace_flags", "server_principals", "sku_features",
+          "services", "certificates", "replica_states", "schedulers"]
+_COUNTS = ["user_dbs_online", "user_dbs_not_online", "user_dbs_not_full", "cdc_dbs", "broker_enabled_dbs",
+           "database_snapshots", "published_dbs", "distributor_dbs", "tempdb_data_files", "total_jobs",
+           "enabled_jobs", "global_trace_flags", "sql_logins", "windows_logins", "server_roles", "certificates",
+           "ag_databases"]
+_WIN = " and ".join(f"name not like '{p}'" for p in KD.WIN_LOGIN_EXCLUDE)
+_KW = f"""{_K3},
+base as (select {K}, machine_name, coalesce(instance_name, '<default>') as instance_name, edition, product_version,
+  {_VNAME} as version_name, product_level, "collation",
+  cast(cast(physical_memory_kb as double) / 1024 / 1024 as decimal(15,2)) as total_memory_gb,
+  sqlserver_start_time as last_restart, is_clustered, is_hadr_enabled, time_zone, default_data_path, default_log_path,
+  case when is_resource_governor_enabled then 'Yes' else 'No' end as resource_governor from instances),
+cpus as (select i.server_name, i.snapshot_id, i.cpu_count as os_cpus from instances i where exists (select 1 from schedulers s
+  where s.server_name = i.server_name and s.snapshot_id = i.snapshot_id and s.status = 'VISIBLE ONLINE')),
+dbm as (select {K},
+  count(case when database_id > 4 and lower(state_desc) = 'online' then 1 end) as user_dbs_online,
+  count(case when database_id > 4 and not lower(state_desc) = 'online' then 1 end) as user_dbs_not_online,
+  count(case when database_id > 4 and lower(recovery_model_desc) <> 'full' then 1 end) as user_dbs_not_full,
+  count(case when is_cdc_enabled then 1 end) as cdc_dbs,
+  count(case when is_broker_enabled and database_id > 4 then 1 end) as broker_enabled_dbs,
+  count(case when source_database_id is not null then 1 end) as database_snapshots,
+  count(case when is_published then 1 end) as published_dbs, count(case when is_distributor then 1 end) as distributor_dbs,
+  count(case when (is_published or is_merge_published or is_distributor) and lower(state_desc) = 'online' then 1 end) as repl,
+  count(case when lower(name) = 'ssisdb' then 1 end) as ssisdb from databases group by all),
+fm as (select {K}, count(case when database_id = 2 and type = 0 then 1 end) as tempdb_data_files,
+  cast(cast(sum(case when database_id > 4 then size end) as decimal(20,0)) * 0.00000762939453125 as decimal(10,2)) as total_gb_user_files
+  from master_files group by all),
+jm as (select {K}, count(*) as total_jobs, count(case when enabled = 1 then 1 end) as enabled_jobs from jobs group by all),
+tm as (select {K}, count(case when is_global then 1 end) as global_trace_flags from trace_flags group by all),
+spm as (select {K}, count(case when type = 'S' and name not like '##MS_%' then 1 end) as sql_logins,
+  count(case when type in ('U', 'G') and {_WIN} then 1 end) as windows_logins,
+  count(case when type = 'R' and principal_id > 10 then 1 end) as server_roles from server_principals group by all),
+fe0 as (select {K}, string_agg(feature_name, ', ' order by feature_name) as edition_features
+  from (select distinct {K}, feature_name from sku_features) group by all),
+svc as (select {K}, max(cast(starts_with(servicename, 'MsDtsServer') as int)) as ssis,
+  max(cast(starts_with(servicename, 'MSSQLServerOLAPService') as int)) as ssas,
+  max(cast(servicename in ('ReportServer', 'SQLServerReportingServices') as int)) as ssrs from services group by all),
+cm as (select {K}, count(case when certificate_id > 257 then 1 end) as certificates from certificates group by all),
+agm as (select {K}, count(distinct database_id) as ag_databases from replica_states group by all),
+u as (select {K}, sum(data_used_gb) as data_used_gb, sum(log_used_gb) as log_used_gb from su
+  where database_name not in ('master', 'model', 'msdb', 'tempdb') group by all),
+w0 as (select * from base left join cpus using ({K}) left join dbm using ({K}) left join fm using ({K})
+  left join jm using ({K}) left join tm using ({K}) left join spm using ({K}) left join fe0 using ({K})
+  left join svc using ({K}) left join cm using ({K}) left join agm using ({K}) left join u using ({K})),
+w as (select {K}, machine_name, instance_name, edition, product_version, version_name, product_level, "collation",
+  total_memory_gb, last_restart, is_clustered, is_hadr_enabled, time_zone, default_data_path, default_log_path,
+  resource_governor, os_cpus, {", ".join(f"coalesce({c}, 0) as {c}" for c in _COUNTS)},
+  total_gb_user_files, coalesce(edition_features, '0') as edition_features, data_used_gb, log_used_gb,
+  case when coalesce(repl, 0) > 0 then 'Yes' else 'NO' end as replication_configured,
+  case when coalesce(ssisdb, 0) > 0 then 'Yes' else 'NO' end as ssisdb_catalog,
+  case when coalesce(ssis, 0) > 0 then 'Yes' else 'NO' end as ssis_installed,
+  case when coalesce(ssas, 0) > 0 then 'Yes' else 'NO' end as ssas_installed,
+  case when coalesce(ssrs, 0) > 0 then 'Yes' else 'NO' end as ssrs_installed from w0),
+ws as (select {K}, columns(* exclude ({K}))::varchar from w),
+m as (select * from ws unpivot include nulls (value for metric in (columns(* exclude ({K})))))"""
+
+
+def _k1_rel(spark, d):
+    return rel(spark, d, *_KRELS)
+
+
+@case("k1_discovery_metrics", _KRELS, f"{_KW} select * from m")
+def _k1(spark, d):
+    return KD.discovery_metrics(*_k1_rel(spark, d))
+
+
+_TPL = "(values " + ", ".join(
+    f"({n}, '{s}', {_q(lbl)}, '{m}', {('NULL' if r is None else _q(r))})" for n, s, lbl, m, r in KD.REPORT_TEMPLATE) + \
+    ") as t(line_no, section, label, metric, show_if)"
+
+
+@case("k4_report_lines", _KRELS, f"""{_KW}
+select m.server_name, m.snapshot_id, t.line_no, t.section, t.label || ' = ' || coalesce(m.value, 'N/A') as line
+from m join {_TPL} on m.metric = t.metric
+where t.show_if is null or (t.show_if = 'gt0' and coalesce(try_cast(m.value as double), 0.0) > 0)""")
+def _k4(spark, d):
+    return KD.report_lines(spark, KD.discovery_metrics(*_k1_rel(spark, d)))
