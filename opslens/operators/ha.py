@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shape import finding, kcols
+from ..plans.shape import finding, kcols, spread
 
 STATE_CHANGE = "availability_replica_state_change"
 EVENT_SCHEMA = "_timestamp string, data array<struct<_name: string, value: string, text: string>>"
@@ -44,14 +44,15 @@ def _data(arr, name, field):
 
 
 def ag_state_changes(xe_events: DataFrame, utc_offset_hours: int = 0, tz: str | None = None,
-                     keys=None) -> DataFrame:
+                     keys=None, streaming: bool = False) -> DataFrame:
     """H3: replica state changes from the availability-group event files:
     local event time, group, previous and current state (NULL when absent).
 
     ``tz`` converts by time-zone rules (DST-correct); otherwise a fixed
     ``utc_offset_hours`` is added, as the source does with today's offset."""
     k = kcols(keys)
-    x = xe_events.filter(F.col("object_name") == STATE_CHANGE) \
+    ev = xe_events.filter(F.col("object_name") == STATE_CHANGE)
+    x = (ev if streaming or ev.isStreaming else spread(ev)) \
         .select(*k, "object_name", F.from_xml("event_data", EVENT_SCHEMA).alias("e"))
     ts = F.col("e._timestamp").try_cast("timestamp_ntz")
     if tz:

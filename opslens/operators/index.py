@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tsql import money
-from ..plans.shape import kcols, lookup_join, top_n
+from ..plans.shape import kcols, lookup_join, materialize, spread, top_n
 from .backup import SYSTEM_DBS
 from .database import live
 
@@ -110,8 +110,8 @@ def plan_missing_indexes(plans: DataFrame, keys=None) -> DataFrame:
     index information. Only plans whose XML mentions MissingIndexes are
     exploded; ``nested`` flags statements nested in another statement."""
     k = kcols(keys)
-    p = plans.filter(F.col("query_plan").contains("<MissingIndexes>")) \
-        .select(*k, "usecounts", "query_plan")
+    p = spread(plans.filter(F.col("query_plan").contains("<MissingIndexes>"))
+               .select(*k, "usecounts", "query_plan"))
     frags = p.select(*k, "usecounts", "query_plan",
                      F.explode(F.regexp_extract_all("query_plan", F.lit(STMT_RE), 0)).alias("frag"))
     frags = frags.filter(F.col("frag").contains("<MissingIndexes>"))
@@ -139,7 +139,8 @@ def missing_indexes_from_plans(plans: DataFrame, min_uses: int = MIN_PLAN_USES,
     ``min_uses`` times, with suggested DDL and the two use totals the source
     orders by (per table, and per table + key column lists)."""
     k = kcols(keys)
-    m = plan_missing_indexes(plans, keys).filter(F.col("usecounts") > min_uses)
+    # Parsed once, then read by the output and both use totals.
+    m = materialize(plan_missing_indexes(plans.filter(F.col("usecounts") > min_uses), keys))
     # Null-safe grouping keys for the column lists (NULL = no such columns).
     m = m.withColumns({"_eqk": F.coalesce("equality_columns", F.lit("\u0000")),
                        "_inqk": F.coalesce("inequality_columns", F.lit("\u0000"))})

@@ -6,8 +6,10 @@
 * ``finding`` — the common output shape of every *check* operator.
 * ``dim`` — literal dimension tables (bounded by construction, so they are
   safe to broadcast).
-* ``lookup_join`` — many-to-one join that splits hot keys off to a bounded
-  broadcast so one key holding a third of the fact rows cannot pin a task.
+* ``lookup_join`` — many-to-one join that salts the hottest keys so one key
+  holding a third of the fact rows is spread over many tasks.
+* ``spread`` / ``materialize`` — parallelism for CPU-heavy per-row work and
+  compute-once for multi-consumer intermediates.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ FINDING_COLS = ["check_id", "severity", "observed", "message"]
 
 # A literal dimension is broadcast only if it has at most this many rows.
 MAX_DIM_ROWS = 10_000
-# Number of hottest keys split off by ``lookup_join``.
+# Number of hottest keys ``lookup_join`` salts, and salts per hot key.
 HOT_KEYS = 32
+SALTS = 32
 
 
 def kcols(keys: Sequence[str] | None) -> list[str]:
@@ -85,26 +88,62 @@ def dim(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def lookup_join(fact: DataFrame, dimension: DataFrame, on: list[str], how: str = "inner",
-                hot: int = HOT_KEYS) -> DataFrame:
-    """Join a large ``fact`` to a ``dimension`` that has one row per key.
-
-    The ``hot`` most frequent fact keys are found by a partial aggregate
-    (map-side combine, no raw-row shuffle), their dimension rows — at most
-    ``hot`` rows — are broadcast to the hot fact rows, and the remaining keys
-    take a normal shuffle join. No key can then concentrate in one task,
-    and no row is dropped. ``how`` is ``inner`` or ``left``.
+                hot: int = HOT_KEYS, salts: int = SALTS) -> DataFrame:
+    """Join a large ``fact`` to a ``dimension`` with one row per key, safe
+    against hot keys.
+
+    The ``hot`` most frequent keys come from a partial aggregate over the key
+    columns only (pruned scan, map-side combine, bounded top-k). Fact rows of
+    a hot key get a salt in ``[0, salts)`` from a deterministic row hash
+    (re-executed tasks salt identically); the dimension rows of those keys —
+    at most ``hot`` of them — are replicated once per salt. A single
+    equi-join on (key, salt) then spreads every hot key over ``salts`` tasks;
+    cold keys keep salt 0. No row is dropped or duplicated.
+    ``how`` is ``inner`` or ``left``.
     """
     if how not in ("inner", "left"):
         raise ValueError("lookup_join supports inner and left")
     counts = fact.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    hot_keys = counts.orderBy(F.col("_n").desc(), *on).limit(hot).select(*on)
-    hot_keys = F.broadcast(hot_keys)
-    dim_hot = F.broadcast(dimension.join(hot_keys, on, "left_semi"))
-    fact_hot = fact.join(hot_keys, on, "left_semi")
-    fact_cold = fact.join(hot_keys, on, "left_anti")
-    return fact_hot.join(dim_hot, on, how).unionByName(fact_cold.join(dimension, on, how))
+    hot_keys = F.broadcast(counts.orderBy(F.col("_n").desc(), *on).limit(hot)
+                           .select(*on, F.lit(True).alias("_hot")))
+    f = fact.join(hot_keys, on, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(salts)))
+        .otherwise(F.lit(0)).cast("int")).drop("_hot")
+    d = dimension.join(hot_keys, on, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
+                           .otherwise(F.array(F.lit(0))))).drop("_hot")
+    return f.join(d, on + ["_salt"], how).drop("_salt")
 
 
 def nulls_last(c: str | Column, desc: bool = False) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return c.desc_nulls_last() if desc else c.asc_nulls_last()
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy per-row work (XML parsing, long-text slicing) at least
+    the cluster's default parallelism. Large inputs already have more
+    partitions and pass through untouched; only a few-split input (one small
+    file) is round-robin repartitioned."""
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once for several consumers.
+
+    With a shared checkpoint folder (``spark.checkpoint.dir``) the result is
+    checkpointed there — reliable, survives executor loss and cuts lineage.
+    Without one (a bare local session) it is cached, which recomputes from
+    lineage if blocks are lost."""
+    spark = df.sparkSession
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if d:
+        sc = spark.sparkContext
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(d)
+        return df.checkpoint(eager=True)
+    return df.cache()

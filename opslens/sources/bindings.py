@@ -25,14 +25,22 @@ class Binding:
     extra_sources: tuple[str, ...] = field(default_factory=tuple)
 
     def select_list(self) -> str:
+        # Fleet-key columns are derived from a source column (not literals) so
+        # they behave like landed columns: a literal key would be constant-
+        # folded and turn equi-joins on it into nested-loop joins.
+        key = SOURCE_KEY[self.source]
         names = [c for c, _ in self.cols]
         items = [f"{e} as {c}" for c, e in self.cols]
         if "server_name" not in names:
-            items.insert(0, "'srv0' as server_name")
-        items.insert(1, "0 as snapshot_id")
+            items.insert(0, f"substr('srv0' || cast({key} as string), 1, 4) as server_name")
+        items.insert(1, f"cast({key} * 0 as int) as snapshot_id")
         return ", ".join(items)
 
 
+SOURCE_KEY = {"nation": "n_nationkey", "supplier": "s_suppkey", "part": "p_partkey", "lineitem": "l_orderkey",
+              "orders": "o_orderkey", "customer": "c_custkey", "events": "event_id", "documents": "doc_id"}
+
+
 def _b(source, cols, tail=""):
     return Binding(source, tuple(cols), tail)
 
@@ -78,20 +86,17 @@ BINDINGS: dict[str, Binding] = {
         ("name", "'pkg' || cast(s_suppkey as string)"),
         ("owner_name", "case s_suppkey % 4 when 0 then 'sa' when 1 then 'app' when 2 then null else 'dev' end"),
     ]),
-    "schedulers": _b("nation", [
-        ("server_name", "'srv' || cast(n_nationkey as string)"),
-        ("cpu_id", "cast(k as bigint)"),
-        ("status", "case when k < 8 * (1 + n_nationkey % 4) - case when n_nationkey % 5 = 0 then 4 else 0 end then 'VISIBLE ONLINE' else 'HIDDEN ONLINE' end"),
-    ], "cross join (values (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13),(14),(15),(16),(17),(18),(19),(20),(21),(22),(23),(24),(25),(26),(27),(28),(29),(30),(31)) as t(k) where k < 8 * (1 + n_nationkey % 4) + 2"),
-    "config": _b("nation", [
-        ("server_name", "'srv' || cast(n_nationkey as string)"),
-        ("name", "s"),
-        ("value", "cast((n_nationkey * k) % 7 as bigint)"),
-        ("value_in_use", "cast((n_nationkey + k) % 6 as bigint)"),
-    ], "cross join (values ('backup compression default',1),('clr enabled',2),('max degree of parallelism',3),"
-       "('cost threshold for parallelism',4),('min server memory (MB)',5),('max server memory (MB)',6),"
-       "('max full-text crawl range',7),('priority boost',8),('optimize for ad hoc workloads',9),"
-       "('remote admin connections',10)) as t(s, k)"),
+    "schedulers": _b("orders", [
+        ("server_name", "'srv' || cast(o_orderkey % 25 as string)"),
+        ("cpu_id", "cast((o_orderkey - o_orderkey % 25) / 25 as bigint)"),
+        ("status", "case when cast((o_orderkey - o_orderkey % 25) / 25 as bigint) < 8 * (1 + o_orderkey % 25 % 4) - case when o_orderkey % 25 % 5 = 0 then 4 else 0 end then 'VISIBLE ONLINE' else 'HIDDEN ONLINE' end"),
+    ], "where o_orderkey < 800 and cast((o_orderkey - o_orderkey % 25) / 25 as bigint) < 8 * (1 + o_orderkey % 25 % 4) + 2"),
+    "config": _b("orders", [
+        ("server_name", "'srv' || cast(o_orderkey % 25 as string)"),
+        ("name", "case cast((o_orderkey - o_orderkey % 25) / 25 as bigint) when 0 then 'backup compression default' when 1 then 'clr enabled' when 2 then 'max degree of parallelism' when 3 then 'cost threshold for parallelism' when 4 then 'min server memory (MB)' when 5 then 'max server memory (MB)' when 6 then 'max full-text crawl range' when 7 then 'priority boost' when 8 then 'optimize for ad hoc workloads' when 9 then 'remote admin connections' end"),
+        ("value", "cast((o_orderkey % 25 * (cast((o_orderkey - o_orderkey % 25) / 25 as bigint) + 1)) % 7 as bigint)"),
+        ("value_in_use", "cast((o_orderkey % 25 + cast((o_orderkey - o_orderkey % 25) / 25 as bigint) + 1) % 6 as bigint)"),
+    ], "where o_orderkey < 250"),
     "databases": _b("supplier", [
         ("server_name", SRV("s_suppkey")),
         ("database_id", "s_suppkey + 1"),
@@ -223,7 +228,7 @@ BINDINGS: dict[str, Binding] = {
         ("waiting_tasks_count", "count(*)"),
         ("wait_time_ms", "cast(sum(floor(value * 100)) as bigint)"),
         ("signal_wait_time_ms", "cast(sum(floor(value * 10)) as bigint)"),
-    ], "group by 1, 3"),
+    ], "group by 1, 2, 3"),
     "log_info": _b("lineitem", [
         ("server_name", SRV("l_suppkey")),
         ("database_name", "'db' || cast(l_partkey % (20 + l_linenumber * 30) as string)"),
@@ -335,7 +340,7 @@ BINDINGS: dict[str, Binding] = {
         ("database_name", "'db' || cast(o_custkey % 10 as string)"),
         ("role_principal_id", "o_custkey"),
         ("member_principal_id", "o_orderkey % 150"),
-    ], "group by o_custkey, o_orderkey % 150"),
+    ], "group by 1, 2, 3, 4, 5"),
     "permissions": _b("orders", [
         ("database_name", "'db' || cast(o_custkey % 10 as string)"),
         ("grantee_principal_id", "o_custkey"),
@@ -355,12 +360,12 @@ BINDINGS: dict[str, Binding] = {
         ("is_ms_shipped", "p_size % 7 = 0"),
         ("parent_object_id", "p_partkey % 30"),
     ]),
-    "schemas": _b("nation", [
-        ("database_name", "'db' || cast(k as string)"),
-        ("schema_id", "n_nationkey % 5"),
-        ("name", "case n_nationkey % 5 when 0 then 'dbo' when 1 then 'sys' when 2 then 'sales' when 3 then 'hr' else 'MS_PerfDashboard' end"),
-        ("principal_id", "cast(n_nationkey as bigint)"),
-    ], "cross join (values (0),(1),(2),(3),(4),(5),(6),(7),(8),(9)) as t(k) where n_nationkey < 5"),
+    "schemas": _b("orders", [
+        ("database_name", "'db' || cast(cast((o_orderkey - o_orderkey % 5) / 5 as bigint) as string)"),
+        ("schema_id", "o_orderkey % 5"),
+        ("name", "case o_orderkey % 5 when 0 then 'dbo' when 1 then 'sys' when 2 then 'sales' when 3 then 'hr' else 'MS_PerfDashboard' end"),
+        ("principal_id", "o_orderkey % 5"),
+    ], "where o_orderkey < 50"),
     "protects": _b("lineitem", [
         ("database_name", "'db' || cast(l_partkey % 10 as string)"),
         ("id", "l_partkey"),
@@ -417,12 +422,12 @@ BINDINGS: dict[str, Binding] = {
         ("database_name", "'db' || cast(c_custkey % 10 as string)"),
         ("feature_name", "c_mktsegment"),
     ]),
-    "services": _b("nation", [
-        ("server_name", "'srv' || cast(n_nationkey as string)"),
-        ("servicename", "case k when 0 then 'SQL Server (MSSQLSERVER)' when 1 then 'SQL Server Agent (MSSQLSERVER)' when 2 then 'SQL Server Integration Services 15.0' when 3 then 'SQL Server Analysis Services (MSSQLSERVER)' else 'SQL Server Reporting Services' end"),
-        ("service_account", "'NT Service/svc' || cast(k as string)"),
-        ("instant_file_initialization_enabled", "case when (n_nationkey + k) % 2 = 0 then 'Y' else 'N' end"),
-    ], "cross join (values (0),(1),(2),(3),(4)) as t(k) where k <= n_nationkey % 5"),
+    "services": _b("orders", [
+        ("server_name", "'srv' || cast(o_orderkey % 25 as string)"),
+        ("servicename", "case cast((o_orderkey - o_orderkey % 25) / 25 as bigint) when 0 then 'SQL Server (MSSQLSERVER)' when 1 then 'SQL Server Agent (MSSQLSERVER)' when 2 then 'SQL Server Integration Services 15.0' when 3 then 'SQL Server Analysis Services (MSSQLSERVER)' else 'SQL Server Reporting Services' end"),
+        ("service_account", "'NT Service/svc' || cast(cast((o_orderkey - o_orderkey % 25) / 25 as bigint) as string)"),
+        ("instant_file_initialization_enabled", "case when (o_orderkey % 25 + cast((o_orderkey - o_orderkey % 25) / 25 as bigint)) % 2 = 0 then 'Y' else 'N' end"),
+    ], "where o_orderkey < 125 and cast((o_orderkey - o_orderkey % 25) / 25 as bigint) <= o_orderkey % 25 % 5"),
     "certificates": _b("customer", [
         ("database_name", "'db' || cast(c_custkey % 10 as string)"),
         ("certificate_id", "c_custkey % 300 + 1"),
