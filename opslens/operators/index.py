@@ -11,7 +11,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tsql import money
@@ -209,9 +209,12 @@ def duplicate_indexes(indexes: DataFrame, index_keys: DataFrame, objects: DataFr
         .select(*ikey, "name", "is_unique")
     lists = i.join(index_column_lists(index_keys, keys), ikey, "inner")
     gkey = k + ["database_name", "object_id", "cols", "inc", "is_unique"]
-    first = lists.groupBy(*gkey).agg(F.min_by("name", "index_id").alias("index_name"),
-                                     F.min("index_id").alias("_first"))
-    dup = lists.join(first, gkey, "inner").filter(F.col("index_id") > F.col("_first"))
+    # A group holds the identical indexes of one table (bounded by the
+    # indexes a table can have), so one window pass is safe here.
+    w = Window.partitionBy(*gkey)
+    dup = lists.withColumns({"index_name": F.min_by("name", "index_id").over(w),
+                             "_first": F.min("index_id").over(w)}) \
+        .filter(F.col("index_id") > F.col("_first"))
     o = objects.select(*k, "database_name", "object_id", "schema_id", F.col("name").alias("object_name"))
     s = schemas.select(*k, "database_name", "schema_id", F.col("name").alias("schema_name"))
     dup = dup.join(o, k + ["database_name", "object_id"], "left").join(s, k + ["database_name", "schema_id"], "left")

@@ -65,11 +65,14 @@ def active_sessions(sessions: DataFrame, requests: DataFrame, sql_text: DataFram
                           "statement_start_offset", "statement_end_offset", "waittime",
                           F.col("wait_type").alias("last_wait_type"), F.col("open_tran").alias("open_transaction_count"),
                           "isolation_level", "cpu")
-    with_text = lookup_join(req, sql_text.select("sql_handle", "text"), ["sql_handle"], "left")
     ses = sessions.filter(F.col("status") != "sleeping").select(
         *k, "session_id", F.col("loginame").alias("original_login_name"), "login_time", "host_name",
         "program_name")
-    j = ses.join(with_text, k + ["session_id"], "left")
+    # Text is attached after the session filter, so only surviving requests
+    # carry (and shuffle) statement text.
+    j = ses.join(req, k + ["session_id"], "left")
+    j = lookup_join(j, sql_text.select("sql_handle", "text"), ["sql_handle"], "left",
+                    key_source=requests.select("sql_handle"))
     dbs = databases.select(*k, "database_id", F.col("name").alias("database_name"))
     j = j.join(dbs, k + ["database_id"], "left")
     # Agent job: the job id's hex sits at characters 30..63 of the program name.
@@ -102,9 +105,11 @@ def lead_blockers(processes: DataFrame, requests: DataFrame, sql_text: DataFrame
         *k, "spid", "status", "loginame", "hostname", "blocked", "open_tran", "dbid", "command", "waittype",
         "waittime", "last_batch")
     er = requests.select(*k, "spid", "sql_handle", "statement_start_offset", "statement_end_offset")
-    er = lookup_join(er, sql_text.select("sql_handle", "text"), ["sql_handle"], "left")
     dbs = databases.select(*k, F.col("database_id").alias("dbid"), F.col("name").alias("_dbname"))
     j = lead.join(er, k + ["spid"], "left").join(dbs, k + ["dbid"], "left")
+    # Only lead blockers get their statement text.
+    j = lookup_join(j, sql_text.select("sql_handle", "text"), ["sql_handle"], "left",
+                    key_source=requests.select("sql_handle"))
     return j.select(
         *k, "spid", "status", F.substring("loginame", 1, 12).alias("loginame"),
         F.substring("hostname", 1, 12).alias("hostname"),

@@ -88,7 +88,7 @@ def dim(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def lookup_join(fact: DataFrame, dimension: DataFrame, on: list[str], how: str = "inner",
-                hot: int = HOT_KEYS, salts: int = SALTS) -> DataFrame:
+                hot: int = HOT_KEYS, salts: int = SALTS, key_source: DataFrame | None = None) -> DataFrame:
     """Join a large ``fact`` to a ``dimension`` with one row per key, safe
     against hot keys.
 
@@ -99,11 +99,13 @@ def lookup_join(fact: DataFrame, dimension: DataFrame, on: list[str], how: str =
     at most ``hot`` of them — are replicated once per salt. A single
     equi-join on (key, salt) then spreads every hot key over ``salts`` tasks;
     cold keys keep salt 0. No row is dropped or duplicated.
-    ``how`` is ``inner`` or ``left``.
+    ``how`` is ``inner`` or ``left``. ``key_source`` (default ``fact``) is
+    where key frequencies are counted — pass the base table when ``fact`` is
+    itself a join, so the join is not computed twice.
     """
     if how not in ("inner", "left"):
         raise ValueError("lookup_join supports inner and left")
-    counts = fact.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    counts = (fact if key_source is None else key_source).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     hot_keys = F.broadcast(counts.orderBy(F.col("_n").desc(), *on).limit(hot)
                            .select(*on, F.lit(True).alias("_hot")))
     f = fact.join(hot_keys, on, "left").withColumn(
@@ -112,7 +114,9 @@ def lookup_join(fact: DataFrame, dimension: DataFrame, on: list[str], how: str =
     d = dimension.join(hot_keys, on, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
                            .otherwise(F.array(F.lit(0))))).drop("_hot")
-    return f.join(d, on + ["_salt"], how).drop("_salt")
+    # The dimension grows with the data (statement text, backup sets): it is
+    # shuffled, never broadcast; only the bounded hot-key list is broadcast.
+    return f.join(d.hint("shuffle_hash"), on + ["_salt"], how).drop("_salt")
 
 
 def nulls_last(c: str | Column, desc: bool = False) -> Column:
