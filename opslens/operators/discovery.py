@@ -1,8 +1,8 @@
 """Family K — discovery report.
 
-K1 builds one wide row per server — one aggregate per source table, each
-left-joined to the server list so absent catalogs count 0 — and unpivots it
-into a long ``(fleet key, metric, value)`` table. K4 renders report lines by
+K1 aggregates each source table once per server, unpivots each aggregate
+to long ``(fleet key, metric, value)`` rows and unions them with per-server
+defaults; one shuffle picks the value. K4 renders report lines by
 joining the metrics to a small, broadcast line-template table.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tsql import version_name
@@ -57,32 +57,137 @@ def space_used(files: DataFrame, databases: DataFrame, keys=None) -> DataFrame:
         .drop("database_id")
 
 
+# Extended-event sessions that ship with the server.
+BUILTIN_EVENT_SESSIONS = ["system_health", "AlwaysOn_health", "telemetry_xevents"]
+
+
+def server_object_counts(server_objects: DataFrame, keys=None) -> DataFrame:
+    """Counts over the landed server-level catalogs (one table, one row per
+    object with its ``object_class``): linked servers, triggers, startup
+    procedures and trace flags, mail, agent alerts / operators / proxies,
+    maintenance plans, audits, credentials, backup devices, endpoints, user
+    event sessions, user policies and conditions, keys, log shipping,
+    mirroring. One aggregate pass."""
+    k = kcols(keys)
+    c, n = F.col("object_class"), F.col("name")
+
+    def cnt(cls, cond=None):
+        t = c == cls
+        return F.count_if(t if cond is None else (t & cond))
+    return server_objects.groupBy(*k).agg(
+        cnt("linked_server", ~F.col("is_remote")).alias("linked_servers"),
+        cnt("server_trigger").alias("server_triggers"),
+        cnt("procedure", F.col("is_auto_executed")).alias("startup_procs"),
+        cnt("startup_parameter", F.col("value").like("-T%")).alias("startup_trace_flags"),
+        cnt("mail_profile").alias("mail_profiles"), cnt("mail_account").alias("mail_accounts"),
+        cnt("agent_alert").alias("agent_alerts"), cnt("agent_operator").alias("agent_operators"),
+        cnt("agent_proxy").alias("agent_proxies"), cnt("maintenance_plan").alias("maintenance_plans"),
+        cnt("server_audit").alias("server_audits"), cnt("credential").alias("credentials"),
+        cnt("backup_device").alias("backup_devices"),
+        cnt("endpoint", F.col("object_id") > 5).alias("endpoints"),
+        cnt("event_session", ~n.isin(BUILTIN_EVENT_SESSIONS)).alias("event_sessions"),
+        cnt("policy", ~F.col("is_system")).alias("user_policies"),
+        cnt("condition", ~F.col("is_system")).alias("user_conditions"),
+        cnt("symmetric_key", n.like("##MS_DatabaseMasterKey##")).alias("_master_key"),
+        cnt("asymmetric_key", ~n.like("MS_SQLEnableSystemAssemblyLoadingKey")).alias("asymmetric_keys"),
+        cnt("log_shipping_primary", n.isNotNull()).alias("log_shipping_primary"),
+        cnt("log_shipping_secondary", n.isNotNull()).alias("log_shipping_secondary"),
+        cnt("mirroring", F.col("mirroring_guid").isNotNull()).alias("mirrored_dbs"))
+
+
+def tde_databases(encryption_keys: DataFrame, certificates: DataFrame, keys=None) -> DataFrame:
+    """M9: database encryption keys protected by a certificate (thumbprint
+    match) that are encrypted (state 3), per server."""
+    k = kcols(keys)
+    cert = certificates.select(*k, F.col("thumbprint").alias("encryptor_thumbprint"))
+    return encryption_keys.filter(F.col("encryption_state") == 3) \
+        .join(cert, k + ["encryptor_thumbprint"], "inner").groupBy(*k).agg(F.count(F.lit(1)).alias("tde_databases"))
+
+
+def subscribed_databases(databases: DataFrame, groups: DataFrame, replica_states: DataFrame,
+                         keys=None) -> DataFrame:
+    """Online databases holding replication objects, except databases
+    of availability groups whose primary replica is another server."""
+    k = kcols(keys)
+    names = databases.select(*k, "database_id", F.col("name").alias("database_name"))
+    ag_dbs = replica_states.select(*k, "group_id", "database_id") \
+        .join(groups.filter(F.col("primary_replica") != F.col("server_name")).select(*k, "group_id"),
+              k + ["group_id"], "inner").join(names, k + ["database_id"], "inner").select(*k, "database_name")
+    d = databases.filter(F.col("state_desc") == "ONLINE").select(
+        *k, F.col("name").alias("database_name"), "has_replication_objects")
+    # NOT IN over non-null names: an anti join.
+    return d.join(ag_dbs, k + ["database_name"], "left_anti").groupBy(*k).agg(
+        F.count_if(F.col("has_replication_objects")).alias("subscribed_dbs"))
+
+
+def user_object_counts(objects: DataFrame, schemas: DataFrame, keys=None) -> DataFrame:
+    """M43-45: per database, user objects: not in schema ``sys`` (nor
+    ``MS_PerfDashboard`` in msdb), not shipped, and whose parent is not a
+    system object (NOT IN over object ids: a null-safe anti join)."""
+    k = kcols(keys)
+    d = k + ["database_name"]
+    o = objects.join(schemas.select(*d, "schema_id", F.col("name").alias("schema_name")), d + ["schema_id"], "left")
+    sys_ids = o.filter((F.col("schema_name") == "sys") | F.col("is_ms_shipped")) \
+        .select(*d, F.col("object_id").alias("parent_object_id"))
+    excluded = F.when(F.col("database_name") == "msdb", F.array(F.lit("sys"), F.lit("MS_PerfDashboard"))) \
+        .otherwise(F.array(F.lit("sys")))
+    user = o.filter(~F.coalesce(F.array_contains(excluded, F.col("schema_name")), F.lit(False))
+                    & F.col("schema_name").isNotNull() & ~F.col("is_ms_shipped")) \
+        .join(sys_ids, d + ["parent_object_id"], "left_anti")
+    return user.groupBy(*d).agg(F.count(F.lit(1)).alias("user_objects"))
+
+
 def _count(df: DataFrame, keys, name: str, cond=None) -> DataFrame:
     k = kcols(keys)
     c = F.count(F.lit(1)) if cond is None else F.count_if(cond)
     return df.groupBy(*k).agg(c.alias(name))
 
 
-def discovery_wide(instances: DataFrame, databases: DataFrame, files: DataFrame, jobs: DataFrame,
-                   flags: DataFrame, server_principals: DataFrame, sku_features: DataFrame, services: DataFrame,
-                   certificates: DataFrame, replica_states: DataFrame, schedulers: DataFrame,
-                   keys=None) -> DataFrame:
-    """K1 (wide form): one row per server with every metric as a string."""
+COUNT_METRICS = [
+    "user_dbs_online", "user_dbs_not_online", "user_dbs_not_full", "cdc_dbs", "broker_enabled_dbs",
+    "database_snapshots", "published_dbs", "distributor_dbs", "tempdb_data_files", "total_jobs", "enabled_jobs",
+    "global_trace_flags", "sql_logins", "windows_logins", "server_roles", "certificates", "ag_databases",
+    "linked_servers", "server_triggers", "startup_procs", "startup_trace_flags", "mail_profiles", "mail_accounts",
+    "agent_alerts", "agent_operators", "agent_proxies", "maintenance_plans", "server_audits", "credentials",
+    "backup_devices", "endpoints", "event_sessions", "user_policies", "user_conditions", "_master_key",
+    "asymmetric_keys", "log_shipping_primary", "log_shipping_secondary", "mirrored_dbs", "tde_databases",
+    "subscribed_dbs"]
+
+
+def discovery_metrics(instances: DataFrame, databases: DataFrame, files: DataFrame, jobs: DataFrame,
+                      flags: DataFrame, server_principals: DataFrame, sku_features: DataFrame, services: DataFrame,
+                      certificates: DataFrame, replica_states: DataFrame, schedulers: DataFrame,
+                      server_objects: DataFrame, encryption_keys: DataFrame, groups: DataFrame,
+                      keys=None) -> DataFrame:
+    """K1: long table (fleet key, metric, value) of the discovery metrics.
+
+    Each source table is aggregated once per server and unpivoted to long
+    rows; a default row per (server, metric) gives 0 / 'NO' / NULL where a
+    catalog has no rows for the server. One union and one shuffle by
+    (server, metric) pick the source value over the default — no chain of
+    joins between the per-source aggregates."""
     k = kcols(keys)
     i = instances
-    base = i.select(
+    uid = F.col("database_id") > 4
+    online = F.lower("state_desc") == "online"
+    parts = []
+
+    def add(df: DataFrame):
+        # One SQL expression per part keeps plan construction cheap.
+        cols = [c for c in df.columns if c not in k]
+        pairs = ", ".join(f"'{c}', cast(`{c}` as string)" for c in cols)
+        parts.append(df.selectExpr(*k, f"stack({len(cols)}, {pairs}) as (metric, value)", "1 as _p"))
+
+    add(i.select(
         *k, "machine_name", F.coalesce("instance_name", F.lit("<default>")).alias("instance_name"), "edition",
         "product_version", version_name("product_version").alias("version_name"), "product_level", "collation",
         (F.col("physical_memory_kb").cast("double") / 1024 / 1024).cast("decimal(15,2)").alias("total_memory_gb"),
         F.col("sqlserver_start_time").alias("last_restart"), "is_clustered", "is_hadr_enabled", "time_zone",
-        F.col("default_data_path"), F.col("default_log_path"),
-        F.when(F.col("is_resource_governor_enabled"), "Yes").otherwise("No").alias("resource_governor"))
+        "default_data_path", "default_log_path",
+        F.when(F.col("is_resource_governor_enabled"), "Yes").otherwise("No").alias("resource_governor")))
     vis = schedulers.filter(F.col("status") == "VISIBLE ONLINE").select(*k).distinct()
-    cpus = i.select(*k, F.col("cpu_count").alias("os_cpus")).join(vis, k, "left_semi")
-    dbs = databases
-    uid = F.col("database_id") > 4
-    online = F.lower("state_desc") == "online"
-    db_m = dbs.groupBy(*k).agg(
+    add(i.select(*k, F.col("cpu_count").alias("os_cpus")).join(vis, k, "left_semi"))
+    add(databases.groupBy(*k).agg(
         F.count_if(uid & online).alias("user_dbs_online"),
         F.count_if(uid & ~online).alias("user_dbs_not_online"),
         F.count_if(uid & (F.lower("recovery_model_desc") != "full")).alias("user_dbs_not_full"),
@@ -91,65 +196,67 @@ def discovery_wide(instances: DataFrame, databases: DataFrame, files: DataFrame,
         F.count_if(F.col("source_database_id").isNotNull()).alias("database_snapshots"),
         F.count_if(F.col("is_published")).alias("published_dbs"),
         F.count_if(F.col("is_distributor")).alias("distributor_dbs"),
-        F.count_if((F.col("is_published") | F.col("is_merge_published") | F.col("is_distributor")) & online)
-        .alias("_repl"),
-        F.count_if(F.lower("name") == "ssisdb").alias("_ssisdb"))
-    f_m = files.groupBy(*k).agg(
-        F.sum(F.when(uid, F.col("size"))).alias("_user_pages"),
-        F.count_if((F.col("database_id") == 2) & (F.col("type") == 0)).alias("tempdb_data_files"))
-    f_m = f_m.select(*k, "tempdb_data_files",
-                     (F.col("_user_pages").cast("decimal(20,0)") * F.lit(Decimal("0.00000762939453125")))
-                     .cast("decimal(10,2)").alias("total_gb_user_files"))
-    j_m = jobs.groupBy(*k).agg(F.count(F.lit(1)).alias("total_jobs"), F.count_if(F.col("enabled") == 1).alias("enabled_jobs"))
-    t_m = _count(flags, keys, "global_trace_flags", F.col("is_global"))
+        _yes_no(F.count_if((F.col("is_published") | F.col("is_merge_published") | F.col("is_distributor"))
+                           & online) > 0).alias("replication_configured"),
+        _yes_no(F.count_if(F.lower("name") == "ssisdb") > 0).alias("ssisdb_catalog")))
+    add(files.groupBy(*k).agg(
+        F.count_if((F.col("database_id") == 2) & (F.col("type") == 0)).alias("tempdb_data_files"),
+        (F.sum(F.when(uid, F.col("size"))).cast("decimal(20,0)") * F.lit(PAGES_TO_GB)).cast("decimal(10,2)")
+        .alias("total_gb_user_files")))
+    add(jobs.groupBy(*k).agg(F.count(F.lit(1)).alias("total_jobs"),
+                             F.count_if(F.col("enabled") == 1).alias("enabled_jobs")))
+    add(_count(flags, keys, "global_trace_flags", F.col("is_global")))
     n = F.col("name")
     win_ok = None
     for p in WIN_LOGIN_EXCLUDE:
         c = ~n.like(p)
         win_ok = c if win_ok is None else win_ok & c
-    sp_m = server_principals.groupBy(*k).agg(
+    add(server_principals.groupBy(*k).agg(
         F.count_if((F.col("type") == "S") & ~n.like("##MS_%")).alias("sql_logins"),
         F.count_if(F.col("type").isin("U", "G") & win_ok).alias("windows_logins"),
-        F.count_if((F.col("type") == "R") & (F.col("principal_id") > 10)).alias("server_roles"))
-    feats = edition_features(sku_features, i, keys)
+        F.count_if((F.col("type") == "R") & (F.col("principal_id") > 10)).alias("server_roles")))
+    add(edition_features(sku_features, i, keys))
     sv = F.col("servicename")
-    svc = services.groupBy(*k).agg(
-        F.max(sv.startswith(SSIS_PREFIX).cast("int")).alias("_ssis"),
-        F.max(sv.startswith(SSAS_PREFIX).cast("int")).alias("_ssas"),
-        F.max(sv.isin(SSRS_NAMES).cast("int")).alias("_ssrs"))
-    c_m = _count(certificates, keys, "certificates", F.col("certificate_id") > 257)
-    ag_m = replica_states.groupBy(*k).agg(F.countDistinct("database_id").alias("ag_databases"))
-    u = space_used(files, databases, keys).filter(~F.col("database_name").isin(SYSTEM_DBS)).groupBy(*k).agg(
-        F.sum("data_used_gb").alias("data_used_gb"), F.sum("log_used_gb").alias("log_used_gb"))
-    w = base
-    for part in (cpus, db_m, f_m, j_m, t_m, sp_m, feats, svc, c_m, ag_m, u):
-        w = w.join(part, k, "left")
-    counts = ["user_dbs_online", "user_dbs_not_online", "user_dbs_not_full", "cdc_dbs", "broker_enabled_dbs",
-              "database_snapshots", "published_dbs", "distributor_dbs", "tempdb_data_files", "total_jobs",
-              "enabled_jobs", "global_trace_flags", "sql_logins", "windows_logins", "server_roles", "certificates",
-              "ag_databases"]
-    w = w.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counts})
-    w = w.withColumns({
-        "replication_configured": _yes_no(F.coalesce(F.col("_repl"), F.lit(0)) > 0),
-        "ssisdb_catalog": _yes_no(F.coalesce(F.col("_ssisdb"), F.lit(0)) > 0),
-        "ssis_installed": _yes_no(F.coalesce(F.col("_ssis"), F.lit(0)) > 0),
-        "ssas_installed": _yes_no(F.coalesce(F.col("_ssas"), F.lit(0)) > 0),
-        "ssrs_installed": _yes_no(F.coalesce(F.col("_ssrs"), F.lit(0)) > 0),
-    }).drop("_repl", "_ssisdb", "_ssis", "_ssas", "_ssrs")
-    return w.select(*k, *[F.col(c).cast("string").alias(c) for c in w.columns if c not in k])
-
-
-def discovery_metrics(*args, keys=None, **kw) -> DataFrame:
-    """K1: long table (fleet key, metric, value)."""
-    k = kcols(keys)
-    w = discovery_wide(*args, keys=keys, **kw)
-    names = [c for c in w.columns if c not in k]
-    return w.unpivot(k, names, "metric", "value")
+    add(services.groupBy(*k).agg(
+        _yes_no(F.max(sv.startswith(SSIS_PREFIX).cast("int")) > 0).alias("ssis_installed"),
+        _yes_no(F.max(sv.startswith(SSAS_PREFIX).cast("int")) > 0).alias("ssas_installed"),
+        _yes_no(F.max(sv.isin(SSRS_NAMES).cast("int")) > 0).alias("ssrs_installed")))
+    add(_count(certificates, keys, "certificates", F.col("certificate_id") > 257))
+    add(replica_states.groupBy(*k).agg(F.countDistinct("database_id").alias("ag_databases")))
+    add(space_used(files, databases, keys).filter(~F.col("database_name").isin(SYSTEM_DBS)).groupBy(*k).agg(
+        F.sum("data_used_gb").alias("data_used_gb"), F.sum("log_used_gb").alias("log_used_gb")))
+    so = server_object_counts(server_objects, keys)
+    add(so.select(*k, *[c for c in so.columns if c not in k and c != "_master_key"],
+                  _yes_no(F.col("mirrored_dbs") > 0).alias("mirroring_configured"),
+                  _yes_no((F.col("log_shipping_primary") > 0) | (F.col("log_shipping_secondary") > 0))
+                  .alias("log_shipping_configured"),
+                  F.when(F.col("_master_key") > 0, "Configured").otherwise("Not configured").alias("master_key")))
+    add(tde_databases(encryption_keys, certificates, keys))
+    add(subscribed_databases(databases, groups, replica_states, keys))
+    # Defaults: every server gets every metric.
+    defaults = [(m, "0") for m in COUNT_METRICS if m != "_master_key"] + \
+        [(m, "NO") for m in YES_NO_METRICS] + [("master_key", "Not configured"), ("edition_features", "0")] + \
+        [(m, None) for m in NULLABLE_METRICS]
+    rows = ", ".join(f"'{m}', " + ("cast(null as string)" if v is None else f"'{v}'") for m, v in defaults)
+    parts.append(i.select(*k).distinct().selectExpr(*k, f"stack({len(defaults)}, {rows}) as (metric, value)",
+                                                    "0 as _p"))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u.groupBy(*k, "metric").agg(F.max_by("value", "_p").alias("value"))
+
+
+YES_NO_METRICS = ["replication_configured", "ssisdb_catalog", "ssis_installed", "ssas_installed", "ssrs_installed",
+                  "mirroring_configured", "log_shipping_configured"]
+NULLABLE_METRICS = ["machine_name", "instance_name", "edition", "product_version", "version_name", "product_level",
+                    "collation", "total_memory_gb", "last_restart", "is_clustered", "is_hadr_enabled", "time_zone",
+                    "default_data_path", "default_log_path", "resource_governor", "os_cpus", "total_gb_user_files",
+                    "data_used_gb", "log_used_gb"]
 
 
 # Fixed layout of the report: (line, section, label, metric, show rule).
 # show rule: None = always, 'gt0' = only when the value is above 0,
-# 'features' = only when edition features are in use.
+# 'features' = only when edition-specific features are in use.
 REPORT_TEMPLATE = [
     (1, "server", "Machine name", "machine_name", None),
     (2, "server", "Instance name", "instance_name", None),
@@ -169,6 +276,10 @@ REPORT_TEMPLATE = [
     (23, "ha_dr", "Is replication Configured", "replication_configured", None),
     (24, "ha_dr", "Published DBs", "published_dbs", "gt0"),
     (25, "ha_dr", "Distributor Configured DBs", "distributor_dbs", "gt0"),
+    (26, "ha_dr", "Subscribed DBs", "subscribed_dbs", "gt0"),
+    (27, "ha_dr", "Is Mirroring Configured", "mirroring_configured", None),
+    (28, "ha_dr", "Mirror Configured DBs", "mirrored_dbs", "gt0"),
+    (29, "ha_dr", "Is Logshipping Configured", "log_shipping_configured", None),
     (30, "database", "Default Datafile Location", "default_data_path", None),
     (31, "database", "Default Logfile Location", "default_log_path", None),
     (32, "database", "TempDB datafiles", "tempdb_data_files", None),
@@ -180,6 +291,9 @@ REPORT_TEMPLATE = [
     (38, "database", "DBs using CDC", "cdc_dbs", "gt0"),
     (39, "database", "Edition-specific features in use", "edition_features", None),
     (40, "database", "Certificates", "certificates", "gt0"),
+    (44, "database", "TDE Enabled Databases", "tde_databases", "features"),
+    (45, "database", "MS_DatabaseMasterKey", "master_key", None),
+    (46, "database", "asymmetric_keys", "asymmetric_keys", "gt0"),
     (41, "database", "Total size in GBs (all user DBs, all states)", "total_gb_user_files", None),
     (42, "database", "Total space used in GB for Datafiles", "data_used_gb", None),
     (43, "database", "Total space used in GB for Logfiles", "log_used_gb", None),
@@ -188,7 +302,24 @@ REPORT_TEMPLATE = [
     (52, "agent_login", "Server roles (user created)", "server_roles", None),
     (53, "agent_login", "Total Agent Jobs", "total_jobs", None),
     (54, "agent_login", "Enabled Jobs", "enabled_jobs", None),
+    (55, "agent_login", "Maintenance Plans", "maintenance_plans", None),
+    (56, "agent_login", "Agent Alerts", "agent_alerts", None),
+    (57, "agent_login", "Agent Operators", "agent_operators", None),
+    (58, "agent_login", "Agent Proxies", "agent_proxies", None),
+    (59, "server_objects", "Linked Servers", "linked_servers", None),
     (60, "server_objects", "Global Trace Flags", "global_trace_flags", None),
+    (64, "server_objects", "Server-side triggers", "server_triggers", None),
+    (65, "server_objects", "Startup Procs", "startup_procs", None),
+    (66, "server_objects", "Startup Trace Flags", "startup_trace_flags", None),
+    (67, "server_objects", "DBMail Profiles", "mail_profiles", None),
+    (68, "server_objects", "DBMail Accts", "mail_accounts", None),
+    (69, "server_objects", "Server Audits", "server_audits", None),
+    (70, "server_objects", "Server Credentials", "credentials", None),
+    (71, "server_objects", "Backup Devices", "backup_devices", None),
+    (72, "server_objects", "Endpoints", "endpoints", None),
+    (73, "server_objects", "Extended Events (user created)", "event_sessions", None),
+    (74, "server_objects", "User policies", "user_policies", None),
+    (75, "server_objects", "User conditions", "user_conditions", None),
     (61, "server_objects", "User Define Resource Governor", "resource_governor", None),
     (62, "server_objects", "Time zone", "time_zone", None),
     (63, "server_objects", "Last SQL Server restart", "last_restart", None),
@@ -200,9 +331,13 @@ def report_lines(spark: SparkSession, metrics: DataFrame, keys=None) -> DataFram
     when their rule holds."""
     k = kcols(keys)
     t = dim(spark, REPORT_TEMPLATE, "line_no int, section string, label string, metric string, show_if string")
-    j = metrics.join(t, "metric", "inner")
+    # Per-server flag from the same rows (a window over ~70 metrics of one
+    # server), instead of re-deriving the metrics for a self-join.
+    feats = F.max(F.when(F.col("metric") == "edition_features", F.col("value") != "0")).over(Window.partitionBy(*k))
+    j = metrics.withColumn("_features", feats).join(t, "metric", "inner")
     v = F.col("value")
     keep = (F.col("show_if").isNull()
-            | ((F.col("show_if") == "gt0") & (F.coalesce(v.try_cast("double"), F.lit(0.0)) > 0)))
+            | ((F.col("show_if") == "gt0") & (F.coalesce(v.try_cast("double"), F.lit(0.0)) > 0))
+            | ((F.col("show_if") == "features") & F.coalesce(F.col("_features"), F.lit(False))))
     return j.filter(keep).select(*k, "line_no", "section",
                                  F.concat(F.col("label"), F.lit(" = "), F.coalesce(v, F.lit("N/A"))).alias("line"))

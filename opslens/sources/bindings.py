@@ -117,6 +117,7 @@ BINDINGS: dict[str, Binding] = {
         ("is_published", "s_suppkey % 17 = 0"),
         ("is_merge_published", "s_suppkey % 19 = 0"),
         ("is_distributor", "s_suppkey % 23 = 0"),
+        ("has_replication_objects", "s_suppkey % 5 = 1"),
         ("log_reuse_wait_desc", "case when s_suppkey % 2 = 0 then 'NOTHING' else 'LOG_BACKUP' end"),
         ("page_verify_option_desc", "case when s_suppkey % 5 = 0 then 'NONE' else 'CHECKSUM' end"),
         ("source_database_id", "case when s_suppkey % 10 = 9 then 1 end"),
@@ -405,6 +406,7 @@ BINDINGS: dict[str, Binding] = {
         ("group_id", "n_nationkey % 4"),
         ("group_name", "'ag' || cast(n_nationkey % 4 as string)"),
         ("synchronization_health_desc", "case when n_nationkey % 3 = 0 then 'HEALTHY' else 'NOT_HEALTHY' end"),
+        ("primary_replica", "case when n_nationkey % 2 = 0 then 'srv' || cast(n_nationkey as string) else 'node' || cast(n_nationkey as string) end"),
     ], "where n_nationkey < 5"),
     "replicas": _b("supplier", [
         ("server_name", SRV("s_suppkey")),
@@ -450,6 +452,24 @@ BINDINGS["sessions"] = _b("events", [
     ("program_name", "case when event_id % 7 = 0 then 'SQLAgent - TSQL JobStep (Job 0x' || lpad(cast(user_id % 2000 + 1 as string), 32, '0') || ' : Step 1)' else 'app' || cast(user_id % 5 as string) end"),
 ])
 
+BINDINGS["server_objects"] = _b("customer", [
+    ("server_name", SRV("c_custkey")),
+    ("object_class", "case c_custkey % 22 when 0 then 'linked_server' when 1 then 'server_trigger' when 2 then 'procedure' when 3 then 'mail_profile' when 4 then 'mail_account' when 5 then 'agent_alert' when 6 then 'agent_operator' when 7 then 'agent_proxy' when 8 then 'maintenance_plan' when 9 then 'server_audit' when 10 then 'credential' when 11 then 'backup_device' when 12 then 'endpoint' when 13 then 'event_session' when 14 then 'policy' when 15 then 'condition' when 16 then 'symmetric_key' when 17 then 'asymmetric_key' when 18 then 'startup_parameter' when 19 then 'log_shipping_primary' when 20 then 'log_shipping_secondary' when 21 then 'mirroring' end"),
+    ("object_id", "c_custkey % 12"),
+    ("name", "case c_custkey % 5 when 0 then 'system_health' when 1 then '##MS_DatabaseMasterKey##' when 2 then 'MS_SQLEnableSystemAssemblyLoadingKey' else c_name end"),
+    ("value", "case when c_custkey % 2 = 0 then '-T' || cast(c_custkey % 9000 as string) else '-dmaster' end"),
+    ("is_remote", "c_acctbal < 0"),
+    ("is_auto_executed", "c_custkey % 3 = 0"),
+    ("is_system", "c_custkey % 4 = 0"),
+    ("mirroring_guid", "case when c_custkey % 2 = 0 then 'G' || cast(c_custkey as string) end"),
+])
+BINDINGS["encryption_keys"] = _b("supplier", [
+    ("server_name", SRV("s_suppkey")),
+    ("database_id", "s_suppkey + 1"),
+    ("encryptor_thumbprint", "s_suppkey % 40"),
+    ("encryption_state", "1 + s_suppkey % 3"),
+])
+
 # Raw driver tables each binding reads (for registering DuckDB views).
 SOURCES = sorted({b.source for b in BINDINGS.values()})
 
@@ -464,11 +484,21 @@ def binding_sql(name: str, dialect: str = "spark", src: str | None = None) -> st
     return text
 
 
+_RELATIONS: dict[tuple, DataFrame] = {}
+
+
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One telemetry relation as a Spark DataFrame (lazy; scans are pruned)."""
-    b = BINDINGS[name]
-    src = spark.read.parquet(f"{sf_dir}/{b.source}.parquet")
-    return spark.sql(binding_sql(name, "spark", src="{src}"), src=src)
+    """One telemetry relation as a Spark DataFrame (lazy; scans are pruned).
+
+    The analysed plan is kept per session, so repeated queries skip
+    re-parsing the binding text (DataFrames are immutable)."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
+    df = _RELATIONS.get(key)
+    if df is None:
+        b = BINDINGS[name]
+        src = spark.read.parquet(f"{sf_dir}/{b.source}.parquet")
+        df = _RELATIONS[key] = spark.sql(binding_sql(name, "spark", src="{src}"), src=src)
+    return df
 
 
 def with_clause(names) -> str:

@@ -1408,11 +1408,38 @@ def _k2(spark, d):
 
 
 _KRELS = ["instances", "databases", "master_files", "jobs", "trace_flags", "server_principals", "sku_features",
-          "services", "certificates", "replica_states", "schedulers"]
-_COUNTS = ["user_dbs_online", "user_dbs_not_online", "user_dbs_not_full", "cdc_dbs", "broker_enabled_dbs",
-           "database_snapshots", "published_dbs", "distributor_dbs", "tempdb_data_files", "total_jobs",
-           "enabled_jobs", "global_trace_flags", "sql_logins", "windows_logins", "server_roles", "certificates",
-           "ag_databases"]
+          "services", "certificates", "replica_states", "schedulers", "server_objects", "encryption_keys",
+          "availability_groups"]
+_COUNTS = KD.COUNT_METRICS
+
+
+def _so(cls, cond="true"):
+    return f"count(case when object_class = '{cls}' and ({cond}) then 1 end)"
+
+
+_SO = f"""so as (select {K}, {_so('linked_server', 'not is_remote')} as linked_servers,
+  {_so('server_trigger')} as server_triggers, {_so('procedure', 'is_auto_executed')} as startup_procs,
+  {_so('startup_parameter', "value like '-T%'")} as startup_trace_flags, {_so('mail_profile')} as mail_profiles,
+  {_so('mail_account')} as mail_accounts, {_so('agent_alert')} as agent_alerts, {_so('agent_operator')} as agent_operators,
+  {_so('agent_proxy')} as agent_proxies, {_so('maintenance_plan')} as maintenance_plans, {_so('server_audit')} as server_audits,
+  {_so('credential')} as credentials, {_so('backup_device')} as backup_devices, {_so('endpoint', 'object_id > 5')} as endpoints,
+  {_so('event_session', "name not in ('system_health', 'AlwaysOn_health', 'telemetry_xevents')")} as event_sessions,
+  {_so('policy', 'not is_system')} as user_policies, {_so('condition', 'not is_system')} as user_conditions,
+  {_so('symmetric_key', "name like '##MS_DatabaseMasterKey##'")} as _master_key,
+  {_so('asymmetric_key', "name not like 'MS_SQLEnableSystemAssemblyLoadingKey'")} as asymmetric_keys,
+  {_so('log_shipping_primary', 'name is not null')} as log_shipping_primary,
+  {_so('log_shipping_secondary', 'name is not null')} as log_shipping_secondary,
+  {_so('mirroring', 'mirroring_guid is not null')} as mirrored_dbs from server_objects group by all),
+tde as (select e.server_name, e.snapshot_id, count(*) as tde_databases from encryption_keys e join certificates c
+  on e.server_name = c.server_name and e.snapshot_id = c.snapshot_id and e.encryptor_thumbprint = c.thumbprint
+  where e.encryption_state = 3 group by all),
+agdb as (select r.server_name, r.snapshot_id, d.name as database_name from replica_states r
+  join availability_groups g on r.server_name = g.server_name and r.snapshot_id = g.snapshot_id and r.group_id = g.group_id
+    and g.primary_replica <> g.server_name
+  join databases d on r.server_name = d.server_name and r.snapshot_id = d.snapshot_id and r.database_id = d.database_id),
+sub as (select {K}, count(case when has_replication_objects then 1 end) as subscribed_dbs from databases d
+  where state_desc = 'ONLINE' and d.name not in (select a.database_name from agdb a where a.server_name = d.server_name
+    and a.snapshot_id = d.snapshot_id) group by all)"""
 _WIN = " and ".join(f"name not like '{p}'" for p in KD.WIN_LOGIN_EXCLUDE)
 _KW = f"""{_K3},
 base as (select {K}, machine_name, coalesce(instance_name, '<default>') as instance_name, edition, product_version,
@@ -1449,24 +1476,30 @@ cm as (select {K}, count(case when certificate_id > 257 then 1 end) as certifica
 agm as (select {K}, count(distinct database_id) as ag_databases from replica_states group by all),
 u as (select {K}, sum(data_used_gb) as data_used_gb, sum(log_used_gb) as log_used_gb from su
   where database_name not in ('master', 'model', 'msdb', 'tempdb') group by all),
+{_SO},
 w0 as (select * from base left join cpus using ({K}) left join dbm using ({K}) left join fm using ({K})
   left join jm using ({K}) left join tm using ({K}) left join spm using ({K}) left join fe0 using ({K})
-  left join svc using ({K}) left join cm using ({K}) left join agm using ({K}) left join u using ({K})),
+  left join svc using ({K}) left join cm using ({K}) left join agm using ({K}) left join u using ({K})
+  left join so using ({K}) left join tde using ({K}) left join sub using ({K})),
 w as (select {K}, machine_name, instance_name, edition, product_version, version_name, product_level, "collation",
   total_memory_gb, last_restart, is_clustered, is_hadr_enabled, time_zone, default_data_path, default_log_path,
-  resource_governor, os_cpus, {", ".join(f"coalesce({c}, 0) as {c}" for c in _COUNTS)},
+  resource_governor, os_cpus, {", ".join(f"coalesce({c}, 0) as {c}" for c in _COUNTS if c != "_master_key")},
   total_gb_user_files, coalesce(edition_features, '0') as edition_features, data_used_gb, log_used_gb,
   case when coalesce(repl, 0) > 0 then 'Yes' else 'NO' end as replication_configured,
   case when coalesce(ssisdb, 0) > 0 then 'Yes' else 'NO' end as ssisdb_catalog,
   case when coalesce(ssis, 0) > 0 then 'Yes' else 'NO' end as ssis_installed,
   case when coalesce(ssas, 0) > 0 then 'Yes' else 'NO' end as ssas_installed,
-  case when coalesce(ssrs, 0) > 0 then 'Yes' else 'NO' end as ssrs_installed from w0),
+  case when coalesce(ssrs, 0) > 0 then 'Yes' else 'NO' end as ssrs_installed,
+  case when coalesce(mirrored_dbs, 0) > 0 then 'Yes' else 'NO' end as mirroring_configured,
+  case when coalesce(log_shipping_primary, 0) > 0 or coalesce(log_shipping_secondary, 0) > 0 then 'Yes' else 'NO' end
+    as log_shipping_configured,
+  case when coalesce(_master_key, 0) > 0 then 'Configured' else 'Not configured' end as master_key from w0),
 ws as (select {K}, columns(* exclude ({K}))::varchar from w),
 m as (select * from ws unpivot include nulls (value for metric in (columns(* exclude ({K})))))"""
 
 
 def _k1_rel(spark, d):
-    return rel(spark, d, *_KRELS)
+    return rel(spark, d, *_KRELS)  # noqa: E501
 
 
 @case("k1_discovery_metrics", _KRELS, f"{_KW} select * from m")
@@ -1482,6 +1515,28 @@ _TPL = "(values " + ", ".join(
 @case("k4_report_lines", _KRELS, f"""{_KW}
 select m.server_name, m.snapshot_id, t.line_no, t.section, t.label || ' = ' || coalesce(m.value, 'N/A') as line
 from m join {_TPL} on m.metric = t.metric
-where t.show_if is null or (t.show_if = 'gt0' and coalesce(try_cast(m.value as double), 0.0) > 0)""")
+left join (select {K}, value <> '0' as feats from m where metric = 'edition_features') f
+  on m.server_name = f.server_name and m.snapshot_id = f.snapshot_id
+where t.show_if is null or (t.show_if = 'gt0' and coalesce(try_cast(m.value as double), 0.0) > 0)
+  or (t.show_if = 'features' and coalesce(f.feats, false))""")
 def _k4(spark, d):
     return KD.report_lines(spark, KD.discovery_metrics(*_k1_rel(spark, d)))
+
+
+@case("k5_user_objects", ["objects", "schemas"], f"""
+o as (select ob.*, s.name as schema_name from objects ob left join schemas s on ob.server_name = s.server_name
+  and ob.snapshot_id = s.snapshot_id and ob.database_name = s.database_name and ob.schema_id = s.schema_id)
+select {K}, database_name, count(*) as user_objects from o x
+where x.schema_name is not null
+  and not (x.schema_name = 'sys' or (x.database_name = 'msdb' and x.schema_name = 'MS_PerfDashboard'))
+  and not x.is_ms_shipped
+  and x.parent_object_id not in (select y.object_id from o y where y.server_name = x.server_name
+    and y.snapshot_id = x.snapshot_id and y.database_name = x.database_name and (y.schema_name = 'sys' or y.is_ms_shipped))
+group by all""")
+def _k5(spark, d):
+    return KD.user_object_counts(*rel(spark, d, "objects", "schemas"))
+
+
+@case("k1_server_object_counts", ["server_objects"], f"""{_SO} select * from so""")
+def _k1b(spark, d):
+    return KD.server_object_counts(rel(spark, d, "server_objects"))
