@@ -129,11 +129,13 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     the cluster's default parallelism. Large inputs already have more
     partitions and pass through untouched; only a few-split input (one small
     file) is round-robin repartitioned."""
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        sc = df.sparkSession.sparkContext
+        want = min_partitions or sc.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view of the plan (e.g. a remote session): leave as is
         return df
-    return df.repartition(want)
+    return df if have >= want else df.repartition(want)
 
 
 def materialize(df: DataFrame) -> DataFrame:
