@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tsql import UNLIMITED_MEMORY_MB, ci_like_any, money, pages_to_mb_trunc
-from ..plans.shape import FINDING_COLS, finding, kcols
+from ..plans.shape import FINDING_COLS, finding, kcols, kjoin
 from .instance import decode_version
 
 # The settings the configuration listing shows.
@@ -87,7 +87,7 @@ def config_checks(config: DataFrame, instances: DataFrame, keys=None) -> DataFra
         inuse("cost threshold for parallelism").alias("ct"),
         has("max full-text crawl range", "value_in_use", 4).alias("cr4"),
         inuse("max full-text crawl range").alias("cr"))
-    a = a.join(instances.select(*k, "is_fulltext_installed"), k, "left")
+    a = kjoin(a, instances.select(*k, "is_fulltext_installed"), k, "left")
     c = F.col
     gb = lambda x: money(x / F.lit(1024.0))
     items = [
@@ -156,7 +156,7 @@ def db_setting_checks(databases: DataFrame, instances: DataFrame, keys=None) ->
     auto shrink, auto update statistics off."""
     k = kcols(keys)
     inst = decode_version(instances).select(*k, (F.col("v_major").cast("int") * 10).alias("inst_compat"))
-    d = live(databases).join(inst, k, "inner")
+    d = kjoin(live(databases), inst, k, "inner")
     a = d.groupBy(*k).agg(
         F.count_if(F.col("is_encrypted")).alias("enc"),
         F.count_if(F.col("compatibility_level") < F.col("inst_compat")).alias("compat"),
@@ -219,7 +219,7 @@ def trace_flag_checks(flags: DataFrame, instances: DataFrame, databases: DataFra
         for tf in ("1117", "1118", "3226", "2371")])
     low = live(databases).groupBy(*k).agg(F.count_if(F.col("compatibility_level") < 130).alias("low"))
     inst = decode_version(instances).select(*k, F.col("v_major").cast("int").alias("major"))
-    a = inst.join(g, k, "left").join(low, k, "left").na.fill(0, ["f1117", "f1118", "f3226", "f2371", "low"])
+    a = kjoin(kjoin(inst, g, k, "left"), low, k, "left").na.fill(0, ["f1117", "f1118", "f3226", "f2371", "low"])
     new = F.col("major") >= 13
 
     def flag(tf, extra=""):
@@ -257,7 +257,7 @@ def service_account_checks(services: DataFrame, instances: DataFrame, keys=None)
         .agg(F.max("instant_file_initialization_enabled").alias("ifi"))
     inst = decode_version(instances).select(*k, F.col("v_major").cast("int").alias("major"),
                                             F.col("v_build").alias("build"), "memory_model")
-    a = inst.join(ifi, k, "left")
+    a = kjoin(inst, ifi, k, "left")
     ok_ver = (F.col("major") > 13) | ((F.col("major") == 13) & (F.col("build") >= 4001)) | \
              ((F.col("major") == 11) & (F.col("build") >= 7001))
     items = [

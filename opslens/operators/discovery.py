@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tsql import version_name
-from ..plans.shape import dim, kcols
+from ..plans.shape import dim, kcols, kjoin
 from .backup import SYSTEM_DBS
 
 # Service names that mean SSIS / SSAS / SSRS are installed.
@@ -35,7 +35,7 @@ def edition_features(sku_features: DataFrame, servers: DataFrame, keys=None) ->
     k = kcols(keys)
     f = sku_features.select(*k, "feature_name").distinct().groupBy(*k).agg(
         F.array_join(F.array_sort(F.collect_list("feature_name")), ", ").alias("edition_features"))
-    return servers.select(*k).distinct().join(f, k, "left") \
+    return kjoin(servers.select(*k).distinct(), f, k, "left") \
         .select(*k, F.coalesce("edition_features", F.lit("0")).alias("edition_features"))
 
 
@@ -186,7 +186,7 @@ def discovery_metrics(instances: DataFrame, databases: DataFrame, files: DataFra
         "default_data_path", "default_log_path",
         F.when(F.col("is_resource_governor_enabled"), "Yes").otherwise("No").alias("resource_governor")))
     vis = schedulers.filter(F.col("status") == "VISIBLE ONLINE").select(*k).distinct()
-    add(i.select(*k, F.col("cpu_count").alias("os_cpus")).join(vis, k, "left_semi"))
+    add(kjoin(i.select(*k, F.col("cpu_count").alias("os_cpus")), vis, k, "left_semi"))
     add(databases.groupBy(*k).agg(
         F.count_if(uid & online).alias("user_dbs_online"),
         F.count_if(uid & ~online).alias("user_dbs_not_online"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tsql import UNLIMITED_MEMORY_MB, money, parsename, version_name
-from ..plans.shape import dim, finding, kcols
+from ..plans.shape import dim, finding, kcols, kjoin
 
 MAXB = 1 << 30  # open upper end of a build interval
 
@@ -165,7 +165,7 @@ def cpu_visibility(instances: DataFrame, schedulers: DataFrame, keys=None) -> Da
     k = kcols(keys)
     vis = schedulers.filter(F.col("status") == "VISIBLE ONLINE").groupBy(*k) \
         .agg(F.count("cpu_id").alias("visible_cpu_count"))
-    return instances.select(*k, "cpu_count").join(vis, k, "inner")
+    return kjoin(instances.select(*k, "cpu_count"), vis, k, "inner")
 
 
 def _max_mem(config: DataFrame, keys) -> DataFrame:
@@ -180,9 +180,10 @@ def identity_checks(instances: DataFrame, schedulers: DataFrame, config: DataFra
     """A4: server name differs from machine name; OS CPUs differ from visible
     schedulers; SQL max memory above physical memory (unless unlimited)."""
     k = kcols(keys)
-    base = instances.select(*k, "machine_name", "physical_memory_kb") \
-        .join(cpu_visibility(instances, schedulers, keys), k, "left") \
-        .join(_max_mem(config, keys), k, "left")
+    # The instance's own name is an attribute, also without fleet keys.
+    own = [] if "server_name" in k else ["server_name"]
+    base = kjoin(kjoin(instances.select(*k, *own, "machine_name", "physical_memory_kb"),
+                       cpu_visibility(instances, schedulers, keys), k, "left"), _max_mem(config, keys), k, "left")
     phys_gb = (F.col("physical_memory_kb").cast("double") / 1024 / 1024).cast("decimal(15,2)")
     name = finding(base.filter(F.col("server_name") != F.col("machine_name")), keys, "A4.server_name",
                    "warn", F.col("machine_name"),

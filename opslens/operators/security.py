@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tsql import quotename
-from ..plans.shape import kcols
+from ..plans.shape import kcols, kjoin
 
 PASSWORD_PLACEHOLDER = "<password>"
 # Object permission action codes, in script order.
@@ -289,7 +289,7 @@ def eligible_databases(databases: DataFrame, instances: DataFrame, keys=None) ->
     collation is the server's (= master's) collation."""
     k = kcols(keys)
     srv = instances.select(*k, F.col("collation").alias("_server_collation"))
-    return databases.join(srv, k, "inner") \
+    return kjoin(databases, srv, k, "inner") \
         .filter((F.col("collation_name") == F.col("_server_collation")) & (F.col("database_id") > 4)
                 & (F.col("user_access") == 0) & ~F.col("is_read_only") & (F.col("state_desc") == "ONLINE")) \
         .select(*k, F.col("name").alias("database_name"))

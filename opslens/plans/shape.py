@@ -153,3 +153,14 @@ def materialize(df: DataFrame) -> DataFrame:
             sc.setCheckpointDir(d)
         return df.checkpoint(eager=True)
     return df.cache()
+
+
+def kjoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join two per-server relations on the fleet key. With ``keys=[]``
+    (single-instance mode) the right side is a one-row aggregate of the one
+    instance; it is broadcast (Spark plans the constant key as a nested loop
+    over that single row), so the join stays bounded."""
+    if keys:
+        return left.join(right, keys, how)
+    return left.withColumn("_one", F.lit(1)).join(F.broadcast(right.withColumn("_one", F.lit(1))), "_one", how) \
+        .drop("_one")

@@ -24,8 +24,11 @@ def case(name: str, oracle_rels: list[str] | None = None, oracle_body: str | Non
         sql = None
         if oracle_body is not None:
             body = oracle_body.strip()
-            prefix = with_clause(oracle_rels or [])
-            sql = prefix + ("" if body.lower().startswith("select") else ", ") + body
+            if not oracle_rels:
+                sql = body
+            else:
+                prefix = with_clause(oracle_rels)
+                sql = prefix + ("" if body.lower().startswith("select") else ", ") + body
         CASES[name] = (fn, sql)
         return fn
     return deco

@@ -1540,3 +1540,21 @@ def _k5(spark, d):
 @case("k1_server_object_counts", ["server_objects"], f"""{_SO} select * from so""")
 def _k1b(spark, d):
     return KD.server_object_counts(rel(spark, d, "server_objects"))
+
+
+# ---------------------------------------------------------------- end-to-end health check
+from .operators import report as R  # noqa: E402
+from .suite import CASES as _ALL  # noqa: E402
+
+_HC = ["a4_identity_checks", "b3_config_checks", "b5_db_setting_checks", "b7_owner_checks", "b8_trace_flag_checks",
+       "b9_service_account_checks", "b10_msdb_size_check", "b11_recovery_model_count", "b12_module_check",
+       "c9_file_growth_checks", "c11_tempdb_file_count", "c12_tempdb_uniformity", "c13_vlf_check", "d6_no_log_backup",
+       "d9_no_full_backup", "d11_never_checked", "d12_stale_integrity_count", "h2_ag_health"]
+_HC_RELS = ["instances", "schedulers", "config", "databases", "jobs", "packages", "trace_flags", "services",
+            "master_files", "modules", "log_info", "backupset", "dbinfo", "availability_groups"]
+_CASES_HC_SQL = "\nunion all by name\n".join(f"select * from ({_ALL[n][1]})" for n in _HC)
+
+
+@case("health_check_findings", [], _CASES_HC_SQL)
+def _hc(spark, d):
+    return R.health_check_findings(spark, dict(zip(_HC_RELS, rel(spark, d, *_HC_RELS))), as_of=AS_OF)
