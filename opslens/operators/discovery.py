@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.tsql import version_name
 from ..plans.shape import dim, kcols, kjoin
 from .backup import SYSTEM_DBS
+from .instance import physical_memory_gb
 
 # Service names that mean SSIS / SSAS / SSRS are installed.
 SSIS_PREFIX, SSAS_PREFIX, SSRS_NAMES = "MsDtsServer", "MSSQLServerOLAPService", ["ReportServer", "SQLServerReportingServices"]
@@ -181,7 +182,7 @@ def discovery_metrics(instances: DataFrame, databases: DataFrame, files: DataFra
     add(i.select(
         *k, "machine_name", F.coalesce("instance_name", F.lit("<default>")).alias("instance_name"), "edition",
         "product_version", version_name("product_version").alias("version_name"), "product_level", "collation",
-        (F.col("physical_memory_kb").cast("double") / 1024 / 1024).cast("decimal(15,2)").alias("total_memory_gb"),
+        physical_memory_gb(i).alias("total_memory_gb"),
         F.col("sqlserver_start_time").alias("last_restart"), "is_clustered", "is_hadr_enabled", "time_zone",
         "default_data_path", "default_log_path",
         F.when(F.col("is_resource_governor_enabled"), "Yes").otherwise("No").alias("resource_governor")))

@@ -138,19 +138,25 @@ def match_rules(instances: DataFrame, rules: DataFrame, keys=None) -> DataFrame:
     return best.select(*k, "product_version", "m.*")
 
 
+def physical_memory_gb(instances: DataFrame) -> F.Column:
+    """Physical memory in GB, decimal(15,2): ``physical_memory_kb`` (2012 on),
+    else ``physical_memory_in_bytes`` (2008) when landed."""
+    kb = F.col("physical_memory_kb").cast("double")
+    if "physical_memory_in_bytes" in instances.columns:
+        kb = F.coalesce(kb, F.col("physical_memory_in_bytes").cast("double") / 1024)
+    return (kb / 1024 / 1024).cast("decimal(15,2)")
+
+
 def instance_identity(instances: DataFrame, keys=None) -> DataFrame:
     """A1: one row per server with version name, sockets (integer
     cpu/hyperthread ratio) and physical memory in GB."""
-    mem_kb = F.col("physical_memory_kb")
-    if "physical_memory_in_bytes" in instances.columns:
-        mem_kb = F.coalesce(mem_kb, F.col("physical_memory_in_bytes") / 1024)
     return instances.select(
         *kcols(keys), "machine_name", F.coalesce("instance_name", F.lit("<default>")).alias("instance_name"),
         "edition", "product_version", version_name("product_version").alias("version_name"),
         "product_level", "collation", "is_clustered", "is_hadr_enabled", "virtual_machine_type",
         "cpu_count", "hyperthread_ratio",
         F.call_function("div", F.col("cpu_count"), F.col("hyperthread_ratio")).alias("sockets"),
-        (mem_kb.cast("double") / 1024 / 1024).cast("decimal(15,2)").alias("physical_memory_gb"))
+        physical_memory_gb(instances).alias("physical_memory_gb"))
 
 
 def version_names(instances: DataFrame, keys=None) -> DataFrame:
