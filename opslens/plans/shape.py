@@ -52,7 +52,9 @@ def top_n(df: DataFrame, keys, order: list[Column], n: int) -> DataFrame:
 
 def rank_in(df: DataFrame, keys, order: list[Column], name: str = "rn") -> DataFrame:
     """``row_number`` per keys. Callers aggregate first, so partitions hold
-    one server's databases / wait types, never raw fact rows."""
+    one server's databases / wait types, never raw fact rows. With
+    ``keys=[]`` the input is one instance's aggregate (e.g. at most 52 wait
+    types), so the single window partition is bounded."""
     keys = kcols(keys)
     w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
     return df.withColumn(name, F.row_number().over(w))
@@ -119,11 +121,6 @@ def lookup_join(fact: DataFrame, dimension: DataFrame, on: list[str], how: str =
     return f.join(d.hint("shuffle_hash"), on + ["_salt"], how).drop("_salt")
 
 
-def nulls_last(c: str | Column, desc: bool = False) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return c.desc_nulls_last() if desc else c.asc_nulls_last()
-
-
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give CPU-heavy per-row work (XML parsing, long-text slicing) at least
     the cluster's default parallelism. Large inputs already have more

@@ -12,7 +12,7 @@ Each binding is ``select <expr> as <col>, ... from <source> [tail]``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +22,6 @@ class Binding:
     source: str
     cols: tuple[tuple[str, str], ...]
     tail: str = ""
-    extra_sources: tuple[str, ...] = field(default_factory=tuple)
 
     def select_list(self) -> str:
         # Fleet-key columns are derived from a source column (not literals) so
