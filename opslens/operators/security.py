@@ -9,7 +9,7 @@ the source prints. Passwords are arguments (placeholders), never literals.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tsql import quotename
@@ -180,8 +180,8 @@ def script_database_grants(perms: DataFrame, principals: DataFrame, universe=Non
 def script_object_grants(perms: DataFrame, principals: DataFrame, objects: DataFrame, schemas: DataFrame,
                          universe=None, keys=None) -> DataFrame:
     """Object permissions (object types other than IT, S, X); 'W' state
-    becomes GRANT ... WITH GRANT OPTION. Rows are distinct and numbered per
-    database by grantee then object (``seq``)."""
+    becomes GRANT ... WITH GRANT OPTION. Rows are distinct (the source's
+    print-and-delete loop); order by principal_name, object_name."""
     k = kcols(keys)
     d = k + ["database_name"]
     pr = principals.select(*d, F.col("principal_id").alias("grantee_principal_id"), F.col("name").alias("grantee"))
@@ -194,19 +194,14 @@ def script_object_grants(perms: DataFrame, principals: DataFrame, objects: DataF
     rows = j.select(*d, F.when(w, "GRANT").otherwise(state_desc(F.col("state"))).alias("_state"),
                     "permission_name", "schema_name", "obj_name", "grantee",
                     F.when(w, "] WITH GRANT OPTION").otherwise("]").alias("_suffix")).distinct()
-    seq = F.row_number().over(Window.partitionBy(*d).orderBy("grantee", "obj_name", "permission_name", "_state",
-                                                             "schema_name", "_suffix"))
+    # The source prints in (grantee, object) order; rows carry both columns to
+    # sort by. No row_number over a whole database: one database can hold a
+    # large share of all grants, and a window would put it in one task.
     stmt = cat(F.col("_state"), " ", F.col("permission_name"), " ON [", F.col("schema_name"), "].[", F.col("obj_name"),
                "] TO [", F.col("grantee"), F.col("_suffix"))
-    out = rows.select(*d, F.lit("object_grants").alias("section"), F.lit("info").alias("severity"),
-                      F.col("grantee").alias("principal_name"), F.col("obj_name").alias("object_name"),
-                      stmt.alias("statement"), seq.alias("seq"))
-    if universe is None:
-        return out
-    u = universe.select(*d).distinct().join(out.select(*d).distinct(), d, "left_anti")
-    none = _out(u, keys, "object_grants", F.lit(None), F.lit(None),
-                F.lit("/*No database user object GRANTS found*/")).withColumn("seq", F.lit(None).cast("int"))
-    return out.unionByName(none)
+    out = _out(rows.withColumns({"_p": F.col("grantee"), "_o": F.col("obj_name"), "_s": stmt}), keys,
+               "object_grants", F.col("_p"), F.col("_o"), F.col("_s"))
+    return with_none_found(out, universe, keys, "object_grants", "/*No database user object GRANTS found*/")
 
 
 def script_role_members(principals: DataFrame, members: DataFrame, universe=None, keys=None) -> DataFrame:

@@ -1265,10 +1265,9 @@ d0 as (select distinct p.server_name, p.snapshot_id, p.database_name,
   join schemas s on o.server_name = s.server_name and o.snapshot_id = s.snapshot_id and o.database_name = s.database_name
     and o.schema_id = s.schema_id),
 rows as (select {K}, database_name, 'object_grants' as section, 'info' as severity, grantee as principal_name,
-  obj_name as object_name, concat(st, ' ', permission_name, ' ON [', schema_name, '].[', obj_name, '] TO [', grantee, suffix) as statement,
-  row_number() over (partition by {K}, database_name order by grantee, obj_name, permission_name, st, schema_name, suffix) as seq
+  obj_name as object_name, concat(st, ' ', permission_name, ' ON [', schema_name, '].[', obj_name, '] TO [', grantee, suffix) as statement
   from d0)
-select * from rows union all select *, cast(null as int) as seq from ({_none('object_grants', '/*No database user object GRANTS found*/')})""")
+select * from rows union all {_none('object_grants', '/*No database user object GRANTS found*/')}""")
 def _j9(spark, d):
     perms, pr, ob, sc = rel(spark, d, "permissions", "principals", "objects", "schemas")
     return S.script_object_grants(perms, pr, ob, sc, universe=S.database_universe(pr))
