@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.loader import load_fleet, write_result
+
 from . import backup as D, database as B, ha as H, instance as A, storage as C
 
 
@@ -35,3 +37,21 @@ def health_check_findings(spark: SparkSession, t: dict[str, DataFrame], as_of, k
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+HEALTH_CHECK_INPUTS = ["instances", "schedulers", "config", "databases", "jobs", "packages", "trace_flags",
+                       "services", "master_files", "modules", "log_info", "backupset", "dbinfo",
+                       "availability_groups"]
+
+
+def run_health_check(spark: SparkSession, landing_root: str, as_of, out_path: str | None = None,
+                     fmt: str = "parquet") -> DataFrame:
+    """Production entry: read the landed views under ``landing_root``, build
+    the findings, and (optionally) append them to ``out_path`` partitioned by
+    snapshot date (the result table R7)."""
+    t = load_fleet(spark, landing_root, HEALTH_CHECK_INPUTS, fmt=fmt)
+    findings = health_check_findings(spark, t, as_of)
+    if out_path:
+        from pyspark.sql import functions as F
+        write_result(findings.withColumn("snapshot_ts", F.lit(as_of).cast("timestamp")), out_path)
+    return findings

@@ -85,3 +85,12 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         raise RuntimeError("spark.checkpoint.dir is not set")
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback
+
+
+def load_fleet(spark: SparkSession, root: str, names: Iterable[str], fmt: str = "parquet",
+               schemas: dict | None = None) -> dict[str, DataFrame]:
+    """Read a landing folder laid out as ``<root>/<view name>/`` (each a
+    table, typically partitioned by snapshot date) into a name -> DataFrame
+    map for the operators. Reads are lazy; nothing is scanned here."""
+    schemas = schemas or {}
+    return {n: load_snapshot(spark, f"{root}/{n}", schema=schemas.get(n), fmt=fmt) for n in names}
