@@ -110,8 +110,9 @@ def lookup_join(fact: DataFrame, dimension: DataFrame, on: list[str], how: str =
     counts = (fact if key_source is None else key_source).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     hot_keys = F.broadcast(counts.orderBy(F.col("_n").desc(), *on).limit(hot)
                            .select(*on, F.lit(True).alias("_hot")))
+    hashable = [F.col(c) for c, t in fact.dtypes if not t.startswith("map")] or [F.lit(0)]
     f = fact.join(hot_keys, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(salts)))
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*hashable), F.lit(salts)))
         .otherwise(F.lit(0)).cast("int")).drop("_hot")
     d = dimension.join(hot_keys, on, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
