@@ -69,7 +69,7 @@ def wait_stats(spark: SparkSession, waits: DataFrame, n: int = 10, keys=None) ->
         scaled("wait_time_ms", 3, "decimal(18,2)").alias("wait_s"),
         scaled(F.col("wait_time_ms") - F.col("signal_wait_time_ms"), 3, "decimal(18,2)").alias("resource_s"),
         scaled("signal_wait_time_ms", 3, "decimal(18,2)").alias("signal_s"),
-        "percentage", "rn", "category", "comment")
+        "percentage", F.col("rn").cast("long").alias("rn"), "category", "comment")
 
 
 def wait_listing(spark: SparkSession, waits: DataFrame, n: int = 10, keys=None) -> DataFrame:
