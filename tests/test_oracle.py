@@ -22,9 +22,22 @@ def test_entry_runs(spark):
     assert "pct" in df.columns
 
 
+SPARK_TO_DUCK = {"LongType": "BIGINT", "IntegerType": "INTEGER", "StringType": "VARCHAR", "DoubleType": "DOUBLE",
+                 "BooleanType": "BOOLEAN", "TimestampNTZType": "TIMESTAMP", "ShortType": "SMALLINT"}
+
+
+def _duck_type(f):
+    t = f.dataType
+    if t.typeName() == "decimal":
+        return f"DECIMAL({t.precision},{t.scale})"
+    return SPARK_TO_DUCK.get(type(t).__name__, str(t))
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_oracle(spark, duck, name):
     sdf = QUERIES[name](spark, SF_SMALL)
+    rel = duck.sql(ORACLES[name])
+    assert {f.name: _duck_type(f) for f in sdf.schema.fields} == dict(zip(rel.columns, map(str, rel.types)))
     srows = [tuple(r) for r in sdf.collect()]
     cur = duck.execute(ORACLES[name])
     dcols = [d[0] for d in cur.description]
