@@ -1178,7 +1178,7 @@ def _j3(spark, d):
 @case("j4_script_schema_permissions", ["permissions", "schemas", "principals"], f"""
 select p.server_name, p.snapshot_id, p.database_name, 'schema_permissions' as section, 'info' as severity,
   g.name as principal_name, s.name as object_name,
-  concat({_STATE.replace('state', 'p.state').replace("case p.state", "case p.state")}, ' ', p.permission_name, ' ON SCHEMA::', {_qn('s.name')},
+  concat({_STATE.replace('case state', 'case p.state')}, ' ', p.permission_name, ' ON SCHEMA::', {_qn('s.name')},
          ' TO ', {_qn('g.name')}, ' AS ', {_qn('o.name')}) as statement
 from permissions p
 join schemas s on p.server_name = s.server_name and p.snapshot_id = s.snapshot_id and p.database_name = s.database_name
@@ -1498,7 +1498,7 @@ m as (select * from ws unpivot include nulls (value for metric in (columns(* exc
 
 
 def _k1_rel(spark, d):
-    return rel(spark, d, *_KRELS)  # noqa: E501
+    return rel(spark, d, *_KRELS)
 
 
 @case("k1_discovery_metrics", _KRELS, f"{_KW} select * from m")
