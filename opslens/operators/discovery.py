@@ -30,12 +30,17 @@ def _yes_no(c):
     return F.when(c, "Yes").otherwise("NO")
 
 
+def _features_in_use(sku_features: DataFrame, keys) -> DataFrame:
+    k = kcols(keys)
+    return sku_features.select(*k, "feature_name").distinct().groupBy(*k).agg(
+        F.array_join(F.array_sort(F.collect_list("feature_name")), ", ").alias("edition_features"))
+
+
 def edition_features(sku_features: DataFrame, servers: DataFrame, keys=None) -> DataFrame:
     """K2: distinct edition-specific feature names in use per server, joined
     by ', ' in name order; '0' when none."""
     k = kcols(keys)
-    f = sku_features.select(*k, "feature_name").distinct().groupBy(*k).agg(
-        F.array_join(F.array_sort(F.collect_list("feature_name")), ", ").alias("edition_features"))
+    f = _features_in_use(sku_features, keys)
     return kjoin(servers.select(*k).distinct(), f, k, "left") \
         .select(*k, F.coalesce("edition_features", F.lit("0")).alias("edition_features"))
 
@@ -186,7 +191,7 @@ def discovery_metrics(instances: DataFrame, databases: DataFrame, files: DataFra
         F.col("sqlserver_start_time").alias("last_restart"), "is_clustered", "is_hadr_enabled", "time_zone",
         "default_data_path", "default_log_path",
         F.when(F.col("is_resource_governor_enabled"), "Yes").otherwise("No").alias("resource_governor")))
-    vis = schedulers.filter(F.col("status") == "VISIBLE ONLINE").select(*k).distinct()
+    vis = schedulers.filter(F.col("status") == "VISIBLE ONLINE").select(*k)
     add(kjoin(i.select(*k, F.col("cpu_count").alias("os_cpus")), vis, k, "left_semi"))
     add(databases.groupBy(*k).agg(
         F.count_if(uid & online).alias("user_dbs_online"),
@@ -216,7 +221,7 @@ def discovery_metrics(instances: DataFrame, databases: DataFrame, files: DataFra
         F.count_if((F.col("type") == "S") & ~n.like("##MS_%")).alias("sql_logins"),
         F.count_if(F.col("type").isin("U", "G") & win_ok).alias("windows_logins"),
         F.count_if((F.col("type") == "R") & (F.col("principal_id") > 10)).alias("server_roles")))
-    add(edition_features(sku_features, i, keys))
+    add(_features_in_use(sku_features, keys))  # servers without features get the '0' default
     sv = F.col("servicename")
     add(services.groupBy(*k).agg(
         _yes_no(F.max(sv.startswith(SSIS_PREFIX).cast("int")) > 0).alias("ssis_installed"),
