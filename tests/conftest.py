@@ -20,6 +20,7 @@ def spark():
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.local.dir", scratch)
+         .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     # Tests are the one place that names a checkpoint folder, and only if unset.
