@@ -56,3 +56,14 @@ def test_plan_statement_round_trip(spark):
     assert (r.sql_text, r.impact, r.equality_columns, r.inequality_columns, r.include_columns) == \
         ('select "a" & b', 12.5, "[a], [z]", None, "[c]")
     assert r.potential_ddl == "CREATE NONCLUSTERED INDEX IX_s_t1_az ON [s].[t_1]([a], [z]) INCLUDE ([c])"
+
+
+def test_time_zone_conversion_is_dst_aware(spark):
+    ev = lambda ts: ("s", 0, H.STATE_CHANGE, f'<event timestamp="{ts}"><data name="availability_group_name">'
+                     "<value>ag</value></data></event>")
+    xe = spark.createDataFrame([ev("2024-01-15 12:00:00"), ev("2024-07-15 12:00:00")],
+                               "server_name string, snapshot_id int, object_name string, event_data string")
+    by_tz = sorted(r.event_timestamp.hour for r in H.ag_state_changes(xe, tz="America/New_York").collect())
+    fixed = sorted(r.event_timestamp.hour for r in H.ag_state_changes(xe, utc_offset_hours=-5).collect())
+    assert by_tz == [7, 8]   # EST in January, EDT in July
+    assert fixed == [7, 7]   # the source's "today's offset" applied to every event
