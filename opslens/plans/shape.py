@@ -1,8 +1,10 @@
 """Plan building blocks shared by the operators.
 
 * ``SNAP`` — the fleet key every operator groups/partitions by.
-* ``top_n`` / ``with_share`` — per-key top lists and shares without ever
-  running a window over one unpartitioned input.
+* ``top_n`` / ``rank_in`` / ``with_total`` — per-key top lists, ranks and
+  totals, windows partitioned by the fleet key over aggregated rows.
+* ``kjoin`` — join per-server relations on the fleet key (or, with
+  ``keys=[]``, one instance's one-row aggregates).
 * ``finding`` — the common output shape of every *check* operator.
 * ``dim`` — literal dimension tables (bounded by construction, so they are
   safe to broadcast).
