@@ -43,3 +43,16 @@ def test_money_text_is_half_up_cents(spark, ints):
     for i, text in zip(ints, out):
         cents = int(__import__("math").floor(i / 1000.0 * 100 + 0.5))
         assert text == f"{cents // 100:,}.{cents % 100:02d}"
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 10**7), st.integers(0, 10**7)), min_size=1, max_size=40))
+def test_datediff_counts_unit_boundaries(spark, pairs):
+    import datetime as dt
+    base = dt.datetime(2024, 1, 1)
+    rows = [(base + dt.timedelta(seconds=a), base + dt.timedelta(seconds=b)) for a, b in pairs]
+    df = spark.createDataFrame(rows, "a timestamp_ntz, b timestamp_ntz")
+    out = df.select(*[T.datediff_boundaries(u, "a", "b").alias(u) for u in ("second", "minute", "hour", "day")]).collect()
+    for (a, b), r in zip(pairs, out):
+        for unit, size in (("second", 1), ("minute", 60), ("hour", 3600), ("day", 86400)):
+            assert r[unit] == b // size - a // size, (unit, a, b)
