@@ -55,3 +55,22 @@ def run_health_check(spark: SparkSession, landing_root: str, as_of, out_path: st
         from pyspark.sql import functions as F
         write_result(findings.withColumn("snapshot_ts", F.lit(as_of).cast("timestamp")), out_path)
     return findings
+
+
+DISCOVERY_INPUTS = ["instances", "databases", "master_files", "jobs", "trace_flags", "server_principals",
+                    "sku_features", "services", "certificates", "replica_states", "schedulers", "server_objects",
+                    "encryption_keys", "availability_groups"]
+
+
+def run_discovery_report(spark: SparkSession, landing_root: str, out_path: str | None = None,
+                         as_of=None, fmt: str = "parquet") -> DataFrame:
+    """Production entry: landed views -> discovery
+    metrics -> ordered report lines; optionally appended to ``out_path``."""
+    from .discovery import discovery_metrics, report_lines
+    t = load_fleet(spark, landing_root, DISCOVERY_INPUTS, fmt=fmt)
+    lines = report_lines(spark, discovery_metrics(*[t[n] for n in DISCOVERY_INPUTS]))
+    if out_path:
+        from pyspark.sql import functions as F
+        ts = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
+        write_result(lines.withColumn("snapshot_ts", ts), out_path)
+    return lines

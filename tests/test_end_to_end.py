@@ -27,3 +27,13 @@ def test_landed_health_check_equals_in_memory(spark, tmpdir_path):
     written = spark.read.parquet(out)
     assert written.count() == landed.count()
     assert "snapshot_date" in written.columns
+
+
+def test_landed_discovery_report_equals_in_memory(spark, tmpdir_path):
+    from opslens.operators import discovery as K
+    land = os.path.join(tmpdir_path, "landing_k")
+    for n in R.DISCOVERY_INPUTS:
+        relation(spark, SF_SMALL, n).write.parquet(os.path.join(land, n))
+    landed = R.run_discovery_report(spark, land)
+    in_memory = K.report_lines(spark, K.discovery_metrics(*[relation(spark, SF_SMALL, n) for n in R.DISCOVERY_INPUTS]))
+    assert _rows(landed) == _rows(in_memory) and landed.count() > 0
