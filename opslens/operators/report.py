@@ -74,3 +74,34 @@ def run_discovery_report(spark: SparkSession, landing_root: str, out_path: str |
         ts = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
         write_result(lines.withColumn("snapshot_ts", ts), out_path)
     return lines
+
+
+def access_audit(spark: SparkSession, t: dict[str, DataFrame], as_of, password: str | None = None,
+                 keys=None) -> DataFrame:
+    """SURVEY 3, entry 3: every permission-script section (J1-J14) in one
+    table (keys, database_name, section, severity, principal_name,
+    object_name, statement). Generated text is never executed."""
+    from . import security as S
+    pw = password or S.PASSWORD_PLACEHOLDER
+    pr, lg = t["principals"], t["logins"]
+    u = S.database_universe(pr, keys)
+    parts = [
+        S.script_certificates(t["certificates"], pw, u, keys),
+        S.script_users(pr, lg, u, keys),
+        S.script_certificate_users(pr, t["certificates"], u, keys),
+        S.script_schema_permissions(t["permissions"], t["schemas"], pr, keys=keys),
+        S.script_roles(pr, u, keys),
+        S.script_app_roles(pr, pw, u, keys),
+        S.script_nested_roles(pr, t["role_members"], u, keys),
+        S.script_database_grants(t["permissions"], pr, u, keys),
+        S.script_object_grants(t["permissions"], pr, t["objects"], t["schemas"], u, keys),
+        S.script_role_members(pr, t["role_members"], u, keys),
+        S.script_user_header(pr, lg, as_of, keys=keys),
+        S.script_user_roles(pr, lg, t["role_members"], keys),
+        S.script_user_object_permissions(spark, t["protects"], t["objects"], t["schemas"], pr, lg, keys),
+        S.orphan_users(pr, t["server_principals"], t["databases"], t["instances"], keys),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

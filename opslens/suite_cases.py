@@ -1557,3 +1557,17 @@ _CASES_HC_SQL = "\nunion all by name\n".join(f"select * from ({_ALL[n][1]})" for
 @case("health_check_findings", [], _CASES_HC_SQL)
 def _hc(spark, d):
     return R.health_check_findings(spark, dict(zip(_HC_RELS, rel(spark, d, *_HC_RELS))), as_of=AS_OF)
+
+
+# ---------------------------------------------------------------- end-to-end access audit
+_AA = ["j1_script_certificates", "j2_script_users", "j3_script_certificate_users", "j4_script_schema_permissions",
+       "j5_script_roles", "j6_script_app_roles", "j7_script_nested_roles", "j8_script_database_grants",
+       "j9_script_object_grants", "j10_script_role_members", "j11_script_user_header", "j12_script_user_roles",
+       "j13_script_user_object_permissions", "j14_orphan_users"]
+_AA_RELS = ["principals", "logins", "certificates", "permissions", "schemas", "role_members", "objects", "protects",
+            "server_principals", "databases", "instances"]
+
+
+@case("access_audit_script", [], "\nunion all by name\n".join(f"select * from ({_ALL[n][1]})" for n in _AA))
+def _aa(spark, d):
+    return R.access_audit(spark, dict(zip(_AA_RELS, rel(spark, d, *_AA_RELS))), as_of=AS_OF)
