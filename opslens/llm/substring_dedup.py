@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import repeated_starts, with_repeats
+from .stored import stored
 from .textarrays import Block, SpanHasher, blocks, covered_runs, owners, window_starts, words
 
 SCHEMA = "doc long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string"
@@ -157,7 +158,8 @@ def longest_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
         source = base if alive is None else base.join(alive, "doc")
         rows = source.mapInArrow(_level_rows(length, half), "key long, second long, doc long").distinct()
         shared = rows.groupBy("key", "second").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
-        alive = rows.join(shared, ["key", "second"], "left_semi").groupBy("doc").agg(F.collect_list("key").alias("alive")).checkpoint()
+        alive = stored(rows.join(shared, ["key", "second"], "left_semi").groupBy("doc")
+                       .agg(F.collect_list("key").alias("alive")))
         if alive.isEmpty():
             break
         here = alive.select(F.col("doc").alias(id_col), F.lit(length).alias("longest"))
