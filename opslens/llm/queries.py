@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_chat, read_back, text_parts
 from .exact_dedup import exact_dedup, lower_ascii
+from .minhash_dedup import near_duplicates
 from .quality_gam import fit_quality, score_quality
 from .source_mixing import mix_sources
 from .substring_dedup import substring_dedup
@@ -36,6 +37,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = prefix_token_counts(table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json", tables=False)
