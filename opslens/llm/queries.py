@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_chat, read_back, text_parts
 from .exact_dedup import exact_dedup, lower_ascii
+from .line_dedup import line_dedup
 from .minhash_dedup import near_duplicates
 from .quality_gam import fit_quality, score_quality
 from .source_mixing import mix_sources
@@ -67,6 +68,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"), min_words=6)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 SAMPLE_CHAT = "<|im_end|><|im_start|>assistant ok"
 
 

@@ -66,6 +66,13 @@ class SpanHasher:
         raw = (self._prefix[end] - self._prefix[start]) * self._inverse[start]
         return mix(raw + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
+    def joined(self, start: np.ndarray, left: np.ndarray, right: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of [start, left) followed by [right, end), as if contiguous."""
+        raw = (self._prefix[left] - self._prefix[start]) * self._inverse[start] \
+            + (self._prefix[end] - self._prefix[right]) * self._inverse[start + right - left]
+        length = end - start - (right - left)
+        return mix(raw + length.astype(_U) * _U(0xD6E8FEB86659FD93))
+
 
 @dataclass
 class Block:
