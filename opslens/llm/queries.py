@@ -17,6 +17,7 @@ from .quality_gam import fit_quality, score_quality
 from .source_mixing import mix_sources
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .template_decontam import leaked_items
 from .token_counts import prefix_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +159,10 @@ select id as doc_id, size, source_size, target,
   cast(copies * size + greatest(0, least(size, rest - coalesce(before, 0))) as bigint) as taken
 from r
 """
+
+
+@query
+def op10_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that has leaked into it."""
+    out = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "n_windows", "item_windows", "reparameterised")
