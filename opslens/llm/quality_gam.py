@@ -237,3 +237,12 @@ def score_quality(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_scores(model), "id string, score double").select(
         F.col("id").cast(kind).alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def quality_column(model: Gam, text):
+    """The score as a column, for filters that keep all other columns."""
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array(model.score(features(b))) for b in blocks(texts)]) if len(texts) else pa.array([], pa.float64())
+
+    return score(text.cast("string"))
