@@ -2,8 +2,8 @@
 an earlier occurrence. Shared by the word-level (substring_dedup) and the
 byte-level (suffix_dedup) operators.
 
-The work goes from short to long, and only what repeats at one length is
-looked at further:
+The work goes level by level, and only what repeats at one level is looked at
+in the next:
 
 1. *Anchors.* Every window is represented by its anchor, the smallest hash
    among its seeds of ``seed`` symbols. Equal windows have equal anchors at
@@ -11,23 +11,26 @@ looked at further:
    windows with one anchor form a group; only one row per group is shuffled
    (a fraction 2 / (window - seed + 2) of all positions).
 2. *Groups.* A group whose whole span occurred earlier is repeated as a
-   whole. Of equal spans the earliest is their representative.
-3. *Windows.* Representatives below a seed that has several different spans
-   are expanded to single windows, compared by a 128-bit hash.
+   whole. Of equal spans the earliest is their representative; where a seed
+   has several different spans, the representatives stay open.
+3. *Finer blocks.* Open groups are cut into blocks of windows by their offset
+   from the anchor, ``blocks_of`` windows each, down to 1. A block is
+   compared like a group, below the symbols that all its windows share.
 
 A seed that occurs once ends there, and so does a span that has no rival.
 
-Skew. Before each shuffle a task compares its own batch: of equal spans (or
-windows) only the earliest travels by its hash, later ones are already known
-to be repeats and travel by document. Seeds that have several spans within
-one batch are known to need step 3; their spans travel by span, with one
-marker row per batch for the seed. So no key receives more than about two
-rows per batch of documents, however many copies a passage has. Nothing is
-capped or dropped.
+Skew. Before each shuffle a task compares its own batch: of equal spans only
+the earliest travels by its hash, later ones are already known to be repeats
+and travel by document. Seeds that have several spans within one batch are
+known to stay open; their spans travel by span, with one marker row per
+batch for the seed. So no key receives more than about two rows per batch of
+documents, however many copies a passage has. Nothing is capped or dropped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,46 +41,45 @@ from .textarrays import SpanHasher, anchored, blocks, mix
 _U = np.uint64
 # The two lowest bits of ``key`` say what a row travels by.
 BY_SEED, BY_SPAN, BY_DOC = 0, 1, 2
-GROUP_SCHEMA = "key long, content long, doc long, at long"
-WINDOW_SCHEMA = "key long, second long, doc long, start long"
-_GROUP_ARROW = pa.schema([(c, pa.int64()) for c in ("key", "content", "doc", "at")])
-_WINDOW_ARROW = pa.schema([(c, pa.int64()) for c in ("key", "second", "doc", "start")])
+ROW_SCHEMA = "key long, content long, doc long, at long"
+_ARROW = pa.schema([(c, pa.int64()) for c in ("key", "content", "doc", "at")])
+# ``at`` packs a group: first start (28 bits), number of starts (8), anchor's
+# distance from the first start (8), fingerprint of the document (19).
+_LO, _N, _OFF = 35, 27, 19
+_PRINT = (1 << _OFF) - 1
 
 
 def _key(values: np.ndarray, by: int) -> np.ndarray:
     return (values & ~_U(3) | _U(by)).view(np.int64)
 
 
-def _rows(schema: pa.Schema, parts: list[tuple]) -> pa.RecordBatch:
-    cols = [np.concatenate([p[i].view(np.int64) if p[i].dtype == _U else p[i] for p in parts]) for i in range(len(schema))]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
-
-
-def _batch_blocks(batch: pa.RecordBatch):
-    """(ids, blocks with text) of a batch, without rows that have no id."""
-    known = batch.column("doc").is_valid()
-    if batch.column("doc").null_count:
-        batch = batch.filter(known)
-    doc = batch.column("doc").to_numpy(zero_copy_only=False)
-    for block in blocks(batch.column("text")):
-        yield doc[block.rows], block
-
-
-def _later(order: list[np.ndarray], same: list[np.ndarray], within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sort rows by ``same`` then by document (and start, when ``within`` a
-    document counts); returns the order, which rows begin a run of equal
-    ``same``, and which rows come after their run's first."""
-    doc, at = order
-    by = np.lexsort((at, doc, *reversed(same)))
-    begins = np.ones(len(by), bool)
-    for s in same:
-        begins[1:] &= s[by][1:] == s[by][:-1]
-    begins[1:] = ~begins[1:]
-    first = np.maximum.accumulate(np.where(begins, np.arange(len(by)), 0))
-    later = doc[by] > doc[by][first]
+def fingerprints(h: SpanHasher, first: np.ndarray) -> np.ndarray:
+    """Some bits of every document's hash: tells rows with one id but
+    different texts apart when flags come back by id."""
+    return (h(first[:-1], first[1:]) >> _U(64 - _OFF)).astype(np.int64)
+
+
+def _compared(parts: list[tuple], within: bool) -> pa.RecordBatch:
+    """Rows (seed, span, doc, at) of a batch, compared among themselves and
+    given the key they travel by."""
+    s, c, d, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    by = np.lexsort((at, d, c, s))
+    s, c, d, at = s[by], c[by], d[by], at[by]
+    new_seed, new = np.ones(len(s), bool), np.ones(len(s), bool)
+    new_seed[1:] = s[1:] != s[:-1]
+    new[1:] = new_seed[1:] | (c[1:] != c[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+    later = d > d[first]
     if within:
-        later |= (doc[by] == doc[by][first]) & (at[by] > at[by][first])
-    return by, begins, later
+        later |= (d == d[first]) & (at > at[first])
+    several = np.bincount(np.cumsum(new_seed) - 1, weights=new)[np.cumsum(new_seed) - 1] > 1
+    rival, alone, marker = ~later & several, ~later & ~several, new_seed & several
+    none = np.full(int(marker.sum()), -1)
+    columns = zip((_key(mix(d[later].view(_U)), BY_DOC), c[later].view(np.int64), d[later], at[later]),
+                  (_key(mix(c[rival] ^ s[rival]), BY_SPAN), c[rival].view(np.int64), d[rival], at[rival]),
+                  (_key(s[alone], BY_SEED), c[alone].view(np.int64), d[alone], at[alone]),
+                  (_key(s[marker], BY_SEED), none, none, none))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], schema=_ARROW)
 
 
 def group_rows(symbols, window: int, seed: int, within: bool):
@@ -85,160 +87,131 @@ def group_rows(symbols, window: int, seed: int, within: bool):
 
     def run(batches):
         for batch in batches:
+            batch = batch.filter(batch.column("doc").is_valid())
+            doc = batch.column("doc").to_numpy(zero_copy_only=False)
             parts = []
-            for doc, block in _batch_blocks(batch):
+            for block in blocks(batch.column("text")):
                 symbol, first = symbols(block)
-                h = SpanHasher(symbol)
                 n = int(first[-1])
                 if n < window:
                     continue
+                h = SpanHasher(symbol)
                 p = np.arange(n - seed + 1)
                 seeds = h(p, p + seed)
                 g = anchored(first, seeds, window, seed)
                 content = h(g.lo, g.hi + window) ^ mix((g.anchor - g.lo).astype(_U))
-                lo = g.lo - first[g.doc]
-                at = lo << 32 | (g.hi - g.lo + 1) << 24 | fingerprints(h, first)[g.doc]
-                parts.append((seeds[g.anchor], content, doc[g.doc], at))
-            if not parts:
-                continue
-            s, c, d, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            by, begins, later = _later([d, at], [s, c], within)
-            s, c, d, at = s[by], c[by], d[by], at[by]
-            new_seed = np.ones(len(s), bool)
-            new_seed[1:] = s[1:] != s[:-1]
-            which = np.cumsum(new_seed) - 1
-            spans = np.bincount(which, weights=begins)[which] > 1  # several spans below this seed, in this batch
-            rival, alone, marker = ~later & spans, ~later & ~spans, new_seed & spans
-            none = np.full(int(marker.sum()), -1)
-            yield _rows(_GROUP_ARROW, [
-                (_key(mix(d[later].view(_U)), BY_DOC), c[later], d[later], at[later]),
-                (_key(mix(c[rival] ^ s[rival]), BY_SPAN), c[rival], d[rival], at[rival]),
-                (_key(s[alone], BY_SEED), c[alone], d[alone], at[alone]),
-                (_key(s[marker], BY_SEED), none, none, none),
-            ])
+                at = (g.lo - first[g.doc]) << _LO | (g.hi - g.lo + 1) << _N | (g.anchor - g.lo) << _OFF | fingerprints(h, first)[g.doc]
+                parts.append((seeds[g.anchor], content, doc[block.rows][g.doc], at))
+            if parts:
+                yield _compared(parts, within)
 
     return run
 
 
-def window_rows(symbols, window: int, within: bool):
-    """mapInArrow function: documents with their open groups -> one row per
-    window of those groups."""
+def block_rows(symbols, window: int, size: int, within: bool):
+    """mapInArrow function: documents with open groups -> one row per block
+    of ``size`` offsets of those groups."""
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
             batch = batch.filter(batch.column("doc").is_valid())
             doc = batch.column("doc").to_numpy(zero_copy_only=False)
-            groups = FlagLists(batch.column("groups"), ("at", "content", "open"))
+            groups = _Flags(batch.column("groups"))
             parts = []
             for block in blocks(batch.column("text")):
-                at, content, is_open, owner = groups.of(block.rows)
-                keep = is_open.astype(bool)
-                if not keep.any():
+                at, is_open, owner = groups.of(block.rows)
+                if not is_open.any():
                     continue
                 symbol, first = symbols(block)
                 h, h2 = SpanHasher(symbol), SpanHasher(symbol, 1)
                 mark = fingerprints(h, first)
-                keep &= (at & 0xFFFFFF) == mark[owner]
-                start, own = starts_of(at[keep], owner[keep])
-                pos = start + first[own]
-                parts.append((h(pos, pos + window), h2(pos, pos + window), doc[block.rows][own],
-                              start << 24 | mark[own]))
-            if not parts:
-                continue
-            w, w2, d, start = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            by, _, later = _later([d, start], [w, w2], within)
-            w, w2, d, start = w[by], w2[by], d[by], start[by]
-            yield _rows(_WINDOW_ARROW, [
-                (_key(mix(d[later].view(_U)), BY_DOC), w2[later], d[later], start[later]),
-                (_key(w[~later], BY_SEED), w2[~later], d[~later], start[~later]),
-            ])
+                keep = is_open & ((at & _PRINT) == mark[owner])
+                at, owner = at[keep], owner[keep]
+                far = at >> _OFF & 0xFF                       # offset of the first window from the anchor
+                near = far - (at >> _N & 0xFF) + 1            # and of the last
+                anchor = (at >> _LO) + far + first[owner]
+                count = far // size - near // size + 1
+                j = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - near // size, count)
+                anchor, owner = np.repeat(anchor, count), np.repeat(owner, count)
+                far = np.minimum(np.repeat(far, count), j * size + size - 1)
+                near = np.maximum(np.repeat(near, count), j * size)
+                core = anchor - j * size                      # the symbols that all windows of the block share
+                seeds = h(core, core - size + 1 + window) ^ mix(j.astype(_U))
+                content = h2(anchor - far, anchor - near + window) ^ mix(far.astype(_U))
+                at = (anchor - far - first[owner]) << _LO | (far - near + 1) << _N | far << _OFF | mark[owner]
+                parts.append((seeds, content, doc[block.rows][owner], at))
+            if parts:
+                yield _compared(parts, within)
 
     return run
 
 
-def fingerprints(h: SpanHasher, first: np.ndarray) -> np.ndarray:
-    """24 bits of every document's hash: tells rows with one id but different
-    texts apart when flags come back by id."""
-    return (h(first[:-1], first[1:]) >> _U(40)).astype(np.int64)
-
-
-def starts_of(at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All window starts of groups ``at`` (first start, count, fingerprint)."""
-    lo, n = at >> 32, at >> 24 & 0xFF
-    before = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])[:-1]
-    return np.repeat(lo - before, n) + np.arange(int(n.sum())), np.repeat(owner, n)
-
-
-class FlagLists:
-    """A list<struct> column as flat arrays with the row of every entry."""
+class _Flags:
+    """A list<struct<at, open>> column as flat arrays, with the row of every entry."""
 
-    def __init__(self, column: pa.Array, names: tuple[str, ...]):
+    def __init__(self, column: pa.Array):
         flat = column.flatten()
         count = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        self._first = np.concatenate([[0], np.cumsum(count)])
-        self._cols = [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
+        self._first = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
+        self._at = flat.field("at").to_numpy(zero_copy_only=False)
+        self._open = flat.field("open").to_numpy(zero_copy_only=False).astype(bool)
 
     def of(self, rows: slice):
-        """Entries of rows ``rows``, and the row (counted from its start) of each."""
         a, b = self._first[rows.start], self._first[rows.stop]
         owner = np.repeat(np.arange(rows.stop - rows.start), np.diff(self._first[rows.start:rows.stop + 1]))
-        return (*[c[a:b] for c in self._cols], owner)
-
-
-def with_repeats(docs: DataFrame, symbols, window: int, seed: int, within: bool) -> DataFrame:
-    """``docs`` (doc long, text) with two list columns: ``groups`` (at, content,
-    open): groups of windows repeated as a whole (``open`` false) or still
-    to be looked at; ``windows`` (start): single repeated windows of the open
-    groups. ``at`` holds the first start (32 bits), the number of starts (8)
-    and the document's fingerprint (24). Read with ``repeated_starts``.
-    """
-    if not 0 < seed < window <= seed + 254:
-        raise ValueError("seed must be shorter than window, by 254 symbols at most")
-    spread = docs.select("doc", "text", F.coalesce("doc", F.xxhash64("text")).alias("home"))
-    groups = docs.select("doc", "text").mapInArrow(group_rows(symbols, window, seed, within), GROUP_SCHEMA)
-    at_key, at_span = Window.partitionBy("key"), Window.partitionBy("key", "content")
+        return self._at[a:b], self._open[a:b], owner
+
+
+def _judged(rows: DataFrame, within: bool) -> DataFrame:
+    """Per document (``home``) the list of its groups that are repeated as a
+    whole, or are still open."""
     place = F.struct("doc", "at") if within else F.col("doc")
-    judged = (groups.repartition("key")
-              .withColumn("first", F.min(place).over(at_span))
-              .withColumn("rival", F.min("content").over(at_key) != F.max("content").over(at_key))
-              .withColumn("by", F.col("key").bitwiseAND(F.lit(3)))
-              .withColumn("whole", (F.col("by") == BY_DOC) | (place > F.col("first")))
-              .where((F.col("at") >= 0) & (F.col("whole") | (F.col("by") == BY_SPAN) | F.col("rival"))))
-    per_doc = judged.groupBy("doc").agg(F.collect_list(F.struct("at", "content", (~F.col("whole")).alias("open"))).alias("groups"))
-    per_doc = per_doc.withColumnRenamed("doc", "home")
-    marked = spread.repartition("home").join(per_doc, "home", "left")
-    windows = marked.where(F.col("groups").isNotNull()).select("doc", "text", "groups") \
-        .mapInArrow(window_rows(symbols, window, within), WINDOW_SCHEMA)
-    here = F.struct("doc", "start") if within else F.col("doc")
-    repeated = (windows.repartition("key")
-                .withColumn("first", F.min(here).over(Window.partitionBy("key", "second")))
-                .where((F.col("key").bitwiseAND(F.lit(3)) == BY_DOC) | (here > F.col("first"))))
-    per_doc_windows = repeated.groupBy("doc").agg(F.collect_list(F.struct("start")).alias("windows")) \
-        .withColumnRenamed("doc", "home")
-    return marked.join(per_doc_windows, "home", "left").select("doc", "text", "groups", "windows")
+    by = F.col("key").bitwiseAND(F.lit(3))
+    at_key, at_span = Window.partitionBy("key"), Window.partitionBy("key", "content")
+    found = (rows.repartition("key")
+             .withColumn("first", F.min(place).over(at_span))
+             .withColumn("rival", F.min("content").over(at_key) != F.max("content").over(at_key))
+             .withColumn("whole", (by == BY_DOC) | (place > F.col("first")))
+             .where((F.col("at") >= 0) & (F.col("whole") | (by == BY_SPAN) | F.col("rival"))))
+    return found.groupBy(F.col("doc").alias("home")).agg(F.collect_list(F.struct("at", (~F.col("whole")).alias("open"))).alias("groups"))
+
+
+def with_repeats(docs: DataFrame, symbols, window: int, seed: int, within: bool, blocks_of: Sequence[int] = (1,)) -> DataFrame:
+    """``docs`` (doc long, text) with a column ``groups``: the groups of
+    repeated windows of every document, to be read with ``repeated_starts``.
+    ``within``: an earlier start in the same document counts as well."""
+    if not 0 < seed < window <= seed + 254 or blocks_of[-1] != 1:
+        raise ValueError("seed is shorter than window, by 254 symbols at most; the last blocks hold one window")
+    # Rows without an id have nothing to look up: they are dealt out by their text.
+    text = docs.select("doc", "text", F.coalesce("doc", F.xxhash64("text")).alias("home")).repartition("home")
+    levels = [_judged(docs.select("doc", "text").mapInArrow(group_rows(symbols, window, seed, within), ROW_SCHEMA), within)]
+    for size in blocks_of:
+        still = text.join(levels[-1], "home").select("doc", "text", "groups")
+        levels.append(_judged(still.mapInArrow(block_rows(symbols, window, size, within), ROW_SCHEMA), within))
+    out = text
+    for k, level in enumerate(levels):
+        out = out.join(level.withColumnRenamed("groups", f"g{k}"), "home", "left")
+    none = F.array().cast("array<struct<at:bigint,open:boolean>>")
+    return out.select("doc", "text", F.concat(*[F.coalesce(f"g{k}", none) for k in range(len(levels))]).alias("groups"))
 
 
 def repeated_starts(batch: pa.RecordBatch, symbols):
     """Iterate over blocks of a ``with_repeats`` batch: (block, first symbol
     of every document, start, owner); ``start`` are the sorted starts of
     repeated windows, counted within document ``owner``."""
-    groups = FlagLists(batch.column("groups"), ("at", "content", "open"))
-    single = FlagLists(batch.column("windows"), ("start",))
+    groups = _Flags(batch.column("groups"))
     known = batch.column("doc").is_valid().to_numpy(zero_copy_only=False)
     for block in blocks(batch.column("text")):
         symbol, first = symbols(block)
-        at, _, is_open, owner = groups.of(block.rows)
-        start2, owner2 = single.of(block.rows)
+        at, is_open, owner = groups.of(block.rows)
         if len(at):
-            mark = fingerprints(SpanHasher(symbol), first)
-            whole = ~is_open.astype(bool) & ((at & 0xFFFFFF) == mark[owner]) & known[block.rows][owner]
-            start, owner = starts_of(at[whole], owner[whole])
-            ok = ((start2 & 0xFFFFFF) == mark[owner2]) & known[block.rows][owner2]
-            start, owner = np.concatenate([start, start2[ok] >> 24]), np.concatenate([owner, owner2[ok]])
+            whole = ~is_open & ((at & _PRINT) == fingerprints(SpanHasher(symbol), first)[owner]) & known[block.rows][owner]
+            at, owner = at[whole], owner[whole]
+            n = at >> _N & 0xFF
+            start = np.repeat((at >> _LO) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            owner = np.repeat(owner, n)
             by = np.lexsort((start, owner))
             start, owner = start[by], owner[by]
         else:
-            start, owner = at, owner
+            start = at
         yield block, first, start, owner

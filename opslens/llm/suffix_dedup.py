@@ -71,5 +71,5 @@ def suffix_dedup(docs: DataFrame, window: int = 100, id_col: str = "doc_id", tex
     """One row per document: id, n_bytes, n_removed, removed (byte spans),
     kept (remaining bytes)."""
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    marked = with_repeats(base, byte_symbols, window, min(SEED, window // 2), within=True)
+    marked = with_repeats(base, byte_symbols, window, min(SEED, window // 2), within=True, blocks_of=(10, 1))
     return marked.mapInArrow(cut(window), SCHEMA).withColumnRenamed("doc", id_col)
