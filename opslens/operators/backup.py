@@ -39,11 +39,11 @@ def backup_history(backupset: DataFrame, media: DataFrame, database: str | None
     k = kcols(keys)
     bs = backupset.filter(F.col("type") == backup_type)
     if database is not None:
-        bs = bs.filter(F.col("database_name") == database)
+        bs = bs.filter(F.lower("database_name") == database.lower())
     bs = bs.select(*k, "media_set_id", "database_name", "backup_start_date", "backup_finish_date",
                    "type", F.col("name").alias("backupset_name"))
     m = media.select(*k, "media_set_id", "physical_device_name", "logical_device_name")
-    return lookup_join(m, bs, k + ["media_set_id"], "inner") \
+    return m.join(bs, k + ["media_set_id"], "inner") \
         .select(*k, "database_name", "backup_start_date", "backup_finish_date", "type",
                 "backupset_name", "physical_device_name", "logical_device_name")
 
@@ -61,10 +61,9 @@ def last_backup_location(backupset: DataFrame, media: DataFrame, database: str,
 
 
 def _with_text(requests: DataFrame, sql_text: DataFrame, how: str, keys) -> DataFrame:
-    """Attach statement text by handle. Handles are hot (a few plans run by
-    many sessions), so the join splits hot handles off to a bounded broadcast."""
-    t = sql_text.select("sql_handle", "text")
-    return lookup_join(requests, t, ["sql_handle"], how)
+    """Attach statement text, landed per server, by fleet key and handle."""
+    k = kcols(keys)
+    return lookup_join(requests, sql_text.select(*k, "sql_handle", "text"), k + ["sql_handle"], how)
 
 
 def request_progress(requests: DataFrame, sql_text: DataFrame, as_of, commands=None,

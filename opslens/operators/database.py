@@ -147,7 +147,9 @@ def db_settings(databases: DataFrame, keys=None) -> DataFrame:
         *kcols(keys), F.col("name").alias("database_name"), "recovery_model_desc",
         "log_reuse_wait_desc", "is_encrypted", "compatibility_level",
         compat_name(F.col("compatibility_level")).alias("compat_release"),
-        "page_verify_option_desc", "is_auto_close_on", "is_auto_shrink_on", "is_auto_update_stats_on")
+        "page_verify_option_desc", "is_auto_close_on", "is_auto_shrink_on", "is_auto_update_stats_on",
+        "is_auto_create_stats_on", "is_auto_update_stats_async_on", "is_parameterization_forced",
+        "snapshot_isolation_state_desc", "is_read_committed_snapshot_on")
 
 
 def db_setting_checks(databases: DataFrame, instances: DataFrame, keys=None) -> DataFrame:
@@ -160,7 +162,7 @@ def db_setting_checks(databases: DataFrame, instances: DataFrame, keys=None) ->
     a = d.groupBy(*k).agg(
         F.count_if(F.col("is_encrypted")).alias("enc"),
         F.count_if(F.col("compatibility_level") < F.col("inst_compat")).alias("compat"),
-        F.count_if(F.col("page_verify_option_desc") != "CHECKSUM").alias("pv"),
+        F.count_if(F.lower("page_verify_option_desc") != "checksum").alias("pv"),
         F.count_if(F.col("is_auto_close_on")).alias("ac"),
         F.count_if(F.col("is_auto_shrink_on")).alias("ash"),
         F.count_if(~F.col("is_auto_update_stats_on")).alias("aus"))
@@ -182,13 +184,13 @@ def owner_listing(databases: DataFrame, jobs: DataFrame, packages: DataFrame, ke
     """Objects not owned by ``sa``. A database with an unresolved (NULL)
     owner is listed; jobs and packages with a NULL owner are not."""
     k = kcols(keys)
-    dbs = live(databases).filter(F.col("owner_name").isNull() | (F.col("owner_name") != "sa")) \
+    dbs = live(databases).filter(F.col("owner_name").isNull() | (F.lower("owner_name") != "sa")) \
         .select(*k, F.lit("database").alias("object_kind"), F.col("name").alias("object_name"),
                 "owner_name", F.lit(None).cast("int").alias("enabled"))
-    jb = jobs.filter(F.col("owner_name") != "sa").select(
+    jb = jobs.filter(F.lower("owner_name") != "sa").select(
         *k, F.lit("job").alias("object_kind"), F.col("name").alias("object_name"), "owner_name",
         F.col("enabled").cast("int").alias("enabled"))
-    pk = packages.filter(F.col("owner_name") != "sa").select(
+    pk = packages.filter(F.lower("owner_name") != "sa").select(
         *k, F.lit("package").alias("object_kind"), F.col("name").alias("object_name"), "owner_name",
         F.lit(None).cast("int").alias("enabled"))
     return dbs.unionByName(jb).unionByName(pk)
@@ -204,9 +206,9 @@ def owner_checks(databases: DataFrame, jobs: DataFrame, packages: DataFrame, key
                        F.when(F.col("n") > 0, F.format_string(f"Owner not set to sa on %d {kind}(s)", F.col("n")))
                        .otherwise(F.lit(f"{kind} owners verified")))
     o = F.col("owner_name")
-    return one(live(databases), o.isNull() | (o != "sa"), "database", "B7.database_owner") \
-        .unionByName(one(jobs, F.coalesce(o != "sa", F.lit(False)), "job", "B7.job_owner")) \
-        .unionByName(one(packages, F.coalesce(o != "sa", F.lit(False)), "package", "B7.package_owner"))
+    return one(live(databases), o.isNull() | (F.lower(o) != "sa"), "database", "B7.database_owner") \
+        .unionByName(one(jobs, F.coalesce(F.lower(o) != "sa", F.lit(False)), "job", "B7.job_owner")) \
+        .unionByName(one(packages, F.coalesce(F.lower(o) != "sa", F.lit(False)), "package", "B7.package_owner"))
 
 
 def trace_flag_checks(flags: DataFrame, instances: DataFrame, databases: DataFrame,

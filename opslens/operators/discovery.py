@@ -20,8 +20,8 @@ from .instance import physical_memory_gb
 
 # Service names that mean SSIS / SSAS / SSRS are installed.
 SSIS_PREFIX, SSAS_PREFIX, SSRS_NAMES = "MsDtsServer", "MSSQLServerOLAPService", ["ReportServer", "SQLServerReportingServices"]
-# Windows login name patterns the count leaves out.
-WIN_LOGIN_EXCLUDE = ["##MS_%", "NT Service/%", "NT SERVICE/%", "NT AUTHORITY/%"]
+# Beginnings of Windows login names that the count leaves out (compared without case).
+WIN_LOGIN_EXCLUDE = ["##ms_", "nt service\\", "nt authority\\"]
 PAGES_TO_MB = Decimal("0.0078125")            # 1 / 128
 PAGES_TO_GB = Decimal("0.00000762939453125")  # 1 / 128 / 1024
 
@@ -191,7 +191,7 @@ def discovery_metrics(instances: DataFrame, databases: DataFrame, files: DataFra
         F.col("sqlserver_start_time").alias("last_restart"), "is_clustered", "is_hadr_enabled", "time_zone",
         "default_data_path", "default_log_path",
         F.when(F.col("is_resource_governor_enabled"), "Yes").otherwise("No").alias("resource_governor")))
-    vis = schedulers.filter(F.col("status") == "VISIBLE ONLINE").select(*k)
+    vis = schedulers.filter(F.lower("status") == "visible online").select(*k)
     add(kjoin(i.select(*k, F.col("cpu_count").alias("os_cpus")), vis, k, "left_semi"))
     add(databases.groupBy(*k).agg(
         F.count_if(uid & online).alias("user_dbs_online"),
@@ -215,10 +215,10 @@ def discovery_metrics(instances: DataFrame, databases: DataFrame, files: DataFra
     n = F.col("name")
     win_ok = None
     for p in WIN_LOGIN_EXCLUDE:
-        c = ~n.like(p)
+        c = ~F.lower(n).startswith(p)
         win_ok = c if win_ok is None else win_ok & c
     add(server_principals.groupBy(*k).agg(
-        F.count_if((F.col("type") == "S") & ~n.like("##MS_%")).alias("sql_logins"),
+        F.count_if((F.col("type") == "S") & ~F.lower(n).startswith("##ms_")).alias("sql_logins"),
         F.count_if(F.col("type").isin("U", "G") & win_ok).alias("windows_logins"),
         F.count_if((F.col("type") == "R") & (F.col("principal_id") > 10)).alias("server_roles")))
     add(_features_in_use(sku_features, keys))  # servers without features get the '0' default

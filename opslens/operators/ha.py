@@ -27,7 +27,8 @@ def ag_replicas(replica_states: DataFrame, groups: DataFrame, replicas: DataFram
     j = replica_states.join(g, k + ["group_id"], "inner").join(r, k + ["replica_id"], "inner") \
         .join(d, k + ["database_id"], "left")
     return j.select(*k, "database_name", "group_name", "replica_server_name", "is_primary_replica",
-                    "synchronization_state_desc", "synchronization_health_desc", "availability_mode_desc")
+                    "synchronization_state_desc", "synchronization_health_desc", "availability_mode_desc", "is_local",
+                    "is_commit_participant", "database_state_desc", "is_suspended", "suspend_reason_desc")
 
 
 def ag_health(groups: DataFrame, keys=None) -> DataFrame:

@@ -2,8 +2,8 @@
 
 * Facts are pre-aggregated to their join key before meeting a dimension
   (query stats per plan, usage per index), so joins are one-to-one.
-* Plan XML is scanned with JVM built-ins: statement fragments by
-  ``regexp_extract_all`` + ``explode``, each parsed once by ``from_xml``.
+* Plan XML is parsed whole by ``from_xml``, into a schema that descends
+  through batches, statements and nested bodies.
 * Windowed sums over possibly hot groups (one table in many plans) are
   computed as a partial aggregate joined back (adaptive skew-join splits a
   hot partition), never as one window partition holding the hot group.
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tsql import money
-from ..plans.shape import kcols, lookup_join, materialize, spread, top_n
+from ..plans.shape import kcols, spread, top_n
 from .backup import SYSTEM_DBS
 from .database import live
 
@@ -36,8 +36,8 @@ def busiest_write_database(io: DataFrame, databases: DataFrame, keys=None) -> Da
     return top.select(*k, "database_name", "num_of_writes", money(F.col("num_of_writes")).alias("num_of_writes_text"))
 
 
-def index_fragmentation(phys: DataFrame, indexes: DataFrame, scope: DataFrame | None = None,
-                        min_pages: int = MIN_PAGES, keys=None) -> DataFrame:
+def index_fragmentation(phys: DataFrame, indexes: DataFrame, objects: DataFrame, schemas: DataFrame,
+                        scope: DataFrame | None = None, min_pages: int = MIN_PAGES, keys=None) -> DataFrame:
     """Fragmentation of indexes with at least ``min_pages`` pages, heaps
     excluded; ``scope`` (e.g. G1's result) limits it to one database per
     server by a semi-join."""
@@ -45,29 +45,39 @@ def index_fragmentation(phys: DataFrame, indexes: DataFrame, scope: DataFrame |
     p = phys.filter((F.col("page_count") >= min_pages) & (F.lower("index_type_desc") != "heap"))
     if scope is not None:
         p = p.join(scope.select(*k, "database_name"), k + ["database_name"], "left_semi")
-    i = indexes.select(*k, "database_name", "object_id", "index_id", F.col("name").alias("index_name"))
-    return p.join(i, k + ["database_name", "object_id", "index_id"], "inner").select(
-        *k, "database_name", "object_id", "index_name", "index_type_desc", "fragmentation_pct", "page_count")
+    i = indexes.select(*k, "database_name", "object_id", "index_id", F.col("name").alias("index_name"), "fill_factor")
+    o = objects.select(*k, "database_name", "object_id", "schema_id", F.col("name").alias("table_name"))
+    s = schemas.select(*k, "database_name", "schema_id", F.col("name").alias("schema_name"))
+    return p.join(i, k + ["database_name", "object_id", "index_id"], "inner") \
+        .join(o, k + ["database_name", "object_id"], "left").join(s, k + ["database_name", "schema_id"], "left").select(
+            *k, "database_name", "schema_name", "table_name", "object_id", "index_name", "index_type_desc", "alloc_unit_type_desc",
+            "index_depth", "fragmentation_pct", "fragment_count", "avg_fragment_size_in_pages", "page_count",
+            "avg_page_space_used_pct", "record_count", "compressed_page_count", "fill_factor")
 
 
-def statistics_dates(stats: DataFrame, keys=None) -> DataFrame:
-    """Statistics and their last update in user databases."""
-    return stats.filter(~F.col("database_name").isin(SYSTEM_DBS)).select(
-        *kcols(keys), "database_name", "object_id", F.col("name").alias("statistic_name"),
-        F.col("updated").alias("last_updated"))
+def statistics_dates(stats: DataFrame, objects: DataFrame, keys=None) -> DataFrame:
+    """Statistics, their table and their last update in user databases."""
+    k = kcols(keys)
+    o = objects.select(*k, "database_name", "object_id", F.col("name").alias("object_name"))
+    return stats.filter(~F.lower("database_name").isin(SYSTEM_DBS)) \
+        .join(o, k + ["database_name", "object_id"], "left").select(
+            *k, "database_name", "object_id", "object_name", F.col("name").alias("statistic_name"), F.col("updated").alias("last_updated"))
 
 
-def missing_indexes(groups: DataFrame, details: DataFrame, min_measure: float = MIN_IMPROVEMENT,
+def missing_indexes(groups: DataFrame, group_stats: DataFrame, details: DataFrame, min_measure: float = MIN_IMPROVEMENT,
                     keys=None) -> DataFrame:
     """Missing-index suggestions whose improvement measure
     cost * impact/100 * (seeks + scans) exceeds ``min_measure``, with the
-    CREATE INDEX text (comma only when both column lists exist)."""
+    CREATE INDEX text (comma only when both column lists exist). The three
+    catalogs are joined on near-unique handles: plain equi-joins."""
     k = kcols(keys)
     measure = F.col("avg_total_user_cost") * (F.col("avg_user_impact") / 100.0) * (F.col("user_seeks") + F.col("user_scans"))
-    g = groups.filter(measure > min_measure)
-    d = details.select(*k, "index_handle", "object_name", "statement", "equality_columns",
+    g = group_stats.filter(measure > min_measure).select(
+        *k, F.col("group_handle").alias("index_group_handle"), "avg_total_user_cost", "avg_user_impact", "user_seeks", "user_scans", "last_user_seek")
+    m = groups.select(*k, "index_group_handle", "index_handle")
+    d = details.select(*k, "index_handle", "database_id", "object_id", "object_name", "statement", "equality_columns",
                        "inequality_columns", "included_columns")
-    j = lookup_join(g, d, k + ["index_handle"], "inner")
+    j = g.join(m, k + ["index_group_handle"], "inner").join(d, k + ["index_handle"], "inner")
     eq, ineq, inc = F.col("equality_columns"), F.col("inequality_columns"), F.col("included_columns")
     ddl = F.concat(
         F.lit("CREATE INDEX IX_MI_"), F.col("object_name"), F.lit("_"), F.col("index_group_handle").cast("string"),
@@ -78,18 +88,55 @@ def missing_indexes(groups: DataFrame, details: DataFrame, min_measure: float =
     text = money(F.col("avg_total_user_cost") * F.col("avg_user_impact") / 100
                  * (F.col("user_seeks") + F.col("user_scans")))
     return j.select(*k, text.alias("improvement_measure"), F.col("statement").alias("table_path"),
-                    "avg_total_user_cost", "avg_user_impact", "user_seeks", "user_scans",
+                    "avg_total_user_cost", "avg_user_impact", "user_seeks", "user_scans", "last_user_seek", "database_id", "object_id",
                     "index_group_handle", "index_handle", ddl.alias("create_index_statement"))
 
 
-STMT_RE = r"(?s)<StmtSimple[ >].*?</StmtSimple>"
+# Levels of statements inside statements (procedure bodies, branches) that the parser descends.
+NESTING = 2
+# Only the parts of a showplan that G5 reads; from_xml ignores the rest.
+_GROUP = ("array<struct<_Impact: double, MissingIndex: array<struct<_Database: string, _Schema: string, _Table: string, "
+          "ColumnGroup: array<struct<_Usage: string, Column: array<struct<_Name: string>>>>>>>>")
+
+
+def _statement_type(depth: int) -> str:
+    inner = f", StmtSimple: array<{_statement_type(depth - 1)}>, StoredProc: {_bodies_type(depth - 1)}" if depth else ""
+    return f"struct<_StatementText: string, QueryPlan: struct<MissingIndexes: struct<MissingIndexGroup: {_GROUP}>>{inner}>"
+
+
+def _bodies_type(depth: int) -> str:
+    """Elements that hold lists of statements: batches, procedures, branches."""
+    branch = f", StmtCond: array<struct<Then: {_bodies_type(depth - 1)}, Else: {_bodies_type(depth - 1)}>>" if depth else ""
+    return f"array<struct<Statements: array<struct<StmtSimple: array<{_statement_type(depth)}>{branch}>>>>"
+
 
+PLAN_SCHEMA = f"BatchSequence struct<Batch: {_bodies_type(NESTING)}>"
+_FOUND = f"array<struct<sql_text: string, groups: {_GROUP}, nested: boolean>>"
 
-# Only the parts of a showplan statement that G5 reads; from_xml ignores the rest.
-STMT_SCHEMA = (
-    "_StatementText string, QueryPlan struct<MissingIndexes: struct<MissingIndexGroup: array<struct<"
-    "_Impact: double, MissingIndex: array<struct<_Database: string, _Schema: string, _Table: string, "
-    "ColumnGroup: array<struct<_Usage: string, Column: array<struct<_Name: string>>>>>>>>>>")
+
+def _all_of(arr: Column, each) -> Column:
+    """``each`` element's statements, one after another; none for NULL."""
+    return F.coalesce(F.flatten(F.transform(arr, each)), F.array().cast(_FOUND))
+
+
+def _in_statements(arr: Column, depth: int, nested: bool) -> Column:
+    def one(s):
+        own = F.array(F.struct(s["_StatementText"].alias("sql_text"), s["QueryPlan"]["MissingIndexes"]["MissingIndexGroup"].alias("groups"),
+                               F.lit(nested).alias("nested")))
+        if not depth:
+            return own
+        return F.concat(own, _in_statements(s["StmtSimple"], depth - 1, True), _in_bodies(s["StoredProc"], depth - 1, True))
+    return _all_of(arr, one)
+
+
+def _in_bodies(arr: Column, depth: int, nested: bool) -> Column:
+    def one(body):
+        simple = _in_statements(body["StmtSimple"], depth, nested)
+        if not depth:
+            return simple
+        return F.concat(simple, _all_of(body["StmtCond"], lambda c: F.concat(
+            _in_bodies(c["Then"], depth - 1, True), _in_bodies(c["Else"], depth - 1, True))))
+    return _all_of(arr, lambda holder: _all_of(holder["Statements"], one))
 
 
 def _name_list(groups: Column, usage: str) -> Column:
@@ -107,40 +154,40 @@ def _clean(c: Column, chars: str) -> Column:
 
 def plan_missing_indexes(plans: DataFrame, keys=None) -> DataFrame:
     """G5 core: one row per statement of a cached plan that carries missing-
-    index information. Only plans whose XML mentions MissingIndexes are
-    exploded; ``nested`` flags statements nested in another statement."""
+    index information. Plans whose text does not mention MissingIndexes are
+    skipped before parsing; the others are parsed whole, once. ``nested``
+    flags statements that stand inside another statement's body or branch."""
     k = kcols(keys)
-    p = spread(plans.filter(F.col("query_plan").contains("<MissingIndexes>"))
-               .select(*k, "usecounts", "query_plan"))
-    frags = p.select(*k, "usecounts", "query_plan",
-                     F.explode(F.regexp_extract_all("query_plan", F.lit(STMT_RE), 0)).alias("frag"))
-    frags = frags.filter(F.col("frag").contains("<MissingIndexes>"))
-    x = frags.select(*k, "usecounts", F.from_xml("frag", STMT_SCHEMA).alias("x"),
-                     (F.size(F.split("frag", "<StmtSimple[ >]")) > 2).alias("nested"))
-    mig = F.col("x.QueryPlan.MissingIndexes.MissingIndexGroup")
-    mi = F.flatten(F.transform(mig, lambda g: g["MissingIndex"]))
-    groups = F.flatten(F.transform(mi, lambda m: m["ColumnGroup"]))
+    p = spread(plans.filter(F.col("query_plan").contains("MissingIndexes")).select(*k, "usecounts", "query_plan"))
+    found = F.from_xml("query_plan", PLAN_SCHEMA)["BatchSequence"]["Batch"]
+    x = p.select(*k, "usecounts", "query_plan", F.inline(F.filter(_in_bodies(found, NESTING, False), lambda s: F.size(s["groups"]) > 0)))
+    mi = F.flatten(F.transform("groups", lambda g: g["MissingIndex"]))
+    columns = F.flatten(F.transform(mi, lambda m: m["ColumnGroup"]))
     first = F.try_element_at(mi, F.lit(1))
     return x.select(
         *k,
         F.coalesce(first["_Database"], F.lit("")).alias("database_name"),
         F.coalesce(first["_Schema"], F.lit("")).alias("schema_name"),
         F.coalesce(first["_Table"], F.lit("")).alias("table_name"),
-        F.try_element_at(mig, F.lit(1))["_Impact"].alias("impact"),
+        F.try_element_at("groups", F.lit(1))["_Impact"].alias("impact"),
         "usecounts",
-        _name_list(groups, "EQUALITY").alias("equality_columns"),
-        _name_list(groups, "INEQUALITY").alias("inequality_columns"),
-        _name_list(groups, "INCLUDE").alias("include_columns"),
-        F.coalesce(F.col("x._StatementText"), F.lit("")).alias("sql_text"), "nested")
+        _name_list(columns, "EQUALITY").alias("equality_columns"),
+        _name_list(columns, "INEQUALITY").alias("inequality_columns"),
+        _name_list(columns, "INCLUDE").alias("include_columns"),
+        F.coalesce("sql_text", F.lit("")).alias("sql_text"), "nested", "query_plan")
 
 
-def missing_indexes_from_plans(plans: DataFrame, min_uses: int = MIN_PLAN_USES, keys=None) -> DataFrame:
+def missing_indexes_from_plans(plans: DataFrame, min_uses: int = MIN_PLAN_USES, keys=None, store=None) -> DataFrame:
     """Missing indexes found in cached plans used more than
     ``min_uses`` times, with suggested DDL and the two use totals the source
-    orders by (per table, and per table + key column lists)."""
+    orders by (per table, and per table + key column lists).
+
+    The parsed statements have three readers (rows and two totals), which
+    parse anew by default; ``store`` (e.g. ``lambda df: df.checkpoint()``)
+    keeps them where the caller wants, and is the caller's to clean up."""
     k = kcols(keys)
-    # Parsed once, then read by the output and both use totals.
-    m = materialize(plan_missing_indexes(plans.filter(F.col("usecounts") > min_uses), keys))
+    m = plan_missing_indexes(plans.filter(F.col("usecounts") > min_uses), keys)
+    m = store(m) if store else m
     # Null-safe grouping keys for the column lists (NULL = no such columns).
     m = m.withColumns({"_eqk": F.coalesce("equality_columns", F.lit("\u0000")),
                        "_inqk": F.coalesce("inequality_columns", F.lit("\u0000"))})
@@ -162,7 +209,7 @@ def missing_indexes_from_plans(plans: DataFrame, min_uses: int = MIN_PLAN_USES,
         F.coalesce(F.concat(F.lit(" INCLUDE ("), inc, F.lit(")")), F.lit("")))
     return m.select(*k, "database_name", "schema_name", "table_name", "equality_columns", "inequality_columns",
                     "include_columns", "usecounts", "impact", "sql_text", "nested", "table_uses", "pattern_uses",
-                    ddl.alias("potential_ddl"))
+                    ddl.alias("potential_ddl"), "query_plan")
 
 
 def unused_indexes(usage: DataFrame, indexes: DataFrame, objects: DataFrame, schemas: DataFrame,

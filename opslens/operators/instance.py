@@ -188,9 +188,9 @@ def identity_checks(instances: DataFrame, schedulers: DataFrame, config: DataFra
     k = kcols(keys)
     # The instance's own name is an attribute, also without fleet keys.
     own = [] if "server_name" in k else ["server_name"]
-    base = kjoin(kjoin(instances.select(*k, *own, "machine_name", "physical_memory_kb"),
+    base = kjoin(kjoin(instances.select(*k, *own, "machine_name", physical_memory_gb(instances).alias("phys_gb")),
                        cpu_visibility(instances, schedulers, keys), k, "left"), _max_mem(config, keys), k, "left")
-    phys_gb = (F.col("physical_memory_kb").cast("double") / 1024 / 1024).cast("decimal(15,2)")
+    phys_gb = F.col("phys_gb")
     name = finding(base.filter(F.col("server_name") != F.col("machine_name")), keys, "A4.server_name",
                    "warn", F.col("machine_name"),
                    F.concat(F.lit("server name differs from machine name "), F.col("machine_name")))

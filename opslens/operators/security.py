@@ -286,7 +286,7 @@ def eligible_databases(databases: DataFrame, instances: DataFrame, keys=None) ->
     srv = instances.select(*k, F.col("collation").alias("_server_collation"))
     return kjoin(databases, srv, k, "inner") \
         .filter((F.col("collation_name") == F.col("_server_collation")) & (F.col("database_id") > 4)
-                & (F.col("user_access") == 0) & ~F.col("is_read_only") & (F.col("state_desc") == "ONLINE")) \
+                & (F.col("user_access") == 0) & ~F.col("is_read_only") & (F.lower("state_desc") == "online")) \
         .select(*k, F.col("name").alias("database_name"))
 
 

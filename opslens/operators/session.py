@@ -1,8 +1,8 @@
 """Family E — sessions and blocking.
 
 Session snapshots are large (every session of every server at every
-snapshot). Statement text is attached through ``lookup_join`` because a few
-handles (one hot procedure) can carry a large share of all requests.
+snapshot). Statement text is landed per server: it is attached by fleet key
+and handle through ``lookup_join``, which spreads idle sessions (no handle).
 """
 
 from __future__ import annotations
@@ -64,19 +64,19 @@ def active_sessions(sessions: DataFrame, requests: DataFrame, sql_text: DataFram
                           "percent_complete", "start_time", "estimated_completion_time", "sql_handle",
                           "statement_start_offset", "statement_end_offset", "waittime",
                           F.col("wait_type").alias("last_wait_type"), F.col("open_tran").alias("open_transaction_count"),
-                          "isolation_level", "cpu")
-    ses = sessions.filter(F.col("status") != "sleeping").select(
+                          "isolation_level", "cpu", "wait_resource")
+    ses = sessions.filter(F.lower("status") != "sleeping").select(
         *k, "session_id", F.col("loginame").alias("original_login_name"), "login_time", "host_name",
-        "program_name")
+        "program_name", "last_request_start_time", "last_request_end_time", "reads", "writes", "logical_reads",
+        "lock_timeout", "row_count")
     # Text is attached after the session filter, so only surviving requests
     # carry (and shuffle) statement text.
     j = ses.join(req, k + ["session_id"], "left")
-    j = lookup_join(j, sql_text.select("sql_handle", "text"), ["sql_handle"], "left",
-                    key_source=requests.select("sql_handle"))
+    j = lookup_join(j, sql_text.select(*k, "sql_handle", "text", F.col("object_id").alias("objectid")), k + ["sql_handle"], "left")
     dbs = databases.select(*k, "database_id", F.col("name").alias("database_name"))
     j = j.join(dbs, k + ["database_id"], "left")
     # Agent job: the job id's hex sits at characters 30..63 of the program name.
-    agent = F.col("program_name").like(AGENT_PREFIX)
+    agent = F.lower("program_name").like(AGENT_PREFIX.lower())
     jb = jobs.select(*k, F.upper("job_hex").alias("_prog_hex"), F.col("name").alias("_job_name"))
     j = j.withColumn("_prog_hex", F.when(agent, F.upper(F.substring("program_name", 30, 34))))
     j = j.join(jb, k + ["_prog_hex"], "left")
@@ -91,7 +91,8 @@ def active_sessions(sessions: DataFrame, requests: DataFrame, sql_text: DataFram
         "text", statement_text("text", "statement_start_offset", "statement_end_offset").alias("running_statement"),
         F.call_function("div", F.col("waittime"), F.lit(1000)).alias("wait_time_sec"), "last_wait_type",
         "login_time", "host_name", prog.alias("program_name"), "open_transaction_count",
-        _isolation(F.col("isolation_level")).alias("transaction_isolation_level"), "cpu")
+        _isolation(F.col("isolation_level")).alias("transaction_isolation_level"), "cpu", "objectid", "wait_resource",
+        "last_request_start_time", "last_request_end_time", "reads", "writes", "logical_reads", "lock_timeout", "row_count")
 
 
 def lead_blockers(processes: DataFrame, requests: DataFrame, sql_text: DataFrame, databases: DataFrame,
@@ -108,8 +109,7 @@ def lead_blockers(processes: DataFrame, requests: DataFrame, sql_text: DataFrame
     dbs = databases.select(*k, F.col("database_id").alias("dbid"), F.col("name").alias("_dbname"))
     j = lead.join(er, k + ["spid"], "left").join(dbs, k + ["dbid"], "left")
     # Only lead blockers get their statement text.
-    j = lookup_join(j, sql_text.select("sql_handle", "text"), ["sql_handle"], "left",
-                    key_source=requests.select("sql_handle"))
+    j = lookup_join(j, sql_text.select(*k, "sql_handle", "text"), k + ["sql_handle"], "left")
     return j.select(
         *k, "spid", "status", F.substring("loginame", 1, 12).alias("loginame"),
         F.substring("hostname", 1, 12).alias("hostname"),
@@ -122,9 +122,9 @@ def lead_blockers(processes: DataFrame, requests: DataFrame, sql_text: DataFrame
 
 def rolling_back(processes: DataFrame, keys=None) -> DataFrame:
     """Sessions killed and still rolling back."""
-    return processes.filter(F.col("command") == "KILLED/ROLLBACK").select(
+    return processes.filter(F.lower("command") == "killed/rollback").select(
         *kcols(keys), "spid", "kpid", "login_time", "last_batch", "status", "hostname", "loginame", "cpu",
-        "physical_io")
+        "physical_io", "nt_username", "hostprocess", "memusage")
 
 
 def sessions_in_database(processes: DataFrame, databases: DataFrame, self_spid: int | None = None,

@@ -301,8 +301,7 @@ def autogrow_events(trace: DataFrame, trace_events: DataFrame, variant: str = "d
     also runs unchanged on a streaming ``trace``."""
     k = kcols(keys)
     ev = trace.filter(F.col("event_class").between(92, 95)) \
-        .join(F.broadcast(trace_events.select("trace_event_id", "event_name")),
-              F.col("event_class") == F.col("trace_event_id"), "inner")
+        .join(trace_events.select(*k, F.col("trace_event_id").alias("event_class"), "event_name"), k + ["event_class"], "inner")
     if variant == "detail":
         return ev.select(*k, "database_name", F.col("event_name"), "file_name",
                          scaled("duration_us", 6, "decimal(10,3)").alias("time_taken_seconds"), "start_time", "end_time",
@@ -318,7 +317,6 @@ def autogrow_events(trace: DataFrame, trace_events: DataFrame, variant: str = "d
 def trace_coverage(trace: DataFrame, trace_events: DataFrame, keys=None) -> DataFrame:
     """First and last event time covered by the trace files."""
     k = kcols(keys)
-    ev = trace.join(F.broadcast(trace_events.select("trace_event_id")),
-                    F.col("event_class") == F.col("trace_event_id"), "left_semi")
+    ev = trace.join(trace_events.select(*k, F.col("trace_event_id").alias("event_class")), k + ["event_class"], "left_semi")
     return ev.groupBy(*k).agg(F.min("start_time").alias("first_event"),
                               F.max("start_time").alias("last_event"))

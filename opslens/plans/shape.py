@@ -8,10 +8,9 @@
 * ``finding`` — the common output shape of every *check* operator.
 * ``dim`` — literal dimension tables (bounded by construction, so they are
   safe to broadcast).
-* ``lookup_join`` — many-to-one join that salts the hottest keys so one key
-  holding a third of the fact rows is spread over many tasks.
-* ``spread`` / ``materialize`` — parallelism for CPU-heavy per-row work and
-  compute-once for multi-consumer intermediates.
+* ``lookup_join`` — many-to-one join whose rows without a key are spread
+  over many tasks (hot keys are split by adaptive execution).
+* ``spread`` — even parallelism for CPU-heavy per-row work.
 """
 
 from __future__ import annotations
@@ -26,9 +25,8 @@ FINDING_COLS = ["check_id", "severity", "observed", "message"]
 
 # A literal dimension is broadcast only if it has at most this many rows.
 MAX_DIM_ROWS = 10_000
-# Number of hottest keys ``lookup_join`` salts, and salts per hot key.
-HOT_KEYS = 32
-SALTS = 32
+# Partitions that rows without a key are spread over in ``lookup_join``.
+NULL_SALTS = 1024
 
 
 def kcols(keys: Sequence[str] | None) -> list[str]:
@@ -91,68 +89,34 @@ def dim(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def lookup_join(fact: DataFrame, dimension: DataFrame, on: list[str], how: str = "inner",
-                hot: int = HOT_KEYS, salts: int = SALTS, key_source: DataFrame | None = None) -> DataFrame:
-    """Join a large ``fact`` to a ``dimension`` with one row per key, safe
-    against hot keys.
-
-    The ``hot`` most frequent keys come from a partial aggregate over the key
-    columns only (pruned scan, map-side combine, bounded top-k). Fact rows of
-    a hot key get a salt in ``[0, salts)`` from a deterministic row hash
-    (re-executed tasks salt identically); the dimension rows of those keys —
-    at most ``hot`` of them — are replicated once per salt. A single
-    equi-join on (key, salt) then spreads every hot key over ``salts`` tasks;
-    cold keys keep salt 0. No row is dropped or duplicated.
-    ``how`` is ``inner`` or ``left``. ``key_source`` (default ``fact``) is
-    where key frequencies are counted — pass the base table when ``fact`` is
-    itself a join, so the join is not computed twice.
-    """
+def lookup_join(fact: DataFrame, dimension: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join a large ``fact`` to a ``dimension`` with one row per key.
+
+    A plain shuffled equi-join: both sides grow with the data (statement
+    text, backup sets), so nothing is broadcast by hint, sort-merge spills,
+    and a hot key's fact rows are split by adaptive execution at run time.
+    That cannot help rows whose key is NULL: they match nothing, but would
+    all hash to one partition. In a left join they get a salt (a hash of the
+    row), so they spread over ``NULL_SALTS`` partitions; in an inner join
+    Spark filters them before the shuffle."""
     if how not in ("inner", "left"):
         raise ValueError("lookup_join supports inner and left")
-    counts = (fact if key_source is None else key_source).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    hot_keys = F.broadcast(counts.orderBy(F.col("_n").desc(), *on).limit(hot)
-                           .select(*on, F.lit(True).alias("_hot")))
-    hashable = [F.col(c) for c, t in fact.dtypes if not t.startswith("map")] or [F.lit(0)]
-    f = fact.join(hot_keys, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*hashable), F.lit(salts)))
-        .otherwise(F.lit(0)).cast("int")).drop("_hot")
-    d = dimension.join(hot_keys, on, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                           .otherwise(F.array(F.lit(0))))).drop("_hot")
-    # The dimension grows with the data (statement text, backup sets): it is
-    # shuffled, never broadcast; only the bounded hot-key list is broadcast.
-    return f.join(d.hint("shuffle_hash"), on + ["_salt"], how).drop("_salt")
+    if how == "inner":
+        return fact.join(dimension, on, how)
+    missing = F.lit(False)
+    for c in on:
+        missing = missing | F.col(c).isNull()
+    hashable = [F.col(c) for c, t in fact.dtypes if not t.startswith("map")]
+    salted = fact.withColumn("_salt", F.when(missing, F.pmod(F.xxhash64(*hashable), F.lit(NULL_SALTS)) + 1).otherwise(F.lit(0)).cast("int"))
+    # Always 0, but not a literal: the optimizer would take a literal out of the join keys again.
+    zero = F.pmod(F.hash(*on), F.lit(1))
+    return salted.join(dimension.withColumn("_salt", zero), on + ["_salt"], how).drop("_salt")
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give CPU-heavy per-row work (XML parsing, long-text slicing) at least
-    the cluster's default parallelism. Large inputs already have more
-    partitions and pass through untouched; only a few-split input (one small
-    file) is round-robin repartitioned."""
-    try:
-        sc = df.sparkSession.sparkContext
-        want = min_partitions or sc.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view of the plan (e.g. a remote session): leave as is
-        return df
-    return df if have >= want else df.repartition(want)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once for several consumers.
-
-    With a shared checkpoint folder (``spark.checkpoint.dir``) the result is
-    checkpointed there — reliable, survives executor loss and cuts lineage.
-    Without one (a bare local session) it is cached, which recomputes from
-    lineage if blocks are lost."""
-    spark = df.sparkSession
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        sc = spark.sparkContext
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(d)
-        return df.checkpoint(eager=True)
-    return df.cache()
+    """Deal rows out evenly before CPU-heavy per-row work (XML parsing): the
+    rows' cost depends on their content, not on the size of an input split."""
+    return df.repartition(min_partitions) if min_partitions else df.hint("rebalance")
 
 
 def kjoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -214,20 +214,20 @@ def _c13b(spark, d):
 
 
 @case("c14_autogrow_events", ["trace_log", "trace_events"], f"""
-select {K}, database_name, event_name, file_name,
+select t.server_name, t.snapshot_id, database_name, event_name, file_name,
   cast(cast(duration_us as decimal(20,0)) * 0.000001 as decimal(10,3)) as time_taken_seconds, start_time, end_time,
   cast(cast(integer_data as double) * 8.0 / 1024 as decimal(20,6)) as change_in_size_mb,
   application_name, host_name, login_name
-from trace_log join (select trace_event_id, event_name from trace_events) e on event_class = trace_event_id
+from trace_log t join trace_events e on t.server_name = e.server_name and t.snapshot_id = e.snapshot_id and event_class = trace_event_id
 where event_class between 92 and 95""")
 def _c14(spark, d):
     return C.autogrow_events(*rel(spark, d, "trace_log", "trace_events"))
 
 
 @case("c14_autogrow_summary", ["trace_log", "trace_events"], f"""
-select {K}, database_name, event_name, file_name, start_time, duration_us // 1000 as duration_ms,
+select t.server_name, t.snapshot_id, database_name, event_name, file_name, start_time, duration_us // 1000 as duration_ms,
   cast(cast(integer_data * 8 as double) / 1024.0 as decimal(20,6)) as change_in_size_mb
-from trace_log join (select trace_event_id, event_name from trace_events) e on event_class = trace_event_id
+from trace_log t join trace_events e on t.server_name = e.server_name and t.snapshot_id = e.snapshot_id and event_class = trace_event_id
 where event_class between 92 and 95""")
 def _c14b(spark, d):
     return C.autogrow_events(*rel(spark, d, "trace_log", "trace_events"), variant="summary")
@@ -235,7 +235,8 @@ def _c14b(spark, d):
 
 @case("c15_trace_coverage", ["trace_log", "trace_events"], f"""
 select {K}, min(start_time) as first_event, max(start_time) as last_event
-from trace_log where event_class in (select trace_event_id from trace_events) group by all""")
+from trace_log t where exists (select 1 from trace_events e where t.server_name = e.server_name and t.snapshot_id = e.snapshot_id
+  and event_class = trace_event_id) group by all""")
 def _c15(spark, d):
     return C.trace_coverage(*rel(spark, d, "trace_log", "trace_events"))
 
@@ -401,7 +402,9 @@ def _b1(spark, d):
 
 
 @case("b2_config_listing", ["config"], f"""
-select {K}, name, value, value_in_use from config where name in ({", ".join(_q(n) for n in B.CONFIG_NAMES)})""")
+select {K}, name, value, value_in_use from config where name in ('backup compression default', 'clr enabled',
+  'max degree of parallelism', 'cost threshold for parallelism', 'min server memory (MB)', 'max server memory (MB)',
+  'max full-text crawl range', 'priority boost', 'optimize for ad hoc workloads', 'remote admin connections')""")
 def _b2(spark, d):
     return B.config_listing(rel(spark, d, "config"))
 
@@ -468,7 +471,9 @@ _COMPAT = ("case compatibility_level when 80 then '2000' when 90 then '2005' whe
 
 @case("b4_db_settings", ["databases"], f"""
 select {K}, name as database_name, recovery_model_desc, log_reuse_wait_desc, is_encrypted, compatibility_level,
-  {_COMPAT} as compat_release, page_verify_option_desc, is_auto_close_on, is_auto_shrink_on, is_auto_update_stats_on
+  {_COMPAT} as compat_release, page_verify_option_desc, is_auto_close_on, is_auto_shrink_on, is_auto_update_stats_on,
+  is_auto_create_stats_on, is_auto_update_stats_async_on, is_parameterization_forced, snapshot_isolation_state_desc,
+  is_read_committed_snapshot_on
 from databases where {_LIVE}""")
 def _b4(spark, d):
     return B.db_settings(rel(spark, d, "databases"))
@@ -606,7 +611,7 @@ def _b11b(spark, d):
     return B.recovery_model_count(rel(spark, d, "databases"))
 
 
-_MODS = " or ".join(f"lower(name) like {_q(p)}" for p in B.MODULE_PATTERNS)
+_MODS = "lower(name) like '%sophos%.dll' or lower(name) like '%swi_ifslsp_64.dll' or lower(name) like '%swi_ifslsp.dll'"
 
 
 @case("b12_module_listing", ["modules"], f"select {K}, name from modules where {_MODS}")
@@ -658,7 +663,7 @@ def _progress_sql(where):
     return f"""
 select r.server_name, r.snapshot_id, r.spid, r.command, t.text as query, r.start_time, r.percent_complete,
   {TS_EV} + to_seconds(r.estimated_completion_time // 1000) as estimated_completion
-from requests r join sql_text t on r.sql_handle = t.sql_handle {where}"""
+from requests r join sql_text t on r.server_name = t.server_name and r.snapshot_id = t.snapshot_id and r.sql_handle = t.sql_handle {where}"""
 
 
 @case("d3_backup_restore_progress", ["requests", "sql_text"],
@@ -781,10 +786,12 @@ _FULL = "length(rtrim(text, ' ')) * 2"
 req as (select {K}, spid as session_id, status as req_status, blocked as blocked_by, command, dbid as database_id,
   percent_complete, start_time, estimated_completion_time, sql_handle, statement_start_offset as s0,
   statement_end_offset as e0, waittime, wait_type as last_wait_type, open_tran as open_transaction_count,
-  isolation_level, cpu from requests),
-rt as (select req.*, t.text from req left join sql_text t on req.sql_handle = t.sql_handle),
-ses as (select {K}, session_id, loginame as original_login_name, login_time, host_name, program_name
-  from sessions where status <> 'sleeping'),
+  isolation_level, cpu, wait_resource from requests),
+rt as (select req.*, t.text, t.object_id as objectid from req left join sql_text t on req.server_name = t.server_name
+  and req.snapshot_id = t.snapshot_id and req.sql_handle = t.sql_handle),
+ses as (select {K}, session_id, loginame as original_login_name, login_time, host_name, program_name,
+  last_request_start_time, last_request_end_time, reads, writes, logical_reads, lock_timeout, row_count
+  from sessions where lower(status) <> 'sleeping'),
 j as (select s.*, r.* exclude (server_name, snapshot_id, session_id) from ses s left join rt r
   on s.server_name = r.server_name and s.snapshot_id = r.snapshot_id and s.session_id = r.session_id),
 j2 as (select j.*, d.name as database_name, jb.name as job_name,
@@ -804,7 +811,8 @@ select {K}, session_id, original_login_name, req_status as status, blocked_by, c
     else program_name end as program_name,
   open_transaction_count,
   case isolation_level when 0 then 'Unspecified' when 1 then 'ReadUncomitted' when 2 then 'ReadCommitted'
-    when 3 then 'Repeatable' when 4 then 'Serializable' when 5 then 'Snapshot' end as transaction_isolation_level, cpu
+    when 3 then 'Repeatable' when 4 then 'Serializable' when 5 then 'Snapshot' end as transaction_isolation_level, cpu, objectid, wait_resource, last_request_start_time, last_request_end_time,
+  reads, writes, logical_reads, lock_timeout, row_count
 from j2""")
 def _e1(spark, d):
     return E.active_sessions(*rel(spark, d, "sessions", "requests", "sql_text", "databases", "jobs"), as_of=EV_AS_OF)
@@ -815,7 +823,7 @@ bl as (select distinct {K}, blocked as spid from processes),
 lead as (select p.* from processes p where p.blocked = 0 and exists (select 1 from bl where bl.server_name = p.server_name
   and bl.snapshot_id = p.snapshot_id and bl.spid = p.spid)),
 er as (select r.server_name, r.snapshot_id, r.spid, r.statement_start_offset as s0, r.statement_end_offset as e0, t.text
-  from requests r left join sql_text t on r.sql_handle = t.sql_handle),
+  from requests r left join sql_text t on r.server_name = t.server_name and r.snapshot_id = t.snapshot_id and r.sql_handle = t.sql_handle),
 j as (select l.*, er.s0, er.e0, er.text, d.name as dn,
   case when er.e0 = -1 then {_FULL.replace('text', 'er.text')} else er.e0 end as e1
   from lead l left join er on l.server_name = er.server_name and l.snapshot_id = er.snapshot_id and l.spid = er.spid
@@ -829,8 +837,8 @@ def _e2(spark, d):
 
 
 @case("e3_rolling_back", ["processes"], f"""
-select {K}, spid, kpid, login_time, last_batch, status, hostname, loginame, cpu, physical_io from processes
-where command = 'KILLED/ROLLBACK'""")
+select {K}, spid, kpid, login_time, last_batch, status, hostname, loginame, cpu, physical_io, nt_username, hostprocess, memusage
+from processes where lower(command) = 'killed/rollback'""")
 def _e3(spark, d):
     return E.rolling_back(rel(spark, d, "processes"))
 
@@ -872,7 +880,7 @@ def _f3(spark, d):
 # ---------------------------------------------------------------- family I
 from .operators import job as I  # noqa: E402
 
-_JOBPAT = " or ".join(f"lower(name) like '{p}'" for p in I.MAINTENANCE_PATTERNS)
+_JOBPAT = " or ".join(f"lower(name) like '{p}'" for p in ("%full%", "%bkp%", "%dba%", "%backup%", "%diff%", "%log%", "%bkup%"))
 
 
 @case("i1_maintenance_job_steps", ["jobs", "job_steps"], f"""
@@ -907,51 +915,53 @@ def _g2_sql(scoped):
     pre = _G1 + "," if scoped else ""
     return f"""{pre}
 p0 as (select * from index_physical p where page_count >= 1000 and lower(index_type_desc) <> 'heap'{scope})
-select p.server_name, p.snapshot_id, p.database_name, p.object_id, i.name as index_name, p.index_type_desc,
-  p.fragmentation_pct, p.page_count
+select p.server_name, p.snapshot_id, p.database_name, s.name as schema_name, o.name as table_name, p.object_id, i.name as index_name,
+  p.index_type_desc, p.alloc_unit_type_desc, p.index_depth, p.fragmentation_pct, p.fragment_count, p.avg_fragment_size_in_pages,
+  p.page_count, p.avg_page_space_used_pct, p.record_count, p.compressed_page_count, i.fill_factor
 from p0 p join indexes i on p.server_name = i.server_name and p.snapshot_id = i.snapshot_id
-  and p.database_name = i.database_name and p.object_id = i.object_id and p.index_id = i.index_id"""
+  and p.database_name = i.database_name and p.object_id = i.object_id and p.index_id = i.index_id
+left join objects o on p.server_name = o.server_name and p.snapshot_id = o.snapshot_id and p.database_name = o.database_name
+  and p.object_id = o.object_id
+left join schemas s on p.server_name = s.server_name and p.snapshot_id = s.snapshot_id and p.database_name = s.database_name
+  and o.schema_id = s.schema_id"""
 
 
-@case("g2_index_fragmentation", ["index_physical", "indexes"], _g2_sql(False))
+@case("g2_index_fragmentation", ["index_physical", "indexes", "objects", "schemas"], _g2_sql(False))
 def _g2(spark, d):
-    return G.index_fragmentation(*rel(spark, d, "index_physical", "indexes"))
+    return G.index_fragmentation(*rel(spark, d, "index_physical", "indexes", "objects", "schemas"))
 
 
-@case("g2_index_fragmentation_busiest_db", ["index_physical", "indexes", "io_file_stats", "databases"], _g2_sql(True))
+@case("g2_index_fragmentation_busiest_db", ["index_physical", "indexes", "objects", "schemas", "io_file_stats", "databases"], _g2_sql(True))
 def _g2b(spark, d):
     io, dbs = rel(spark, d, "io_file_stats", "databases")
-    return G.index_fragmentation(*rel(spark, d, "index_physical", "indexes"),
+    return G.index_fragmentation(*rel(spark, d, "index_physical", "indexes", "objects", "schemas"),
                                  scope=G.busiest_write_database(io, dbs))
 
 
-@case("g3_statistics_dates", ["statistics"], f"""
-select {K}, database_name, object_id, name as statistic_name, updated as last_updated from statistics
-where database_name not in ('master', 'model', 'msdb', 'tempdb')""")
+@case("g3_statistics_dates", ["statistics", "objects"], f"""
+select t.server_name, t.snapshot_id, t.database_name, t.object_id, o.name as object_name, t.name as statistic_name, t.updated as last_updated
+from statistics t left join objects o on t.server_name = o.server_name and t.snapshot_id = o.snapshot_id
+  and t.database_name = o.database_name and t.object_id = o.object_id
+where t.database_name not in ('master', 'model', 'msdb', 'tempdb')""")
 def _g3(spark, d):
-    return G.statistics_dates(rel(spark, d, "statistics"))
+    return G.statistics_dates(*rel(spark, d, "statistics", "objects"))
 
 
-@case("g4_missing_indexes", ["missing_index_groups", "missing_index_details"], f"""
+@case("g4_missing_indexes", ["missing_index_groups", "missing_index_group_stats", "missing_index_details"], f"""
 select g.server_name, g.snapshot_id,
   {money('avg_total_user_cost * avg_user_impact / 100 * (user_seeks + user_scans)')} as improvement_measure,
-  d.statement as table_path, avg_total_user_cost, avg_user_impact, user_seeks, user_scans, index_group_handle, g.index_handle,
+  d.statement as table_path, avg_total_user_cost, avg_user_impact, user_seeks, user_scans, last_user_seek, d.database_id, d.object_id,
+  index_group_handle, g.index_handle,
   'CREATE INDEX IX_MI_' || d.object_name || '_' || cast(index_group_handle as varchar) || '_' || cast(g.index_handle as varchar)
   || ' ON ' || d.statement || ' (' || coalesce(equality_columns, '')
   || case when equality_columns is not null and inequality_columns is not null then ',' else '' end
   || coalesce(inequality_columns, '') || ')' || coalesce(' INCLUDE (' || included_columns || ')', '') as create_index_statement
-from missing_index_groups g join missing_index_details d on g.server_name = d.server_name and g.snapshot_id = d.snapshot_id
-  and g.index_handle = d.index_handle
+from missing_index_groups g
+join missing_index_group_stats st on g.server_name = st.server_name and g.snapshot_id = st.snapshot_id and st.group_handle = g.index_group_handle
+join missing_index_details d on g.server_name = d.server_name and g.snapshot_id = d.snapshot_id and g.index_handle = d.index_handle
 where avg_total_user_cost * (avg_user_impact / 100.0) * (user_seeks + user_scans) > 10000""")
 def _g4(spark, d):
-    return G.missing_indexes(*rel(spark, d, "missing_index_groups", "missing_index_details"))
-
-
-def _names(usage):
-    lst = (f"list_sort(list_distinct(flatten(list_transform(regexp_extract_all(frag, "
-           f"'(?s)<ColumnGroup Usage=\"{usage}\">(.*?)</ColumnGroup>', 1), "
-           f"lambda x: regexp_extract_all(x, 'Name=\"([^\"]*)\"', 1)))))")
-    return f"case when len({lst}) > 0 then array_to_string({lst}, ', ') end"
+    return G.missing_indexes(*rel(spark, d, "missing_index_groups", "missing_index_group_stats", "missing_index_details"))
 
 
 def _cl(c, chars):
@@ -960,19 +970,20 @@ def _cl(c, chars):
     return c
 
 
+# The expected statements come from the order rows that the plans were written from, not from their XML.
 @case("g5_missing_indexes_from_plans", ["cached_plans"], f"""
-p as (select {K}, usecounts, query_plan from cached_plans where contains(query_plan, '<MissingIndexes>')),
-f as (select {K}, usecounts, unnest(regexp_extract_all(query_plan, '(?s)<StmtSimple[ >].*?</StmtSimple>')) as frag from p),
-x as (select {K}, usecounts,
-  regexp_extract(frag, '<MissingIndex [^>]*Database="([^"]*)"', 1) as database_name,
-  regexp_extract(frag, '<MissingIndex [^>]*Schema="([^"]*)"', 1) as schema_name,
-  regexp_extract(frag, '<MissingIndex [^>]*Table="([^"]*)"', 1) as table_name,
-  cast(regexp_extract(frag, '<MissingIndexGroup [^>]*Impact="([^"]*)"', 1) as double) as impact,
-  {_names('EQUALITY')} as equality_columns, {_names('INEQUALITY')} as inequality_columns,
-  {_names('INCLUDE')} as include_columns,
-  regexp_extract(frag, '<StmtSimple [^>]*StatementText="([^"]*)"', 1) as sql_text,
-  len(string_split_regex(frag, '<StmtSimple[ >]')) > 2 as nested
-  from f where contains(frag, '<MissingIndexes>') and usecounts > 100),
+p as (select c.server_name, c.snapshot_id, c.usecounts, c.query_plan, o_orderkey as o, o_custkey as c
+  from cached_plans c join orders on plan_handle = o_orderkey where usecounts > 100),
+x as (
+  select {K}, usecounts, query_plan, '[d]' as database_name, '[s]' as schema_name, '[t' || cast(c % 50 as varchar) || ']' as table_name,
+    cast(c % 100 as double) as impact,
+    '[c' || cast(c % 4 as varchar) || '], [e' || cast(o % 3 as varchar) || ']' || case when o % 7 = 4 then ', [z]' else '' end as equality_columns,
+    '[i' || cast(c % 2 as varchar) || ']' as inequality_columns,
+    case when o % 3 = 0 then '[n' || cast(c % 5 as varchar) || ']' end as include_columns,
+    'q' || cast(o as varchar) as sql_text, false as nested
+  from p where o % 5 <> 0
+  union all
+  select {K}, usecounts, query_plan, '[d]', '[s]', '[in]', 7.0, null, null, '[y]', 'inner' || cast(o as varchar), true from p where o % 7 = 3),
 y as (select *, sum(usecounts) over (partition by {K}, database_name, schema_name, table_name) as table_uses,
   sum(usecounts) over (partition by {K}, table_name, equality_columns, inequality_columns) as pattern_uses,
   coalesce(',' || equality_columns, '') || coalesce(',' || inequality_columns, '') as cols from x)
@@ -981,7 +992,7 @@ select {K}, database_name, schema_name, table_name, equality_columns, inequality
   'CREATE NONCLUSTERED INDEX IX_' || {_cl('schema_name', '_[]')} || '_' || {_cl('table_name', '_[]')} || '_'
   || coalesce({_cl('equality_columns', '_[], ')}, '') || coalesce({_cl("coalesce(inequality_columns, '')", '_[], ')}, '')
   || ' ON ' || schema_name || '.' || table_name || '(' || case when length(cols) > 0 then substr(cols, 2) end || ')'
-  || coalesce(' INCLUDE (' || include_columns || ')', '') as potential_ddl
+  || coalesce(' INCLUDE (' || include_columns || ')', '') as potential_ddl, query_plan
 from y""")
 def _g5(spark, d):
     return G.missing_indexes_from_plans(rel(spark, d, "cached_plans"))
@@ -1082,7 +1093,8 @@ from .operators import ha as H  # noqa: E402
 
 @case("h1_ag_replicas", ["replica_states", "availability_groups", "replicas", "databases"], f"""
 select rs.server_name, rs.snapshot_id, d.name as database_name, g.group_name, r.replica_server_name, rs.is_primary_replica,
-  rs.synchronization_state_desc, rs.synchronization_health_desc, r.availability_mode_desc
+  rs.synchronization_state_desc, rs.synchronization_health_desc, r.availability_mode_desc,
+  rs.is_local, rs.is_commit_participant, rs.database_state_desc, rs.is_suspended, rs.suspend_reason_desc
 from replica_states rs
 join availability_groups g on rs.server_name = g.server_name and rs.snapshot_id = g.snapshot_id and rs.group_id = g.group_id
 join replicas r on rs.server_name = r.server_name and rs.snapshot_id = r.snapshot_id and rs.replica_id = r.replica_id
@@ -1314,7 +1326,8 @@ def _j12(spark, d):
     return S.script_user_roles(*rel(spark, d, "principals", "logins", "role_members"))
 
 
-_ACTS = "(values " + ", ".join(f"({a}, '{n}', {o})" for a, n, o in S.ACTIONS) + ") as a(action, action_name, action_order)"
+_ACTS = ("(values (193, 'SELECT', 1), (195, 'INSERT', 2), (197, 'UPDATE', 3), (196, 'DELETE', 4), (224, 'EXECUTE', 5), "
+         "(26, 'REFERENCES', 6)) as a(action, action_name, action_order)")
 
 
 @case("j13_script_user_object_permissions", ["protects", "objects", "schemas", "principals", "logins"], f"""{_LUSERS},
@@ -1439,7 +1452,7 @@ agdb as (select r.server_name, r.snapshot_id, d.name as database_name from repli
 sub as (select {K}, count(case when has_replication_objects then 1 end) as subscribed_dbs from databases d
   where state_desc = 'ONLINE' and d.name not in (select a.database_name from agdb a where a.server_name = d.server_name
     and a.snapshot_id = d.snapshot_id) group by all)"""
-_WIN = " and ".join(f"name not like '{p}'" for p in KD.WIN_LOGIN_EXCLUDE)
+_WIN = r"not (starts_with(lower(name), '##ms_') or starts_with(lower(name), 'nt service\') or starts_with(lower(name), 'nt authority\'))"
 _KW = f"""{_K3},
 base as (select {K}, machine_name, coalesce(instance_name, '<default>') as instance_name, edition, product_version,
   {_VNAME} as version_name, product_level, "collation",
