@@ -133,6 +133,18 @@ def stale_log_backup(databases: DataFrame, backupset: DataFrame, as_of, days: in
         .filter(F.col("age_days") > days)
 
 
+def stale_log_backup_count(databases: DataFrame, backupset: DataFrame, as_of, days: int = 1, keys=None) -> DataFrame:
+    """D7 finding: how many databases have a newest log backup older than
+    ``days`` days."""
+    k = kcols(keys)
+    j = _log_eligible(databases, keys).join(_log_backup_facts(backupset, keys), k + ["database_name"], "left")
+    age = datediff_boundaries("day", F.col("last_log_backup"), _as_of(as_of))
+    a = j.groupBy(*k).agg(F.count_if(age > days).alias("n"))
+    return finding(a, keys, "D7.stale_log_backup", F.when(F.col("n") > 0, "warn").otherwise("ok"), F.col("n"),
+                   F.when(F.col("n") > 0, F.format_string("Last LOG backup too old on %d database(s)", F.col("n")))
+                   .otherwise(F.lit("LOG backup age verified")))
+
+
 def _full_backups(databases: DataFrame, backupset: DataFrame, keys) -> DataFrame:
     k = kcols(keys)
     facts = backupset.filter(F.col("type") == "D").groupBy(*k, "database_name").agg(

@@ -157,14 +157,16 @@ COUNT_METRICS = [
     "agent_alerts", "agent_operators", "agent_proxies", "maintenance_plans", "server_audits", "credentials",
     "backup_devices", "endpoints", "event_sessions", "user_policies", "user_conditions", "_master_key",
     "asymmetric_keys", "log_shipping_primary", "log_shipping_secondary", "mirrored_dbs", "tde_databases",
-    "subscribed_dbs"]
+    "subscribed_dbs", "user_objects_master", "user_objects_msdb", "user_objects_model"]
+# M43-45: system databases whose user objects are counted.
+OBJECT_DBS = ["master", "msdb", "model"]
 
 
 def discovery_metrics(instances: DataFrame, databases: DataFrame, files: DataFrame, jobs: DataFrame,
                       flags: DataFrame, server_principals: DataFrame, sku_features: DataFrame, services: DataFrame,
                       certificates: DataFrame, replica_states: DataFrame, schedulers: DataFrame,
                       server_objects: DataFrame, encryption_keys: DataFrame, groups: DataFrame,
-                      keys=None) -> DataFrame:
+                      objects: DataFrame, schemas: DataFrame, keys=None) -> DataFrame:
     """K1: long table (fleet key, metric, value) of the discovery metrics.
 
     Each source table is aggregated once per server and unpivoted to long
@@ -239,6 +241,9 @@ def discovery_metrics(instances: DataFrame, databases: DataFrame, files: DataFra
                   F.when(F.col("_master_key") > 0, "Configured").otherwise("Not configured").alias("master_key")))
     add(tde_databases(encryption_keys, certificates, keys))
     add(subscribed_databases(databases, groups, replica_states, keys))
+    uo = user_object_counts(objects, schemas, keys)
+    add(uo.groupBy(*k).agg(*[F.sum(F.when(F.lower("database_name") == d, F.col("user_objects"))).alias(f"user_objects_{d}")
+                             for d in OBJECT_DBS]))
     # Defaults: every server gets every metric.
     defaults = [(m, "0") for m in COUNT_METRICS if m != "_master_key"] + \
         [(m, "NO") for m in YES_NO_METRICS] + [("master_key", "Not configured"), ("edition_features", "0")] + \
@@ -249,7 +254,8 @@ def discovery_metrics(instances: DataFrame, databases: DataFrame, files: DataFra
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return u.groupBy(*k, "metric").agg(F.max_by("value", "_p").alias("value"))
+    # A source row whose value is NULL leaves the default.
+    return u.groupBy(*k, "metric").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("_p"))).alias("value"))
 
 
 YES_NO_METRICS = ["replication_configured", "ssisdb_catalog", "ssis_installed", "ssas_installed", "ssrs_installed",
@@ -326,6 +332,9 @@ REPORT_TEMPLATE = [
     (73, "server_objects", "Extended Events (user created)", "event_sessions", None),
     (74, "server_objects", "User policies", "user_policies", None),
     (75, "server_objects", "User conditions", "user_conditions", None),
+    (76, "server_objects", "User objects in master", "user_objects_master", "gt0"),
+    (77, "server_objects", "User objects in msdb", "user_objects_msdb", "gt0"),
+    (78, "server_objects", "User objects in model", "user_objects_model", "gt0"),
     (61, "server_objects", "User Define Resource Governor", "resource_governor", None),
     (62, "server_objects", "Time zone", "time_zone", None),
     (63, "server_objects", "Last SQL Server restart", "last_restart", None),

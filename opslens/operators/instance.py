@@ -229,6 +229,22 @@ def side_channel_patch(spark: SparkSession, instances: DataFrame, keys=None) ->
                     F.try_element_at("messages", F.lit(1)).alias("message"))
 
 
+def version_findings(spark: SparkSession, instances: DataFrame, keys=None) -> DataFrame:
+    """A5-A7 as findings: support level, known defects of the build (one row
+    each, or one 'ok' row), side-channel update."""
+    s = support_level(spark, instances, keys)
+    behind = F.col("obsolete") | F.coalesce(F.col("support_status").isin("not_latest_sp", "not_rtm", "rtm"), F.lit(True))
+    support = finding(s, keys, "A5.support_level", F.when(behind, "warn").otherwise("ok"), F.col("product_version"),
+                      F.coalesce("message", F.lit("version is not in the support table")))
+    r = risky_build(spark, instances, keys)
+    risk = finding(r, keys, "A6.risky_build", F.when(F.col("message").isNotNull(), "warn").otherwise("ok"), F.col("product_version"),
+                   F.coalesce("message", F.lit("no known defect for this build")))
+    p = side_channel_patch(spark, instances, keys)
+    patch = finding(p, keys, "A7.side_channel", "info", F.col("patch_status"),
+                    F.coalesce("message", F.lit("no side-channel rule for this version")))
+    return support.unionByName(risk).unionByName(patch)
+
+
 def memory_settings(config: DataFrame, keys=None) -> DataFrame:
     """Max / min server memory in GB, comma formatted."""
     m = _max_mem(config, keys)

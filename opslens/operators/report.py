@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.loader import load_fleet, write_result
 
-from . import backup as D, database as B, ha as H, instance as A, storage as C
+from . import backup as D, database as B, ha as H, instance as A, storage as C, wait as W
 
 
 def health_check_findings(spark: SparkSession, t: dict[str, DataFrame], as_of, keys=None) -> DataFrame:
@@ -29,9 +29,12 @@ def health_check_findings(spark: SparkSession, t: dict[str, DataFrame], as_of, k
         C.vlf_check(t["log_info"], keys=keys),
         D.no_log_backup(t["databases"], t["backupset"], keys),
         D.no_full_backup(t["databases"], t["backupset"], keys),
+        D.stale_log_backup_count(t["databases"], t["backupset"], as_of, keys=keys),
         D.never_checked(t["dbinfo"], keys),
         D.stale_integrity_count(t["dbinfo"], as_of, keys=keys),
         H.ag_health(t["availability_groups"], keys),
+        A.version_findings(spark, t["instances"], keys),
+        W.top_wait_findings(spark, t["wait_stats"], keys),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -41,7 +44,7 @@ def health_check_findings(spark: SparkSession, t: dict[str, DataFrame], as_of, k
 
 HEALTH_CHECK_INPUTS = ["instances", "schedulers", "config", "databases", "jobs", "packages", "trace_flags",
                        "services", "master_files", "modules", "log_info", "backupset", "dbinfo",
-                       "availability_groups"]
+                       "availability_groups", "wait_stats"]
 
 
 def run_health_check(spark: SparkSession, landing_root: str, as_of, out_path: str | None = None,
@@ -59,7 +62,7 @@ def run_health_check(spark: SparkSession, landing_root: str, as_of, out_path: st
 
 DISCOVERY_INPUTS = ["instances", "databases", "master_files", "jobs", "trace_flags", "server_principals",
                     "sku_features", "services", "certificates", "replica_states", "schedulers", "server_objects",
-                    "encryption_keys", "availability_groups"]
+                    "encryption_keys", "availability_groups", "objects", "schemas"]
 
 
 def run_discovery_report(spark: SparkSession, landing_root: str, out_path: str | None = None,

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tsql import scaled
-from ..plans.shape import dim, kcols, rank_in, with_total
+from ..plans.shape import dim, finding, kcols, rank_in, with_total
 
 # Reviewed wait types, in the order listed, with their category.
 WAIT_CATEGORIES = [
@@ -77,6 +77,11 @@ def wait_listing(spark: SparkSession, waits: DataFrame, n: int = 10, keys=None)
     return wait_stats(spark, waits, n, keys).filter(F.col("waiting_tasks_count") != 0)
 
 
+def top_wait_findings(spark: SparkSession, waits: DataFrame, keys=None) -> DataFrame:
+    """F3 as findings: the three largest waits of a server."""
+    return finding(top_waits(spark, waits, keys=keys), keys, "F3.top_wait", "info", F.col("wait_type"), F.col("line"))
+
+
 def top_waits(spark: SparkSession, waits: DataFrame, n: int = 3, keys=None) -> DataFrame:
     """the first ``n`` ranked waits as '<pct>% for <type>' lines."""
     w = wait_stats(spark, waits, 10, keys).filter(F.col("rn") <= n)

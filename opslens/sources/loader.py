@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .schemas import SCHEMAS
+
 FORMATS = ("parquet", "json", "csv", "orc")
 
 
@@ -54,45 +56,31 @@ def union_landed(frames: Iterable[DataFrame]) -> DataFrame:
 
 
 def write_result(df: DataFrame, path: str, *, date_col: str | None = "snapshot_ts",
-                 mode: str = "append", fmt: str = "parquet") -> None:
+                 mode: str = "overwrite", fmt: str = "parquet") -> None:
     """Persist findings / listings / report lines.
 
-    Partitioned by the snapshot date so readers prune by date; rows are
-    clustered by server inside each date partition.
-    """
-    w = df
-    parts = []
-    if date_col and date_col in df.columns:
-        w = w.withColumn("snapshot_date", F.to_date(date_col))
-        parts = ["snapshot_date"]
-        w = w.repartition(*[F.col(p) for p in parts], F.col("server_name")) \
-            if "server_name" in df.columns else w
-    writer = w.write.mode(mode).format(fmt)
-    if parts:
-        writer = writer.partitionBy(*parts)
-    writer.save(path)
-
-
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only when the cluster names none (local tests) is ``fallback`` used and set.
+    Partitioned by snapshot date and server, and only the partitions that
+    ``df`` has rows for are replaced: a re-run of a day writes the same files
+    again instead of doubling them, and other servers' results stay. The rows
+    are rebalanced first, so adaptive execution splits a large server over
+    several files and tasks and packs small ones together.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if d:
-        return d
-    if fallback is None:
-        raise RuntimeError("spark.checkpoint.dir is not set")
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    if not (date_col and date_col in df.columns):
+        df.write.mode(mode).format(fmt).save(path)
+        return
+    parts = ["snapshot_date"] + (["server_name"] if "server_name" in df.columns else [])
+    w = df.withColumn("snapshot_date", F.to_date(date_col)).hint("rebalance", *[F.col(p) for p in parts])
+    w.write.mode(mode).option("partitionOverwriteMode", "dynamic").format(fmt).partitionBy(*parts).save(path)
 
 
 def load_fleet(spark: SparkSession, root: str, names: Iterable[str], fmt: str = "parquet",
                schemas: dict | None = None) -> dict[str, DataFrame]:
     """Read a landing folder laid out as ``<root>/<view name>/`` (each a
     table, typically partitioned by snapshot date) into a name -> DataFrame
-    map for the operators. Reads are lazy; nothing is scanned here."""
-    schemas = schemas or {}
+    map for the operators, with the declared schemas (``schemas.SCHEMAS``
+    unless others are given), so types never come from the files. Reads are
+    lazy; nothing is scanned here."""
+    schemas = SCHEMAS if schemas is None else schemas
     return {n: load_snapshot(spark, f"{root}/{n}", schema=schemas.get(n), fmt=fmt) for n in names}
 
 

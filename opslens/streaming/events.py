@@ -38,17 +38,15 @@ def read_events(spark: SparkSession, path: str, schema: StructType | str, fmt: s
     return r.load(path)
 
 
-def _start(df: DataFrame, sink_path: str | None, query_name: str, checkpoint: str, available_now: bool,
+def _start(df: DataFrame, sink_path: str, query_name: str, checkpoint: str, available_now: bool,
            fmt: str) -> StreamingQuery:
     w = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).queryName(query_name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    if sink_path is None:
-        return w.format("memory").start()
     return w.format(fmt).start(sink_path)
 
 
 def stream_autogrow_events(spark: SparkSession, trace_path: str, trace_schema, trace_events: DataFrame,
-                           sink_path: str | None = None, variant: str = "detail",
+                           sink_path: str, variant: str = "detail",
                            checkpoint_location: str | None = None, available_now: bool = True,
                            fmt: str = "parquet") -> StreamingQuery:
     """C14 on a stream of trace-event files."""
@@ -57,7 +55,7 @@ def stream_autogrow_events(spark: SparkSession, trace_path: str, trace_schema, t
                   available_now, fmt)
 
 
-def stream_ag_state_changes(spark: SparkSession, xe_path: str, xe_schema, sink_path: str | None = None,
+def stream_ag_state_changes(spark: SparkSession, xe_path: str, xe_schema, sink_path: str,
                             utc_offset_hours: int = 0, tz: str | None = None,
                             checkpoint_location: str | None = None, available_now: bool = True,
                             fmt: str = "parquet") -> StreamingQuery:

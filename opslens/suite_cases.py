@@ -1421,7 +1421,7 @@ def _k2(spark, d):
 
 _KRELS = ["instances", "databases", "master_files", "jobs", "trace_flags", "server_principals", "sku_features",
           "services", "certificates", "replica_states", "schedulers", "server_objects", "encryption_keys",
-          "availability_groups"]
+          "availability_groups", "objects", "schemas"]
 _COUNTS = KD.COUNT_METRICS
 
 
@@ -1489,10 +1489,19 @@ agm as (select {K}, count(distinct database_id) as ag_databases from replica_sta
 u as (select {K}, sum(data_used_gb) as data_used_gb, sum(log_used_gb) as log_used_gb from su
   where database_name not in ('master', 'model', 'msdb', 'tempdb') group by all),
 {_SO},
+uo0 as (select ob.*, s.name as schema_name from objects ob left join schemas s on ob.server_name = s.server_name
+  and ob.snapshot_id = s.snapshot_id and ob.database_name = s.database_name and ob.schema_id = s.schema_id),
+uo as (select {K}, count(case when database_name = 'master' then 1 end) as user_objects_master,
+  count(case when database_name = 'msdb' then 1 end) as user_objects_msdb,
+  count(case when database_name = 'model' then 1 end) as user_objects_model from uo0 x
+  where x.schema_name is not null and not (x.schema_name = 'sys' or (x.database_name = 'msdb' and x.schema_name = 'MS_PerfDashboard'))
+    and not x.is_ms_shipped and x.parent_object_id not in (select y.object_id from uo0 y where y.server_name = x.server_name
+      and y.snapshot_id = x.snapshot_id and y.database_name = x.database_name and (y.schema_name = 'sys' or y.is_ms_shipped))
+  group by all),
 w0 as (select * from base left join cpus using ({K}) left join dbm using ({K}) left join fm using ({K})
   left join jm using ({K}) left join tm using ({K}) left join spm using ({K}) left join fe0 using ({K})
   left join svc using ({K}) left join cm using ({K}) left join agm using ({K}) left join u using ({K})
-  left join so using ({K}) left join tde using ({K}) left join sub using ({K})),
+  left join so using ({K}) left join tde using ({K}) left join sub using ({K}) left join uo using ({K})),
 w as (select {K}, machine_name, instance_name, edition, product_version, version_name, product_level, "collation",
   total_memory_gb, last_restart, is_clustered, is_hadr_enabled, time_zone, default_data_path, default_log_path,
   resource_governor, os_cpus, {", ".join(f"coalesce({c}, 0) as {c}" for c in _COUNTS if c != "_master_key")},
@@ -1561,9 +1570,45 @@ from .suite import CASES as _ALL  # noqa: E402
 _HC = ["a4_identity_checks", "b3_config_checks", "b5_db_setting_checks", "b7_owner_checks", "b8_trace_flag_checks",
        "b9_service_account_checks", "b10_msdb_size_check", "b11_recovery_model_count", "b12_module_check",
        "c9_file_growth_checks", "c11_tempdb_file_count", "c12_tempdb_uniformity", "c13_vlf_check", "d6_no_log_backup",
-       "d9_no_full_backup", "d11_never_checked", "d12_stale_integrity_count", "h2_ag_health"]
+       "d9_no_full_backup", "d11_never_checked", "d12_stale_integrity_count", "h2_ag_health", "d7_stale_log_backup_count",
+       "a5_a7_version_findings", "f3_top_wait_findings"]
 _HC_RELS = ["instances", "schedulers", "config", "databases", "jobs", "packages", "trace_flags", "services",
-            "master_files", "modules", "log_info", "backupset", "dbinfo", "availability_groups"]
+            "master_files", "modules", "log_info", "backupset", "dbinfo", "availability_groups", "wait_stats"]
+
+
+@case("d7_stale_log_backup_count", ["databases", "backupset"], f"""{_ELIG_LOG},
+l as (select e.server_name, e.snapshot_id, e.database_name, max(b.backup_finish_date) as last from e {_JL} group by all),
+a as (select {K}, count(case when datediff('day', last, {TS_AS_OF}) > 1 then 1 end) as n from l group by all)
+select {K}, 'D7.stale_log_backup' as check_id, case when n > 0 then 'warn' else 'ok' end as severity, cast(n as varchar) as observed,
+  case when n > 0 then printf('Last LOG backup too old on %d database(s)', n) else 'LOG backup age verified' end as message from a""")
+def _d7b(spark, d):
+    return D.stale_log_backup_count(*rel(spark, d, "databases", "backupset"), as_of=AS_OF)
+
+
+@case("a5_a7_version_findings", [], f"""
+select {K}, 'A5.support_level' as check_id,
+  case when obsolete or coalesce(support_status in ('not_latest_sp', 'not_rtm', 'rtm'), true) then 'warn' else 'ok' end as severity,
+  product_version as observed, coalesce(message, 'version is not in the support table') as message
+from ({_ALL["a5_support_level"][1]})
+union all by name
+select {K}, 'A6.risky_build' as check_id, case when message is not null then 'warn' else 'ok' end as severity,
+  product_version as observed, coalesce(message, 'no known defect for this build') as message
+from ({_ALL["a6_risky_build"][1]})
+union all by name
+select {K}, 'A7.side_channel' as check_id, 'info' as severity, patch_status as observed,
+  coalesce(message, 'no side-channel rule for this version') as message
+from ({_ALL["a7_side_channel_patch"][1]})""")
+def _a57(spark, d):
+    return A.version_findings(spark, rel(spark, d, "instances"))
+
+
+@case("f3_top_wait_findings", [], f"""
+select {K}, 'F3.top_wait' as check_id, 'info' as severity, wait_type as observed, line as message
+from ({_ALL["f3_top_waits"][1]})""")
+def _f3b(spark, d):
+    return W.top_wait_findings(spark, rel(spark, d, "wait_stats"))
+
+
 _CASES_HC_SQL = "\nunion all by name\n".join(f"select * from ({_ALL[n][1]})" for n in _HC)
 
 

@@ -77,8 +77,13 @@ def _sessions(spark, start):
                                 f"{SNAPC}, spid long, status string, blocked long, command string, dbid long, "
                                 "percent_complete long, start_time timestamp_ntz, estimated_completion_time long, "
                                 "sql_handle long, statement_start_offset long, statement_end_offset long, "
-                                "waittime long, wait_type string, open_tran long, isolation_level long, cpu long")
-    txt = spark.createDataFrame([(7, "SELECT 1  ")], "sql_handle long, text string")
+                                "waittime long, wait_type string, open_tran long, isolation_level long, cpu long") \
+        .withColumn("wait_resource", F.lit("KEY: 1"))
+    for c in ("last_request_start_time", "last_request_end_time", "reads", "writes", "logical_reads", "lock_timeout", "row_count"):
+        ses = ses.withColumn(c, F.lit(None).cast("long"))
+    # The same handle is another statement on another server, and in another snapshot of this one.
+    txt = spark.createDataFrame([("s", 0, 7, "SELECT 1  ", 11), ("t", 0, 7, "other", 12), ("s", 1, 7, "later", 13)],
+                                f"{SNAPC}, sql_handle long, text string, object_id long")
     dbs = spark.createDataFrame([("s", 0, 1, "db")], f"{SNAPC}, database_id long, name string")
     jobs = spark.createDataFrame([("s", 0, "0x1", "j")], f"{SNAPC}, job_hex string, name string")
     return ses, req, txt, dbs, jobs
@@ -86,7 +91,10 @@ def _sessions(spark, start):
 
 def test_active_session_duration_and_statement(spark):
     start = dt.datetime(2024, 1, 31, 22, 58, 59)
-    r = E.active_sessions(*_sessions(spark, start), as_of="2024-02-01 00:00:00").collect()[0]
+    got = E.active_sessions(*_sessions(spark, start), as_of="2024-02-01 00:00:00").collect()
+    assert len(got) == 1
+    r = got[0]
+    assert (r.objectid, r.wait_resource) == (11, "KEY: 1")
     # 62 minute boundaries -> 1 hr 2 min; 3661 second boundaries -> 1 sec
     assert r.duration == "1 hr 2 min 1 sec"
     # end -1: LEN*2 ignores trailing blanks, then (16 - 0)/2 + 1 = 9 characters
@@ -106,7 +114,7 @@ def test_lead_blocker_statement_start_zero(spark):
     p = p.withColumn("status", F.lit("runnable"))
     r = spark.createDataFrame([("s", 0, 51, 7, 0, 6)], f"{SNAPC}, spid long, sql_handle long, "
                               "statement_start_offset long, statement_end_offset long")
-    t = spark.createDataFrame([(7, "abcdef")], "sql_handle long, text string")
+    t = spark.createDataFrame([("s", 0, 7, "abcdef"), ("t", 0, 7, "ghijkl")], f"{SNAPC}, sql_handle long, text string")
     d = spark.createDataFrame([("s", 0, 1, "a_long_database_name")], f"{SNAPC}, database_id long, name string")
     out = E.lead_blockers(p, r, t, d).collect()
     assert len(out) == 1 and out[0].spid == 51
@@ -128,7 +136,32 @@ def test_lookup_join_keeps_every_row_under_a_hot_key(spark):
     fact = spark.range(0, 5000).select((F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id"))).alias("k"),
                                        F.col("id").alias("v"))
     dim = spark.range(0, 5000).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
-    out = lookup_join(fact, dim, ["k"], "left", hot=4, salts=8)
+    out = lookup_join(fact, dim, ["k"], "left")
     assert out.count() == 5000
     assert out.filter(F.col("w").isNull()).count() == 0
     assert out.agg(F.sum("w")).collect()[0][0] == fact.join(dim, "k").agg(F.sum("w")).collect()[0][0]
+
+
+def test_lookup_join_spreads_rows_without_a_key(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fact = spark.range(0, 10_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("k"), F.col("id").alias("v"))
+        dim = spark.range(0, 10_000).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+        out = lookup_join(fact, dim, ["k"], "left")
+        sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert sum(sizes) == 10_000 and max(sizes) < 3 * 10_000 / len(sizes) and len(sizes) > 4
+        assert out.filter("k is not null and w <> 10 * k").count() == 0 and out.filter("w is not null").count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_progress_keeps_servers_and_snapshots_apart(spark):
+    r = spark.createDataFrame([("a", 0, 1, "BACKUP DATABASE", 7), ("b", 1, 2, "BACKUP DATABASE", 7)],
+                              f"{SNAPC}, spid long, command string, sql_handle long") \
+        .withColumns({"start_time": F.lit(None).cast("timestamp_ntz"), "percent_complete": F.lit(1), "estimated_completion_time": F.lit(1000)})
+    t = spark.createDataFrame([("a", 0, 7, "text of a"), ("b", 0, 7, "old text of b"), ("b", 1, 7, "text of b")],
+                              f"{SNAPC}, sql_handle long, text string")
+    out = D.backup_restore_progress(r, t, "2024-01-01 00:00:00").collect()
+    assert sorted((x.server_name, x.query) for x in out) == [("a", "text of a"), ("b", "text of b")]

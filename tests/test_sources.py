@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from opslens.operators import storage as C
 from opslens.sources import loader as L
 
+from .conftest import SF_SMALL
+
 
 def test_load_snapshot_formats_and_defaults(spark, tmpdir_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "database_id int, name string")
@@ -38,8 +40,33 @@ def test_write_result_partitions_by_date(spark, tmpdir_path):
     assert spark.read.parquet(out).count() == 1
 
 
-def test_checkpoint_dir_is_read_from_session(spark):
-    assert L.checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+def test_write_result_is_idempotent_per_date_and_server(spark, tmpdir_path):
+    def rows(servers, message):
+        return spark.createDataFrame([(s, 0, "C9", message) for s in servers], "server_name string, snapshot_id int, check_id string, message string") \
+            .withColumn("snapshot_ts", F.lit("2024-01-02 10:00:00").cast("timestamp"))
+    out = os.path.join(tmpdir_path, "findings")
+    L.write_result(rows(["a", "b"], "one"), out)
+    L.write_result(rows(["a"], "two"), out)
+    L.write_result(rows(["a"], "two"), out)
+    assert sorted((r.server_name, r.message) for r in spark.read.parquet(out).collect()) == [("a", "two"), ("b", "one")]
+
+
+def test_declared_schemas_cover_every_relation(spark):
+    from opslens.sources.bindings import BINDINGS, relation
+    from opslens.sources.schemas import SCHEMAS
+    assert set(SCHEMAS) == set(BINDINGS)
+    for name, schema in SCHEMAS.items():
+        got = [(f.name, f.dataType) for f in relation(spark, SF_SMALL, name).schema]
+        assert got == [(f.name, f.dataType) for f in spark.createDataFrame([], schema).schema], name
+
+
+def test_load_fleet_reads_with_declared_types(spark, tmpdir_path):
+    root = os.path.join(tmpdir_path, "land")
+    spark.createDataFrame([("s", "1", "7", "x")], "server_name string, snapshot_id string, sid string, name string") \
+        .write.json(os.path.join(root, "logins"))
+    spark.createDataFrame([("s", 1, 7, "x")], "server_name string, snapshot_id int, sid long, name string").write.json(os.path.join(root, "packages"))
+    got = L.load_fleet(spark, root, ["packages"], fmt="json")["packages"]
+    assert dict(got.dtypes) == {"server_name": "string", "snapshot_id": "int", "name": "string", "owner_name": "string"}
 
 
 def test_operator_on_landed_snapshot(spark, tmpdir_path):
