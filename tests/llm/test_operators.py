@@ -58,7 +58,7 @@ def test_token_counts_edges(frame, tokenizer):
 def test_gam_learns_and_round_trips():
     rng = np.random.default_rng(1)
     x = rng.random((2000, 18))
-    y = ((x[:, 3] > 0.7) ^ ((x[:, 5] > 0.5) & (x[:, 6] > 0.5))).astype(float)
+    y = ((x[:, 5] > 0.5) ^ (x[:, 6] > 0.5)).astype(float)  # no feature tells anything alone, the pair everything
     model = fit(x[:1500], y[:1500])
     assert ((model.score(x[1500:]) >= 0.5) == y[1500:]).mean() > 0.93
     assert {(f, g) for f, g, *_ in model.pairs} & {(6, 5)}
@@ -160,11 +160,11 @@ def test_mixing_inclusion_is_unbiased(spark):
     """Documents of one source and size are taken equally often over many seeds."""
     df = spark.createDataFrame([(i, "a b", "s" if i < 20 else "t") for i in range(40)], "doc_id long, text string, source string").cache()
     counts = np.zeros(20)
-    for seed in range(30):
+    for seed in range(12):
         for r in mix_sources(df, weights=(3, 2), seed=seed).collect():
             if r.source == "t":
                 counts[r.doc_id - 20] += r.taken
-    assert counts.sum() == 30 * 32 and counts.std() < 12
+    assert counts.sum() == 12 * 32 and counts.std() < 6
 
 
 def test_mixing_edges(frame):
