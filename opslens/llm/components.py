@@ -23,9 +23,8 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("to"))
         further = least.select(F.col("u").alias("to"), F.col("to").alias("then"))
         jump = stored(least.join(further, "to", "left").select("u", F.coalesce("then", "to").alias("to")))
-        labels = stored(labels.join(jump.withColumnRenamed("u", "comp"), "comp", "left")
-                        .select("id", F.coalesce("to", "comp").alias("comp")))
+        labels = labels.join(jump.withColumnRenamed("u", "comp"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
         links = stored(links.join(jump.withColumnRenamed("to", "x"), "u")
                        .join(jump.select(F.col("u").alias("v"), F.col("to").alias("y")), "v")
                        .where("x != y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct())
-    return labels
+    return stored(labels)

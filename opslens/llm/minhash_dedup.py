@@ -13,13 +13,18 @@ Candidates are confirmed on the full sets, and nothing in a bucket is capped:
 
 * Equal sets are one vertex (grouped with partial aggregation, so a third of
   all rows may be copies of one text).
-* In each bucket of several vertices, the first is compared with all others;
-  what it confirms is merged. A bucket whose members are then all connected
-  is settled, as further links could not change the result. In the others
-  the next 4, 16, 64 ... members are compared in turn with all later members
-  that are not yet connected to them, until a bucket is settled or all its
-  pairs are compared. So work grows with the vertices that stay apart inside
-  a bucket, not with the square of its size.
+* A bucket whose members are all connected is settled, as further links
+  could not change the result. First one member of each bucket, the
+  smallest id, is compared with all others.
+* What is left are pairs of different components. For them an exact prefix
+  join takes over: with the shingles in one order, rarest first, a pair that
+  reaches the threshold must share one of its first (1 - threshold) of
+  shingles, and the places p and q of the first one that it shares bound the
+  intersection by 1 + min(|x| - p, |y| - q). Only pairs of different
+  components that pass this bound are compared.
+
+So the comparisons grow with the texts that stay apart although they look
+alike, not with the square of a group's size.
 
 Results: one row per document with its set's size, its component's smallest
 id, and whether it is the one that stays.
@@ -36,7 +41,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import merge_components
@@ -127,18 +132,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, permut
     members = stored(members.join(several, "bucket", "left_semi"))
     labels = stored(members.select("id").distinct().withColumn("comp", F.col("id")))
     sets = stored(base.join(labels.select("id"), "id").mapInArrow(_set_rows(shingle), "id long, shingles array<long>"))
-    done, upto = 0, 1
-    while True:
-        placed = members.join(labels, "id")
-        open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("many")) \
-            .where((F.col("lo") < F.col("hi")) & (F.col("many") > done + 1)).select("bucket")
-        placed = stored(placed.join(open_, "bucket", "left_semi"))
-        if placed.isEmpty():
-            break
-        links = _confirmed(placed, sets, done, upto, percent)
-        labels = merge_components(labels, links)
-        members = placed.select("bucket", "id", "n")
-        done, upto = upto, 4 * upto
+    leaders = members.groupBy("bucket").agg(F.min("id").alias("a"))
+    stars = members.select("bucket", F.col("id").alias("b")).join(leaders, "bucket").where("a < b").select("a", "b").distinct()
+    labels = merge_components(labels, _confirmed(stars, sets, percent))
+    members = _unsettled(members, labels)
+    if not members.isEmpty():
+        pairs = _prefix_pairs(members, _in_order(members, sets), percent)
+        labels = merge_components(labels, _confirmed(pairs, sets, percent))
     names = vertices.select("k1", "k2", F.col("id").alias("vertex")) \
         .join(labels.withColumnRenamed("id", "vertex"), "vertex", "left").select("k1", "k2", F.coalesce("comp", "vertex").alias("comp"))
     known, rest = "n > 0 and id is not null", "not (n > 0 and id is not null)"
@@ -148,16 +148,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, permut
                                      F.col("id").eqNullSafe(F.col("comp")).alias("kept"))
 
 
-def _confirmed(placed: DataFrame, sets: DataFrame, done: int, upto: int, percent: int) -> DataFrame:
-    """Links (a, b) between members number done + 1 .. upto of every bucket
-    and its later members of other components."""
-    order = Window.partitionBy("bucket").orderBy("id")
-    leaders = placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= upto).where(F.col("rank") > done) \
-        .select("bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("c"))
-    others = placed.select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("d"))
-    large, small = F.greatest("n_a", "n_b"), F.least("n_a", "n_b")
-    pairs = others.join(leaders, "bucket").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & (100 * small >= percent * large)) \
-        .select("a", "b").distinct()
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (bucket, id, n, comp) of buckets with several components."""
+    placed = members.select("bucket", "id", "n").join(labels, "id")
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    return stored(placed.join(several, "bucket", "left_semi"))
+
+
+def _in_order(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Per member its shingles (id, ordered), those that fewest members have first."""
+    single = sets.join(members.select("id").distinct(), "id").select("id", F.explode("shingles").alias("shingle"))
+    counted = single.join(single.groupBy("shingle").agg(F.count(F.lit(1)).alias("many")), "shingle")
+    per_id = counted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("many", "shingle"))).alias("o"))
+    return per_id.select("id", F.col("o.shingle").alias("ordered"))
+
+
+def _prefix_pairs(members: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may reach the threshold."""
+    n = F.size("ordered")
+    needed = F.ceil(n * F.lit(percent) / 100).cast("int")
+    rows = stored(ordered.join(members.select("id", "comp").distinct(), "id").select(
+        "id", "comp", n.alias("n"), F.posexplode(F.slice("ordered", 1, n - needed + 1)).alias("at", "shingle")))
+    side = lambda *names: rows.select("shingle", *[F.col(c).alias(x) for c, x in zip(("id", "comp", "n", "at"), names)])
+    most = 1 + F.least(F.col("n_a") - F.col("p") - 1, F.col("n_b") - F.col("q") - 1)
+    possible = (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
+    return side("a", "c", "n_a", "p").join(side("b", "d", "n_b", "q"), "shingle").where(possible).select("a", "b").distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets reach the threshold."""
     common = F.size(F.array_intersect("of_a", "of_b"))
     return pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b") \
         .join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a") \
