@@ -68,7 +68,8 @@ def lines_of(block: Block, w) -> Lines:
 def _half_keys(h: SpanHasher, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """(lines x 4) hashes of the first and last halves. Two lines within one
     edit, the longer of M words, agree in floor(M / 2) words at one end; M is
-    a line's own length or one more."""
+    a line's own length or one more. (Of an even length the halves of both
+    are the same: the third and fourth column repeat the first two.)"""
     m = hi - lo
     keys = []
     for half in (m // 2, (m + 1) // 2):
@@ -97,8 +98,9 @@ def _line_rows(min_words: int):
             first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
             later = (doc != doc[first]) | (line != line[first])
             fuzzy = ~later & (m >= min_words)
-            offsets = np.concatenate([[0], np.cumsum(4 * fuzzy)]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(halves[fuzzy].view(np.int64).ravel()))
+            wanted = fuzzy[:, None] & np.stack([np.ones(len(m), bool)] * 2 + [m % 2 == 1] * 2, 1)
+            offsets = np.concatenate([[0], np.cumsum(wanted.sum(1))]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(halves[wanted].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array(line), pa.array(later),
                  keys.cast(pa.list_(pa.int64()))], names=["h1", "h2", "doc", "line", "later", "halves"])
@@ -204,12 +206,13 @@ def line_dedup(docs: DataFrame, min_words: int = 6, id_col: str = "doc_id", text
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     text = base.withColumn("home", F.coalesce("doc", F.xxhash64("text"))).repartition("home")
     lines = base.mapInArrow(_line_rows(min_words), LINE_SCHEMA)
-    seen = stored(lines)
-    distinct = seen.where("not later").groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("halves").alias("halves"))
-    halves = distinct.select("h1", "first", F.explode(F.array_distinct("halves")).alias("half"))
+    seen = stored(lines.drop("halves"))
+    distinct = seen.where("not later").groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"))
+    halves = lines.where("not later").select("h1", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b")
-    asked = halves.join(shared, "half", "left_semi").select("h1", "first.doc", "first.line").distinct() \
-        .groupBy(F.col("doc").alias("home")).agg(F.collect_list(F.struct("line", "h1")).alias("asked"))
+    near = halves.join(shared, "half", "left_semi").select("h1").distinct()
+    asked = distinct.join(near, "h1").groupBy(F.col("first.doc").alias("home")) \
+        .agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h1")).alias("asked"))
     variants = text.join(asked, "home").select("doc", "text", "asked").mapInArrow(_variant_rows, VARIANT_SCHEMA)
     same_place, same = Window.partitionBy("v1", "v2", "place"), Window.partitionBy("v1", "v2")
     spot = F.struct("doc", "line")
@@ -221,7 +224,6 @@ def line_dedup(docs: DataFrame, min_words: int = 6, id_col: str = "doc_id", text
         .when(F.col("place") < 0, part).otherwise(F.least(whole, peer))
     near = variants.repartition("v1").withColumn("near", nearest).where(F.col("near") < spot) \
         .groupBy("h1", "h2").agg(F.min("near").alias("near"), F.min(spot).alias("spot"))
-    near = stored(near)
     found = _verified(near, text)
     firsts = distinct.select("h1", "h2", "first").join(found, ["h1", "h2"], "left") \
         .select("h1", "h2", F.coalesce(F.least("first", "near"), "first").alias("limit"))
@@ -241,9 +243,11 @@ def _verified(near: DataFrame, text: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("side"), F.col("near.doc").alias("doc"), F.col("near.line").alias("line")))).alias("end"))
     ends = ends.select("h1", "h2", "near", "end.*")
     line = F.get(F.split("text", "\n"), F.col("line").cast("int"))
-    told = ends.join(text.select(F.col("doc"), "text"), "doc") \
-        .select("h1", "h2", "near", "side", F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda x: x != "").alias("words"))
+    # Joined on the column that ``text`` is dealt out by, with all its columns, so that its one shuffle serves every use.
+    told = ends.withColumnRenamed("doc", "home").join(text, "home") \
+        .select("h1", "h2", "near", "side", "doc", F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda x: x != "").alias("words"))
     # Rows that share an id give several texts for one line: any pair within the bound will do.
     a, b = F.filter("sides", lambda s: s["side"] == 0), F.filter("sides", lambda s: s["side"] == 1)
     ok = F.exists(a, lambda x: F.exists(b, lambda y: _one_edit(x["words"], y["words"])))
-    return told.groupBy("h1", "h2", "near").agg(F.collect_list(F.struct("side", "words")).alias("sides")).where(ok).select("h1", "h2", "near")
+    return told.groupBy("h1", "h2", "near").agg(F.collect_list(F.struct("side", "words")).alias("sides"), F.min("doc").alias("some")) \
+        .where(ok & F.col("some").isNotNull()).select("h1", "h2", "near")
