@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
 # Odd multipliers (random, fixed) and their inverses modulo 2**64.
