@@ -6,10 +6,12 @@ window of ``window`` template tokens that a document shares with a benchmark
 item is a hit. Placeholders hide which number or name stood there, so
 questions with other parameters still hit; slot consistency then tells them
 from chance: along one alignment of document and item, equal slots of the
-item must stand for equal values in the document.
+item must stand for equal values in the document. A window whose slots hold
+the item's own values always counts; one with other values counts unless it
+holds a value of the item that stands for several values in the alignment.
 
 An item is leaked into a document when at least ``min_windows`` of its
-windows (all of them, if it has fewer) are found in consistent alignments.
+windows (all of them, if it has fewer) count.
 Eight tokens and six windows mean a run of 13 tokens, or as much with a
 change in between.
 
@@ -174,12 +176,16 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_win
     matched = hits.join(item_side, ["h1", "h2"])
     slot_pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots"))))
     aligned = matched.groupBy("id", "text_hash", "item", "item_hash", (F.col("pos") - F.col("item_pos")).alias("shift")) \
-        .agg(F.collect_set("item_pos").alias("places"), slot_pairs.alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item_slots")))
-    changed = F.exists("pairs", lambda p: p["item_slots"] != p["slots"])
+        .agg(F.collect_set(F.struct("item_pos", "item_slots", "slots")).alias("found"), slot_pairs["item_slots"].alias("values"))
+    # Values of the item that stand for several values in the document.
+    torn = F.filter("values", lambda v, i: F.array_position("values", v) != i + 1)
+    same = lambda w: w["item_slots"] == w["slots"]
+    counted = aligned.withColumn("torn", torn) \
+        .withColumn("found", F.filter("found", lambda w: same(w) | ~F.arrays_overlap(w["item_slots"], F.col("torn"))))
     sizes = asked.groupBy(F.col("id").alias("item"), F.col("text_hash").alias("item_hash")).agg(F.count(F.lit(1)).alias("item_windows"))
-    per_item = aligned.where(consistent).groupBy("id", "text_hash", "item", "item_hash") \
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.max(changed).alias("reparameterised"))
+    per_item = counted.where(F.size("found") > 0).groupBy("id", "text_hash", "item", "item_hash") \
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("found.item_pos")))).cast("long").alias("n_windows"),
+             F.max(F.exists("found", lambda w: ~same(w))).alias("reparameterised"))
     return per_item.alias("p").join(sizes.alias("s"), F.col("p.item").eqNullSafe(F.col("s.item")) & (F.col("p.item_hash") == F.col("s.item_hash"))) \
         .where(F.col("n_windows") >= F.least("item_windows", F.lit(min_windows))) \
         .select(F.col("p.id").alias(id_col), F.col("p.text_hash"), F.col("p.item").alias(item_col), "n_windows", "item_windows", "reparameterised")

@@ -199,3 +199,18 @@ def test_decontamination_edges(spark, frame):
     assert leaked_items(frame([]), bench).collect() == []
     assert leaked_items(frame(EDGES), bench.limit(0)).collect() == []
     assert leaked_items(frame(EDGES), bench).collect() == []
+
+
+def test_decontamination_keeps_verbatim_windows_beside_a_conflict(spark, frame):
+    """A value that stands twice in an item and is changed once costs the windows around the change, not the alignment."""
+    tail = "in the morning and then walks slowly home along the old river road to see a friend"
+    items = {1: f"Yesterday Tom buys 2 apples and 2 pears {tail}", 2: f"Here is Tom and there is his friend Tom {tail}"}
+    bench = spark.createDataFrame([*items.items(), (3, ITEM)], "item_id long, text string")
+    row12 = ITEM.replace("at 40 km", "at 7 km").replace("12", "13")
+    rows = [(1, items[1].replace("2 apples", "3 apples")), (2, items[2].replace("is Tom", "is Tim")), (3, row12)]
+    out = {(r.doc_id, r.item_id): (r.n_windows, r.reparameterised) for r in leaked_items(frame(rows), bench, min_windows=1).collect()}
+    n = len(items[1].split()) - 7
+    assert out[1, 1] == (n - 4, False)                                   # the four windows that hold the 3
+    assert out[2, 2] == (len(items[2].split()) - 7 - 3, False)           # the three that hold Tim
+    assert out[3, 3] == (4, True)                                        # two verbatim, two with 13 for 12 alone: too few by default
+    assert {(r.doc_id, r.item_id) for r in leaked_items(frame(rows), bench).collect()} >= {(1, 1), (2, 2)}
