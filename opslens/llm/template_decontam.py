@@ -15,6 +15,12 @@ windows (all of them, if it has fewer) count.
 Eight tokens and six windows mean a run of 13 tokens, or as much with a
 change in between.
 
+Whether a word is a name, or a unit, depends on its case and on what stands
+before it, so the same words can be other template tokens elsewhere. Windows
+are therefore taken in three forms: the template, the template with names as
+plain words, and plain words alone, all in lower case. A window of the item
+found in any form is found.
+
 The benchmark is the query set, every document is searched whole. Hashes of
 the benchmark's windows are sent to the tasks if there are at most
 ``MAX_SENT`` of them, which keeps windows without a hit off the network;
@@ -78,8 +84,11 @@ def _capital(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def template(block: Block):
-    """Template tokens of a block: (token hash, first token of every
-    document, is a slot, lowered text, start, end)."""
+    """Tokens of a block: (forms, first token of every document, lowered
+    text, start, end). A form is (token hash, is a slot, tokens that it alone
+    shows like this): the template; the template with names as plain words;
+    all words plain. Windows without a token of the last kind (None: all
+    have one) are the same in another form."""
     w = words(block)
     data, low = block.data, _lower(block.data)
     inked = np.concatenate([[0], np.cumsum(_INK[data])])
@@ -103,8 +112,11 @@ def template(block: Block):
     name = np.zeros(len(start), bool)
     if len(start):
         name = ~opens & ~number & _capital(data, start) & (after > start) & ~_capital(data, after)
-    token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, token)))
-    return token, first, number | unit | name, low, start, end
+    name &= ~unit
+    value = number | unit
+    named = np.where(number, _NUMBER, np.where(unit, _UNIT, token))
+    forms = (np.where(name, _NAME, named), value | name, None), (named, value, name), (token, np.zeros(len(token), bool), value)
+    return forms, first, low, start, end
 
 
 def _windows(lengths: tuple[int, ...], wanted):
@@ -115,31 +127,36 @@ def _windows(lengths: tuple[int, ...], wanted):
         keys = None if wanted is None else wanted.value
         for batch in batches:
             for block in blocks(batch.column("text")):
-                token, first, slot, low, start, end = template(block)
-                h, h2 = SpanHasher(token), SpanHasher(token, 1)
-                slots_before = np.concatenate([[0], np.cumsum(slot)])
-                at = np.flatnonzero(slot)
+                forms, first, low, start, end = template(block)
                 raw = low.tobytes()
                 rows = batch.slice(block.rows.start, block.rows.stop - block.rows.start)
-                for length in lengths:
-                    pos, doc = window_starts(first, length)
-                    key = h(pos, pos + length)
-                    if keys is not None:
-                        k = np.searchsorted(keys, key)
-                        hit = keys[np.minimum(k, len(keys) - 1)] == key if len(keys) else np.zeros(len(key), bool)
-                        pos, doc, key = pos[hit], doc[hit], key[hit]
-                    if not len(pos):
-                        continue
-                    a, b = slots_before[pos], slots_before[pos + length]
-                    count = b - a
-                    which = at[np.repeat(a - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
-                    values = [raw[x:y].decode("utf-8", "replace") for x, y in zip(start[which].tolist(), end[which].tolist())]
-                    offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [rows.column("id").take(pa.array(doc)), rows.column("text_hash").take(pa.array(doc)), pa.array(key.view(np.int64)),
-                         pa.array(h2(pos, pos + length).view(np.int64)), pa.array((pos - first[doc]).astype(np.int32)),
-                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.string())).cast(pa.list_(pa.string()))],
-                        names=["id", "text_hash", "h1", "h2", "pos", "slots"])
+                for token, slot, own in forms:
+                    h, h2 = SpanHasher(token), SpanHasher(token, 1)
+                    slots_before = np.concatenate([[0], np.cumsum(slot)])
+                    own_before = None if own is None else np.concatenate([[0], np.cumsum(own)])
+                    at = np.flatnonzero(slot)
+                    for length in lengths:
+                        pos, doc = window_starts(first, length)
+                        if own is not None:
+                            differs = own_before[pos + length] > own_before[pos]
+                            pos, doc = pos[differs], doc[differs]
+                        key = h(pos, pos + length)
+                        if keys is not None:
+                            k = np.searchsorted(keys, key)
+                            hit = keys[np.minimum(k, len(keys) - 1)] == key if len(keys) else np.zeros(len(key), bool)
+                            pos, doc, key = pos[hit], doc[hit], key[hit]
+                        if not len(pos):
+                            continue
+                        a, b = slots_before[pos], slots_before[pos + length]
+                        count = b - a
+                        which = at[np.repeat(a - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+                        values = [raw[x:y].decode("utf-8", "replace") for x, y in zip(start[which].tolist(), end[which].tolist())]
+                        offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays(
+                            [rows.column("id").take(pa.array(doc)), rows.column("text_hash").take(pa.array(doc)), pa.array(key.view(np.int64)),
+                             pa.array(h2(pos, pos + length).view(np.int64)), pa.array((pos - first[doc]).astype(np.int32)),
+                             pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.string())).cast(pa.list_(pa.string()))],
+                            names=["id", "text_hash", "h1", "h2", "pos", "slots"])
 
     return run
 
@@ -182,7 +199,7 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_win
     same = lambda w: w["item_slots"] == w["slots"]
     counted = aligned.withColumn("torn", torn) \
         .withColumn("found", F.filter("found", lambda w: same(w) | ~F.arrays_overlap(w["item_slots"], F.col("torn"))))
-    sizes = asked.groupBy(F.col("id").alias("item"), F.col("text_hash").alias("item_hash")).agg(F.count(F.lit(1)).alias("item_windows"))
+    sizes = asked.groupBy(F.col("id").alias("item"), F.col("text_hash").alias("item_hash")).agg(F.count_distinct("pos").alias("item_windows"))
     per_item = counted.where(F.size("found") > 0).groupBy("id", "text_hash", "item", "item_hash") \
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("found.item_pos")))).cast("long").alias("n_windows"),
              F.max(F.exists("found", lambda w: ~same(w))).alias("reparameterised"))

@@ -214,3 +214,16 @@ def test_decontamination_keeps_verbatim_windows_beside_a_conflict(spark, frame):
     assert out[2, 2] == (len(items[2].split()) - 7 - 3, False)           # the three that hold Tim
     assert out[3, 3] == (4, True)                                        # two verbatim, two with 13 for 12 alone: too few by default
     assert {(r.doc_id, r.item_id) for r in leaked_items(frame(rows), bench).collect()} >= {(1, 1), (2, 2)}
+
+
+def test_decontamination_in_other_contexts(spark, frame):
+    """Case, line breaks, marks and the place in a sentence decide what is a name, not what is found."""
+    long = "Yesterday Maria met Helen. They saw Paul near Rome. Then Anna and Peter went home by train. Later Clara and Victor came to see Berlin."
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "What is 3 plus 4 times 5?"), (3, long)], "item_id long, text string")
+    rows = [(1, "please answer What is the capital of France"), (2, "please answer What is 7 plus 4 times 9 now"), (3, "he said: " + long.lower()),
+            (4, "and so " + long.replace(".", "")), (5, long.replace(" ", "\n")), (6, "Paris is the capital of France."), (7, "please answer What is 7 plus 4 and 9")]
+    out = {(r.doc_id, r.item_id): (r.n_windows, r.item_windows, r.reparameterised) for r in leaked_items(frame(rows), bench).collect()}
+    n = len(long.split()) - 7
+    assert out == {(1, 1): (1, 1, False), (2, 2): (1, 1, True), **{(d, 3): (n, n, False) for d in (3, 4, 5)}}
+    joined = {(r.doc_id, r.item_id): (r.n_windows, r.item_windows, r.reparameterised) for r in leaked_items(frame(rows), bench, max_sent=0).collect()}
+    assert joined == out
