@@ -102,8 +102,10 @@ def template(block: Block):
     number = _DIGIT[data[start]] if len(start) else np.zeros(0, bool)
     unit = np.zeros(len(start), bool)
     unit[1:] = number[:-1] & np.isin(token[1:], _unit_hashes())
+    opening = first[:-1][np.diff(first) > 0]  # first words of documents
+    unit[opening] = False
     opens = np.zeros(len(start), bool)  # first word of a document, line or sentence
-    opens[first[:-1][np.diff(first) > 0]] = True
+    opens[opening] = True
     if len(start):
         newline = np.concatenate([[0], np.cumsum(data == 10)])
         closing = np.concatenate([[0], np.cumsum(np.isin(data, np.frombuffer(b".!?:;|", np.uint8)))])

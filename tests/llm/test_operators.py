@@ -4,13 +4,15 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from opslens.llm.chat_format import PART, format_chat, read_back, text_parts
 from opslens.llm.quality_gam import Gam, fit, fit_quality, score_quality
 from opslens.llm.source_mixing import mix_sources
-from opslens.llm.template_decontam import leaked_items
+from opslens.llm.template_decontam import leaked_items, template
+from opslens.llm.textarrays import blocks
 from opslens.llm.token_counts import WordCounter, prefix_token_counts, truncate, word_prefix_counts
 
 from .conftest import EDGES, corpus
@@ -227,3 +229,13 @@ def test_decontamination_in_other_contexts(spark, frame):
     assert out == {(1, 1): (1, 1, False), (2, 2): (1, 1, True), **{(d, 3): (n, n, False) for d in (3, 4, 5)}}
     joined = {(r.doc_id, r.item_id): (r.n_windows, r.item_windows, r.reparameterised) for r in leaked_items(frame(rows), bench, max_sent=0).collect()}
     assert joined == out
+
+
+def test_template_does_not_look_into_the_document_before():
+    """A text's tokens are its own, whatever stands before it in the batch."""
+    def tokens(*texts):
+        forms, first, *_ = template(next(blocks(pa.array(texts))))
+        return [token[first[-2]:].tolist() for token, _, _ in forms]
+
+    for text in ("Day trips to old towns", "A 5 km walk", "In 3 days"):
+        assert tokens("it costs 5", text) == tokens("it costs 5", "", text) == tokens(text)
