@@ -2,8 +2,8 @@
 
 * Facts are pre-aggregated to their join key before meeting a dimension
   (query stats per plan, usage per index), so joins are one-to-one.
-* Plan XML is parsed whole by ``from_xml``, into a schema that descends
-  through batches, statements and nested bodies.
+* Plan XML is searched whole for statements, at any depth; ``from_xml``
+  parses what is found of each.
 * Windowed sums over possibly hot groups (one table in many plans) are
   computed as a partial aggregate joined back (adaptive skew-join splits a
   hot partition), never as one window partition holding the hot group.
@@ -92,51 +92,36 @@ def missing_indexes(groups: DataFrame, group_stats: DataFrame, details: DataFram
                     "index_group_handle", "index_handle", ddl.alias("create_index_statement"))
 
 
-# Levels of statements inside statements (procedure bodies, branches) that the parser descends.
-NESTING = 2
 # Only the parts of a showplan that G5 reads; from_xml ignores the rest.
 _GROUP = ("array<struct<_Impact: double, MissingIndex: array<struct<_Database: string, _Schema: string, _Table: string, "
           "ColumnGroup: array<struct<_Usage: string, Column: array<struct<_Name: string>>>>>>>>")
-
-
-def _statement_type(depth: int) -> str:
-    inner = f", StmtSimple: array<{_statement_type(depth - 1)}>, StoredProc: {_bodies_type(depth - 1)}" if depth else ""
-    return f"struct<_StatementText: string, QueryPlan: struct<MissingIndexes: struct<MissingIndexGroup: {_GROUP}>>{inner}>"
-
-
-def _bodies_type(depth: int) -> str:
-    """Elements that hold lists of statements: batches, procedures, branches."""
-    branch = f", StmtCond: array<struct<Then: {_bodies_type(depth - 1)}, Else: {_bodies_type(depth - 1)}>>" if depth else ""
-    return f"array<struct<Statements: array<struct<StmtSimple: array<{_statement_type(depth)}>{branch}>>>>"
-
-
-PLAN_SCHEMA = f"BatchSequence struct<Batch: {_bodies_type(NESTING)}>"
-_FOUND = f"array<struct<sql_text: string, groups: {_GROUP}, nested: boolean>>"
-
-
-def _all_of(arr: Column, each) -> Column:
-    """``each`` element's statements, one after another; none for NULL."""
-    return F.coalesce(F.flatten(F.transform(arr, each)), F.array().cast(_FOUND))
-
-
-def _in_statements(arr: Column, depth: int, nested: bool) -> Column:
-    def one(s):
-        own = F.array(F.struct(s["_StatementText"].alias("sql_text"), s["QueryPlan"]["MissingIndexes"]["MissingIndexGroup"].alias("groups"),
-                               F.lit(nested).alias("nested")))
-        if not depth:
-            return own
-        return F.concat(own, _in_statements(s["StmtSimple"], depth - 1, True), _in_bodies(s["StoredProc"], depth - 1, True))
-    return _all_of(arr, one)
-
-
-def _in_bodies(arr: Column, depth: int, nested: bool) -> Column:
-    def one(body):
-        simple = _in_statements(body["StmtSimple"], depth, nested)
-        if not depth:
-            return simple
-        return F.concat(simple, _all_of(body["StmtCond"], lambda c: F.concat(
-            _in_bodies(c["Then"], depth - 1, True), _in_bodies(c["Else"], depth - 1, True))))
-    return _all_of(arr, lambda holder: _all_of(holder["Statements"], one))
+FOUND_SCHEMA = ("Found array<struct<_nested: boolean, StmtSimple: struct<_StatementText: string, "
+                f"MissingIndexes: struct<MissingIndexGroup: {_GROUP}>>>>")
+# Comments and CDATA (skipped), the tags of statements of any kind, and whole MissingIndexes elements. Elsewhere in
+# well-formed XML a "<" is written &lt;, attribute values included; a ">" inside a value is not an end of the tag.
+_TAGS = (r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|</Stmt\w+\s*>|<Stmt\w+(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>"
+         r"|<MissingIndexes(?:\s[^>/]*+)?>.*?</MissingIndexes\s*>")
+_OPEN = "struct<open: array<string>, found: array<string>>"
+
+
+def _found_statements(plan: Column) -> Column:
+    """The plan's StmtSimple elements with missing indexes, at whatever
+    depth, as a flat XML text: the statement's start tag around its own
+    MissingIndexes. One pass over the tags keeps the open statements."""
+    def step(state, tag):
+        opened, found = state["open"], state["found"]
+        owner = F.try_element_at(opened, F.lit(-1))
+        flat = F.concat(F.lit('<Found nested="'), (F.size(opened) > 1).cast("string"), F.lit('">'), owner, tag, F.lit("</StmtSimple></Found>"))
+        closes, opens = tag.startswith("</Stmt"), tag.startswith("<Stmt") & ~tag.endswith("/>")
+        return F.struct(
+            F.when(closes, F.slice(opened, 1, F.greatest(F.size(opened) - 1, F.lit(0)))).when(opens, F.concat(opened, F.array(tag)))
+            .otherwise(opened).alias("open"),
+            F.when(tag.startswith("<MissingIndexes") & owner.rlike(r"^<StmtSimple[\s>]"), F.concat(found, F.array(flat)))
+            .otherwise(found).alias("found"))
+
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast("array<string>").alias("found")).cast(_OPEN)
+    found = F.aggregate(F.regexp_extract_all(plan, F.lit(_TAGS), F.lit(0)), start, step)["found"]
+    return F.concat(F.lit("<Plan>"), F.array_join(found, ""), F.lit("</Plan>"))
 
 
 def _name_list(groups: Column, usage: str) -> Column:
@@ -155,12 +140,18 @@ def _clean(c: Column, chars: str) -> Column:
 def plan_missing_indexes(plans: DataFrame, keys=None) -> DataFrame:
     """G5 core: one row per statement of a cached plan that carries missing-
     index information. Plans whose text does not mention MissingIndexes are
-    skipped before parsing; the others are parsed whole, once. ``nested``
-    flags statements that stand inside another statement's body or branch."""
+    skipped before parsing; the others are searched whole, at any depth of
+    batches, branches, procedures and functions. ``nested`` flags statements
+    that stand inside another statement's body or branch. Missing indexes of
+    a condition or cursor belong to no StmtSimple and give no row, as in the
+    reference."""
     k = kcols(keys)
     p = spread(plans.filter(F.col("query_plan").contains("MissingIndexes")).select(*k, "usecounts", "query_plan"))
-    found = F.from_xml("query_plan", PLAN_SCHEMA)["BatchSequence"]["Batch"]
-    x = p.select(*k, "usecounts", "query_plan", F.inline(F.filter(_in_bodies(found, NESTING, False), lambda s: F.size(s["groups"]) > 0)))
+    found = F.from_xml(_found_statements(F.col("query_plan")), FOUND_SCHEMA)["Found"]
+    each = F.transform(found, lambda f: F.struct(
+        f["StmtSimple"]["_StatementText"].alias("sql_text"), f["StmtSimple"]["MissingIndexes"]["MissingIndexGroup"].alias("groups"),
+        f["_nested"].alias("nested")))
+    x = p.select(*k, "usecounts", "query_plan", F.inline(F.filter(each, lambda s: F.size(s["groups"]) > 0)))
     mi = F.flatten(F.transform("groups", lambda g: g["MissingIndex"]))
     columns = F.flatten(F.transform(mi, lambda m: m["ColumnGroup"]))
     first = F.try_element_at(mi, F.lit(1))

@@ -26,6 +26,19 @@ CASES = {
                  {("a", "[t]", True), ("b", "[u]", True)}),
     "two_groups": ('<StmtSimple StatementText="q"><QueryPlan>' + MISSING.format(t="t", i=9).replace("</MissingIndexes>", "")
                    + MISSING.format(t="u", i=1).replace("<MissingIndexes>", "") + "</QueryPlan></StmtSimple>", {("q", "[t]", False)}),
+    "else_if_chain": ("".join(f'<StmtCond><Condition/><Then><Statements><StmtSimple StatementText="b{i}">{m(f"t{i}")}</StmtSimple></Statements></Then>'
+                              "<Else><Statements>" for i in range(9)) + "</Statements></Else></StmtCond>" * 9, {(f"b{i}", f"[t{i}]", True) for i in range(9)}),
+    "branches_in_a_procedure": ('<StmtSimple StatementText="exec p"><StoredProc><Statements><StmtCond><Then><Statements><StmtCond><Else><Statements>'
+                                '<StmtSimple StatementText="a">' + m("t") + "</StmtSimple></Statements></Else></StmtCond></Statements></Then></StmtCond>"
+                                "</Statements></StoredProc>" + m("u") + "</StmtSimple>", {("a", "[t]", True), ("exec p", "[u]", False)}),
+    "function": ('<StmtSimple StatementText="q">' + m("t") + '<UDF ProcName="f"><Statements><StmtSimple StatementText="in f">' + m("u")
+                 + "</StmtSimple></Statements></UDF></StmtSimple>", {("q", "[t]", False), ("in f", "[u]", True)}),
+    "function_in_a_condition": ('<StmtCond><Condition>' + m("c") + '<UDF><Statements><StmtSimple StatementText="in f">' + m("u")
+                                + "</StmtSimple></Statements></UDF></Condition></StmtCond>", {("in f", "[u]", True)}),
+    "cursor": ('<StmtCursor StatementText="c"><CursorPlan><Operation>' + m("c") + '<UDF><Statements><StmtSimple StatementText="in f">' + m("u")
+               + "</StmtSimple></Statements></UDF></Operation></CursorPlan></StmtCursor>", {("in f", "[u]", True)}),
+    "marks_in_values": ("<!-- <StmtSimple> --><StmtSimple StatementText=\"a > b and c &lt; '/>' &amp; d\" X='\">'>" + m("t") + "</StmtSimple>",
+                        {("a > b and c < '/>' & d", "[t]", False)}),
     "none": ('<StmtSimple StatementText="no MissingIndexes here"><QueryPlan/></StmtSimple>', set()),
 }
 
