@@ -37,9 +37,8 @@ _LETTER = np.zeros(256, bool)  # ASCII letters and digits
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _MARK = np.zeros(256, bool)
 _MARK[[c for c in range(33, 127) if not _LETTER[c] and c not in b"<>"]] = True
-_PLAIN = _LETTER.copy()  # ASCII letters, and whatever is not ASCII
+_PLAIN = _LETTER.copy()  # ASCII letters: one run of tokens a word is certain
 _PLAIN[48:58] = False
-_PLAIN[128:] = True
 MARKS = 4
 
 
@@ -68,9 +67,11 @@ class WordCounter:
         self._count = np.zeros(0, np.int64)
 
     def encode_plain(self, texts: list[str]) -> np.ndarray:
-        """Counts of words made of letters alone: many are encoded as one
-        text, whose tokens fall into words at the word-end tokens. A pack in
-        which that does not give one run per word is encoded word by word."""
+        """Counts of words made of ASCII letters alone: many are encoded as
+        one text, whose tokens fall into words at the word-end tokens. Other
+        words may have no word end (blanks beyond ASCII) or several, which
+        could cancel out in a pack. A pack without one run per word is
+        encoded word by word."""
         packs = [texts[a:a + self.PACK] for a in range(0, len(texts), self.PACK)]
         out = []
         for a in range(0, len(packs), 64):

@@ -40,6 +40,24 @@ def test_token_counts_are_the_librarys(frame, tokenizer):
             assert count == len(library.encode(text[r.doc_id].encode()[:end].decode(), add_special_tokens=False))
 
 
+def test_words_without_or_with_several_ends_do_not_shift_counts(frame, tokenizer):
+    """Blanks beyond ASCII are words without tokens, marks and blanks inside a word give it several ends; one of each cancels out."""
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(tokenizer)
+    ends = [("\u00a0", "bar\u2019"), ("\u3000", "gar\u00e7on\u00a0bleu"), ("\u2028", "na\u00efve\u2014caf\u00e9"), ("\u0085", "\u65e5\u672c\u3002\u8a9e")]
+    rows = [(d, f"extraordinarily {none} multidimensional {several} foo internationalization") for d, (none, several) in enumerate(ends)]
+    rows.append((9, " ".join(w for _, t in rows for w in t.split(" "))))
+    for r in prefix_token_counts(frame(rows, 1)).collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", dict(rows)[r.doc_id])
+        each = [len(library.encode(w, add_special_tokens=False)) for w in words]
+        assert r.counts == np.cumsum(each).tolist() and r.n_tokens == len(library.encode(dict(rows)[r.doc_id], add_special_tokens=False))
+    got = WordCounter(tokenizer)
+    packed = ["extraordinarily", "\u00a0", "multidimensional", "bar\u2019", "foo"]
+    data = np.frombuffer(" ".join(packed).encode(), np.uint8)
+    end = np.cumsum([len(w.encode()) + 1 for w in packed]) - 1
+    assert got.counts(data, end - [len(w.encode()) for w in packed], end).tolist() == [2, 0, 2, 3, 1]
+
+
 def test_truncation_needs_no_encoding(frame, tokenizer):
     counter = WordCounter(tokenizer)
     rows = corpus(22, 20)
