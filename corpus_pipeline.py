@@ -51,9 +51,18 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: one document of each group of near duplicates stays (five
-    words a shingle, similarity 0.8)."""
-    dropped = near_duplicates(docs, shingle=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["__dropped"], "left_anti").select(*docs.columns)
+    words a shingle, similarity 0.8). Texts that share an id are judged one
+    by one: all but one of them get a key of their own."""
+    text = F.xxhash64("text")
+    shared = stored(docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__shared"))
+                    .agg(F.min(text).alias("__lo"), F.max(text).alias("__hi")).where("__lo < __hi").select("__shared", "__lo"))
+    keyed = docs.withColumn("__key", F.col("doc_id"))
+    if not shared.isEmpty():
+        own = F.shiftrightunsigned(F.xxhash64("doc_id", text), 1)
+        keyed = docs.join(shared, docs["doc_id"] == shared["__shared"], "left") \
+            .withColumn("__key", F.when(text != F.col("__lo"), own).otherwise(F.col("doc_id")))
+    dropped = near_duplicates(keyed, shingle=5, percent=80, id_col="__key").where(~F.col("kept")).select(F.col("__key").alias("__dropped")).distinct()
+    return keyed.join(dropped, F.col("__key") == F.col("__dropped"), "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

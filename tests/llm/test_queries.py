@@ -115,6 +115,16 @@ def test_pipeline_stages_on_odd_rows(spark):
         assert len(out) <= len(rows)
 
 
+def test_pipeline_near_judges_each_text_of_an_id(spark):
+    """A near copy goes; another text under its id stays."""
+    words = [f"word{i}" for i in range(80)]
+    copy, other = " ".join([*words[:-1], "else"]), " ".join(f"other{i}" for i in range(80))
+    rows = [(1, " ".join(words)), (2, copy), (2, other), (3, other + " more"), (None, copy)]
+    out = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF_SMALL).collect()
+    assert len(out) == 3 and (None, copy) in out
+    assert sum(r.text in (rows[0][1], copy) for r in out if r.doc_id) == sum(r.text.startswith("other") for r in out) == 1
+
+
 def test_pipeline_runs(spark):
     out = E.queries()["pipeline"](spark, SF_SMALL)
     assert out.count() > 50 and out.where("taken > 3 * size or taken <= 0").count() == 0
