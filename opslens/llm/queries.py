@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .chat_format import format_chat, read_back, text_parts
 from .exact_dedup import exact_dedup, lower_ascii
 from .line_dedup import line_dedup
+from .merkle_manifest import fold, leaf_hash, merkle_manifest, siblings_hash
 from .minhash_dedup import near_duplicates
 from .quality_gam import fit_quality, score_quality
 from .source_mixing import mix_sources
@@ -166,3 +167,70 @@ def op10_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and benchmark item that has leaked into it."""
     out = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "item_id", "n_windows", "item_windows", "reparameterised")
+
+
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, each row verified against it; rows whose id has an even
+    checksum have lost their line breaks on the way."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(tampered, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    seen = leaf_hash(*[text if c == "text" else F.col(c) for c in LEAF])
+    out = merkle_manifest(table(spark, sf_dir, "documents"), columns=LEAF, carry={"seen": seen})
+    return out.select("doc_id", "leaf", "subroot", "root", siblings_hash(F.col("path")).alias("proof_sha256"),
+                      fold(F.col("seen"), F.col("path")).alias("folded_root")) \
+        .withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in (text if c == "text" else c for c in LEAF)]
+    return f"sha256({' || '.join(parts)})"
+
+
+# crc32 bit by bit, as DuckDB has no such function; trees and paths level by level.
+ORACLES["op11_merkle_manifest"] = f"""
+with recursive d as (
+  select *, list_reduce(list_prepend(4294967295::bigint, flatten([[(ascii(c) >> k) & 1 for k in range(8)] for c in string_split(cast(doc_id as varchar), '')])::bigint[]),
+      lambda crc, b: xor(crc >> 1, 3988292384 * (xor(crc, b) & 1))) as crc
+  from documents),
+l as (select doc_id, source, {_leaf_sql("text")} as leaf,
+    case when xor(crc, 4294967295) % 2 = 0 then {_leaf_sql("replace(text, chr(10), '')")} else {_leaf_sql("text")} end as seen from d),
+a as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by source) as n from l),
+t as (
+  select source, 0 as level, pos, n, leaf as h from a
+  union all
+  select source, any_value(level) + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' order by pos)) from t where n > 1 group by source, pos // 3),
+subs as (select source, h as subroot, row_number() over (order by source nulls first) - 1 as place, count(*) over () as many from t where n = 1),
+u as (
+  select 0 as level, place as pos, many as n, subroot as h from subs
+  union all
+  select any_value(level) + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' order by pos)) from u where n > 1 group by pos // 3),
+w as (
+  select a.doc_id, a.leaf, a.seen, s.subroot, s.place, a.source, a.pos, a.n, row_number() over () as rid
+  from a join subs s on a.source is not distinct from s.source),
+steps as (
+  select w.rid, t.level, string_agg(t.h, '' order by t.pos) filter (t.pos < w.pos // cast(pow(3, t.level) as bigint)) as lft,
+    string_agg(t.h, '' order by t.pos) filter (t.pos > w.pos // cast(pow(3, t.level) as bigint)) as rgt
+  from w join t on w.source is not distinct from t.source and t.n > 1 and t.pos // 3 = w.pos // cast(pow(3, t.level + 1) as bigint)
+  group by w.rid, t.level
+  union all
+  select w.rid, 1000 + u.level, string_agg(u.h, '' order by u.pos) filter (u.pos < w.place // cast(pow(3, u.level) as bigint)),
+    string_agg(u.h, '' order by u.pos) filter (u.pos > w.place // cast(pow(3, u.level) as bigint))
+  from w join u on u.n > 1 and u.pos // 3 = w.place // cast(pow(3, u.level + 1) as bigint)
+  group by w.rid, u.level),
+p as (
+  select w.rid, list({{'l': coalesce(lft, ''), 'r': coalesce(rgt, '')}} order by level) filter (level is not null) as path
+  from w left join steps using (rid) group by w.rid),
+f as (
+  select w.*, (select h from u where n = 1) as root, coalesce(p.path, []) as path from w join p using (rid)),
+g as (
+  select rid, 0 as k, seen as h from f
+  union all
+  select g.rid, k + 1, sha256(f.path[k + 1].l || g.h || f.path[k + 1].r) from g join f using (rid) where k < len(f.path))
+select f.doc_id, leaf, subroot, root, sha256(array_to_string([x.l || x.r for x in path], '')) as proof_sha256,
+  g.h as folded_root, g.h = root as verified
+from f join g on f.rid = g.rid and g.k = len(f.path)
+"""
