@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_chat, read_back, text_parts
 from .exact_dedup import exact_dedup, lower_ascii
+from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .merkle_manifest import fold, leaf_hash, merkle_manifest, siblings_hash
 from .minhash_dedup import near_duplicates
@@ -234,3 +235,13 @@ select f.doc_id, leaf, subroot, root, sha256(array_to_string([x.l || x.r for x i
   g.h as folded_root, g.h = root as verified
 from f join g on f.rid = g.rid and g.k = len(f.path)
 """
+
+
+@query
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan(table(spark, sf_dir, "documents"))
+    starts = F.col("places.word")
+    return out.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+                      F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                      F.array_join(F.array_sort(F.array_distinct("places.label")), ",").alias("base_labels"),
+                      F.array_join("labels", ",").alias("labels"), "score", "expressions")
