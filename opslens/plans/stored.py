@@ -36,4 +36,4 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     the columns ``by``, so that readers of one partition read no other."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
