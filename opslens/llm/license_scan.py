@@ -203,7 +203,7 @@ def evaluate(tokens: list[str]) -> tuple[set[str], float]:
 
 
 # A-Z in lower case; word bytes as they are; all others blank.
-_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 class Scanner:
@@ -250,7 +250,7 @@ class Scanner:
 
     def scan(self, data: bytes):
         """(words, base places, labels, expressions, score) of one text."""
-        plain = np.frombuffer(data.translate(_WORDS), np.uint8)
+        plain = np.frombuffer(data.translate(WORD_BYTES), np.uint8)
         ink = plain != 32
         if not ink.any():
             return 0, [], set(), [], 0.0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_chat, read_back, text_parts
 from .exact_dedup import exact_dedup, lower_ascii
+from .lexical_search import ranked_search
 from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .merkle_manifest import fold, leaf_hash, merkle_manifest, siblings_hash
@@ -245,3 +246,32 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
                       F.array_join(F.array_sort(F.array_distinct("places.label")), ",").alias("base_labels"),
                       F.array_join("labels", ",").alias("labels"), "score", "expressions")
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)
+
+
+ORACLES["op13_lexical_search"] = r"""
+with d as (
+  select row_number() over () as rid, doc_id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from documents),
+f as (select rid, any_value(doc_id) as doc_id, term, count(*) as tf from d group by rid, term),
+z as (select rid, sum(tf)::bigint as n from f group by rid),
+c as (select count(*)::bigint as all_docs, sum(n)::bigint as all_terms from z),
+m as (select rid, 100 - 25 + (25 * n * all_docs) // all_terms as m from z, c),
+q as (
+  select q.iid, any_value(q.item_id) as item_id, term, count(*) as times from (
+    select row_number() over () as iid, item_id,
+      unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from benchmark) q group by q.iid, term),
+w as (select term, cast(floor(1000 * ln((2 * any_value(all_docs) + 2)::double / (2 * count(*) + 1)::double)) as bigint) as w from f, c group by term),
+s as (
+  select q.iid, any_value(q.item_id) as item_id, f.rid, any_value(f.doc_id) as doc_id,
+    cast(sum(q.times * w.w * ((1000000000 * f.tf) // (1000 * f.tf + 12 * m.m))) as bigint) as score
+  from q join w using (term) join f using (term) join m using (rid) group by q.iid, f.rid)
+select item_id, cast(row_number() over (partition by iid order by score desc, doc_id) as integer) as rank, doc_id, score
+from s where score > 0 qualify rank <= 20
+"""
