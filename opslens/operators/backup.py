@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tsql import ci_like_any, datediff_boundaries
@@ -103,6 +103,11 @@ def _log_backup_facts(backupset: DataFrame, keys) -> DataFrame:
         F.max("backup_finish_date").alias("last_log_backup"))
 
 
+def is_system_db(name: str) -> Column:
+    """Whether a database is one of the system's (names without case)."""
+    return F.lower(name).isin(SYSTEM_DBS)
+
+
 def _log_eligible(databases: DataFrame, keys) -> DataFrame:
     return live(databases).filter(~F.col("database_id").isin(TEMPDB_ID, MODEL_ID)
                                   & F.col("recovery_model").isin(1, 2)) \
@@ -125,19 +130,20 @@ def no_log_backup(databases: DataFrame, backupset: DataFrame, keys=None) -> Data
 def stale_log_backup(databases: DataFrame, backupset: DataFrame, as_of, days: int = 1,
                      keys=None) -> DataFrame:
     """Databases whose newest log backup is more than ``days`` days old
-    (day boundaries); databases without any log backup are not listed here."""
+    (day boundaries); databases without any log backup are not listed here.
+    One row per name, as the source groups by it."""
     k = kcols(keys)
-    j = _log_eligible(databases, keys).join(_log_backup_facts(backupset, keys), k + ["database_name"], "left")
+    j = _log_eligible(databases, keys).distinct().join(_log_backup_facts(backupset, keys), k + ["database_name"], "left")
     age = datediff_boundaries("day", F.col("last_log_backup"), _as_of(as_of))
     return j.select(*k, "database_name", "last_log_backup", age.alias("age_days")) \
         .filter(F.col("age_days") > days)
 
 
 def stale_log_backup_count(databases: DataFrame, backupset: DataFrame, as_of, days: int = 1, keys=None) -> DataFrame:
-    """D7 finding: how many databases have a newest log backup older than
-    ``days`` days."""
+    """D7 finding: how many databases (names) have a newest log backup older
+    than ``days`` days."""
     k = kcols(keys)
-    j = _log_eligible(databases, keys).join(_log_backup_facts(backupset, keys), k + ["database_name"], "left")
+    j = _log_eligible(databases, keys).distinct().join(_log_backup_facts(backupset, keys), k + ["database_name"], "left")
     age = datediff_boundaries("day", F.col("last_log_backup"), _as_of(as_of))
     a = j.groupBy(*k).agg(F.count_if(age > days).alias("n"))
     return finding(a, keys, "D7.stale_log_backup", F.when(F.col("n") > 0, "warn").otherwise("ok"), F.col("n"),
@@ -157,8 +163,8 @@ def _full_backups(databases: DataFrame, backupset: DataFrame, keys) -> DataFrame
 
 
 def last_full_backup(databases: DataFrame, backupset: DataFrame, keys=None) -> DataFrame:
-    """Newest full backup per database (NULL when none)."""
-    return _full_backups(databases, backupset, keys).select(*kcols(keys), "database_name", "last_full_backup")
+    """Newest full backup per database name (NULL when none)."""
+    return _full_backups(databases, backupset, keys).select(*kcols(keys), "database_name", "last_full_backup").distinct()
 
 
 def no_full_backup(databases: DataFrame, backupset: DataFrame, keys=None) -> DataFrame:
@@ -174,7 +180,7 @@ def no_full_backup(databases: DataFrame, backupset: DataFrame, keys=None) -> Dat
 
 def _last_good(dbinfo: DataFrame, keys) -> DataFrame:
     k = kcols(keys)
-    return dbinfo.filter((F.col("field") == "dbi_dbccLastKnownGood") & (F.col("database_name") != "tempdb")) \
+    return dbinfo.filter((F.lower("field") == "dbi_dbcclastknowngood") & (F.lower("database_name") != "tempdb")) \
         .select(*k, "database_name", F.col("value").alias("last_clean")).dropDuplicates()
 
 
@@ -219,7 +225,7 @@ def stale_integrity_count(dbinfo: DataFrame, as_of, days: int = 7, keys=None) ->
 def backup_plan(databases: DataFrame, path: str, as_of, keys=None) -> DataFrame:
     """Target file per user database: path + name + _yyyyMMdd.BAK (the
     selection and naming only; nothing is executed)."""
-    return databases.filter(~F.col("name").isin(SYSTEM_DBS)).select(
+    return databases.filter(~is_system_db("name")).select(
         *kcols(keys), F.col("name").alias("database_name"),
         F.concat(F.lit(path), F.col("name"), F.lit("_"), F.date_format(_as_of(as_of), "yyyyMMdd"),
                  F.lit(".BAK")).alias("backup_file"))

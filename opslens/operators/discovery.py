@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tsql import version_name
+from ..plans.notin import not_in
 from ..plans.shape import dim, kcols, kjoin
-from .backup import SYSTEM_DBS
+from .backup import is_system_db
 from .instance import physical_memory_gb
 
 # Service names that mean SSIS / SSAS / SSRS are installed.
@@ -121,26 +122,25 @@ def subscribed_databases(databases: DataFrame, groups: DataFrame, replica_states
               k + ["group_id"], "inner").join(names, k + ["database_id"], "inner").select(*k, "database_name")
     d = databases.filter(F.col("state_desc") == "ONLINE").select(
         *k, F.col("name").alias("database_name"), "has_replication_objects")
-    # NOT IN over non-null names: an anti join.
-    return d.join(ag_dbs, k + ["database_name"], "left_anti").groupBy(*k).agg(
+    return not_in(d, "database_name", ag_dbs, "database_name", k).groupBy(*k).agg(
         F.count_if(F.col("has_replication_objects")).alias("subscribed_dbs"))
 
 
 def user_object_counts(objects: DataFrame, schemas: DataFrame, keys=None) -> DataFrame:
     """M43-45: per database, user objects: not in schema ``sys`` (nor
     ``MS_PerfDashboard`` in msdb), not shipped, and whose parent is not a
-    system object (NOT IN over object ids: a null-safe anti join)."""
+    system object (NOT IN: an object without a parent id does not count
+    unless its database has no system object at all)."""
     k = kcols(keys)
     d = k + ["database_name"]
     o = objects.join(schemas.select(*d, "schema_id", F.col("name").alias("schema_name")), d + ["schema_id"], "left")
     sys_ids = o.filter((F.col("schema_name") == "sys") | F.col("is_ms_shipped")) \
-        .select(*d, F.col("object_id").alias("parent_object_id"))
-    excluded = F.when(F.col("database_name") == "msdb", F.array(F.lit("sys"), F.lit("MS_PerfDashboard"))) \
+        .select(*d, "object_id")
+    excluded = F.when(F.lower("database_name") == "msdb", F.array(F.lit("sys"), F.lit("MS_PerfDashboard"))) \
         .otherwise(F.array(F.lit("sys")))
     user = o.filter(~F.coalesce(F.array_contains(excluded, F.col("schema_name")), F.lit(False))
-                    & F.col("schema_name").isNotNull() & ~F.col("is_ms_shipped")) \
-        .join(sys_ids, d + ["parent_object_id"], "left_anti")
-    return user.groupBy(*d).agg(F.count(F.lit(1)).alias("user_objects"))
+                    & F.col("schema_name").isNotNull() & ~F.col("is_ms_shipped"))
+    return not_in(user, "parent_object_id", sys_ids, "object_id", d).groupBy(*d).agg(F.count(F.lit(1)).alias("user_objects"))
 
 
 def _count(df: DataFrame, keys, name: str, cond=None) -> DataFrame:
@@ -204,7 +204,7 @@ def discovery_metrics(instances: DataFrame, databases: DataFrame, files: DataFra
         F.count_if(F.col("source_database_id").isNotNull()).alias("database_snapshots"),
         F.count_if(F.col("is_published")).alias("published_dbs"),
         F.count_if(F.col("is_distributor")).alias("distributor_dbs"),
-        _yes_no(F.count_if((F.col("is_published") | F.col("is_merge_published") | F.col("is_distributor"))
+        _yes_no(F.count_if((F.col("is_published") | F.col("is_subscribed") | F.col("is_merge_published") | F.col("is_distributor"))
                            & online) > 0).alias("replication_configured"),
         _yes_no(F.count_if(F.lower("name") == "ssisdb") > 0).alias("ssisdb_catalog")))
     add(files.groupBy(*k).agg(
@@ -231,7 +231,7 @@ def discovery_metrics(instances: DataFrame, databases: DataFrame, files: DataFra
         _yes_no(F.max(sv.isin(SSRS_NAMES).cast("int")) > 0).alias("ssrs_installed")))
     add(_count(certificates, keys, "certificates", F.col("certificate_id") > 257))
     add(replica_states.groupBy(*k).agg(F.countDistinct("database_id").alias("ag_databases")))
-    add(space_used(files, databases, keys).filter(~F.col("database_name").isin(SYSTEM_DBS)).groupBy(*k).agg(
+    add(space_used(files, databases, keys).filter(~is_system_db("database_name")).groupBy(*k).agg(
         F.sum("data_used_gb").alias("data_used_gb"), F.sum("log_used_gb").alias("log_used_gb")))
     so = server_object_counts(server_objects, keys)
     add(so.select(*k, *[c for c in so.columns if c not in k and c != "_master_key"],

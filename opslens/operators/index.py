@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tsql import money
 from ..plans.shape import kcols, spread, top_n
-from .backup import SYSTEM_DBS
+from .backup import is_system_db
 from .database import live
 
 MIN_PAGES = 1000
@@ -59,7 +59,7 @@ def statistics_dates(stats: DataFrame, objects: DataFrame, keys=None) -> DataFra
     """Statistics, their table and their last update in user databases."""
     k = kcols(keys)
     o = objects.select(*k, "database_name", "object_id", F.col("name").alias("object_name"))
-    return stats.filter(~F.lower("database_name").isin(SYSTEM_DBS)) \
+    return stats.filter(~is_system_db("database_name")) \
         .join(o, k + ["database_name", "object_id"], "left").select(
             *k, "database_name", "object_id", "object_name", F.col("name").alias("statistic_name"), F.col("updated").alias("last_updated"))
 
@@ -243,7 +243,7 @@ def duplicate_indexes(indexes: DataFrame, index_keys: DataFrame, objects: DataFr
     so a group of n identical indexes gives n-1 rows, not all pairs."""
     k = kcols(keys)
     ikey = k + ["database_name", "object_id", "index_id"]
-    i = indexes.filter(~F.col("is_hypothetical") & ~F.col("database_name").isin(SYSTEM_DBS)) \
+    i = indexes.filter(~F.col("is_hypothetical") & ~is_system_db("database_name")) \
         .select(*ikey, "name", "is_unique")
     lists = i.join(index_column_lists(index_keys, keys), ikey, "inner")
     gkey = k + ["database_name", "object_id", "cols", "inc", "is_unique"]
