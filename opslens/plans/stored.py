@@ -31,9 +31,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, *by: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder, partitioned by
     the columns ``by``, so that readers of one partition read no other."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -110,6 +110,8 @@ BINDINGS: dict[str, Binding] = {
         ("default_data_path", "'D:/data/' || cast(n_nationkey as string)"),
         ("default_log_path", "'L:/log/' || cast(n_nationkey as string)"),
         ("is_resource_governor_enabled", "n_nationkey % 6 = 1"),
+        ("engine_edition", "cast(case n_nationkey % 5 when 2 then 5 when 3 then 8 else 3 end as int)"),
+        ("is_rds", "n_nationkey % 5 = 1"),
     ], times=SNAPSHOTS),
     "packages": _b("supplier", [
         ("name", "'pkg' || cast(s_suppkey as string)"),
@@ -130,7 +132,7 @@ BINDINGS: dict[str, Binding] = {
     ], f"group by o_orderkey % 25, {_OPTION}, snap", times=SNAPSHOTS),
     "databases": _b("supplier", [
         ("database_id", "s_suppkey + 1"),
-        ("name", "case when s_suppkey % 25 = 24 then 'SSISDB' else " + DBN("s_suppkey") + " end"),
+        ("name", "case when s_suppkey = 24 then 'SSISDB' else " + DBN("s_suppkey") + " end"),
         ("recovery_model", "1 + s_nationkey % 3"),
         ("recovery_model_desc", "case s_nationkey % 3 when 0 then 'FULL' when 1 then 'BULK_LOGGED' else 'SIMPLE' end"),
         ("state", "case when s_nationkey % 4 = 0 then 6 else 0 end"),
@@ -151,6 +153,7 @@ BINDINGS: dict[str, Binding] = {
         ("is_broker_enabled", "s_suppkey % 7 = 0"),
         ("is_published", "s_suppkey % 17 = 0"),
         ("is_merge_published", "s_suppkey % 19 = 0"),
+        ("is_subscribed", "s_suppkey % 13 = 3"),
         ("is_distributor", "s_suppkey % 23 = 0"),
         ("has_replication_objects", "s_suppkey % 5 = 1"),
         ("log_reuse_wait_desc", "case when s_suppkey % 2 = 0 then 'NOTHING' else 'LOG_BACKUP' end"),
@@ -404,7 +407,7 @@ BINDINGS: dict[str, Binding] = {
         ("name", "p_name || '_' || cast(p_partkey as string)"),
         ("type", "case p_size % 6 when 0 then 'IT' when 1 then 'S' when 2 then 'X' when 3 then 'P' else 'U' end"),
         ("is_ms_shipped", "p_size % 7 = 0"),
-        ("parent_object_id", spread_id("p_partkey", 60, "p_partkey")),
+        ("parent_object_id", "case when p_partkey % 6 = 5 then null else " + spread_id("p_partkey", 60, "p_partkey") + " end"),
     ], fleet="p_partkey"),
     "schemas": _b("orders", [
         ("database_name", DBN("o_custkey % 10")),

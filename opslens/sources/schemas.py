@@ -10,7 +10,7 @@ SCHEMAS = {
         "virtual_machine_type string, cpu_count bigint, hyperthread_ratio bigint, visible_cpus bigint, "
         "physical_memory_kb bigint, max_server_memory_mb bigint, memory_model bigint, sqlserver_start_time "
         "timestamp_ntz, is_fulltext_installed boolean, time_zone string, default_data_path string, default_log_path "
-        "string, is_resource_governor_enabled boolean"
+        "string, is_resource_governor_enabled boolean, engine_edition int, is_rds boolean"
     ),
     "packages": (
         "server_name string, snapshot_id int, name string, owner_name string"
@@ -27,8 +27,8 @@ SCHEMAS = {
         "is_auto_shrink_on boolean, is_auto_update_stats_on boolean, is_auto_create_stats_on boolean, "
         "is_auto_update_stats_async_on boolean, is_parameterization_forced boolean, snapshot_isolation_state_desc "
         "string, is_read_committed_snapshot_on boolean, is_read_only boolean, user_access int, is_cdc_enabled boolean, "
-        "is_broker_enabled boolean, is_published boolean, is_merge_published boolean, is_distributor boolean, "
-        "has_replication_objects boolean, log_reuse_wait_desc string, page_verify_option_desc string, "
+        "is_broker_enabled boolean, is_published boolean, is_merge_published boolean, is_subscribed boolean, "
+        "is_distributor boolean, has_replication_objects boolean, log_reuse_wait_desc string, page_verify_option_desc string, "
         "source_database_id int, owner_name string, collation_name string"
     ),
     "master_files": (
