@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tsql import UNLIMITED_MEMORY_MB, ci_like_any, money, pages_to_mb_trunc
+from ..plans.patterns import like_any_of
 from ..plans.shape import FINDING_COLS, finding, kcols, kjoin
 from .instance import decode_version
 
@@ -303,15 +304,28 @@ def recovery_model_count(databases: DataFrame, keys=None) -> DataFrame:
                    F.format_string("%d database(s) using the FULL recovery model", F.col("n")))
 
 
-def module_listing(modules: DataFrame, keys=None) -> DataFrame:
+def matching_modules(modules: DataFrame, patterns=None) -> DataFrame:
+    """Modules whose name is LIKE one of the patterns: the fixed ones, a few
+    given ones (a list), or a table of any size with a ``pattern`` column."""
+    if isinstance(patterns, DataFrame):
+        return like_any_of(modules, "name", patterns)
+    return modules.filter(ci_like_any("name", patterns or MODULE_PATTERNS))
+
+
+def module_listing(modules: DataFrame, keys=None, patterns=None) -> DataFrame:
     """B12 listing: loaded modules matching the anti-virus patterns."""
-    return modules.filter(ci_like_any("name", MODULE_PATTERNS)).select(*kcols(keys), "name")
+    return matching_modules(modules, patterns).select(*kcols(keys), "name")
 
 
-def module_check(modules: DataFrame, keys=None) -> DataFrame:
+def module_check(modules: DataFrame, keys=None, patterns=None) -> DataFrame:
     """B12 finding per server: are such modules loaded."""
     k = kcols(keys)
-    a = modules.groupBy(*k).agg(F.count_if(ci_like_any("name", MODULE_PATTERNS)).alias("n"))
+    if isinstance(patterns, DataFrame):
+        # All servers, and the matching modules; a module is counted once.
+        rows = modules.select(*k, F.lit(0).alias("hit")).unionByName(matching_modules(modules, patterns).select(*k, F.lit(1).alias("hit")))
+        a = rows.groupBy(*k).agg(F.sum("hit").alias("n"))
+    else:
+        a = modules.groupBy(*k).agg(F.count_if(ci_like_any("name", patterns or MODULE_PATTERNS)).alias("n"))
     return finding(a, keys, "B12.av_modules", F.when(F.col("n") > 0, "warn").otherwise("ok"), F.col("n"),
                    F.when(F.col("n") > 0, F.lit("Anti-virus modules are loaded into the server process"))
                    .otherwise(F.lit("Anti-virus modules verified - not loaded")))

@@ -1,10 +1,11 @@
 """Family A — instance identity and version rules.
 
 Version ladders are *data*: rule tables with (major, minor prefix, build
-interval, exact version, priority). An instance is matched to its rules by a
-broadcast join — equality on the major version, the interval and prefix as a
-residual — and the first rule by priority wins. The rule tables are literal
-and small, so broadcasting them is bounded.
+interval, exact version, priority). Each distinct version is matched to the
+rules by an equi-join on the major version and the blocks of builds that
+cover the interval (``plans.intervals``), prefix and exact version are a
+residual, and the first rule by priority wins. The rules are the fixed ones
+below, or a landed table of any size.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tsql import UNLIMITED_MEMORY_MB, money, parsename, version_name
+from ..functions.tsql import UNLIMITED_MEMORY_MB, money, version_name
+from ..plans.intervals import interval_keys, point_keys
 from ..plans.shape import dim, finding, kcols, kjoin
 
 MAXB = 1 << 30  # open upper end of a build interval
@@ -107,35 +109,41 @@ def patch_rules():
             for ma, mi, lo, hi, pr, kb in PATCH_RULES]
 
 
-def rule_table(spark: SparkSession, rule_set: str) -> DataFrame:
+def rule_table(spark: SparkSession, rule_set: str, rules: DataFrame | None = None) -> DataFrame:
+    """The rules of a set: the fixed ones, or those of a landed table
+    (``RULE_SCHEMA``)."""
+    if rules is not None:
+        return rules.where(F.col("rule_set") == rule_set)
     rows = {"support": support_rules, "risk": risk_rules, "patch": patch_rules}[rule_set]()
     return dim(spark, rows, RULE_SCHEMA)
 
 
 def decode_version(instances: DataFrame) -> DataFrame:
-    """Add major / minor / build parts of ``product_version``."""
-    v = F.col("product_version")
+    """Add major / minor / build parts of ``product_version`` (NULL where it
+    has no such part, or one that is no number)."""
+    parts = F.split("product_version", r"\.")
     return instances.withColumns({
-        "v_major": F.element_at(F.split(v, r"\."), 1),
-        "v_minor": F.element_at(F.split(v, r"\."), 2),
-        "v_build": parsename(v, 2).cast("long"),
+        "v_major": F.try_element_at(parts, F.lit(1)),
+        "v_minor": F.try_element_at(parts, F.lit(2)),
+        "v_build": F.try_element_at(parts, F.lit(-2)).try_cast("long"),
     })
 
 
 def match_rules(instances: DataFrame, rules: DataFrame, keys=None) -> DataFrame:
-    """First matching rule per instance (left join: unmatched keep NULLs)."""
+    """First matching rule per instance (by priority, then lower end;
+    instances without a rule keep NULLs)."""
     k = kcols(keys)
-    inst = decode_version(instances).select(*k, "product_version", "v_major", "v_minor", "v_build")
-    r = rules.withColumnRenamed("major", "v_major")
-    cond = ((inst["v_major"] == r["v_major"])
-            & (r["minor_prefix"].isNull() | inst["v_minor"].startswith(r["minor_prefix"]))
-            & inst["v_build"].between(r["lo"], r["hi"])
-            & (r["exact_version"].isNull() | (inst["product_version"] == r["exact_version"])))
-    j = inst.join(r, cond, "left").drop(r["v_major"])
-    best = j.groupBy(*k, "product_version").agg(
-        F.min_by(F.struct("outcome", "obsolete", "compat", "messages"),
-                 F.struct(F.col("priority"), F.col("lo"))).alias("m"))
-    return best.select(*k, "product_version", "m.*")
+    inst = instances.select(*k, "product_version").distinct()
+    # Versions are few, however many servers there are.
+    versions = decode_version(inst.select("product_version").distinct()).select(
+        "product_version", "v_minor", F.col("v_major").alias("major"), F.explode(point_keys(F.col("v_build"))).alias("_builds"))
+    ranged = rules.withColumn("_builds", F.explode(interval_keys(F.col("lo"), F.col("hi"))))
+    matched = versions.join(ranged, ["major", "_builds"]).where(
+        (F.col("minor_prefix").isNull() | F.col("v_minor").startswith(F.col("minor_prefix")))
+        & (F.col("exact_version").isNull() | (F.col("product_version") == F.col("exact_version"))))
+    best = matched.groupBy("product_version").agg(
+        F.min_by(F.struct("outcome", "obsolete", "compat", "messages"), F.struct("priority", "lo", "hi", "outcome", "messages")).alias("m"))
+    return inst.join(best, "product_version", "left").select(*k, "product_version", "m.*")
 
 
 def physical_memory_gb(instances: DataFrame) -> F.Column:
@@ -205,41 +213,41 @@ def identity_checks(instances: DataFrame, schedulers: DataFrame, config: DataFra
     return name.unionByName(cpu).unionByName(mem)
 
 
-def support_level(spark: SparkSession, instances: DataFrame, keys=None) -> DataFrame:
+def support_level(spark: SparkSession, instances: DataFrame, keys=None, rules: DataFrame | None = None) -> DataFrame:
     """A5: support verdict, obsolete flag and instance compatibility level."""
-    m = match_rules(instances, rule_table(spark, "support"), keys)
+    m = match_rules(instances, rule_table(spark, "support", rules), keys)
     return m.select(*kcols(keys), "product_version", F.col("outcome").alias("support_status"),
                     F.coalesce("obsolete", F.lit(False)).alias("obsolete"),
                     F.col("compat").alias("instance_compat_level"),
                     F.try_element_at("messages", F.lit(1)).alias("message"))
 
 
-def risky_build(spark: SparkSession, instances: DataFrame, keys=None) -> DataFrame:
+def risky_build(spark: SparkSession, instances: DataFrame, keys=None, rules: DataFrame | None = None) -> DataFrame:
     """Known-defect warnings for the build, one row per warning; builds
     without a warning keep one row with NULL message."""
-    m = match_rules(instances, rule_table(spark, "risk"), keys)
+    m = match_rules(instances, rule_table(spark, "risk", rules), keys)
     return m.select(*kcols(keys), "product_version",
                     F.explode_outer("messages").alias("message"))
 
 
-def side_channel_patch(spark: SparkSession, instances: DataFrame, keys=None) -> DataFrame:
+def side_channel_patch(spark: SparkSession, instances: DataFrame, keys=None, rules: DataFrame | None = None) -> DataFrame:
     """Whether the side-channel security update is in place, else which."""
-    m = match_rules(instances, rule_table(spark, "patch"), keys)
+    m = match_rules(instances, rule_table(spark, "patch", rules), keys)
     return m.select(*kcols(keys), "product_version", F.col("outcome").alias("patch_status"),
                     F.try_element_at("messages", F.lit(1)).alias("message"))
 
 
-def version_findings(spark: SparkSession, instances: DataFrame, keys=None) -> DataFrame:
+def version_findings(spark: SparkSession, instances: DataFrame, keys=None, rules: DataFrame | None = None) -> DataFrame:
     """A5-A7 as findings: support level, known defects of the build (one row
     each, or one 'ok' row), side-channel update."""
-    s = support_level(spark, instances, keys)
+    s = support_level(spark, instances, keys, rules)
     behind = F.col("obsolete") | F.coalesce(F.col("support_status").isin("not_latest_sp", "not_rtm", "rtm"), F.lit(True))
     support = finding(s, keys, "A5.support_level", F.when(behind, "warn").otherwise("ok"), F.col("product_version"),
                       F.coalesce("message", F.lit("version is not in the support table")))
-    r = risky_build(spark, instances, keys)
+    r = risky_build(spark, instances, keys, rules)
     risk = finding(r, keys, "A6.risky_build", F.when(F.col("message").isNotNull(), "warn").otherwise("ok"), F.col("product_version"),
                    F.coalesce("message", F.lit("no known defect for this build")))
-    p = side_channel_patch(spark, instances, keys)
+    p = side_channel_patch(spark, instances, keys, rules)
     patch = finding(p, keys, "A7.side_channel", "info", F.col("patch_status"),
                     F.coalesce("message", F.lit("no side-channel rule for this version")))
     return support.unionByName(risk).unionByName(patch)

@@ -3,13 +3,24 @@ in one table — the health check's message channel as rows."""
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..sources.loader import load_fleet, write_result
+from ..plans.gates import gate_table, open_gates
+from ..sources.loader import load_fleet
+from ..sources.results import replace_results
 
 from . import backup as D, database as B, ha as H, instance as A, storage as C, wait as W
 
 
+def gated_findings(spark: SparkSession, t: dict[str, DataFrame], as_of, gates: DataFrame | None = None, options=(), keys=None) -> DataFrame:
+    """``health_check_findings`` without the checks that are closed on a
+    server's platform or version (``plans.gates``)."""
+    return open_gates(health_check_findings(spark, t, as_of, keys), t["instances"], gate_table(spark) if gates is None else gates, options, keys)
+
+
 def health_check_findings(spark: SparkSession, t: dict[str, DataFrame], as_of, keys=None) -> DataFrame:
     """Union of all finding-shaped checks (keys, check_id, severity,
     observed, message). ``t`` maps relation names to landed DataFrames."""
@@ -50,16 +61,21 @@ HEALTH_CHECK_INPUTS = ["instances", "schedulers", "config", "databases", "jobs",
 def run_health_check(spark: SparkSession, landing_root: str, as_of, out_path: str | None = None,
                      fmt: str = "parquet") -> DataFrame:
     """Production entry: read the landed views under ``landing_root``, build
-    the findings, and (optionally) append them to ``out_path`` partitioned by
-    snapshot date (the result table R7)."""
+    the findings, and (optionally) make them the results of that day for all
+    servers read, in the result table ``out_path`` (R7, ``sources.results``)."""
     t = load_fleet(spark, landing_root, HEALTH_CHECK_INPUTS, fmt=fmt)
-    findings = health_check_findings(spark, t, as_of)
+    findings = gated_findings(spark, t, as_of)
     if out_path:
-        from pyspark.sql import functions as F
-        write_result(findings.withColumn("snapshot_ts", F.lit(as_of).cast("timestamp")), out_path)
+        _publish(findings, t["instances"], F.lit(as_of).cast("timestamp"), out_path)
     return findings
 
 
+def _publish(rows: DataFrame, instances: DataFrame, ts, out_path: str) -> None:
+    """The day's results of every landed server, those without rows too."""
+    covered = instances.select(F.to_date(ts).alias("snapshot_date"), "server_name").distinct()
+    replace_results(rows.withColumn("snapshot_ts", ts), out_path, covered)
+
+
 DISCOVERY_INPUTS = ["instances", "databases", "master_files", "jobs", "trace_flags", "server_principals",
                     "sku_features", "services", "certificates", "replica_states", "schedulers", "server_objects",
                     "encryption_keys", "availability_groups", "objects", "schemas"]
@@ -68,14 +84,14 @@ DISCOVERY_INPUTS = ["instances", "databases", "master_files", "jobs", "trace_fla
 def run_discovery_report(spark: SparkSession, landing_root: str, out_path: str | None = None,
                          as_of=None, fmt: str = "parquet") -> DataFrame:
     """Production entry: landed views -> discovery
-    metrics -> ordered report lines; optionally appended to ``out_path``."""
+    metrics -> ordered report lines; optionally the day's results in
+    ``out_path``."""
     from .discovery import discovery_metrics, report_lines
     t = load_fleet(spark, landing_root, DISCOVERY_INPUTS, fmt=fmt)
     lines = report_lines(spark, discovery_metrics(*[t[n] for n in DISCOVERY_INPUTS]))
     if out_path:
-        from pyspark.sql import functions as F
-        ts = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
-        write_result(lines.withColumn("snapshot_ts", ts), out_path)
+        ts = F.lit(as_of or str(datetime.datetime.now())).cast("timestamp")
+        _publish(lines, t["instances"], ts, out_path)
     return lines
 
 
@@ -83,28 +99,30 @@ def access_audit(spark: SparkSession, t: dict[str, DataFrame], as_of, password:
                  keys=None) -> DataFrame:
     """SURVEY 3, entry 3: every permission-script section (J1-J14) in one
     table (keys, database_name, section, severity, principal_name,
-    object_name, statement). Generated text is never executed."""
+    object_name, statement, seq). All sections are numbered together, in one
+    pass. Generated text is never executed."""
     from . import security as S
     pw = password or S.PASSWORD_PLACEHOLDER
     pr, lg = t["principals"], t["logins"]
-    u = S.database_universe(pr, keys)
+    own = {"keys": keys, "draft": True}
     parts = [
-        S.script_certificates(t["certificates"], pw, u, keys),
-        S.script_users(pr, lg, u, keys),
-        S.script_certificate_users(pr, t["certificates"], u, keys),
-        S.script_schema_permissions(t["permissions"], t["schemas"], pr, keys=keys),
-        S.script_roles(pr, u, keys),
-        S.script_app_roles(pr, pw, u, keys),
-        S.script_nested_roles(pr, t["role_members"], u, keys),
-        S.script_database_grants(t["permissions"], pr, u, keys),
-        S.script_object_grants(t["permissions"], pr, t["objects"], t["schemas"], u, keys),
-        S.script_role_members(pr, t["role_members"], u, keys),
-        S.script_user_header(pr, lg, as_of, keys=keys),
-        S.script_user_roles(pr, lg, t["role_members"], keys),
-        S.script_user_object_permissions(spark, t["protects"], t["objects"], t["schemas"], pr, lg, keys),
-        S.orphan_users(pr, t["server_principals"], t["databases"], t["instances"], keys),
+        S.none_found(S.database_universe(pr, keys), keys, list(S.NONE_FOUND)),
+        S.script_certificates(t["certificates"], pw, **own),
+        S.script_users(pr, lg, **own),
+        S.script_certificate_users(pr, t["certificates"], **own),
+        S.script_schema_permissions(t["permissions"], t["schemas"], pr, **own),
+        S.script_roles(pr, **own),
+        S.script_app_roles(pr, pw, **own),
+        S.script_nested_roles(pr, t["role_members"], **own),
+        S.script_database_grants(t["permissions"], pr, **own),
+        S.script_object_grants(t["permissions"], pr, t["objects"], t["schemas"], **own),
+        S.script_role_members(pr, t["role_members"], **own),
+        S.script_user_header(pr, lg, as_of, **own),
+        S.script_user_roles(pr, lg, t["role_members"], **own),
+        S.script_user_object_permissions(spark, t["protects"], t["objects"], t["schemas"], pr, lg, **own),
+        S.orphan_users(pr, t["server_principals"], t["databases"], t["instances"], **own),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return S.in_order(out, keys)

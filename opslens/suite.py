@@ -40,4 +40,4 @@ def rel(spark, sf_dir, *names):
 
 
 # Modules below register their cases on import.
-from . import suite_cases  # noqa: E402,F401
+from . import suite_cases, suite_sources  # noqa: E402,F401

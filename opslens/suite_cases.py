@@ -5,7 +5,7 @@ bindings."""
 from __future__ import annotations
 
 from .operators import storage as C
-from .suite import case, rel
+from .suite import CASES, case, rel
 
 K = "server_name, snapshot_id"
 J = "a.server_name = b.server_name and a.snapshot_id = b.snapshot_id"
@@ -763,7 +763,7 @@ def _d12b(spark, d):
 
 @case("d13_backup_plan", ["databases"], f"""
 select {K}, name as database_name, 'D:/Backup/' || name || '_' || strftime({TS_AS_OF}, '%Y%m%d') || '.BAK' as backup_file
-from databases where name not in ('master', 'model', 'msdb', 'tempdb')""")
+from databases where lower(name) not in ('master', 'model', 'msdb', 'tempdb')""")
 def _d13(spark, d):
     return D.backup_plan(rel(spark, d, "databases"), "D:/Backup/", AS_OF)
 
@@ -942,7 +942,7 @@ def _g2b(spark, d):
 select t.server_name, t.snapshot_id, t.database_name, t.object_id, o.name as object_name, t.name as statistic_name, t.updated as last_updated
 from statistics t left join objects o on t.server_name = o.server_name and t.snapshot_id = o.snapshot_id
   and t.database_name = o.database_name and t.object_id = o.object_id
-where t.database_name not in ('master', 'model', 'msdb', 'tempdb')""")
+where lower(t.database_name) not in ('master', 'model', 'msdb', 'tempdb')""")
 def _g3(spark, d):
     return G.statistics_dates(*rel(spark, d, "statistics", "objects"))
 
@@ -1027,7 +1027,7 @@ ik as (select {K}, database_name, object_id, index_id,
   from index_keys group by all),
 li as (select i.server_name, i.snapshot_id, i.database_name, i.object_id, i.index_id, i.name, i.is_unique, ik.cols, ik.inc
   from indexes i join ik on {_kdo('i', 'ik')} and i.object_id = ik.object_id and i.index_id = ik.index_id
-  where not i.is_hypothetical and i.database_name not in ('master', 'model', 'msdb', 'tempdb')),
+  where not i.is_hypothetical and lower(i.database_name) not in ('master', 'model', 'msdb', 'tempdb')),
 fi as (select {K}, database_name, object_id, cols, inc, is_unique, arg_min(name, index_id) as index_name,
   min(index_id) as first_id from li group by all),
 d as (select li.*, fi.index_name from li join fi on {_kdo('li', 'fi')} and li.object_id = fi.object_id
@@ -1384,6 +1384,12 @@ def _j14(spark, d):
     return S.orphan_users(*rel(spark, d, "principals", "server_principals", "databases", "instances"))
 
 
+# Statements are numbered by principal, object and text inside a database's section.
+for _n in [n for n in CASES if n.startswith("j") and n != "j15_eligible_databases"]:
+    _fn, _sql = CASES[_n]
+    CASES[_n] = (_fn, f"select *, row_number() over (partition by {K}, database_name, section order by principal_name nulls first, "
+                      f"object_name nulls first, statement nulls first) as seq from ({_sql}) as drafts")
+
 # ---------------------------------------------------------------- family K
 from .operators import discovery as KD  # noqa: E402
 
@@ -1469,7 +1475,7 @@ dbm as (select {K},
   count(case when is_broker_enabled and database_id > 4 then 1 end) as broker_enabled_dbs,
   count(case when source_database_id is not null then 1 end) as database_snapshots,
   count(case when is_published then 1 end) as published_dbs, count(case when is_distributor then 1 end) as distributor_dbs,
-  count(case when (is_published or is_merge_published or is_distributor) and lower(state_desc) = 'online' then 1 end) as repl,
+  count(case when (is_published or is_subscribed or is_merge_published or is_distributor) and lower(state_desc) = 'online' then 1 end) as repl,
   count(case when lower(name) = 'ssisdb' then 1 end) as ssisdb from databases group by all),
 fm as (select {K}, count(case when database_id = 2 and type = 0 then 1 end) as tempdb_data_files,
   cast(cast(sum(case when database_id > 4 then size end) as decimal(20,0)) * 0.00000762939453125 as decimal(10,2)) as total_gb_user_files
@@ -1487,7 +1493,7 @@ svc as (select {K}, max(cast(starts_with(servicename, 'MsDtsServer') as int)) as
 cm as (select {K}, count(case when certificate_id > 257 then 1 end) as certificates from certificates group by all),
 agm as (select {K}, count(distinct database_id) as ag_databases from replica_states group by all),
 u as (select {K}, sum(data_used_gb) as data_used_gb, sum(log_used_gb) as log_used_gb from su
-  where database_name not in ('master', 'model', 'msdb', 'tempdb') group by all),
+  where lower(database_name) not in ('master', 'model', 'msdb', 'tempdb') group by all),
 {_SO},
 uo0 as (select ob.*, s.name as schema_name from objects ob left join schemas s on ob.server_name = s.server_name
   and ob.snapshot_id = s.snapshot_id and ob.database_name = s.database_name and ob.schema_id = s.schema_id),

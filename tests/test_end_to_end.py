@@ -4,6 +4,7 @@ import os
 
 from opslens.operators import report as R
 from opslens.sources.bindings import relation
+from opslens.sources.results import read_results
 from tools.oracle_check import rows_of
 
 from .conftest import SF_SMALL
@@ -21,12 +22,14 @@ def test_landed_health_check_equals_in_memory(spark, tmpdir_path):
         relation(spark, SF_SMALL, n).write.parquet(os.path.join(land, n))
     out = os.path.join(tmpdir_path, "findings")
     landed = R.run_health_check(spark, land, AS_OF, out_path=out)
-    in_memory = R.health_check_findings(
+    in_memory = R.gated_findings(
         spark, {n: relation(spark, SF_SMALL, n) for n in R.HEALTH_CHECK_INPUTS}, AS_OF)
     assert _rows(landed) == _rows(in_memory)
-    written = spark.read.parquet(out)
-    assert written.count() == landed.count()
-    assert "snapshot_date" in written.columns
+    written = read_results(spark, out)
+    assert _rows(written.select(landed.columns)) == _rows(landed)
+    # Another run of the day takes the place of the first.
+    R.run_health_check(spark, land, AS_OF, out_path=out)
+    assert read_results(spark, out).count() == landed.count()
 
 
 def test_landed_discovery_report_equals_in_memory(spark, tmpdir_path):
