@@ -52,26 +52,55 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+_FIRST = _U(0xA0761D6478BD642F)
+_TAIL = _U(0xE7037ED1A0B428DB)
+_LENGTH = _U(0xD6E8FEB86659FD93)
+
+
 class SpanHasher:
     """Hash of any span [start, end) of ``symbols`` by prefix sums of a
-    polynomial modulo 2**64; equal spans hash alike wherever they stand."""
+    polynomial modulo 2**64; equal spans hash alike wherever they stand.
+
+    The polynomial's coefficients are not the symbols but mixed pairs of
+    neighbours, and the last symbol by itself: with plain symbols, strings
+    and their complements in the Thue-Morse order collide in every base."""
 
     def __init__(self, symbols: np.ndarray, which: int = 0):
         n = len(symbols)
+        self._symbols = symbols.astype(_U)
+        self._base = _U(_BASES[which])
+        self._power = _powers(_BASES[which], n + 1)
         self._inverse = _powers(_INVERSES[which], n + 1)
         self._prefix = np.zeros(n + 1, _U)
-        np.cumsum(symbols.astype(_U) * _powers(_BASES[which], n + 1)[1:], out=self._prefix[1:])
+        if n > 1:
+            np.cumsum(self._pair(self._symbols[:-1], self._symbols[1:]) * self._power[1:n], out=self._prefix[1:n])
+            self._prefix[n] = self._prefix[n - 1]
+
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return mix(left * _FIRST + right * self._base)
+
+    def _last(self, end: np.ndarray, some: np.ndarray | None = None) -> np.ndarray:
+        """The last symbol's part; 0 where ``some`` is false (an empty span)."""
+        if not len(self._symbols):
+            return np.zeros(len(end), _U)
+        tail = mix(self._symbols[np.maximum(end - 1, 0)] * _TAIL + self._base)
+        return tail if some is None else np.where(some, tail, _U(0))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self._prefix[end] - self._prefix[start]) * self._inverse[start]
-        return mix(raw + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+        some = end > start
+        raw = (self._prefix[np.maximum(end - 1, start)] - self._prefix[start]) * self._inverse[start]
+        return mix(raw + self._last(end, None if some.all() else some) * _TAIL + (end - start).astype(_U) * _LENGTH)
 
     def joined(self, start: np.ndarray, left: np.ndarray, right: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of [start, left) followed by [right, end), as if contiguous."""
-        raw = (self._prefix[left] - self._prefix[start]) * self._inverse[start] \
-            + (self._prefix[end] - self._prefix[right]) * self._inverse[start + right - left]
+        before, after = left > start, right < end
+        raw = (self._prefix[np.maximum(left - 1, start)] - self._prefix[start]) * self._inverse[start] \
+            + (self._prefix[np.maximum(end - 1, right)] - self._prefix[right]) * self._inverse[start + right - left]
+        if len(self._symbols):
+            seam = self._pair(self._symbols[np.maximum(left - 1, 0)], self._symbols[np.minimum(right, len(self._symbols) - 1)])
+            raw += np.where(before & after, seam * self._power[left - start], _U(0))
         length = end - start - (right - left)
-        return mix(raw + length.astype(_U) * _U(0xD6E8FEB86659FD93))
+        return mix(raw + self._last(np.where(after, end, left), before | after) * _TAIL + length.astype(_U) * _LENGTH)
 
 
 @dataclass
