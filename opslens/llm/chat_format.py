@@ -9,7 +9,8 @@ is the loss mask: one span per assistant message.
 
 Layout: ``<|im_start|>role\\ncontent<|im_end|>\\n`` per message. In texts and
 roles ``\\`` becomes ``\\\\`` and ``<|`` becomes ``<\\|``, so a text can never
-contain a control string; a newline in a role is escaped as well.
+contain a control string; nor can several parts together, as a ``|`` that
+begins a later part is escaped too. A newline in a role is escaped as well.
 ``read_back`` undoes all of it.
 
 Edge cases: a null text, part, list or role counts as empty; a part without
@@ -47,8 +48,11 @@ def _of_type(kind: Column, text: Column, other) -> Column:
     return known.otherwise(other(None))
 
 
-def _piece(part: Column) -> Column:
-    return _of_type(part["type"], escape(F.coalesce(part["text"], F.lit(""))), lambda name: F.lit(f"<|{name or 'attachment'}|>"))
+def _piece(part: Column, place: Column) -> Column:
+    text = escape(F.coalesce(part["text"], F.lit("")))
+    # A part before this one may end in "<".
+    text = F.when((place > 0) & F.startswith(text, F.lit("|")), F.concat(F.lit("\\"), text)).otherwise(text)
+    return _of_type(part["type"], text, lambda name: F.lit(f"<|{name or 'attachment'}|>"))
 
 
 def _tokens(part: Column) -> Column:
