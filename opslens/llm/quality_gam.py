@@ -207,13 +207,15 @@ def _feature_rows(batches):
 
 def fit_quality(docs: DataFrame, labels: DataFrame, allowed=None, max_rows: int = 20_000, id_col: str = "doc_id",
                 text_col: str = "text", label_col: str = "quality") -> Gam:
-    """Fit on at most ``max_rows`` labelled rows (smallest id hash first).
-    ``allowed`` maps the id column to the rows that may be learnt from."""
+    """Fit on at most ``max_rows`` labelled rows (smallest id hash first); of
+    rows that share an id, the smallest text. ``allowed`` maps the id column
+    to the rows that may be learnt from."""
     key = F.col(id_col)
     known = labels.where(F.col(label_col).isin(0, 1) & key.isNotNull() & (allowed(key) if allowed else F.lit(True))) \
         .groupBy(key.alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)  # at most max_rows rows of two numbers: fit to broadcast
-    rows = docs.select(key.alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    rows = docs.select(key.alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id") \
+        .groupBy("id", "label").agg(F.min("text").alias("text"))
     got = rows.select("text", "label").mapInArrow(_feature_rows, "label int, x array<double>").toArrow()
     y = got["label"].to_numpy().astype(float)
     x = np.array(got["x"].to_pylist(), float).reshape(len(y), len(FEATURES))
