@@ -81,7 +81,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repea
     odds = F.col("u") / (1 - F.col("u"))
     rank = F.when(F.col("p") > 0, odds / (F.col("p") / (1 - F.col("p")))).otherwise(F.col("u"))
     ranked = rows.alias("r").join(plan.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).drop(F.col("t.source")) \
-        .withColumn("rank", rank).withColumn("bucket", F.floor(F.lit(buckets) * F.col("rank") / (1 + F.col("rank"))))
+        .withColumn("rank", rank).withColumn("bucket", F.floor(F.lit(buckets) * F.col("u")))  # inside a source the rank grows with u, which is evenly spread
     per_bucket = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = per_bucket.select("source", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
