@@ -19,7 +19,9 @@ Whether a word is a name, or a unit, depends on its case and on what stands
 before it, so the same words can be other template tokens elsewhere. Windows
 are therefore taken in three forms: the template, the template with names as
 plain words, and plain words alone, all in lower case. A window of the item
-found in any form is found.
+found in any form is found. A window with placeholders holds at least
+``MIN_LITERAL`` words; windows of values alone (a table of numbers) are found
+by their values, as plain words.
 
 The benchmark is the query set, every document is searched whole. Hashes of
 the benchmark's windows are sent to the tasks if there are at most
@@ -46,6 +48,7 @@ from .textarrays import Block, SpanHasher, blocks, mix, window_starts, words
 
 _U = np.uint64
 MIN_ITEM = 5
+MIN_LITERAL = 2
 MAX_SENT = 2_000_000
 # Unit words that may follow a number (fixed values).
 UNITS = ("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hrs ms day days week weeks month months year years "
@@ -142,6 +145,9 @@ def _windows(lengths: tuple[int, ...], wanted):
                         if own is not None:
                             differs = own_before[pos + length] > own_before[pos]
                             pos, doc = pos[differs], doc[differs]
+                        literal = length - (slots_before[pos + length] - slots_before[pos])
+                        enough = literal >= np.minimum(MIN_LITERAL, length)
+                        pos, doc = pos[enough], doc[enough]
                         key = h(pos, pos + length)
                         if keys is not None:
                             k = np.searchsorted(keys, key)
