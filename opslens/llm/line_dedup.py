@@ -29,6 +29,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +41,7 @@ from .stored import stored
 from .textarrays import Block, SpanHasher, blocks, mix, owners, words
 
 _U = np.uint64
+_BLANK = re.compile(r"[\x20\x09-\x0D]+")
 LINE_SCHEMA = "h1 long, h2 long, doc long, line long, later boolean, halves array<long>"
 VARIANT_SCHEMA = "v1 long, v2 long, place int, h1 long, h2 long, doc long, line long, near_doc long, near_line long"
 OUT_SCHEMA = "doc long, n_lines long, n_removed long, removed array<int>, kept_text string"
@@ -204,7 +206,7 @@ def line_dedup(docs: DataFrame, min_words: int = 6, id_col: str = "doc_id", text
     """One row per document: id, n_lines, n_removed, removed (line numbers),
     kept_text (the other lines, with their line ends)."""
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    text = base.withColumn("home", F.coalesce("doc", F.xxhash64("text"))).repartition("home")
+    text = base.withColumn("home", F.coalesce("doc", F.xxhash64(F.monotonically_increasing_id()))).repartition("home")
     lines = base.mapInArrow(_line_rows(min_words), LINE_SCHEMA)
     seen = stored(lines.drop("halves"))
     distinct = seen.where("not later").groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"))
@@ -235,19 +237,29 @@ def line_dedup(docs: DataFrame, min_words: int = 6, id_col: str = "doc_id", text
     return out.mapInArrow(_cut, OUT_SCHEMA).withColumnRenamed("doc", id_col)
 
 
+def _line_words(batches):
+    """Documents with the numbers of lines asked for -> the words of each."""
+    for batch in batches:
+        for doc, text, lines in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "lines"))):
+            split = (text or "").split("\n")
+            for lo in range(0, len(lines), 4096):
+                part = [n for n in lines[lo:lo + 4096] if n < len(split)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc] * len(part), pa.int64()), pa.array(part, pa.int64()),
+                     pa.array([[w for w in _BLANK.split(split[n]) if w] for n in part], pa.list_(pa.string()))], names=["doc", "line", "words"])
+
+
 def _verified(near: DataFrame, text: DataFrame) -> DataFrame:
     """``near`` after comparing each line with the neighbour that decides its
-    fate, word by word. One comparison a line."""
-    ends = near.select("h1", "h2", "near", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("spot.doc").alias("doc"), F.col("spot.line").alias("line")),
-        F.struct(F.lit(1).alias("side"), F.col("near.doc").alias("doc"), F.col("near.line").alias("line")))).alias("end"))
-    ends = ends.select("h1", "h2", "near", "end.*")
-    line = F.get(F.split("text", "\n"), F.col("line").cast("int"))
+    fate, word by word. One comparison a line; a document is split once, for
+    all its lines that are asked for. Rows that share an id give several texts
+    for one line: any pair within the bound will do."""
+    ends = near.select(F.explode(F.array("spot", "near")).alias("end")).select("end.doc", "end.line").distinct()
     # Joined on the column that ``text`` is dealt out by, with all its columns, so that its one shuffle serves every use.
-    told = ends.withColumnRenamed("doc", "home").join(text, "home") \
-        .select("h1", "h2", "near", "side", "doc", F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda x: x != "").alias("words"))
-    # Rows that share an id give several texts for one line: any pair within the bound will do.
-    a, b = F.filter("sides", lambda s: s["side"] == 0), F.filter("sides", lambda s: s["side"] == 1)
-    ok = F.exists(a, lambda x: F.exists(b, lambda y: _one_edit(x["words"], y["words"])))
-    return told.groupBy("h1", "h2", "near").agg(F.collect_list(F.struct("side", "words")).alias("sides"), F.min("doc").alias("some")) \
-        .where(ok & F.col("some").isNotNull()).select("h1", "h2", "near")
+    asked = ends.where("doc is not null").groupBy(F.col("doc").alias("home")).agg(F.collect_list("line").alias("lines"))
+    told = text.join(asked, "home").where("doc is not null").select("doc", "text", "lines") \
+        .mapInArrow(_line_words, "doc long, line long, words array<string>")
+    told = stored(told.distinct())
+    of = lambda side, name: told.select(F.struct("doc", "line").alias(side), F.col("words").alias(name))
+    return near.join(of("spot", "a"), "spot").join(of("near", "b"), "near").where(_one_edit(F.col("a"), F.col("b"))) \
+        .select("h1", "h2", "near").distinct()
