@@ -182,8 +182,8 @@ def with_repeats(docs: DataFrame, symbols, window: int, seed: int, within: bool,
     ``within``: an earlier start in the same document counts as well."""
     if not 0 < seed < window <= seed + 254 or blocks_of[-1] != 1:
         raise ValueError("seed is shorter than window, by 254 symbols at most; the last blocks hold one window")
-    # Rows without an id have nothing to look up: they are dealt out by their text.
-    text = docs.select("doc", "text", F.coalesce("doc", F.xxhash64("text")).alias("home")).repartition("home")
+    # Rows without an id have nothing to look up: they are dealt out evenly, by a hash of their place in the input.
+    text = docs.select("doc", "text", F.coalesce("doc", F.xxhash64(F.monotonically_increasing_id())).alias("home")).repartition("home")
     levels = [_judged(docs.select("doc", "text").mapInArrow(group_rows(symbols, window, seed, within), ROW_SCHEMA), within)]
     for size in blocks_of:
         still = text.join(levels[-1], "home").select("doc", "text", "groups")
