@@ -21,7 +21,7 @@ from .source_mixing import mix_sources
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .template_decontam import leaked_items
-from .token_counts import prefix_token_counts
+from .token_counts import prefix_token_counts, truncate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,8 +49,10 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = prefix_token_counts(table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json", tables=False)
-    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+    """Counts, and from the prefix tables where a text of more than 2048
+    tokens would be cut."""
+    out = truncate(prefix_token_counts(table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json"), 2048)
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("cut_tokens") < F.col("n_tokens")).alias("over_limit"), "cut_bytes", "cut_tokens")
 
 
 def held_out(doc_id: Column) -> Column:
