@@ -17,7 +17,7 @@ duplicates are not looked for among them. Columns beyond those of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens.llm.exact_dedup import exact_dedup, lower_ascii
@@ -29,10 +29,19 @@ from opslens.llm.stored import stored
 from opslens.llm.template_decontam import leaked_items
 
 
-def _without(docs: DataFrame, keyed: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``keyed`` (docs with __id and __text) without the rows named in
-    ``dropped`` (id, text)."""
-    return keyed.join(dropped, keyed["__id"].eqNullSafe(dropped["id"]) & (keyed["__text"] == dropped["text"]), "left_anti").select(*docs.columns)
+def _own(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _without(docs: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows named in ``dropped`` (id, key)."""
+    own = _own(docs, "__row")
+    gone = dropped.select(F.struct(F.col("id"), F.col("key")).alias(own)).distinct()
+    keyed = docs.withColumn(own, F.struct(F.col("doc_id").alias("id"), key.alias("key")))
+    return keyed.join(gone, own, "left_anti").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,31 +54,30 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: of texts equal but for the case of A-Z, one stays."""
     verdict = exact_dedup(docs, keep="largest", normalise=lower_ascii)
     digest = F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
-    dropped = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("text")).distinct()
-    return _without(docs, docs.withColumn("__id", F.col("doc_id")).withColumn("__text", digest), dropped)
+    return _without(docs, digest, verdict.where(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("key")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: one document of each group of near duplicates stays (five
     words a shingle, similarity 0.8). Texts that share an id are judged one
     by one: all but one of them get a key of their own."""
-    text = F.xxhash64("text")
-    shared = stored(docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__shared"))
-                    .agg(F.min(text).alias("__lo"), F.max(text).alias("__hi")).where("__lo < __hi").select("__shared", "__lo"))
-    keyed = docs.withColumn("__key", F.col("doc_id"))
+    text, shared_id, key, gone = F.xxhash64("text"), _own(docs, "__shared"), _own(docs, "__key"), _own(docs, "__gone")
+    lo = _own(docs, "__lo")
+    shared = stored(docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(shared_id))
+                    .agg(F.min(text).alias(lo), F.max(text).alias("hi")).where(F.col(lo) < F.col("hi")).select(shared_id, lo))
+    keyed = docs.withColumn(key, F.col("doc_id"))
     if not shared.isEmpty():
         own = F.shiftrightunsigned(F.xxhash64("doc_id", text), 1)
-        keyed = docs.join(shared, docs["doc_id"] == shared["__shared"], "left") \
-            .withColumn("__key", F.when(text != F.col("__lo"), own).otherwise(F.col("doc_id")))
-    dropped = near_duplicates(keyed, shingle=5, percent=80, id_col="__key").where(~F.col("kept")).select(F.col("__key").alias("__dropped")).distinct()
-    return keyed.join(dropped, F.col("__key") == F.col("__dropped"), "left_anti").select(*docs.columns)
+        keyed = docs.join(shared, docs["doc_id"] == shared[shared_id], "left") \
+            .withColumn(key, F.when(text != F.col(lo), own).otherwise(F.col("doc_id")))
+    dropped = near_duplicates(keyed, shingle=5, percent=80, id_col=key).where(~F.col("kept")).select(F.col(key).alias(gone)).distinct()
+    return keyed.join(dropped, F.col(key) == F.col(gone), "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that hold a benchmark item go."""
     leaked = leaked_items(docs, table(spark, sf_dir, "benchmark"))
-    dropped = leaked.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("text")).distinct()
-    return _without(docs, docs.withColumn("__id", F.col("doc_id")).withColumn("__text", F.xxhash64("text")), dropped)
+    return _without(docs, F.xxhash64("text"), leaked.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("key")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
