@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tsql import ci_like_any, datediff_boundaries
-from ..plans.shape import finding, kcols, lookup_join
+from ..plans.rules import run_checks
+from ..plans.shape import kcols, lookup_join
+from . import checks as K
+from .checks import MODEL_ID, TEMPDB_ID
 from .database import live
 
-TEMPDB_ID, MODEL_ID = 2, 3
 # System databases skipped by the backup plan.
 SYSTEM_DBS = ["master", "model", "msdb", "tempdb"]
 NEVER_CHECKED = dt.datetime(1900, 1, 1)
@@ -118,13 +120,7 @@ def no_log_backup(databases: DataFrame, backupset: DataFrame, keys=None) -> Data
     """full/bulk-logged databases without a usable log backup. Counts the
     rows of databases LEFT JOIN log backups where the backup's recovery model
     or finish is NULL, as the source does (join rows, not databases)."""
-    k = kcols(keys)
-    j = _log_eligible(databases, keys).join(_log_backup_facts(backupset, keys), k + ["database_name"], "left")
-    a = j.groupBy(*k).agg(F.sum(F.when(F.col("n_rows").isNull(), 1).otherwise(F.col("n_bad")))
-                          .cast("long").alias("n"))
-    return finding(a, keys, "D6.no_log_backup", F.when(F.col("n") > 0, "warn").otherwise("ok"), F.col("n"),
-                   F.when(F.col("n") > 0, F.format_string("No LOG backup taken on %d database(s)", F.col("n")))
-                   .otherwise(F.lit("LOG backups verified")))
+    return run_checks([K.NO_LOG_BACKUP], {"databases": databases, "backupset": backupset}, keys)
 
 
 def stale_log_backup(databases: DataFrame, backupset: DataFrame, as_of, days: int = 1,
@@ -142,13 +138,7 @@ def stale_log_backup(databases: DataFrame, backupset: DataFrame, as_of, days: in
 def stale_log_backup_count(databases: DataFrame, backupset: DataFrame, as_of, days: int = 1, keys=None) -> DataFrame:
     """D7 finding: how many databases (names) have a newest log backup older
     than ``days`` days."""
-    k = kcols(keys)
-    j = _log_eligible(databases, keys).distinct().join(_log_backup_facts(backupset, keys), k + ["database_name"], "left")
-    age = datediff_boundaries("day", F.col("last_log_backup"), _as_of(as_of))
-    a = j.groupBy(*k).agg(F.count_if(age > days).alias("n"))
-    return finding(a, keys, "D7.stale_log_backup", F.when(F.col("n") > 0, "warn").otherwise("ok"), F.col("n"),
-                   F.when(F.col("n") > 0, F.format_string("Last LOG backup too old on %d database(s)", F.col("n")))
-                   .otherwise(F.lit("LOG backup age verified")))
+    return run_checks([K.OLD_LOG_BACKUP], {"databases": databases, "backupset": backupset}, keys, as_of=as_of, log_days=days)
 
 
 def _full_backups(databases: DataFrame, backupset: DataFrame, keys) -> DataFrame:
@@ -170,12 +160,7 @@ def last_full_backup(databases: DataFrame, backupset: DataFrame, keys=None) -> D
 def no_full_backup(databases: DataFrame, backupset: DataFrame, keys=None) -> DataFrame:
     """Join rows with a NULL full-backup finish: databases with no full
     backup, plus full backups that never finished."""
-    k = kcols(keys)
-    a = _full_backups(databases, backupset, keys).groupBy(*k).agg(
-        F.sum(F.when(F.col("n_rows").isNull(), 1).otherwise(F.col("n_null"))).cast("long").alias("n"))
-    return finding(a, keys, "D9.no_full_backup", F.when(F.col("n") > 0, "warn").otherwise("ok"), F.col("n"),
-                   F.when(F.col("n") > 0, F.format_string("No FULL backup taken on %d database(s)", F.col("n")))
-                   .otherwise(F.lit("FULL backups verified")))
+    return run_checks([K.NO_FULL_BACKUP], {"databases": databases, "backupset": backupset}, keys)
 
 
 def _last_good(dbinfo: DataFrame, keys) -> DataFrame:
@@ -196,13 +181,7 @@ def integrity_checks(dbinfo: DataFrame, keys=None) -> DataFrame:
 
 def never_checked(dbinfo: DataFrame, keys=None) -> DataFrame:
     """How many databases never had an integrity check."""
-    k = kcols(keys)
-    never = F.col("last_clean") == F.lit(NEVER_CHECKED).cast("timestamp_ntz")
-    a = _last_good(dbinfo, keys).groupBy(*k).agg(F.count_if(never).alias("n"))
-    return finding(a, keys, "D11.never_checked", F.when(F.col("n") > 0, "warn").otherwise("ok"), F.col("n"),
-                   F.when(F.col("n") > 0, F.format_string("No integrity check has been run on %d database(s)",
-                                                          F.col("n")))
-                   .otherwise(F.lit("Integrity checks verified")))
+    return run_checks([K.NEVER], {"dbinfo": dbinfo}, keys)
 
 
 def stale_integrity(dbinfo: DataFrame, as_of, days: int = 7, keys=None) -> DataFrame:
@@ -215,11 +194,7 @@ def stale_integrity(dbinfo: DataFrame, as_of, days: int = 7, keys=None) -> DataF
 
 def stale_integrity_count(dbinfo: DataFrame, as_of, days: int = 7, keys=None) -> DataFrame:
     """D12 finding: number of such (database, date) rows per server."""
-    k = kcols(keys)
-    a = stale_integrity(dbinfo, as_of, days, keys).groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
-    return finding(a, keys, "D12.stale_integrity", "warn", F.col("n"),
-                   F.format_string("Most recent integrity check on %d database(s) is older than %d days",
-                                   F.col("n"), F.lit(days)))
+    return run_checks([K.STALE], {"dbinfo": dbinfo}, keys, as_of=as_of, check_days=days)
 
 
 def backup_plan(databases: DataFrame, path: str, as_of, keys=None) -> DataFrame:

@@ -1,19 +1,17 @@
-"""Family B — databases and configuration.
-
-Each check reads its source once: one conditional aggregate per source table
-(``count_if`` / ``max(when ...)``) per fleet key, then the rule outcomes are
-unpivoted into finding rows.
-"""
+"""Family B — databases and configuration. The findings are
+rules of ``checks``; listings are plain selections."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tsql import UNLIMITED_MEMORY_MB, ci_like_any, money, pages_to_mb_trunc
+from ..functions.tsql import ci_like_any
 from ..plans.patterns import like_any_of
-from ..plans.shape import FINDING_COLS, finding, kcols, kjoin
-from .instance import decode_version
+from ..plans.rules import run_checks
+from ..plans.shape import kcols
+from . import checks as K
+from .checks import MODULE_PATTERNS
 
 # The settings the configuration listing shows.
 CONFIG_NAMES = ["backup compression default", "clr enabled", "max degree of parallelism",
@@ -23,10 +21,6 @@ CONFIG_NAMES = ["backup compression default", "clr enabled", "max degree of para
 # Compatibility level -> release name.
 COMPAT_NAMES = {80: "2000", 90: "2005", 100: "2008", 110: "2012", 120: "2014",
                 130: "2016", 140: "2017", 150: "2019"}
-# Loaded-module patterns of the anti-virus check.
-MODULE_PATTERNS = ["%sophos%.dll", "%swi_ifslsp_64.dll", "%swi_ifslsp.dll"]
-MSDB_ID = 4
-MSDB_LIMIT_MB = 2048
 
 
 def live(databases: DataFrame) -> DataFrame:
@@ -34,17 +28,6 @@ def live(databases: DataFrame) -> DataFrame:
     return databases.filter(F.col("source_database_id").isNull())
 
 
-def unpivot_findings(df: DataFrame, keys, items: list[tuple[str, Column, Column, Column]]) -> DataFrame:
-    """Turn one row per key into one finding per item (check_id, severity,
-    observed, message); items whose check_id is NULL are skipped."""
-    k = kcols(keys)
-    arr = F.array(*[F.struct(F.lit(cid).alias("check_id") if isinstance(cid, str) else cid.alias("check_id"),
-                             sev.alias("severity"), obs.cast("string").alias("observed"),
-                             msg.alias("message")) for cid, sev, obs, msg in items])
-    return df.select(*k, F.explode(arr).alias("f")).select(*k, "f.*") \
-        .filter(F.col("check_id").isNotNull()).select(*k, *FINDING_COLS)
-
-
 def db_count_by_state(databases: DataFrame, keys=None) -> DataFrame:
     """B1: number of databases per state, snapshots excluded."""
     k = kcols(keys)
@@ -62,77 +45,7 @@ def config_checks(config: DataFrame, instances: DataFrame, keys=None) -> DataFra
 
     Memory rules test ``value``; the others ``value_in_use``. Full-text crawl
     range is judged only where full-text is installed."""
-    k = kcols(keys)
-
-    def has(name, col, v):
-        return F.max(F.when((F.col("name") == name) & (F.col(col) == v), 1).otherwise(0)) > 0
-
-    def inuse(name):
-        return F.max(F.when(F.col("name") == name, F.col("value_in_use")))
-
-    a = config.groupBy(*k).agg(
-        has("max server memory (MB)", "value", UNLIMITED_MEMORY_MB).alias("max_unset"),
-        has("min server memory (MB)", "value", 0).alias("min_unset"),
-        inuse("max server memory (MB)").alias("max_mem"), inuse("min server memory (MB)").alias("min_mem"),
-        has("backup compression default", "value_in_use", 0).alias("bc0"),
-        has("backup compression default", "value_in_use", 1).alias("bc1"),
-        has("optimize for ad hoc workloads", "value_in_use", 0).alias("ah0"),
-        has("optimize for ad hoc workloads", "value_in_use", 1).alias("ah1"),
-        has("clr enabled", "value_in_use", 1).alias("clr"),
-        has("remote admin connections", "value_in_use", 1).alias("rac"),
-        has("priority boost", "value_in_use", 1).alias("pb"),
-        has("max degree of parallelism", "value_in_use", 1).alias("dop1"),
-        has("max degree of parallelism", "value_in_use", 0).alias("dop0"),
-        inuse("max degree of parallelism").alias("dop"),
-        has("cost threshold for parallelism", "value_in_use", 5).alias("ct5"),
-        inuse("cost threshold for parallelism").alias("ct"),
-        has("max full-text crawl range", "value_in_use", 4).alias("cr4"),
-        inuse("max full-text crawl range").alias("cr"))
-    a = kjoin(a, instances.select(*k, "is_fulltext_installed"), k, "left")
-    c = F.col
-    gb = lambda x: money(x / F.lit(1024.0))
-    items = [
-        ("B3.max_memory", F.when(c("max_unset"), "warn").otherwise("info"), c("max_mem"),
-         F.when(c("max_unset"), F.lit("max server memory is NOT SET"))
-         .otherwise(F.concat(F.lit("max server memory is set to "), gb(c("max_mem")), F.lit(" GB")))),
-        ("B3.min_memory", F.when(c("min_unset"), "warn").otherwise("info"), c("min_mem"),
-         F.when(c("min_unset"), F.lit("min server memory is NOT SET"))
-         .otherwise(F.concat(F.lit("min server memory is set to "), gb(c("min_mem")), F.lit(" GB")))),
-        ("B3.backup_compression", F.when(c("bc0"), "warn").otherwise("info"), c("bc1").cast("int"),
-         F.when(c("bc0"), "backup compression is NOT ENABLED")
-         .when(c("bc1"), "backup compression is enabled")
-         .otherwise("backup compression is not available")),
-        ("B3.adhoc", F.when(c("ah0"), "warn").otherwise("info"), c("ah1").cast("int"),
-         F.when(c("ah0"), "optimize for ad hoc workloads is NOT ENABLED")
-         .when(c("ah1"), "optimize for ad hoc workloads is enabled")
-         .otherwise("optimize for ad hoc workloads is not available")),
-        ("B3.clr", F.when(c("clr"), "warn").otherwise("ok"), c("clr").cast("int"),
-         F.when(c("clr"), "clr IS ENABLED").otherwise("clr is not enabled")),
-        ("B3.remote_admin", F.when(c("rac"), "warn").otherwise("ok"), c("rac").cast("int"),
-         F.when(c("rac"), "remote admin connections IS ENABLED")
-         .otherwise("remote admin connections is not enabled")),
-        ("B3.priority_boost", F.when(c("pb"), "warn").otherwise("ok"), c("pb").cast("int"),
-         F.when(c("pb"), "priority boost IS ENABLED").otherwise("priority boost is not enabled")),
-        ("B3.maxdop", F.when(c("dop0"), "ok").otherwise("warn"), c("dop"),
-         F.when(c("dop1"), F.lit("maxdop IS DISABLED"))
-         .when(c("dop0"), F.lit("maxdop is set to the default of 0"))
-         .otherwise(F.concat(F.lit("maxdop is set to "), c("dop").cast("string"), F.lit(" - NOT DEFAULT")))),
-        ("B3.cost_threshold", F.when(c("ct5") | (c("ct") < 25), "warn").otherwise("info"), c("ct"),
-         F.when(c("ct5"), F.lit("cost threshold for parallelism is the default of 5 - too low"))
-         .when(c("ct") < 25, F.concat(F.lit("cost threshold for parallelism is "), c("ct").cast("string"),
-                                      F.lit(" - too low?")))
-         .otherwise(F.concat(F.lit("cost threshold for parallelism is "), c("ct").cast("string"),
-                             F.lit(" - sufficient?")))),
-        ("B3.fulltext_crawl",
-         F.when(~F.coalesce(c("is_fulltext_installed"), F.lit(False)), "info")
-         .when(c("cr4"), "ok").otherwise("warn"), c("cr"),
-         F.when(~F.coalesce(c("is_fulltext_installed"), F.lit(False)),
-                F.lit("full-text is not installed; crawl range can be ignored"))
-         .when(c("cr4"), F.lit("max full-text crawl range is the default of 4"))
-         .otherwise(F.concat(F.lit("max full-text crawl range is "), c("cr").cast("string"),
-                             F.lit(" - NOT DEFAULT")))),
-    ]
-    return unpivot_findings(a, keys, items)
+    return run_checks([K.CONFIGURATION], {"config": config, "instances": instances}, keys)
 
 
 def compat_name(level: Column) -> Column:
@@ -157,28 +70,7 @@ def db_setting_checks(databases: DataFrame, instances: DataFrame, keys=None) ->
     """Six counted rules over non-snapshot databases: encrypted,
     compatibility below the instance's, page verify not CHECKSUM, auto close,
     auto shrink, auto update statistics off."""
-    k = kcols(keys)
-    inst = decode_version(instances).select(*k, (F.col("v_major").cast("int") * 10).alias("inst_compat"))
-    d = kjoin(live(databases), inst, k, "inner")
-    a = d.groupBy(*k).agg(
-        F.count_if(F.col("is_encrypted")).alias("enc"),
-        F.count_if(F.col("compatibility_level") < F.col("inst_compat")).alias("compat"),
-        F.count_if(F.lower("page_verify_option_desc") != "checksum").alias("pv"),
-        F.count_if(F.col("is_auto_close_on")).alias("ac"),
-        F.count_if(F.col("is_auto_shrink_on")).alias("ash"),
-        F.count_if(~F.col("is_auto_update_stats_on")).alias("aus"))
-    rules = [("B5.encryption", "enc", "Encryption is enabled on %d database(s)", "Encryption verified"),
-             ("B5.compat_level", "compat", "Compatibility level below the instance version on %d database(s)",
-              "Compatibility level verified"),
-             ("B5.page_verify", "pv", "Page verify not CHECKSUM on %d database(s)", "Page verify option verified"),
-             ("B5.auto_close", "ac", "Auto Close is enabled on %d database(s)", "Auto Close verified"),
-             ("B5.auto_shrink", "ash", "Auto Shrink is enabled on %d database(s)", "Auto Shrink verified"),
-             ("B5.auto_update_stats", "aus", "Auto Update Stats is NOT ENABLED on %d database(s)",
-              "Auto Update Stats verified")]
-    items = [(cid, F.when(F.col(c) > 0, "warn").otherwise("ok"), F.col(c),
-              F.when(F.col(c) > 0, F.format_string(bad, F.col(c))).otherwise(F.lit(good)))
-             for cid, c, bad, good in rules]
-    return unpivot_findings(a, keys, items)
+    return run_checks([K.SETTINGS], {"databases": databases, "instances": instances}, keys)
 
 
 def owner_listing(databases: DataFrame, jobs: DataFrame, packages: DataFrame, keys=None) -> DataFrame:
@@ -199,94 +91,25 @@ def owner_listing(databases: DataFrame, jobs: DataFrame, packages: DataFrame, ke
 
 def owner_checks(databases: DataFrame, jobs: DataFrame, packages: DataFrame, keys=None) -> DataFrame:
     """Per object kind, how many are not owned by ``sa``."""
-    k = kcols(keys)
-
-    def one(df, cond, kind, cid):
-        a = df.groupBy(*k).agg(F.count_if(cond).alias("n"))
-        return finding(a, keys, cid, F.when(F.col("n") > 0, "warn").otherwise("ok"), F.col("n"),
-                       F.when(F.col("n") > 0, F.format_string(f"Owner not set to sa on %d {kind}(s)", F.col("n")))
-                       .otherwise(F.lit(f"{kind} owners verified")))
-    o = F.col("owner_name")
-    return one(live(databases), o.isNull() | (F.lower(o) != "sa"), "database", "B7.database_owner") \
-        .unionByName(one(jobs, F.coalesce(F.lower(o) != "sa", F.lit(False)), "job", "B7.job_owner")) \
-        .unionByName(one(packages, F.coalesce(F.lower(o) != "sa", F.lit(False)), "package", "B7.package_owner"))
+    return run_checks([K.OWNERS], {"databases": databases, "jobs": jobs, "packages": packages}, keys)
 
 
 def trace_flag_checks(flags: DataFrame, instances: DataFrame, databases: DataFrame,
                       keys=None) -> DataFrame:
     """Trace flags 1117/1118 (before v13 only), 3226 (always), 2371
     (before v13, or from v13 when a database is below compatibility 130)."""
-    k = kcols(keys)
-    g = flags.groupBy(*k).agg(*[
-        F.max(F.when((F.col("trace_flag") == tf) & F.col("is_global"), 1).otherwise(0)).alias(f"f{tf}")
-        for tf in ("1117", "1118", "3226", "2371")])
-    low = live(databases).groupBy(*k).agg(F.count_if(F.col("compatibility_level") < 130).alias("low"))
-    inst = decode_version(instances).select(*k, F.col("v_major").cast("int").alias("major"))
-    a = kjoin(kjoin(inst, g, k, "left"), low, k, "left").na.fill(0, ["f1117", "f1118", "f3226", "f2371", "low"])
-    new = F.col("major") >= 13
-
-    def flag(tf, extra=""):
-        on = F.col(f"f{tf}") == 1
-        return (F.when(on, "ok").otherwise("warn"), F.col(f"f{tf}"),
-                F.when(on, F.lit(f"Trace flag {tf} is enabled globally{extra}"))
-                .otherwise(F.lit(f"Trace flag {tf} is NOT ENABLED globally{extra}")))
-
-    s17, o17, m17 = flag("1117")
-    s18, o18, m18 = flag("1118")
-    s32, o32, m32 = flag("3226")
-    s23, o23, m23 = flag("2371")
-    items = [
-        (F.when(new, F.lit("B8.1117_1118")), F.lit("info"), F.col("major"),
-         F.lit("Trace flag 1117 & 1118 check not necessary for this version")),
-        (F.when(~new, F.lit("B8.1117")), s17, o17, m17),
-        (F.when(~new, F.lit("B8.1118")), s18, o18, m18),
-        ("B8.3226", s32, o32, m32),
-        ("B8.2371",
-         F.when(new & (F.col("low") == 0), "info").otherwise(s23),
-         F.when(new & (F.col("low") == 0), F.col("low")).otherwise(o23),
-         F.when(new & (F.col("low") == 0),
-                F.lit("Trace flag 2371 check not necessary for this version and compatibility levels"))
-         .when(new, F.concat(m23, F.lit(" - a database is below compatibility level 130")))
-         .otherwise(m23)),
-    ]
-    return unpivot_findings(a, keys, items)
+    return run_checks([K.TRACE], {"trace_flags": flags, "instances": instances, "databases": databases}, keys)
 
 
 def service_account_checks(services: DataFrame, instances: DataFrame, keys=None) -> DataFrame:
     """Instant file initialisation for the engine service and lock pages
     in memory (memory model 2); only verifiable from 2016 SP1 / 2012 SP4 on."""
-    k = kcols(keys)
-    ifi = services.filter(F.col("servicename").like("SQL Server (%")).groupBy(*k) \
-        .agg(F.max("instant_file_initialization_enabled").alias("ifi"))
-    inst = decode_version(instances).select(*k, F.col("v_major").cast("int").alias("major"),
-                                            F.col("v_build").alias("build"), "memory_model")
-    a = kjoin(inst, ifi, k, "left")
-    ok_ver = (F.col("major") > 13) | ((F.col("major") == 13) & (F.col("build") >= 4001)) | \
-             ((F.col("major") == 11) & (F.col("build") >= 7001))
-    items = [
-        ("B9.instant_file_init",
-         F.when(~ok_ver, "info").when(F.col("ifi") == "Y", "ok").otherwise("warn"), F.col("ifi"),
-         F.when(~ok_ver, "Instant file initialization not verifiable here - check the OS")
-         .when(F.col("ifi") == "Y", "Instant file initialization is enabled for the service account")
-         .otherwise("Instant file initialization is NOT ENABLED for the service account")),
-        ("B9.lock_pages",
-         F.when(~ok_ver, "info").when(F.col("memory_model") == 2, "ok").otherwise("warn"),
-         F.col("memory_model"),
-         F.when(~ok_ver, "Lock pages in memory not verifiable here - check the OS")
-         .when(F.col("memory_model") == 2, "Lock pages in memory is enabled for the service account")
-         .otherwise("Lock pages in memory is NOT ENABLED for the service account")),
-    ]
-    return unpivot_findings(a, keys, items)
+    return run_checks([K.SERVICE_ACCOUNTS], {"services": services, "instances": instances}, keys)
 
 
 def msdb_size_check(files: DataFrame, keys=None) -> DataFrame:
     """Does any msdb file exceed 2 GB (size*8/1024 > 2048, truncated)."""
-    k = kcols(keys)
-    a = files.groupBy(*k).agg(F.count_if((F.col("database_id") == MSDB_ID)
-                                         & (pages_to_mb_trunc("size") > MSDB_LIMIT_MB)).alias("n"))
-    return finding(a, keys, "B10.msdb_size", F.when(F.col("n") > 0, "warn").otherwise("ok"), F.col("n"),
-                   F.when(F.col("n") > 0, F.lit("msdb has at least one file greater than 2GB"))
-                   .otherwise(F.lit("msdb size verified")))
+    return run_checks([K.MSDB_SIZE], {"master_files": files}, keys)
 
 
 def recovery_models(databases: DataFrame, keys=None) -> DataFrame:
@@ -297,11 +120,7 @@ def recovery_models(databases: DataFrame, keys=None) -> DataFrame:
 
 def recovery_model_count(databases: DataFrame, keys=None) -> DataFrame:
     """B11 finding: how many databases use the FULL recovery model."""
-    k = kcols(keys)
-    a = live(databases).groupBy(*k).agg(
-        F.count_if(F.lower("recovery_model_desc") == "full").alias("n"))
-    return finding(a, keys, "B11.full_recovery", "info", F.col("n"),
-                   F.format_string("%d database(s) using the FULL recovery model", F.col("n")))
+    return run_checks([K.FULL_RECOVERY], {"databases": databases}, keys)
 
 
 def matching_modules(modules: DataFrame, patterns=None) -> DataFrame:
@@ -319,13 +138,8 @@ def module_listing(modules: DataFrame, keys=None, patterns=None) -> DataFrame:
 
 def module_check(modules: DataFrame, keys=None, patterns=None) -> DataFrame:
     """B12 finding per server: are such modules loaded."""
-    k = kcols(keys)
     if isinstance(patterns, DataFrame):
-        # All servers, and the matching modules; a module is counted once.
-        rows = modules.select(*k, F.lit(0).alias("hit")).unionByName(matching_modules(modules, patterns).select(*k, F.lit(1).alias("hit")))
-        a = rows.groupBy(*k).agg(F.sum("hit").alias("n"))
-    else:
-        a = modules.groupBy(*k).agg(F.count_if(ci_like_any("name", patterns or MODULE_PATTERNS)).alias("n"))
-    return finding(a, keys, "B12.av_modules", F.when(F.col("n") > 0, "warn").otherwise("ok"), F.col("n"),
-                   F.when(F.col("n") > 0, F.lit("Anti-virus modules are loaded into the server process"))
-                   .otherwise(F.lit("Anti-virus modules verified - not loaded")))
+        # Modules that match a pattern of the table, once each, beside all of them for the servers that have none.
+        hits = matching_modules(modules, patterns).withColumn("name", F.lit("hit"))
+        modules, patterns = modules.withColumn("name", F.lit("")).unionByName(hits), ["hit"]
+    return run_checks([K.AV_MODULES], {"modules": modules}, keys, module_patterns=patterns)

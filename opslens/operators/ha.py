@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shape import finding, kcols, spread
+from ..plans.rules import run_checks
+from ..plans.shape import kcols, spread
+from . import checks as K
 
 STATE_CHANGE = "availability_replica_state_change"
 EVENT_SCHEMA = "_timestamp string, data array<struct<_name: string, value: string, text: string>>"
@@ -33,11 +35,7 @@ def ag_replicas(replica_states: DataFrame, groups: DataFrame, replicas: DataFram
 
 def ag_health(groups: DataFrame, keys=None) -> DataFrame:
     """H2: finding per server when any availability group is not healthy."""
-    k = kcols(keys)
-    a = groups.groupBy(*k).agg(F.count_if(F.lower("synchronization_health_desc") != "healthy").alias("n"))
-    return finding(a, keys, "H2.ag_health", F.when(F.col("n") > 0, "warn").otherwise("ok"), F.col("n"),
-                   F.when(F.col("n") > 0, F.format_string("%d availability group(s) not healthy", F.col("n")))
-                   .otherwise(F.lit("Availability groups healthy")))
+    return run_checks([K.AG_HEALTH], {"availability_groups": groups}, keys)
 
 
 def _data(arr, name, field):

@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tsql import UNLIMITED_MEMORY_MB, money, version_name
+from ..functions.tsql import money, version_name
 from ..plans.intervals import interval_keys, point_keys
+from ..plans.rules import run_checks
 from ..plans.shape import dim, finding, kcols, kjoin
+from . import checks as K
 
 MAXB = 1 << 30  # open upper end of a build interval
 
@@ -109,13 +111,13 @@ def patch_rules():
             for ma, mi, lo, hi, pr, kb in PATCH_RULES]
 
 
-def rule_table(spark: SparkSession, rule_set: str, rules: DataFrame | None = None) -> DataFrame:
-    """The rules of a set: the fixed ones, or those of a landed table
+def rule_table(spark: SparkSession, *rule_sets: str, rules: DataFrame | None = None) -> DataFrame:
+    """The rules of the sets: the fixed ones, or those of a landed table
     (``RULE_SCHEMA``)."""
     if rules is not None:
-        return rules.where(F.col("rule_set") == rule_set)
-    rows = {"support": support_rules, "risk": risk_rules, "patch": patch_rules}[rule_set]()
-    return dim(spark, rows, RULE_SCHEMA)
+        return rules.where(F.col("rule_set").isin(*rule_sets))
+    fixed = {"support": support_rules, "risk": risk_rules, "patch": patch_rules}
+    return dim(spark, [row for name in rule_sets for row in fixed[name]()], RULE_SCHEMA)
 
 
 def decode_version(instances: DataFrame) -> DataFrame:
@@ -129,9 +131,9 @@ def decode_version(instances: DataFrame) -> DataFrame:
     })
 
 
-def match_rules(instances: DataFrame, rules: DataFrame, keys=None) -> DataFrame:
-    """First matching rule per instance (by priority, then lower end;
-    instances without a rule keep NULLs)."""
+def match_rules(instances: DataFrame, rules: DataFrame, keys=None, sets: tuple[str, ...] = ()) -> DataFrame:
+    """First matching rule of each set per instance (by priority, then lower
+    end; instances without a rule keep NULLs)."""
     k = kcols(keys)
     inst = instances.select(*k, "product_version").distinct()
     # Versions are few, however many servers there are.
@@ -141,9 +143,10 @@ def match_rules(instances: DataFrame, rules: DataFrame, keys=None) -> DataFrame:
     matched = versions.join(ranged, ["major", "_builds"]).where(
         (F.col("minor_prefix").isNull() | F.col("v_minor").startswith(F.col("minor_prefix")))
         & (F.col("exact_version").isNull() | (F.col("product_version") == F.col("exact_version"))))
-    best = matched.groupBy("product_version").agg(
+    best = matched.groupBy("product_version", "rule_set").agg(
         F.min_by(F.struct("outcome", "obsolete", "compat", "messages"), F.struct("priority", "lo", "hi", "outcome", "messages")).alias("m"))
-    return inst.join(best, "product_version", "left").select(*k, "product_version", "m.*")
+    asked = inst.withColumn("rule_set", F.explode(F.array(*[F.lit(x) for x in sets])))
+    return asked.join(best, ["product_version", "rule_set"], "left").select(*k, "product_version", "rule_set", "m.*")
 
 
 def physical_memory_gb(instances: DataFrame) -> F.Column:
@@ -193,29 +196,12 @@ def identity_checks(instances: DataFrame, schedulers: DataFrame, config: DataFra
                     keys=None) -> DataFrame:
     """A4: server name differs from machine name; OS CPUs differ from visible
     schedulers; SQL max memory above physical memory (unless unlimited)."""
-    k = kcols(keys)
-    # The instance's own name is an attribute, also without fleet keys.
-    own = [] if "server_name" in k else ["server_name"]
-    base = kjoin(kjoin(instances.select(*k, *own, "machine_name", physical_memory_gb(instances).alias("phys_gb")),
-                       cpu_visibility(instances, schedulers, keys), k, "left"), _max_mem(config, keys), k, "left")
-    phys_gb = F.col("phys_gb")
-    name = finding(base.filter(F.col("server_name") != F.col("machine_name")), keys, "A4.server_name",
-                   "warn", F.col("machine_name"),
-                   F.concat(F.lit("server name differs from machine name "), F.col("machine_name")))
-    cpu = finding(base.filter(F.col("cpu_count") != F.col("visible_cpu_count")), keys, "A4.cpu",
-                  "warn", F.col("visible_cpu_count"),
-                  F.format_string("%d OS CPUs but %d visible schedulers", F.col("cpu_count"),
-                                  F.col("visible_cpu_count")))
-    mem = finding(base.filter((phys_gb.cast("double") < F.col("max_mem_mb") / 1024.0)
-                              & (F.col("max_mem_mb") != UNLIMITED_MEMORY_MB)),
-                  keys, "A4.max_memory", "warn", F.col("max_mem_mb"),
-                  F.lit("SQL max memory is above physical memory"))
-    return name.unionByName(cpu).unionByName(mem)
+    return run_checks([K.IDENTITY], {"instances": instances, "schedulers": schedulers, "config": config}, keys)
 
 
 def support_level(spark: SparkSession, instances: DataFrame, keys=None, rules: DataFrame | None = None) -> DataFrame:
     """A5: support verdict, obsolete flag and instance compatibility level."""
-    m = match_rules(instances, rule_table(spark, "support", rules), keys)
+    m = match_rules(instances, rule_table(spark, "support", rules=rules), keys, ("support",))
     return m.select(*kcols(keys), "product_version", F.col("outcome").alias("support_status"),
                     F.coalesce("obsolete", F.lit(False)).alias("obsolete"),
                     F.col("compat").alias("instance_compat_level"),
@@ -225,14 +211,14 @@ def support_level(spark: SparkSession, instances: DataFrame, keys=None, rules: D
 def risky_build(spark: SparkSession, instances: DataFrame, keys=None, rules: DataFrame | None = None) -> DataFrame:
     """Known-defect warnings for the build, one row per warning; builds
     without a warning keep one row with NULL message."""
-    m = match_rules(instances, rule_table(spark, "risk", rules), keys)
+    m = match_rules(instances, rule_table(spark, "risk", rules=rules), keys, ("risk",))
     return m.select(*kcols(keys), "product_version",
                     F.explode_outer("messages").alias("message"))
 
 
 def side_channel_patch(spark: SparkSession, instances: DataFrame, keys=None, rules: DataFrame | None = None) -> DataFrame:
     """Whether the side-channel security update is in place, else which."""
-    m = match_rules(instances, rule_table(spark, "patch", rules), keys)
+    m = match_rules(instances, rule_table(spark, "patch", rules=rules), keys, ("patch",))
     return m.select(*kcols(keys), "product_version", F.col("outcome").alias("patch_status"),
                     F.try_element_at("messages", F.lit(1)).alias("message"))
 
@@ -240,17 +226,19 @@ def side_channel_patch(spark: SparkSession, instances: DataFrame, keys=None, rul
 def version_findings(spark: SparkSession, instances: DataFrame, keys=None, rules: DataFrame | None = None) -> DataFrame:
     """A5-A7 as findings: support level, known defects of the build (one row
     each, or one 'ok' row), side-channel update."""
-    s = support_level(spark, instances, keys, rules)
-    behind = F.col("obsolete") | F.coalesce(F.col("support_status").isin("not_latest_sp", "not_rtm", "rtm"), F.lit(True))
-    support = finding(s, keys, "A5.support_level", F.when(behind, "warn").otherwise("ok"), F.col("product_version"),
-                      F.coalesce("message", F.lit("version is not in the support table")))
-    r = risky_build(spark, instances, keys, rules)
-    risk = finding(r, keys, "A6.risky_build", F.when(F.col("message").isNotNull(), "warn").otherwise("ok"), F.col("product_version"),
-                   F.coalesce("message", F.lit("no known defect for this build")))
-    p = side_channel_patch(spark, instances, keys, rules)
-    patch = finding(p, keys, "A7.side_channel", "info", F.col("patch_status"),
-                    F.coalesce("message", F.lit("no side-channel rule for this version")))
-    return support.unionByName(risk).unionByName(patch)
+    sets = ("support", "risk", "patch")
+    m = match_rules(instances, rule_table(spark, *sets, rules=rules), keys, sets)
+    # One row per warning of a risky build; the other sets have one message at most that counts.
+    risk, support = F.col("rule_set") == "risk", F.col("rule_set") == "support"
+    m = m.withColumn("message", F.explode_outer(F.when(risk, F.col("messages")).otherwise(F.slice("messages", 1, 1))))
+    behind = F.coalesce("obsolete", F.lit(False)) | F.coalesce(F.col("outcome").isin("not_latest_sp", "not_rtm", "rtm"), F.lit(True))
+    return m.select(
+        *kcols(keys), F.when(support, "A5.support_level").when(risk, "A6.risky_build").otherwise("A7.side_channel").alias("check_id"),
+        F.when(support, F.when(behind, "warn").otherwise("ok")).when(risk, F.when(F.col("message").isNotNull(), "warn").otherwise("ok"))
+        .otherwise("info").alias("severity"),
+        F.when(support | risk, F.col("product_version")).otherwise(F.col("outcome")).alias("observed"),
+        F.coalesce("message", F.when(support, "version is not in the support table").when(risk, "no known defect for this build")
+                   .otherwise("no side-channel rule for this version")).alias("message"))
 
 
 def memory_settings(config: DataFrame, keys=None) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.gates import gate_table, open_gates
+from ..plans.rules import run_checks
 from ..sources.loader import load_fleet
 from ..sources.results import replace_results
 
-from . import backup as D, database as B, ha as H, instance as A, storage as C, wait as W
+from . import checks as K, instance as A, wait as W
 
 
 def gated_findings(spark: SparkSession, t: dict[str, DataFrame], as_of, gates: DataFrame | None = None, options=(), keys=None) -> DataFrame:
@@ -22,35 +23,13 @@ def gated_findings(spark: SparkSession, t: dict[str, DataFrame], as_of, gates: D
 
 
 def health_check_findings(spark: SparkSession, t: dict[str, DataFrame], as_of, keys=None) -> DataFrame:
-    """Union of all finding-shaped checks (keys, check_id, severity,
-    observed, message). ``t`` maps relation names to landed DataFrames."""
-    parts = [
-        A.identity_checks(t["instances"], t["schedulers"], t["config"], keys),
-        B.config_checks(t["config"], t["instances"], keys),
-        B.db_setting_checks(t["databases"], t["instances"], keys),
-        B.owner_checks(t["databases"], t["jobs"], t["packages"], keys),
-        B.trace_flag_checks(t["trace_flags"], t["instances"], t["databases"], keys),
-        B.service_account_checks(t["services"], t["instances"], keys),
-        B.msdb_size_check(t["master_files"], keys),
-        B.recovery_model_count(t["databases"], keys),
-        B.module_check(t["modules"], keys),
-        C.file_growth_checks(t["master_files"], keys),
-        C.tempdb_file_count(t["master_files"], keys),
-        C.tempdb_uniformity(t["master_files"], keys),
-        C.vlf_check(t["log_info"], keys=keys),
-        D.no_log_backup(t["databases"], t["backupset"], keys),
-        D.no_full_backup(t["databases"], t["backupset"], keys),
-        D.stale_log_backup_count(t["databases"], t["backupset"], as_of, keys=keys),
-        D.never_checked(t["dbinfo"], keys),
-        D.stale_integrity_count(t["dbinfo"], as_of, keys=keys),
-        H.ag_health(t["availability_groups"], keys),
-        A.version_findings(spark, t["instances"], keys),
-        W.top_wait_findings(spark, t["wait_stats"], keys),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """All finding-shaped checks (keys, check_id, severity, observed,
+    message). ``t`` maps relation names to landed DataFrames. The rules of
+    ``checks`` run together: one aggregate per source; version rules and top
+    waits are joins and ranks of their own."""
+    return run_checks(K.ALL, t, keys, as_of=as_of) \
+        .unionByName(A.version_findings(spark, t["instances"], keys)) \
+        .unionByName(W.top_wait_findings(spark, t["wait_stats"], keys))
 
 
 HEALTH_CHECK_INPUTS = ["instances", "schedulers", "config", "databases", "jobs", "packages", "trace_flags",

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tsql import money, pages_to_mb_trunc, safe_idiv, scaled, str10
-from ..plans.shape import finding, kcols, top_n, with_total
+from ..plans.rules import run_checks
+from ..plans.shape import kcols, top_n, with_total
+from . import checks as K
+from .checks import TEMPDB_ID, UNLIMITED_2TB, VLF_LIMIT
 
 # File type codes and their descriptions.
 TYPE_DESC = {0: "ROWS", 1: "LOG", 2: "FILESTREAM", 4: "FULLTEXT"}
-UNLIMITED_2TB = 268435456
-TEMPDB_ID = 2
 
 
 def _type_desc(c="type"):
@@ -91,10 +92,16 @@ def io_mb_share(io: DataFrame, databases: DataFrame, n: int = 3, keys=None) -> D
     return out.withColumn("io_in_mb_text", money(F.col("io_in_mb")))
 
 
-def drive_latency(io: DataFrame, files: DataFrame, keys=None) -> DataFrame:
+def drive_latency(io: DataFrame, files: DataFrame, keys=None, volumes: DataFrame | None = None) -> DataFrame:
     """Per drive letter and mount point: read/write/overall latency (ms)
-    and bytes per read/write/transfer, integer division guarded for zero."""
+    and bytes per read/write/transfer, integer division guarded for zero.
+    ``volumes``: the mount point of each file (database_id, file_id), landed
+    by itself; a file without a volume drops out, as in the source. Without
+    it, ``files`` carries the mount point."""
     k = kcols(keys)
+    if volumes is not None:
+        mounted = volumes.select(*k, "database_id", "file_id", "volume_mount_point")
+        files = files.drop("volume_mount_point").join(mounted, k + ["database_id", "file_id"], "inner")
     per_file = io.groupBy(*k, "database_id", "file_id").agg(
         *[F.sum(c).alias(c) for c in ("num_of_reads", "num_of_writes", "io_stall_read_ms",
                                       "io_stall_write_ms", "num_of_bytes_read",
@@ -206,27 +213,7 @@ def file_growth(files: DataFrame, keys=None) -> DataFrame:
 def file_growth_checks(files: DataFrame, keys=None) -> DataFrame:
     """Findings — files without growth, else fixed-size files, else ok;
     and files growing by exactly 1 MB (not percent)."""
-    k = kcols(keys)
-    g, m = F.col("growth"), F.col("max_size")
-    a = files.groupBy(*k).agg(
-        F.count_if((m == 0) | (g == 0)).alias("no_growth"),
-        F.count_if((m > 0) & (m < UNLIMITED_2TB) & (g > 0)).alias("fixed"),
-        F.count_if((F.expr("growth * 8 div 1024") == 1) & ~F.col("is_percent_growth")).alias("one_mb"))
-    size = finding(a, keys, "C9.max_size",
-                   F.when((F.col("no_growth") > 0) | (F.col("fixed") > 0), "warn").otherwise("ok"),
-                   F.when(F.col("no_growth") > 0, F.col("no_growth"))
-                   .when(F.col("fixed") > 0, F.col("fixed")).otherwise(F.lit(0)),
-                   F.when(F.col("no_growth") > 0,
-                          F.format_string("No growth allowed on %d file(s)", F.col("no_growth")))
-                   .when(F.col("fixed") > 0,
-                         F.format_string("File growth limited to fixed size on %d file(s)", F.col("fixed")))
-                   .otherwise(F.lit("Max file size verified")))
-    inc = finding(a, keys, "C9.increment_1mb",
-                  F.when(F.col("one_mb") > 0, "warn").otherwise("ok"), F.col("one_mb"),
-                  F.when(F.col("one_mb") > 0,
-                         F.format_string("Growth increment set to 1MB on %d file(s)", F.col("one_mb")))
-                  .otherwise(F.lit("File growth verified")))
-    return size.unionByName(inc)
+    return run_checks([K.FILE_GROWTH], {"master_files": files}, keys)
 
 
 def tempdb_files(files: DataFrame, keys=None) -> DataFrame:
@@ -238,35 +225,13 @@ def tempdb_files(files: DataFrame, keys=None) -> DataFrame:
 def tempdb_file_count(files: DataFrame, keys=None) -> DataFrame:
     """C11: two tempdb files in total means one data file; else the count of
     tempdb data files."""
-    k = kcols(keys)
-    a = files.filter(F.col("database_id") == TEMPDB_ID).groupBy(*k).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("type") == 0).alias("n_data"))
-    return finding(a, keys, "C11.tempdb_files",
-                   F.when(F.col("n") == 2, "warn").otherwise("info"),
-                   F.when(F.col("n") == 2, F.lit(1)).otherwise(F.col("n_data")),
-                   F.when(F.col("n") == 2, F.lit("Only 1 tempdb data file set"))
-                   .otherwise(F.format_string("tempdb DATA file count = %d", F.col("n_data"))))
+    return run_checks([K.TEMPDB_COUNT], {"master_files": files}, keys)
 
 
 def tempdb_uniformity(files: DataFrame, keys=None) -> DataFrame:
     """Within each tempdb file type all initial sizes equal, and all
     growth increments equal (the intent of the source's cursor)."""
-    k = kcols(keys)
-    per_type = files.filter(F.col("database_id") == TEMPDB_ID).groupBy(*k, "type").agg(
-        (F.min("size") != F.max("size")).alias("size_differs"),
-        (F.min("growth") != F.max("growth")).alias("growth_differs"))
-    a = per_type.groupBy(*k).agg(F.max(F.col("size_differs").cast("int")).alias("s"),
-                                 F.max(F.col("growth_differs").cast("int")).alias("g"))
-    s = finding(a, keys, "C12.initial_size", F.when(F.col("s") == 1, "warn").otherwise("ok"),
-                F.col("s"), F.when(F.col("s") == 1, F.lit("Tempdb initial file size not the same"))
-                .otherwise(F.lit("Tempdb initial file size verified")))
-    g = finding(a, keys, "C12.growth", F.when(F.col("g") == 1, "warn").otherwise("ok"),
-                F.col("g"), F.when(F.col("g") == 1, F.lit("Tempdb growth increments not the same"))
-                .otherwise(F.lit("Tempdb growth increments verified")))
-    return s.unionByName(g)
-
-
-VLF_LIMIT = 500
+    return run_checks([K.TEMPDB_UNIFORM], {"master_files": files}, keys)
 
 
 def vlf_counts(log_info: DataFrame, keys=None) -> DataFrame:
@@ -277,13 +242,7 @@ def vlf_counts(log_info: DataFrame, keys=None) -> DataFrame:
 
 def vlf_check(log_info: DataFrame, limit: int = VLF_LIMIT, keys=None) -> DataFrame:
     """C13 finding: number of databases with more than ``limit`` VLFs."""
-    k = kcols(keys)
-    a = vlf_counts(log_info, keys).groupBy(*k).agg(
-        F.count_if(F.col("vlf_count") > limit).alias("n"))
-    return finding(a, keys, "C13.vlf", F.when(F.col("n") > 0, "warn").otherwise("ok"), F.col("n"),
-                   F.when(F.col("n") > 0, F.format_string(
-                       "%d database(s) with more than %d VLFs", F.col("n"), F.lit(limit)))
-                   .otherwise(F.lit("VLF counts verified")))
+    return run_checks([K.VLF], {"log_info": log_info}, keys, vlf_limit=limit)
 
 
 # Trace event classes for data/log file grow and shrink.

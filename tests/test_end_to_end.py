@@ -40,3 +40,20 @@ def test_landed_discovery_report_equals_in_memory(spark, tmpdir_path):
     landed = R.run_discovery_report(spark, land)
     in_memory = K.report_lines(spark, K.discovery_metrics(*[relation(spark, SF_SMALL, n) for n in R.DISCOVERY_INPUTS]))
     assert _rows(landed) == _rows(in_memory) and landed.count() > 0
+
+
+def test_each_view_is_scanned_once(spark, tmpdir_path):
+    """The rules of all checks share one scan per view; version rules read the
+    instances on their own (their versions, and the servers)."""
+    from collections import Counter
+
+    from opslens.sources.loader import load_fleet
+    land = os.path.join(tmpdir_path, "landing_once")
+    for n in R.HEALTH_CHECK_INPUTS:
+        relation(spark, SF_SMALL, n).limit(5).write.parquet(os.path.join(land, n))
+    plan = R.health_check_findings(spark, load_fleet(spark, land, R.HEALTH_CHECK_INPUTS), AS_OF)._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    views = Counter(leaves.apply(i).relation().location().rootPaths().mkString("").split("/")[-1]
+                    for i in range(leaves.size()) if leaves.apply(i).getClass().getSimpleName() == "LogicalRelation")
+    assert views.pop("instances") <= 3
+    assert views == Counter({n: 1 for n in R.HEALTH_CHECK_INPUTS if n != "instances"})
