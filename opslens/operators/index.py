@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tsql import money
 from ..plans.shape import kcols, spread, top_n
+from ..plans.stored import written
 from .backup import is_system_db
 from .database import live
 
@@ -173,12 +174,13 @@ def missing_indexes_from_plans(plans: DataFrame, min_uses: int = MIN_PLAN_USES,
     ``min_uses`` times, with suggested DDL and the two use totals the source
     orders by (per table, and per table + key column lists).
 
-    The parsed statements have three readers (rows and two totals), which
-    parse anew by default; ``store`` (e.g. ``lambda df: df.checkpoint()``)
-    keeps them where the caller wants, and is the caller's to clean up."""
+    Plans are parsed once: the statements have three readers (rows and two
+    totals), so they are written as a Parquet table in the shared folder,
+    from which the totals read their narrow columns only. ``store`` puts them
+    elsewhere (``lambda df: df`` keeps nothing, and parses for each reader)."""
     k = kcols(keys)
     m = plan_missing_indexes(plans.filter(F.col("usecounts") > min_uses), keys)
-    m = store(m) if store else m
+    m = store(m) if store else written(m)
     # Null-safe grouping keys for the column lists (NULL = no such columns).
     m = m.withColumns({"_eqk": F.coalesce("equality_columns", F.lit("\u0000")),
                        "_inqk": F.coalesce("inequality_columns", F.lit("\u0000"))})

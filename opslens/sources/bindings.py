@@ -177,6 +177,11 @@ BINDINGS: dict[str, Binding] = {
         ("volume_mount_point", "case p_partkey % 3 when 0 then 'C:/' when 1 then 'D:/' else 'E:/' end"),
         ("state_desc", "case when p_size % 9 = 0 then 'OFFLINE' else 'ONLINE' end"),
     ], fleet="p_partkey"),
+    "volumes": _b("part", [
+        ("database_id", "p_partkey % 10 + 1"),
+        ("file_id", "p_partkey"),
+        ("volume_mount_point", "case p_size % 3 when 0 then 'M:/a/' when 1 then 'M:/b/' else 'N:/' end"),
+    ], "where p_partkey % 7 <> 3", fleet="p_partkey"),
     "trace_events": _b("nation", [
         ("trace_event_id", "90 + n_nationkey"),
         ("event_name", "case n_nationkey when 2 then 'Data File Auto Grow' when 3 then 'Log File Auto Grow' when 4 then 'Data File Auto Shrink' when 5 then 'Log File Auto Shrink' else 'Event ' || cast(90 + n_nationkey as string) end"),

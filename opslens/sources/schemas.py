@@ -36,6 +36,9 @@ SCHEMAS = {
         "type int, size bigint, space_used bigint, growth int, is_percent_growth boolean, max_size int, physical_name "
         "string, volume_mount_point string, state_desc string"
     ),
+    "volumes": (
+        "server_name string, snapshot_id int, database_id bigint, file_id bigint, volume_mount_point string"
+    ),
     "trace_events": (
         "server_name string, snapshot_id int, trace_event_id int, event_name string"
     ),

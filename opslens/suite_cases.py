@@ -82,6 +82,26 @@ def _c5(spark, d):
     return C.drive_latency(*rel(spark, d, "io_file_stats", "master_files"))
 
 
+@case("c5_drive_latency_by_volume", ["io_file_stats", "master_files", "volumes"], f"""
+pf as (select {K}, database_id, file_id, {_SUMS} from io_file_stats group by all),
+j as (select a.*, left(upper(b.physical_name), 2) as drive, v.volume_mount_point
+      from pf a join master_files b on {J} and a.database_id = b.database_id and a.file_id = b.file_id
+      join volumes v on a.server_name = v.server_name and a.snapshot_id = v.snapshot_id and a.database_id = v.database_id and a.file_id = v.file_id),
+t as (select {K}, drive, volume_mount_point, {_SUMS} from j group by all)
+select {K}, drive, volume_mount_point,
+  cast(case when num_of_reads = 0 then 0 else io_stall_read_ms // num_of_reads end as bigint) as read_latency_ms,
+  cast(case when num_of_writes = 0 then 0 else io_stall_write_ms // num_of_writes end as bigint) as write_latency_ms,
+  cast(case when num_of_reads + num_of_writes = 0 then 0 else io_stall // (num_of_reads + num_of_writes) end as bigint) as overall_latency_ms,
+  cast(case when num_of_reads = 0 then 0 else num_of_bytes_read // num_of_reads end as bigint) as avg_bytes_per_read,
+  cast(case when num_of_writes = 0 then 0 else num_of_bytes_written // num_of_writes end as bigint) as avg_bytes_per_write,
+  cast(case when num_of_reads + num_of_writes = 0 then 0 else (num_of_bytes_read + num_of_bytes_written) // (num_of_reads + num_of_writes) end as bigint) as avg_bytes_per_transfer
+from t""")
+def _c5v(spark, d):
+    io, files, volumes = rel(spark, d, "io_file_stats", "master_files", "volumes")
+    return C.drive_latency(io, files.drop("volume_mount_point"), volumes=volumes)
+
+
+
 def _fill(used, size):
     return f"substr(cast(cast(cast({used} as double) * 100.0 / cast({size} as double) as decimal(18,6)) as varchar), 1, 6)"
 
@@ -333,14 +353,18 @@ def _a5(spark, d):
 
 def _risk_sql():
     L = lambda *m: "[" + ", ".join(_q(x) for x in m) + "]"
-    leak, reb, ag, tde = A.LEAK.format, A.REBUILD.format, A.AG_SYNC.format, A.TDE.format
+    leak = "Memory leak with AUTO_UPDATE_STATS_ASYNC; fixed in {}".format
+    reb = "Parallel online index rebuild can corrupt; fixed in {}".format
+    ag = "Availability group may report NOT SYNCHRONIZING; fixed in {}".format
+    tde = "Backup compression on TDE databases can produce corrupt backups; fixed in {}".format
+    msi = "msiexec keeps running after SP1 install (100% CPU); fixed in 2012 SP1 CU2"
     r12 = reb("2012 SP1 CU11 or 2012 SP2 CU1")
     msgs = (f"case when ma = '10' and mi = '0' then case when b < 5828 then {L(leak('2008 SP3 CU8'))} end "
             f"when ma = '10' and mi = '50' then case when b >= 4270 then null when b >= 4000 then {L(leak('2008 R2 SP2 CU4'))} "
             f"  when b >= 2868 then null else {L(leak('2008 R2 SP1 CU10'))} end "
             f"when ma = '11' then case when b = 5569 or b = 5556 then {L(ag('2012 SP2 CU5'))} when b >= 5532 then null "
             f"  when b > 3436 then case when b < 5058 then null else {L(reb('2012 SP2 CU1'))} end "
-            f"  when b < 3436 then case when product_version in ('11.0.3000.0', '11.1.3000.0') then {L(A.MSIEXEC, r12)} "
+            f"  when b < 3436 then case when product_version in ('11.0.3000.0', '11.1.3000.0') then {L(msi, r12)} "
             f"    when b < 2384 then {L(leak('2012 RTM CU5'), r12)} else {L(r12)} end end "
             f"when ma = '12' then case when b = 2456 then {L(ag('2014 RTM CU6'))} when b > 2369 then null else {L(reb('2014 RTM CU2'))} end "
             f"when ma = '13' then case when b >= 5153 then null when b >= 5026 then {L(tde('2016 SP2 CU2'))} "
@@ -854,9 +878,37 @@ def _e4(spark, d):
 # ---------------------------------------------------------------- family F
 from .operators import wait as W  # noqa: E402
 
-_WDIM = "(values " + ", ".join(f"('{w}', '{c}', {_q(W.CATEGORY_HINT[c])}, {i})"
-                               for i, (w, c) in enumerate(W.WAIT_CATEGORIES)) + \
-        ") as d(wait_type, category, comment, list_order)"
+# Fixed values, written out anew (not taken from the operator): the reviewed wait types in the order listed.
+_WAIT_TYPES = """
+SETTINGS OR CODE; parallelism waits; review max degree of parallelism and cost threshold
+  CXPACKET
+CPU; schedulers yielding; check runnable task counts per scheduler
+  SOS_SCHEDULER_YIELD
+NETWORK; client is slow to consume results or the network is slow
+  ASYNC_NETWORK_IO
+LOCK; sessions waiting on locks or latches; look for blocking chains
+  LCK_M_BU LCK_M_IS LCK_M_IU LCK_M_IX LCK_M_RIn_NL LCK_M_RIn_S LCK_M_RIn_U LCK_M_RIn_X LCK_M_RS_S LCK_M_RS_U LCK_M_RX_S LCK_M_RX_U LCK_M_RX_X
+  LCK_M_S LCK_M_SCH_M LCK_M_SCH_S LCK_M_SIU LCK_M_SIX LCK_M_U LCK_M_UIX LCK_M_X LATCH_DT LATCH_EX LATCH_KP LATCH_SH LATCH_UP
+MEMORY; waiting on memory grants, compile throttles or log flushes
+  RESOURCE_SEMAPHORE RESOURCE_SEMAPHORE_MUTEX RESOURCE_SEMAPHORE_QUERY_COMPILE RESOURCE_SEMAPHORE_SMALL_QUERY WRITELOG
+DISK; waiting on data or log I/O; check drive latency
+  PAGEIOLATCH_DT PAGEIOLATCH_EX PAGEIOLATCH_KP PAGEIOLATCH_SH PAGEIOLATCH_UP PAGELATCH_DT PAGELATCH_EX PAGELATCH_KP PAGELATCH_SH PAGELATCH_UP
+  LOGBUFFER ASYNC_IO_COMPLETION IO_COMPLETION
+AOAG; availability-group data movement or redo is falling behind
+  HADR_SYNC_COMMIT PARALLEL_REDO_FLOW_CONTROL PARALLEL_REDO_TRAN_TURN DIRTY_PAGE_TABLE_LOCK DPT_ENTRY_LOCK
+"""
+
+
+def _wait_rows():
+    category = hint = None
+    for line in _WAIT_TYPES.strip().split("\n"):
+        if line[0] != " ":
+            category, _, hint = line.partition("; ")
+        else:
+            yield from ((w, category, hint) for w in line.split())
+
+
+_WDIM = "(values " + ", ".join(f"('{w}', '{c}', {_q(h)}, {i})" for i, (w, c, h) in enumerate(_wait_rows())) + ") as d(wait_type, category, comment, list_order)"
 _WAITS = f"""
 w as (select ws.*, d.category, d.comment, d.list_order from wait_stats ws join {_WDIM} on ws.wait_type = d.wait_type),
 p as (select *, cast(100.0 * wait_time_ms / sum(wait_time_ms) over (partition by {K}) as decimal(5,2)) as percentage,
