@@ -121,10 +121,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
 def kjoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join two per-server relations on the fleet key. With ``keys=[]``
-    (single-instance mode) the right side is a one-row aggregate of the one
-    instance; it is broadcast (Spark plans the constant key as a nested loop
-    over that single row), so the join stays bounded."""
+    (single-instance mode) the right side is the one row of the one instance:
+    an equi-join on a constant, which Spark broadcasts as long as the right
+    side's size allows."""
     if keys:
         return left.join(right, keys, how)
-    return left.withColumn("_one", F.lit(1)).join(F.broadcast(right.withColumn("_one", F.lit(1))), "_one", how) \
-        .drop("_one")
+    # Always 0, but not a literal: the optimizer would make a nested loop of it.
+    zero = lambda df: F.pmod(F.hash(df.columns[0]), F.lit(1))
+    return left.withColumn("_one", zero(left)).join(right.withColumn("_one", zero(right)), "_one", how).drop("_one")
