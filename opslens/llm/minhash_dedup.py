@@ -14,8 +14,11 @@ Candidates are confirmed on the full sets, and nothing in a bucket is capped:
 * Equal sets are one vertex (grouped with partial aggregation, so a third of
   all rows may be copies of one text).
 * A bucket whose members are all connected is settled, as further links
-  could not change the result. First one member of each bucket, the
-  smallest id, is compared with all others.
+  could not change the result. First one member of each bucket, the most
+  central, is compared with all others: the one that meets most texts over
+  all its buckets. Of the copies of a text that is the text itself or the
+  least changed copy, which is nearer to the others than they are to each
+  other, so little is left open.
 * What is left are pairs of different components. For them an exact prefix
   join takes over: with the shingles in one order, rarest first, a pair that
   reaches the threshold must share one of its first (1 - threshold) of
@@ -128,12 +131,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, permut
     signed = stored(base.mapInArrow(_signatures(shingle, permutations, rows), "id long, n long, k1 long, k2 long, bands array<long>"))
     vertices = signed.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
     members = vertices.select("id", "n", F.explode("bands").alias("bucket"))
-    several = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    members = stored(members.join(several, "bucket", "left_semi"))
+    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = stored(members.join(several, "bucket"))
+    # How many others a text meets, over all its buckets: the text that the others were copied from meets most.
+    central = members.groupBy("id").agg(F.sum("size").alias("met"))
+    members = stored(members.drop("size").join(central, "id"))
     labels = stored(members.select("id").distinct().withColumn("comp", F.col("id")))
     sets = stored(base.join(labels.select("id"), "id").mapInArrow(_set_rows(shingle), "id long, shingles array<long>"))
-    leaders = members.groupBy("bucket").agg(F.min("id").alias("a"))
-    stars = members.select("bucket", F.col("id").alias("b")).join(leaders, "bucket").where("a < b").select("a", "b").distinct()
+    leaders = members.groupBy("bucket").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("a"))
+    stars = members.select("bucket", F.col("id").alias("b")).join(leaders, "bucket").where("a != b") \
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     labels = merge_components(labels, _confirmed(stars, sets, percent))
     members = _unsettled(members, labels)
     if not members.isEmpty():
