@@ -51,17 +51,40 @@ def space_used(files: DataFrame, databases: DataFrame, keys=None) -> DataFrame:
     source labels it MB) and free space (MB), as decimal(20,2)."""
     k = kcols(keys)
 
-    def part(t, prefix):
-        a = files.filter(F.col("type") == t).groupBy(*k, "database_id").agg(
-            F.sum("size").alias("_s"), F.sum("space_used").alias("_u"))
-        return a.select(*k, "database_id",
-                        (F.col("_s").cast("decimal(20,0)") * F.lit(PAGES_TO_MB)).cast("decimal(20,2)").alias(f"{prefix}_size_mb"),
-                        (F.col("_u").cast("decimal(20,0)") * F.lit(PAGES_TO_GB)).cast("decimal(20,2)").alias(f"{prefix}_used_gb"),
-                        ((F.col("_s") - F.col("_u")).cast("decimal(20,0)") * F.lit(PAGES_TO_MB)).cast("decimal(20,2)")
-                        .alias(f"{prefix}_free_mb"))
+    per_db = files.groupBy(*k, "database_id").agg(*_file_sums()).where("n_data > 0")
     d = databases.select(*k, "database_id", F.col("name").alias("database_name"), "state_desc", "recovery_model_desc")
-    return d.join(part(0, "data"), k + ["database_id"], "inner").join(part(1, "log"), k + ["database_id"], "left") \
-        .drop("database_id")
+    return d.join(per_db, k + ["database_id"], "inner").select(
+        *k, "database_name", "state_desc", "recovery_model_desc",
+        *[c for kind in ("data", "log") for c in (
+            _pages(f"{kind}_size", PAGES_TO_MB).alias(f"{kind}_size_mb"), _pages(f"{kind}_used", PAGES_TO_GB).alias(f"{kind}_used_gb"),
+            _pages(F.col(f"{kind}_size") - F.col(f"{kind}_used"), PAGES_TO_MB).alias(f"{kind}_free_mb"))])
+
+
+def _file_sums() -> list:
+    """Sizes and used space of a database's data and log files, in pages
+    (NULL where it has none of the kind)."""
+    return [F.count_if(F.col("type") == 0).alias("n_data"),
+            *[F.sum(F.when(F.col("type") == t, F.col(column))).alias(f"{kind}_{name}")
+              for kind, t in (("data", 0), ("log", 1)) for name, column in (("size", "size"), ("used", "space_used"))]]
+
+
+def _pages(pages, unit: Decimal):
+    return ((F.col(pages) if isinstance(pages, str) else pages).cast("decimal(20,0)") * F.lit(unit)).cast("decimal(20,2)")
+
+
+def _databases_and_files(databases: DataFrame, files: DataFrame, keys) -> DataFrame:
+    """One row per database id: its catalog columns and the sums of its
+    files. Both are summed by id together, each read once, without a join."""
+    k = kcols(keys)
+    flags = ["name", "state_desc", "recovery_model_desc", "is_cdc_enabled", "is_broker_enabled", "source_database_id", "is_published", "is_subscribed",
+             "is_merge_published", "is_distributor"]
+    d = databases.select(*k, F.col("database_id").cast("long").alias("database_id"), *flags, F.lit(True).alias("in_catalog"),
+                         *[F.lit(None).cast(t).alias(n) for n, t in (("type", "int"), ("size", "long"), ("space_used", "long"))])
+    f = files.select(*k, F.col("database_id").cast("long").alias("database_id"), *[F.lit(None).cast(d.schema[n].dataType).alias(n) for n in flags],
+                     F.lit(None).cast("boolean").alias("in_catalog"), F.col("type").cast("int").alias("type"),
+                     F.col("size").cast("long").alias("size"), F.col("space_used").cast("long").alias("space_used"))
+    return d.union(f).groupBy(*k, "database_id").agg(
+        *[F.first(n, ignorenulls=True).alias(n) for n in (*flags, "in_catalog")], *_file_sums(), F.sum("size").alias("all_size"))
 
 
 # Extended-event sessions that ship with the server.
@@ -195,22 +218,24 @@ def discovery_metrics(instances: DataFrame, databases: DataFrame, files: DataFra
         F.when(F.col("is_resource_governor_enabled"), "Yes").otherwise("No").alias("resource_governor")))
     vis = schedulers.filter(F.lower("status") == "visible online").select(*k)
     add(kjoin(i.select(*k, F.col("cpu_count").alias("os_cpus")), vis, k, "left_semi"))
-    add(databases.groupBy(*k).agg(
-        F.count_if(uid & online).alias("user_dbs_online"),
-        F.count_if(uid & ~online).alias("user_dbs_not_online"),
-        F.count_if(uid & (F.lower("recovery_model_desc") != "full")).alias("user_dbs_not_full"),
-        F.count_if(F.col("is_cdc_enabled")).alias("cdc_dbs"),
-        F.count_if(F.col("is_broker_enabled") & uid).alias("broker_enabled_dbs"),
-        F.count_if(F.col("source_database_id").isNotNull()).alias("database_snapshots"),
-        F.count_if(F.col("is_published")).alias("published_dbs"),
-        F.count_if(F.col("is_distributor")).alias("distributor_dbs"),
-        _yes_no(F.count_if((F.col("is_published") | F.col("is_subscribed") | F.col("is_merge_published") | F.col("is_distributor"))
-                           & online) > 0).alias("replication_configured"),
-        _yes_no(F.count_if(F.lower("name") == "ssisdb") > 0).alias("ssisdb_catalog")))
-    add(files.groupBy(*k).agg(
-        F.count_if((F.col("database_id") == 2) & (F.col("type") == 0)).alias("tempdb_data_files"),
-        (F.sum(F.when(uid, F.col("size"))).cast("decimal(20,0)") * F.lit(PAGES_TO_GB)).cast("decimal(10,2)")
-        .alias("total_gb_user_files")))
+    here, user_files = F.col("in_catalog"), F.col("in_catalog") & (F.col("n_data") > 0) & ~is_system_db("name")
+    count = lambda cond: F.count_if(here & cond)
+    add(_databases_and_files(databases, files, keys).groupBy(*k).agg(
+        count(uid & online).alias("user_dbs_online"),
+        count(uid & ~online).alias("user_dbs_not_online"),
+        count(uid & (F.lower("recovery_model_desc") != "full")).alias("user_dbs_not_full"),
+        count(F.col("is_cdc_enabled")).alias("cdc_dbs"),
+        count(F.col("is_broker_enabled") & uid).alias("broker_enabled_dbs"),
+        count(F.col("source_database_id").isNotNull()).alias("database_snapshots"),
+        count(F.col("is_published")).alias("published_dbs"),
+        count(F.col("is_distributor")).alias("distributor_dbs"),
+        _yes_no(count((F.col("is_published") | F.col("is_subscribed") | F.col("is_merge_published") | F.col("is_distributor")) & online) > 0)
+        .alias("replication_configured"),
+        _yes_no(count(F.lower("name") == "ssisdb") > 0).alias("ssisdb_catalog"),
+        F.sum(F.when(F.col("database_id") == 2, F.col("n_data")).otherwise(F.lit(0).cast("long"))).alias("tempdb_data_files"),
+        (F.sum(F.when(uid, F.col("all_size"))).cast("decimal(20,0)") * F.lit(PAGES_TO_GB)).cast("decimal(10,2)").alias("total_gb_user_files"),
+        F.sum(F.when(user_files, _pages("data_used", PAGES_TO_GB))).alias("data_used_gb"),
+        F.sum(F.when(user_files, _pages("log_used", PAGES_TO_GB))).alias("log_used_gb")))
     add(jobs.groupBy(*k).agg(F.count(F.lit(1)).alias("total_jobs"),
                              F.count_if(F.col("enabled") == 1).alias("enabled_jobs")))
     add(_count(flags, keys, "global_trace_flags", F.col("is_global")))
@@ -231,8 +256,6 @@ def discovery_metrics(instances: DataFrame, databases: DataFrame, files: DataFra
         _yes_no(F.max(sv.isin(SSRS_NAMES).cast("int")) > 0).alias("ssrs_installed")))
     add(_count(certificates, keys, "certificates", F.col("certificate_id") > 257))
     add(replica_states.groupBy(*k).agg(F.countDistinct("database_id").alias("ag_databases")))
-    add(space_used(files, databases, keys).filter(~is_system_db("database_name")).groupBy(*k).agg(
-        F.sum("data_used_gb").alias("data_used_gb"), F.sum("log_used_gb").alias("log_used_gb")))
     so = server_object_counts(server_objects, keys)
     add(so.select(*k, *[c for c in so.columns if c not in k and c != "_master_key"],
                   _yes_no(F.col("mirrored_dbs") > 0).alias("mirroring_configured"),
