@@ -143,7 +143,7 @@ def subscribed_databases(databases: DataFrame, groups: DataFrame, replica_states
     ag_dbs = replica_states.select(*k, "group_id", "database_id") \
         .join(groups.filter(F.col("primary_replica") != F.col("server_name")).select(*k, "group_id"),
               k + ["group_id"], "inner").join(names, k + ["database_id"], "inner").select(*k, "database_name")
-    d = databases.filter(F.col("state_desc") == "ONLINE").select(
+    d = databases.filter(F.lower("state_desc") == "online").select(
         *k, F.col("name").alias("database_name"), "has_replication_objects")
     return not_in(d, "database_name", ag_dbs, "database_name", k).groupBy(*k).agg(
         F.count_if(F.col("has_replication_objects")).alias("subscribed_dbs"))

@@ -180,7 +180,7 @@ def cpu_visibility(instances: DataFrame, schedulers: DataFrame, keys=None) -> Da
     """A3: OS CPUs against schedulers that are VISIBLE ONLINE (aggregate, then
     an equi-join on the fleet key — no cross join)."""
     k = kcols(keys)
-    vis = schedulers.filter(F.col("status") == "VISIBLE ONLINE").groupBy(*k) \
+    vis = schedulers.filter(F.lower("status") == "visible online").groupBy(*k) \
         .agg(F.count("cpu_id").alias("visible_cpu_count"))
     return kjoin(instances.select(*k, "cpu_count"), vis, k, "inner")
 
