@@ -18,7 +18,11 @@ def _rows(df):
     return rows_of(df.columns, [tuple(r) for r in df.collect()])
 
 
-@pytest.mark.parametrize("name", sorted(CASES))
+# The cases of sources and sinks choose and merge snapshots, which is not done snapshot by snapshot.
+OPERATORS = sorted(n for n, (fn, _) in CASES.items() if fn.__module__ == cases.__name__)
+
+
+@pytest.mark.parametrize("name", OPERATORS)
 def test_fleet_equals_union(spark, name, monkeypatch):
     """Each case is run on the whole fixtures and on one server's snapshot:
     the rows of that server and snapshot must be the same."""
