@@ -1687,3 +1687,7 @@ _AA_RELS = ["principals", "logins", "certificates", "permissions", "schemas", "r
 @case("access_audit_script", [], "\nunion all by name\n".join(f"select * from ({_ALL[n][1]})" for n in _AA))
 def _aa(spark, d):
     return R.access_audit(spark, dict(zip(_AA_RELS, rel(spark, d, *_AA_RELS))), as_of=AS_OF)
+
+
+# The cases of sources and sinks, which build on those above.
+from . import suite_sources  # noqa: E402,F401
