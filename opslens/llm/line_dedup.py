@@ -238,28 +238,41 @@ def line_dedup(docs: DataFrame, min_words: int = 6, id_col: str = "doc_id", text
 
 
 def _line_words(batches):
-    """Documents with the numbers of lines asked for -> the words of each."""
+    """Documents with the lines asked for (structs with a field ``line``) ->
+    each of them with its words. A document is split once; rows without an
+    id, which only share a place with one, have none."""
     for batch in batches:
-        for doc, text, lines in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "lines"))):
-            split = (text or "").split("\n")
-            for lo in range(0, len(lines), 4096):
-                part = [n for n in lines[lo:lo + 4096] if n < len(split)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * len(part), pa.int64()), pa.array(part, pa.int64()),
-                     pa.array([[w for w in _BLANK.split(split[n]) if w] for n in part], pa.list_(pa.string()))], names=["doc", "line", "words"])
+        asked = batch.column("asked")
+        known = batch.column("doc").is_valid().to_pylist()
+        flat, counts = asked.flatten(), asked.value_lengths().to_pylist()
+        numbers, at, found = flat.field("line").to_pylist(), 0, []
+        for text, count, named in zip(batch.column("text"), counts, known):
+            lines = (text.as_py() or "").split("\n") if named else []
+            for n in numbers[at + len(found):at + len(found) + count]:
+                found.append([w for w in _BLANK.split(lines[n]) if w] if n < len(lines) else None)
+            if len(found) >= 4096:
+                yield _asked_words(flat, at, found)
+                at, found = at + len(found), []
+        if found:
+            yield _asked_words(flat, at, found)
+
+
+def _asked_words(flat, at: int, found: list):
+    return pa.RecordBatch.from_arrays([flat.slice(at, len(found)), pa.array(found, pa.list_(pa.string()))], names=["asked", "words"])
 
 
 def _verified(near: DataFrame, text: DataFrame) -> DataFrame:
     """``near`` after comparing each line with the neighbour that decides its
-    fate, word by word. One comparison a line; a document is split once, for
-    all its lines that are asked for. Rows that share an id give several texts
+    fate, word by word. One comparison a line; a neighbour's words travel once,
+    however many lines it decides. Rows that share an id give several texts
     for one line: any pair within the bound will do."""
-    ends = near.select(F.explode(F.array("spot", "near")).alias("end")).select("end.doc", "end.line").distinct()
-    # Joined on the column that ``text`` is dealt out by, with all its columns, so that its one shuffle serves every use.
-    asked = ends.where("doc is not null").groupBy(F.col("doc").alias("home")).agg(F.collect_list("line").alias("lines"))
-    told = text.join(asked, "home").where("doc is not null").select("doc", "text", "lines") \
-        .mapInArrow(_line_words, "doc long, line long, words array<string>")
-    told = stored(told.distinct())
-    of = lambda side, name: told.select(F.struct("doc", "line").alias(side), F.col("words").alias(name))
-    return near.join(of("spot", "a"), "spot").join(of("near", "b"), "near").where(_one_edit(F.col("a"), F.col("b"))) \
-        .select("h1", "h2", "near").distinct()
+    def words(asked, kind):
+        # Joined on the column that ``text`` is dealt out by, with all its columns, so that its one shuffle serves every use.
+        lists = asked.where("home is not null").groupBy("home").agg(F.collect_list("asked").alias("asked"))
+        return text.join(lists, "home").select("doc", "text", "asked").mapInArrow(_line_words, f"asked {kind}, words array<string>")
+    spot = near.select(F.col("spot.doc").alias("home"), F.struct(F.col("spot.line").alias("line"), "h1", "h2", "near").alias("asked"))
+    peer = near.select(F.col("near.doc").alias("home"), F.struct(F.col("near.line").alias("line"), F.col("near.doc").alias("doc")).alias("asked")).distinct()
+    a = words(spot, "struct<line:bigint,h1:bigint,h2:bigint,near:struct<doc:bigint,line:bigint>>") \
+        .select("asked.h1", "asked.h2", "asked.near", F.col("words").alias("a"))
+    b = words(peer, "struct<line:bigint,doc:bigint>").select(F.struct("asked.doc", "asked.line").alias("near"), F.col("words").alias("b"))
+    return a.join(b, "near").where(_one_edit(F.col("a"), F.col("b"))).select("h1", "h2", "near").distinct()
