@@ -55,6 +55,26 @@ def _powers(base: int, n: int) -> np.ndarray:
 _FIRST = _U(0xA0761D6478BD642F)
 _TAIL = _U(0xE7037ED1A0B428DB)
 _LENGTH = _U(0xD6E8FEB86659FD93)
+_MIXED = _U(0xBF58476D1CE4E5B9)
+
+
+def _pair(left: np.ndarray, right: np.ndarray, which: int) -> np.ndarray:
+    x = left * _FIRST
+    x += right * _U(_BASES[which])
+    x ^= x >> _U(29)
+    x *= _MIXED
+    return x
+
+
+_BYTE_PAIRS: dict[int, np.ndarray] = {}
+
+
+def _byte_pairs(which: int) -> np.ndarray:
+    """``_pair`` of every two bytes, kept per worker."""
+    if which not in _BYTE_PAIRS:
+        both = np.arange(1 << 16).astype(_U)
+        _BYTE_PAIRS[which] = _pair(both >> _U(8), both & _U(255), which)
+    return _BYTE_PAIRS[which]
 
 
 class SpanHasher:
@@ -62,34 +82,42 @@ class SpanHasher:
     polynomial modulo 2**64; equal spans hash alike wherever they stand.
 
     The polynomial's coefficients are not the symbols but mixed pairs of
-    neighbours, and the last symbol by itself: with plain symbols, strings
-    and their complements in the Thue-Morse order collide in every base."""
+    neighbours (and the last symbol by itself, for spans of one): with plain
+    symbols, strings and their complements in the Thue-Morse order collide in
+    every base."""
 
     def __init__(self, symbols: np.ndarray, which: int = 0):
         n = len(symbols)
-        self._symbols = symbols.astype(_U)
-        self._base = _U(_BASES[which])
+        self._symbols, self._which = symbols, which
         self._power = _powers(_BASES[which], n + 1)
         self._inverse = _powers(_INVERSES[which], n + 1)
         self._prefix = np.zeros(n + 1, _U)
         if n > 1:
-            np.cumsum(self._pair(self._symbols[:-1], self._symbols[1:]) * self._power[1:n], out=self._prefix[1:n])
+            if symbols.dtype == np.uint8:
+                pairs = _byte_pairs(which)[symbols[:-1].astype(np.uint16) << 8 | symbols[1:]]
+            else:
+                pairs = _pair(symbols[:-1].astype(_U), symbols[1:].astype(_U), which)
+            pairs *= self._power[1:n]
+            np.cumsum(pairs, out=self._prefix[1:n])
             self._prefix[n] = self._prefix[n - 1]
 
-    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        return mix(left * _FIRST + right * self._base)
-
-    def _last(self, end: np.ndarray, some: np.ndarray | None = None) -> np.ndarray:
-        """The last symbol's part; 0 where ``some`` is false (an empty span)."""
-        if not len(self._symbols):
-            return np.zeros(len(end), _U)
-        tail = mix(self._symbols[np.maximum(end - 1, 0)] * _TAIL + self._base)
-        return tail if some is None else np.where(some, tail, _U(0))
-
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        some = end > start
-        raw = (self._prefix[np.maximum(end - 1, start)] - self._prefix[start]) * self._inverse[start]
-        return mix(raw + self._last(end, None if some.all() else some) * _TAIL + (end - start).astype(_U) * _LENGTH)
+        if not len(start):
+            return np.zeros(0, _U)
+        last = end - 1
+        empty = last < start
+        some_empty = empty.any()
+        if some_empty:
+            last = np.maximum(last, start)
+        raw = self._prefix[last]
+        raw -= self._prefix[start]
+        raw *= self._inverse[start]
+        if len(self._symbols):
+            tail = self._symbols[np.minimum(last, len(self._symbols) - 1) if some_empty else last].astype(_U)
+            tail *= _TAIL
+            raw += np.where(empty, _U(0), tail) if some_empty else tail
+        raw += (end - start).astype(_U) * _LENGTH
+        return mix(raw)
 
     def joined(self, start: np.ndarray, left: np.ndarray, right: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of [start, left) followed by [right, end), as if contiguous."""
@@ -97,10 +125,11 @@ class SpanHasher:
         raw = (self._prefix[np.maximum(left - 1, start)] - self._prefix[start]) * self._inverse[start] \
             + (self._prefix[np.maximum(end - 1, right)] - self._prefix[right]) * self._inverse[start + right - left]
         if len(self._symbols):
-            seam = self._pair(self._symbols[np.maximum(left - 1, 0)], self._symbols[np.minimum(right, len(self._symbols) - 1)])
-            raw += np.where(before & after, seam * self._power[left - start], _U(0))
+            symbol = lambda at: self._symbols[np.clip(at, 0, len(self._symbols) - 1)].astype(_U)
+            raw += np.where(before & after, _pair(symbol(left - 1), symbol(right), self._which) * self._power[left - start], _U(0))
+            raw += np.where(before | after, symbol(np.where(after, end, left) - 1) * _TAIL, _U(0))
         length = end - start - (right - left)
-        return mix(raw + self._last(np.where(after, end, left), before | after) * _TAIL + length.astype(_U) * _LENGTH)
+        return mix(raw + length.astype(_U) * _LENGTH)
 
 
 @dataclass
